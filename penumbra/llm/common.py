@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, \n, \v, \f, \r.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Spark's setting that deletes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables up to this many rows may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -56,7 +58,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/penumbra-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # the table stands for what was shuffled to make it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

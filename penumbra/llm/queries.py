@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, lengths, linededup, quality, sharding
+from . import bpe, decontam, lengths, linededup, neardup, quality, sharding, substring
 
 try:
     import public_tokenizers
@@ -36,6 +36,10 @@ def op6_token_counts(spark, sf_dir):
     return lengths.token_counts(lengths.length_histogram(table(spark, sf_dir, "documents"), VOCABULARY))
 
 
+def op7_near_dedup(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op8_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -45,13 +49,20 @@ def op9_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_chunks", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_substring_dedup(spark, sf_dir):
+    out = substring.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
     "op6_token_counts": op6_token_counts,
+    "op7_near_dedup": op7_near_dedup,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
