@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, lengths, linededup, neardup, quality, sharding, substring
+from . import bpe, decontam, lengths, linededup, lm, neardup, quality, sharding, substring, toxicity
 
 try:
     import public_tokenizers
@@ -24,6 +24,10 @@ def op1_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op2_lm_scores(spark, sf_dir):
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op4_decontamination(spark, sf_dir):
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark, sf_dir):
     return lengths.token_counts(lengths.length_histogram(table(spark, sf_dir, "documents"), VOCABULARY))
 
@@ -56,8 +64,10 @@ def op10_substring_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_lm_scores": op2_lm_scores,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
+    "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_near_dedup": op7_near_dedup,
     "op8_sharding": op8_sharding,
