@@ -75,4 +75,79 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+_ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _stop_list() -> str:
+    words = {w for ws in quality.STOP_WORDS.values() for w in ws}
+    return ", ".join(f"'{w}'" for w in sorted(words | {w.capitalize() for w in words}))
+
+
+def _quality_sql() -> str:
+    def value(name):
+        part = quality.SHARES.get(name)
+        return f"coalesce({part[0]} / nullif({part[1]}, 0)::DOUBLE, 0)" if part else name
+
+    bad = " OR ".join(f"{value(n)} {op} {limit}" for n, op, limit in quality.RULES)
+    bullets = " OR ".join(f"starts_with(ltrim(x), '{m}')" for m in quality.BULLETS)
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
+                      list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM documents),
+    g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(generate_series(1, len(w) - 2)) AS s(i)),
+    r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+    c AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS p FROM r, unnest([0, 1, 2]) AS s(k)) GROUP BY 1),
+    m AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+                 length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+                 len(list_filter(l, lambda x: {bullets})) AS n_bullet_lines,
+                 len(list_filter(l, lambda x: ends_with(rtrim(x), '...') OR ends_with(rtrim(x), '…'))) AS n_ellipsis_lines,
+                 len(list_filter(w, lambda x: x IN ({_stop_list()}))) AS n_stop_words, coalesce(c.n, 0) AS n_repeat_words
+          FROM d LEFT JOIN c USING (doc_id)),
+    b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+    SELECT *, NOT base_failed AND NOT ({bad}) AS kept FROM b"""
+
+
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": _quality_sql(),
+    "op4_decontamination": f"""
+    WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("text")}, '{_ITEM_WORD}') AS w FROM benchmark),
+    win AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[s:s + least(13, len(w)) - 1], ' ') AS g FROM i, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS x(s) WHERE len(w) > 0),
+    d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ITEM_WORD}') AS w FROM documents),
+    dw AS (SELECT doc_id, s, z.n, array_to_string(w[s:s + z.n - 1], ' ') AS g FROM d, (SELECT DISTINCT n FROM win) AS z, unnest(generate_series(1, len(w) - z.n + 1)) AS x(s)),
+    h AS (SELECT doc_id, s, dw.n, item FROM dw JOIN win ON dw.n = win.n AND dw.g = win.g),
+    hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, p FROM h, unnest(generate_series(s, s + n - 1)) AS x(p)) GROUP BY 1),
+    it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op7_near_dedup": f"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g FROM d, unnest(generate_series(1, greatest(len(w) - 1, 1))) AS x(i) WHERE len(w) > 0),
+    z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    e AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * p.n >= 80 * (x.n + y.n - p.n)),
+    arcs AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    reach(root, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT root, arcs.b FROM reach JOIN arcs ON node = arcs.a)
+    SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, m.c AS component_id, m.c = d.doc_id AS kept
+    FROM d LEFT JOIN z USING (doc_id) JOIN (SELECT node, min(root) AS c FROM reach GROUP BY 1) m ON m.node = d.doc_id""",
+    "op9_line_dedup": f"""
+    WITH l AS (SELECT doc_id, i, line, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h
+               FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)),
+    b AS (SELECT *, lag(h) OVER o AS g, lead(i) OVER o IS NULL AS last FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    e AS (SELECT *, CASE WHEN last OR (g IS NOT NULL AND (g + 31 * h) % {linededup.MODULUS} = 0) THEN 1 ELSE 0 END AS ends FROM b),
+    k AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e),
+    c AS (SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM k GROUP BY 1, 2),
+    f AS (SELECT *, n >= {linededup.LEAST_LINES} AND row_number() OVER (PARTITION BY t, n >= {linededup.LEAST_LINES} ORDER BY doc_id, chunk) > 1 AS gone FROM c),
+    r AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS n_chunks, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(t, chr(10) ORDER BY chunk) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY 1)
+    SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed, 0) AS n_removed, kept_sha256 FROM documents LEFT JOIN r USING (doc_id)""",
+    "op10_substring_dedup": f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+    g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM d, unnest(generate_series(1, len(w) - 12)) AS x(i)),
+    r AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY g) AS lo FROM g) WHERE lo < doc_id),
+    gone AS (SELECT DISTINCT doc_id, p FROM r, unnest(generate_series(i, i + 12)) AS x(p)),
+    k AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1),
+    words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+    t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+    SELECT d.doc_id, len(w) AS n_words, coalesce(k.n, 0) AS n_removed, sha256(coalesce(t.t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}

@@ -3,7 +3,7 @@
 Voters are a fixed lexicon, patterns, and words and word beginnings that the labelled training rows
 show to be telling. Each votes toxic, not toxic, or abstains. The label model estimates each
 voter's accuracy by expectation-maximisation, and how far voters repeat each other from the
-correlation of their votes within the estimated classes; repeated evidence is weighed down. Its
+correlation of their votes within the toxic class; repeated evidence is weighed down. Its
 posterior labels train a logistic classifier over hashed words and word beginnings.
 """
 
@@ -28,11 +28,13 @@ PATTERNS = [rb"\b(?:you|he|she|they) (?:are|is) (?:an? |such )?(?:idiot|moron|lo
 #: Labelled training rows that voters and classifier are fitted on, at most (those of least hash).
 MAX_ROWS = 20_000
 #: Most voters learned from the training rows, the documents that a voter must be seen in, and its least precision.
-MAX_VOTERS, SUPPORT, PRECISION = 600, 4, 0.8
+MAX_VOTERS, SUPPORT, PRECISION = 600, 4, 0.9
 #: Lengths of word beginnings that are features beside whole words.
 STEMS = (4, 5)
 #: Buckets of hashed features.
 BUCKETS = 1 << 18
+#: Buckets that the classifier may use, chosen by chi-square.
+CHOSEN = 2048
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -62,8 +64,7 @@ def learn_voters(sample: DataFrame) -> list[bytes]:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([toxic[f] for f in names], pa.int64()), pa.array([seen[f] for f in names], pa.int64())], names=["f", "toxic", "seen"])
 
     counted = sample.select("_y", "_text").coalesce(1).mapInArrow(run, "f binary, toxic long, seen long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("seen").alias("seen"))
-    rate = sample.agg(F.avg("_y")).first()[0] or 0.0
-    good = counted.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") / (F.col("seen") + 1) >= max(PRECISION, min(0.95, 3 * rate))))
+    good = counted.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") / (F.col("seen") + 0.4) >= PRECISION))
     return [bytes(r[0]) for r in good.orderBy(F.desc("toxic"), "f").limit(MAX_VOTERS).select("f").collect()]
 
 
@@ -102,7 +103,7 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray:
                 z = z - z.mean(0)
                 sd = np.sqrt((z * z).mean(0)) + 1e-6
                 corr = np.clip((z.T @ z) / len(z) / np.outer(sd, sd), 0, 1)
-                corr[(sd < 2e-6), :] = 0
+                corr[corr < 0.5] = 0
                 np.fill_diagonal(corr, 1)
                 discount = 1 / corr.sum(1)
         weight = np.log(on / off) * discount
@@ -129,24 +130,49 @@ class FeatureWeights(dict):
         return value
 
 
-def train_linear(index: list[np.ndarray], target: np.ndarray, epochs: int = 12, rate: float = 0.5, decay: float = 1e-6):
-    """Logistic regression on soft labels over binary hashed features, AdaGrad in a fixed order."""
-    w, g2, bias = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8), 0.0
-    b2 = 1e-8
-    order = np.random.default_rng(5).permutation(len(index))
-    lift = float(np.clip((1 - target.mean()) / max(target.mean(), 1e-3), 1, 8)) if len(target) else 1.0
-    for _ in range(epochs):
-        for i in order:
-            x = index[i]
-            norm = 1 / np.sqrt(len(x) + 1)
-            z = bias + w[x].sum() * norm
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[i]) * (1 + (lift - 1) * target[i])
-            b2 += g * g
-            bias -= rate * g / np.sqrt(b2)
-            gx = g * norm
-            g2[x] += gx * gx
-            w[x] -= rate * (gx / np.sqrt(g2[x]) + decay * w[x])
-    return w, bias
+def telling(index: list[np.ndarray], target: np.ndarray, most: int = CHOSEN) -> np.ndarray:
+    """Buckets that go most clearly with the posterior labels, by chi-square."""
+    n = np.zeros(BUCKETS)
+    n1 = np.zeros(BUCKETS)
+    for x, t in zip(index, target):
+        x = np.unique(x)
+        n[x] += 1
+        n1[x] += t
+    rate = target.mean()
+    expected = n * rate
+    chi = (n1 - expected) ** 2 / np.maximum(expected * (1 - rate), 1e-9)
+    chi[n < 3] = 0
+    best = np.argsort(-chi, kind="stable")[:most]
+    return np.sort(best[chi[best] > 10])
+
+
+def train_linear(index: list[np.ndarray], target: np.ndarray, steps: int = 400, rate: float = 0.1, decay: float = 2e-4):
+    """Logistic regression on soft labels over the chosen hashed features: full gradients, Adam."""
+    weights = np.zeros(BUCKETS)
+    if not len(index):
+        return weights, 0.0
+    chosen = telling(index, target)
+    place = np.full(BUCKETS, -1)
+    place[chosen] = np.arange(len(chosen))
+    rows, columns = [], []
+    for i, x in enumerate(index):
+        k = place[np.unique(x)]
+        k = k[k >= 0]
+        rows.append(np.full(len(k), i))
+        columns.append(k)
+    rows, columns = np.concatenate(rows), np.concatenate(columns)
+    w = np.zeros(len(chosen) + 1)
+    w[-1] = np.log(np.clip(target.mean(), 1e-3, 1 - 1e-3) / (1 - np.clip(target.mean(), 1e-3, 1 - 1e-3)))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        z = w[-1] + np.bincount(rows, w[columns], len(index))
+        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(index)
+        g = np.append(np.bincount(columns, e[rows], len(chosen)), e.sum())
+        g[:-1] += decay * w[:-1] / len(index) ** 0.5
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    weights[chosen] = w[:-1]
+    return weights, float(w[-1])
 
 
 def fit(sample: DataFrame):
@@ -197,7 +223,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             scores = []
             for text in batch.column(1):
                 f = features(text.as_py())
-                z = bias + sum(map(weights.__getitem__, f)) / np.sqrt(len(f) + 1)
+                z = bias + sum(map(weights.__getitem__, f))
                 scores.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
             s = np.array(scores, np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["_id", "held_out", "score", "predicted"])
