@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -26,3 +28,29 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.join("penumbra", os.path.relpath(full, root)))
     context.addPyFile(target)
     _SHIPPED.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; a temporary one only where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="penumbra-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may have ended already
+        pass
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, and outlives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/penumbra-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
