@@ -22,7 +22,7 @@ def sun_minutes(seconds: Column) -> Column:
 
 
 def _kilometres(metres: Column) -> Column:
-    return F.concat(F.format_string("%.1f", metres / 1000.0), F.lit("km"))
+    return F.concat(F.format_string("%.1f", F.floor(metres / 100 + 0.5) / 10.0), F.lit("km"))
 
 
 def distance_label(metres: Column) -> Column:
