@@ -63,7 +63,7 @@ def _search(arcs_of: dict, place: dict, start: int, goal: int):
     return None
 
 
-def _route_group(key, frame: pd.DataFrame) -> pd.DataFrame:
+def _route_group(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """All searches of one request and mode: its corridor arcs, and one row each for start and goal."""
     ends = frame[frame["kind"] == "request"]
     links = frame[frame["kind"] == "arc"]

@@ -22,7 +22,7 @@ VAGUE_M = 100.0
 def read_whole(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
     """(path, bytes, sha256, text) of whole files up to the size cap; the hash is of the content before it is parsed."""
     files = spark.read.format("binaryFile").load(path).where(F.col("length") <= most)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
 
 
 def verified(files: DataFrame, declared: DataFrame) -> DataFrame:
