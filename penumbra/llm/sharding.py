@@ -81,8 +81,15 @@ def best_fit_decreasing(items: list[tuple[object, int]], capacity: int) -> dict[
 
 
 def pack_into(items: list[tuple[object, int]], shards: int) -> dict[object, int]:
-    """The packing of the smallest capacity found that needs at most ``shards`` bins."""
+    """The packing of the smallest capacity found that needs at most ``shards`` bins.
+
+    An item over an even share of what is left has a bin alone, and the others share the other bins.
+    """
     total, largest = sum(s for _, s in items), max((s for _, s in items), default=0)
+    if shards > 1 and largest * shards > total:
+        giant = min(name for name, s in items if s == largest)
+        rest = pack_into([x for x in items if x[0] != giant], shards - 1)
+        return rest | {giant: shards - 1}
     low = max(-(-total // shards), largest, 1)
 
     @lru_cache(None)
@@ -108,7 +115,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     """Shard and place in the shard for every row, all rows of one text together, by bytes.
 
     size is the UTF-8 length of the text (null: 0) plus 1; null and empty texts are one group. A group
-    larger than an even share has its shard nearly alone, as it can't be divided. slot numbers the
+    larger than an even share has a shard alone, as it can't be divided. slot numbers the
     rows of a shard from 0 without gaps; repeated rows get slots of their own. No rows: no result rows.
     Other columns are not read.
     """
