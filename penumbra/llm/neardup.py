@@ -8,7 +8,9 @@ with the Jaccard similarity, so runs of registers (bands) are the buckets in whi
 1. in each bucket every class meets two pivots (the least id, and one by hash), not every other class;
 2. pairs pass if the likelihood of their registers allows the wanted similarity, then by exact sets;
 3. in buckets that still hold several components, classes outside the largest component meet the
-   members of all other components, so no link between components is left out.
+   members of all other components, so no link between components is left out. Pairs that can't be
+   similar don't arise: what two sets share within the largest component's document, and beyond it
+   of what several classes have, is bounded before they are paired.
 
 Links and labels stay in tables; components come from min-label rounds with pointer jumping.
 """
@@ -31,7 +33,9 @@ ROWS, BANDS = 4, 32
 #: SetSketch parameters: base of the scale, rate of the exponential variables, largest register.
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: A pair is dropped before verification if the wanted similarity is exp(-LIKELIHOOD) times less likely than the best one.
-LIKELIHOOD = 25.0
+LIKELIHOOD = 12.0
+#: 64-bit words of a bitmap of the shingles in which a set differs from another.
+WORDS = 8
 
 _M = ROWS * BANDS
 _KEYS = mix(np.arange(1, 2 * _M + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -139,6 +143,55 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def bitmap(values: np.ndarray) -> np.ndarray:
+    """Bitmap of WORDS 64-bit numbers with a bit for the hash of each value."""
+    at = mix(values) % np.uint64(64 * WORDS)
+    out = np.zeros(WORDS, np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def against_main(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """For each class and the document that names its bucket's largest component: (rep, main, size, main_size, extra, lacks, has).
+
+    extra is how much of the class's set is not in that document; lacks and has are bitmaps of what only
+    the document and only the class have. They bound from above what two such sets share.
+    """
+    a = sets.select("rep", F.col("shingles").alias("sa"))
+    b = sets.select(F.col("rep").alias("main"), F.col("shingles").alias("sb"))
+
+    def run(batches):
+        for batch in batches:
+            out = {"size": [], "main_size": [], "extra": [], "lacks": [], "has": []}
+            for x, y in zip(batch.column("sa"), batch.column("sb")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                own = np.setdiff1d(x, y, assume_unique=True)
+                for k, v in zip(out, (len(x), len(y), len(own), bitmap(np.setdiff1d(y, x, assume_unique=True)), bitmap(own))):
+                    out[k].append(v)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("main"), *(pa.array(out[k], pa.int64()) for k in ("size", "main_size", "extra")), pa.array(out["lacks"], longs), pa.array(out["has"], longs)], names=["rep", "main", *out])
+
+    kind = sets.schema["rep"].dataType.simpleString()
+    return pairs.join(a, "rep").join(b, "main").mapInArrow(run, f"rep {kind}, main {kind}, size long, main_size long, extra long, lacks array<long>, has array<long>")
+
+
+def may_link(percent: int):
+    """Whether two sets (columns ending in _x and _y, with the same main document) can be as similar as wanted.
+
+    Of the main document they share no more than what neither lacks; beyond it, no more than what is in both
+    bitmaps. A bit stands for one shingle at least, so both bounds hold whatever collides.
+    """
+    c = lambda name, side: F.col(f"{name}_{side}")
+    total = lambda a, b, f: F.aggregate(F.zip_with(a, b, lambda u, v: F.bit_count(f(u, v))), F.lit(0), lambda n, k: n + k)
+    lacking = total(c("lacks", "x"), c("lacks", "y"), lambda u, v: u.bitwiseOR(v))
+    own = lambda a, b: c("extra", a) - total(c("has", a), c("has", b), lambda u, v: u.bitwiseAND(F.bitwise_not(v)))
+    inside = F.least(c("size", "x") - c("extra", "x"), c("size", "y") - c("extra", "y"), c("main_size", "x") - lacking)
+    coarse = F.least(c("size", "x") - c("extra", "x"), c("size", "y") - c("extra", "y")) + F.least("extra_x", "extra_y")
+    fine = inside + F.least(own("x", "y"), own("y", "x"))
+    enough = lambda most: 100 * most >= percent * (c("size", "x") + c("size", "y") - most)
+    return enough(coarse) & enough(fine)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node reachable over the links (a, b). Each round shrinks tables; nothing is collected."""
     arcs = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
@@ -188,9 +241,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = tagged.groupBy("band", "value", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band", "value").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "value", "main")
     open_rows = materialize(tagged.join(main, ["band", "value"]))
-    outside = open_rows.where("label <> main").select("band", "value", F.col("rep").alias("x"), F.col("label").alias("lx"))
-    inside = open_rows.select("band", "value", F.col("rep").alias("y"), F.col("label").alias("ly"))
-    rest = outside.join(inside, ["band", "value"]).where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    sized = materialize(open_rows.join(against_main(open_rows.select("rep", "main").distinct(), sets), ["rep", "main"]))
+    side = lambda p: [F.col(c).alias(c + p) for c in ("rep", "label", "size", "main_size", "extra", "lacks", "has")]
+    outside = sized.where("label <> main").select("band", "value", *side("_x"))
+    inside = sized.select("band", "value", *side("_y"))
+    # Decided within the join, so that only pairs that may be links become rows.
+    possible = (F.col("label_x") != F.col("label_y")) & may_link(percent)
+    same = (F.col("o.band") == F.col("i.band")) & (F.col("o.value") == F.col("i.value"))
+    rest = outside.alias("o").join(inside.alias("i"), same & possible).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = materialize(rest)
     if not rest.isEmpty():
         more = materialize(_exact(_likely(rest, classes, percent / 100), sets, percent))

@@ -29,6 +29,8 @@ PATTERNS = [rb"\b(?:you|he|she|they) (?:are|is) (?:an? |such )?(?:idiot|moron|lo
 MAX_ROWS = 20_000
 #: Most voters learned from the training rows, the documents that a voter must be seen in, and its least precision.
 MAX_VOTERS, SUPPORT, PRECISION = 600, 4, 0.9
+#: Features of toxic rows that are looked at as voters, at most: the most frequent ones.
+CANDIDATES = 20_000
 #: Lengths of word beginnings that are features beside whole words.
 STEMS = (4, 5)
 #: Buckets of hashed features.
@@ -49,23 +51,32 @@ def features(text: str | None) -> set[bytes]:
 
 
 def learn_voters(sample: DataFrame) -> list[bytes]:
-    """Features much more frequent in toxic rows of (_y, _text), by counts that tasks combine first; at most MAX_VOTERS."""
+    """Features much more frequent in toxic rows of (_y, _text); at most MAX_VOTERS.
 
-    def run(batches):
-        for batch in batches:
-            seen, toxic = Counter(), Counter()
-            sets = [features(t.as_py()) for t in batch.column(1)]
-            for s, y in zip(sets, batch.column(0)):
-                if y.as_py():
-                    toxic.update(s)
-            for s in sets:
-                seen.update(s & toxic.keys())
-            names = list(toxic)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([toxic[f] for f in names], pa.int64()), pa.array([seen[f] for f in names], pa.int64())], names=["f", "toxic", "seen"])
+    First the features of toxic rows are counted, then those with enough support in all rows. Tasks combine
+    their counts, and look at one row at a time.
+    """
+    rows = sample.select("_y", "_text")
+
+    def counted(only):
+        def run(batches):
+            for batch in batches:
+                counts: Counter = Counter()
+                for y, text in zip(batch.column(0), batch.column(1)):
+                    if only is None:
+                        if y.as_py():
+                            counts.update(features(text.as_py()))
+                    else:
+                        counts.update(features(text.as_py()) & only)
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["f", "n"])
+
+        return rows.mapInArrow(run, "f binary, n long").groupBy("f").agg(F.sum("n").alias("n"))
 
-    counted = sample.select("_y", "_text").coalesce(1).mapInArrow(run, "f binary, toxic long, seen long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("seen").alias("seen"))
-    good = counted.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") / (F.col("seen") + 0.4) >= PRECISION))
-    return [bytes(r[0]) for r in good.orderBy(F.desc("toxic"), "f").limit(MAX_VOTERS).select("f").collect()]
+    often = counted(None).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "f").limit(CANDIDATES).collect()
+    toxic = {bytes(r.f): r.n for r in often}
+    seen = {bytes(r.f): r.n for r in counted(set(toxic)).collect()}  # no more than CANDIDATES
+    good = [f for f in toxic if toxic[f] / (seen[f] + 0.4) >= PRECISION]
+    return sorted(good, key=lambda f: (-toxic[f], f))[:MAX_VOTERS]
 
 
 def votes(texts: list[str | None], sets: list[set[bytes]], voters: list[bytes]) -> np.ndarray:
@@ -181,13 +192,14 @@ def fit(sample: DataFrame):
 
     def run(batches):
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(2)]
-            sets = [features(t) for t in texts]
-            v = votes(texts, sets, voters)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([np.flatnonzero(r).astype(np.int32) for r in v], pa.list_(pa.int32())),
-                pa.array([np.sort(hashed(s)).astype(np.int32) for s in sets], pa.list_(pa.int32())),
-            ], names=["_id", "_y", "v", "x"])
+            fired, buckets = [], []
+            for value in batch.column(2):
+                text = value.as_py()
+                s = features(text)
+                fired.append(np.flatnonzero(votes([text], [s], voters)[0]).astype(np.int32))
+                buckets.append(np.sort(hashed(s)).astype(np.int32))
+            longs = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fired, longs), pa.array(buckets, longs)], names=["_id", "_y", "v", "x"])
 
     kind = sample.schema["_id"].dataType.simpleString()
     got = sample.mapInArrow(run, f"_id {kind}, _y int, v array<int>, x array<int>").orderBy("_id").toArrow()

@@ -79,15 +79,16 @@ def _route_group(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["request_id", "mode", "seq", "edge_id", "from_node", "to_node", "cost"])
 
 
-def route_paths(requests: DataFrame, edges: DataFrame, nodes: DataFrame, cell_m: float = 600.0, reach_m: float = LONGEST_M) -> DataFrame:
+def route_paths(requests: DataFrame, edges: DataFrame, nodes: DataFrame, cell_m: float = 600.0, reach_m: float = LONGEST_M, extra: DataFrame | None = None) -> DataFrame:
     """Paths of every request in every mode, as ordered edges.
 
     Each request gets only its corridor: the edges with an end in the square around its two ends that
     a route of ``reach_m`` can't leave. Corridors are found by joining grid cells, so a task holds one
     corridor of one mode, which the format bounds at 100,000 edges.
+    ``extra`` has directed arcs of single requests: (request_id, src, dst, edge_id, length, steps, fallback, shade, sx, sy, dx, dy).
     requests: (request_id, start, goal, sx, sy, gx, gy); edges: (edge_id, a, b, length, steps, fallback, direction, shade); nodes: (id, x, y).
     """
-    placed = edges.join(nodes.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), "a").join(nodes.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")), "b")
+    placed = edges.select("edge_id", "a", "b", "length", "steps", "fallback", "direction", "shade").join(nodes.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), "a").join(nodes.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")), "b")
     cells = placed.withColumn("cx", F.floor(F.col("ax") / cell_m).cast("long")).withColumn("cy", F.floor(F.col("ay") / cell_m).cast("long"))
     # A route of at most reach_m between the ends stays within half of what it may be longer than the straight line.
     slack = (reach_m - geo.euclid(F.col("sx"), F.col("sy"), F.col("gx"), F.col("gy"))) / 2 + cell_m
@@ -99,6 +100,9 @@ def route_paths(requests: DataFrame, edges: DataFrame, nodes: DataFrame, cell_m:
     cost = edge_cost(*(F.col(c) for c in ("length", "steps", "fallback", "shade")), F.col("m.weight"))
     line = lambda s, d: moded.select("request_id", F.col("m.mode").alias("mode"), F.lit("arc").alias("kind"), F.col(s).alias("src"), F.col(d).alias("dst"), "edge_id", cost.alias("cost"), F.col(f"{s}x").alias("sx"), F.col(f"{s}y").alias("sy"), F.col(f"{d}x").alias("dx"), F.col(f"{d}y").alias("dy"), "direction")
     links = line("a", "b").where("direction in ('both', 'forward')").unionByName(line("b", "a").where("direction in ('both', 'backward')")).drop("direction")
+    if extra is not None:
+        own = extra.withColumn("m", modes)
+        links = links.unionByName(own.select("request_id", F.col("m.mode").alias("mode"), F.lit("arc").alias("kind"), "src", "dst", "edge_id", edge_cost(*(F.col(c) for c in ("length", "steps", "fallback", "shade")), F.col("m.weight")).alias("cost"), "sx", "sy", "dx", "dy"))
     zero = F.lit(0.0)
     asked = requests.withColumn("m", modes).select("request_id", F.col("m.mode").alias("mode"), F.lit("request").alias("kind"), F.col("start").alias("src"), F.col("goal").alias("dst"), F.lit(0).cast("long").alias("edge_id"), zero.alias("cost"), zero.alias("sx"), zero.alias("sy"), zero.alias("dx"), zero.alias("dy"))
     return links.unionByName(asked).groupBy("request_id", "mode").applyInPandas(_route_group, PATH_SCHEMA)

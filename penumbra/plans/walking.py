@@ -10,6 +10,7 @@ from ..functions import geo, rules, sun, tags
 from ..operators import boundary, graph, guards, routing, shade
 from ..operators.spatial import points_near_segments
 from ..session import keep, ship_package
+from . import service
 from .lens import view, with_views
 from .registry import query
 
@@ -359,6 +360,26 @@ def route_bundles(spark, sf):
     return routing.bundles(done)
 
 
+def _planned(spark, sf):
+    """Requests between places beside the network, by the whole chain of operators."""
+    edges = _edges(spark, sf).join(shaded_edges(spark, sf), "edge_id")
+    labels = graph.components(edges.select("edge_id", "a", "b"), keep)
+    edges = edges.join(labels.select(F.col("node_id").alias("a"), "component"), "a")
+    r = asked(spark, sf).select("request_id", (F.col("sx") + 11).alias("sx"), (F.col("sy") + 7).alias("sy"), (F.col("gx") + 13).alias("gx"), (F.col("gy") - 4).alias("gy"), (F.col("request_id") % 400 == 0).alias("gps"))
+    far = r.limit(1).select((F.col("request_id") + 1).alias("request_id"), (F.col("sx") - 1e6).alias("sx"), "sy", "gx", "gy", "gps")
+    return service.plan_routes(r.unionByName(far), edges, view(spark, sf, "nodes"), lambda pieces: shade.edge_shade(pieces, _box_shadows(spark, sf), _in_shadow()))
+
+
+@query()
+def planned_routes(spark, sf):
+    return _planned(spark, sf)[0]
+
+
+@query()
+def planned_status(spark, sf):
+    return _planned(spark, sf)[1]
+
+
 _ROWS = "WITH s AS (SELECT user_id AS request_id, event_type AS mode, event_id AS edge_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS seq, value AS length, event_id % 7 = 0 AS steps, (event_id % 101) / 1e2 AS shade FROM events)"
 
 
