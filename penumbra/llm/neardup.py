@@ -12,7 +12,7 @@ with the Jaccard similarity, so runs of registers (bands) are the buckets in whi
    similar don't arise: what two sets share within the largest component's document, and beyond it
    of what several classes have, is bounded before they are paired.
 
-Links and labels stay in tables; components come from min-label rounds with pointer jumping.
+Links and labels stay in tables; components come from rounds of hooking, pointer jumping and contraction.
 """
 
 from __future__ import annotations
@@ -193,18 +193,40 @@ def may_link(percent: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the least node reachable over the links (a, b). Each round shrinks tables; nothing is collected."""
-    arcs = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = materialize(arcs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("other")).select("node", F.least("node", "other").alias("label")))
-    while True:
-        seen = arcs.join(labels, arcs["b"] == labels["node"]).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
-        hooked = labels.join(seen, labels["node"] == seen["n"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        ends = labels.select(F.col("node").alias("at"), F.col("label").alias("end"))
-        jumped = hooked.join(ends, hooked["label"] == ends["at"]).select("node", "old", F.least("label", "end").alias("label"))
-        jumped = materialize(jumped)
-        labels = jumped.select("node", "label")
-        if jumped.where("label <> old").isEmpty():
-            return labels
+    """(node, label): the least node reachable over the links (a, b), for every node that has one.
+
+    Each round hooks every node to its least neighbour, follows the hooks to their end by pointer
+    jumping, and keeps only the links between different ends. The least node of a component is always
+    its own end, and at most half of the nodes are ends, so the links vanish in few rounds. Nothing is collected.
+    """
+    links = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = links.select(F.col("a").alias("node"), F.col("a").alias("label")).where(F.lit(False))
+    first = True
+    while not links.isEmpty():
+        arcs = links.union(links.select(F.col("b"), F.col("a")))
+        hooks = materialize(arcs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("other")).select("node", F.least("node", "other").alias("end")))
+        moved = True
+        while moved:
+            onward = hooks.select(F.col("node").alias("at"), F.col("end").alias("next"))
+            jumped = materialize(hooks.join(onward, hooks["end"] == onward["at"]).select("node", F.col("end").alias("old"), F.col("next").alias("end")))
+            hooks = jumped.select("node", "end")
+            moved = not jumped.where("old <> end").isEmpty()
+        if first:
+            labels, first = hooks.select("node", F.col("end").alias("label")), False
+        else:
+            onward = hooks.select(F.col("node").alias("at"), F.col("end").alias("next"))
+            labels = materialize(labels.join(onward, labels["label"] == onward["at"], "left").select("node", F.coalesce("next", "label").alias("label")))
+        ends_a = hooks.select(F.col("node").alias("a"), F.col("end").alias("end_a"))
+        ends_b = hooks.select(F.col("node").alias("b"), F.col("end").alias("end_b"))
+        across = links.join(ends_a, "a").join(ends_b, "b").where("end_a <> end_b")
+        links = materialize(across.select(F.least("end_a", "end_b").alias("a"), F.greatest("end_a", "end_b").alias("b")).distinct())
+    return labels
+
+
+def label_of(rows: DataFrame, node: str, labels: DataFrame) -> DataFrame:
+    """``rows`` with each ``node`` replaced by its label, where it has one."""
+    known = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+    return rows.join(known, rows[node] == known["_node"], "left").drop("_node").withColumn(node, F.coalesce("_label", node)).drop("_label")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -250,11 +272,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = (F.col("o.band") == F.col("i.band")) & (F.col("o.value") == F.col("i.value"))
     rest = outside.alias("o").join(inside.alias("i"), same & possible).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = materialize(rest)
+    found = label_of(classes.select("digest", F.col("rep").alias("_component")), "_component", labels)
     if not rest.isEmpty():
         more = materialize(_exact(_likely(rest, classes, percent / 100), sets, percent))
-        if not more.isEmpty():
-            labels = components(links.union(more))
-    found = classes.join(labels, classes["rep"] == labels["node"], "left").select("digest", F.coalesce("label", "rep").alias("_component"))
+        if not more.isEmpty():  # these link components: only their labels are looked at again
+            found = label_of(found, "_component", components(label_of(label_of(more, "a", labels), "b", labels)))
     out = sketched.select("_id", "n_shingles", "digest").join(found, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("_id"))
     return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))

@@ -152,6 +152,28 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted((x.doc_id or 0, x.component_id) for x in odd) == [(0, 5), (5, 5), (5, 5)]
 
 
+def test_components_of_chains_stars_and_random_links(spark):
+    r = random.Random(3)
+    chain = [(k, k + 1) for k in range(100, 140)]
+    zigzag = list(zip(*[iter(r.sample(range(200, 240), 40))] * 2))
+    star = [(399, k) for k in range(300, 330)]
+    links = [*chain, *zigzag, *star, *[(r.randrange(500, 560), r.randrange(500, 560)) for _ in range(40)], (100, 101), (7, 7)]
+    parent = {n: n for link in links for n in link}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    got = {x.node: x.label for x in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    linked = {n for a, b in links if a != b for n in (a, b)}
+    assert got == {n: root(n) for n in linked}
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_sketches_estimate_similarity():
     r = np.random.default_rng(4)
     pool = r.integers(0, 2**63, 3000).astype(np.uint64)
