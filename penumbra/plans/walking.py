@@ -319,9 +319,9 @@ def route_edges(spark, sf):
 
 
 def asked(spark, sf):
-    """Some of the requests: those within 1,500 m."""
+    """Every request whose ends differ and are no further apart than the longest route."""
     r = placed_requests(spark, sf).where("start <> goal")
-    return r.where(geo.euclid(F.col("sx"), F.col("sy"), F.col("gx"), F.col("gy")) <= 1500).where("request_id % 200 = 0").select("request_id", "start", "goal", "sx", "sy", "gx", "gy")
+    return r.where(geo.euclid(F.col("sx"), F.col("sy"), F.col("gx"), F.col("gy")) <= routing.LONGEST_M).select("request_id", "start", "goal", "sx", "sy", "gx", "gy")
 
 
 def paths(spark, sf):
