@@ -153,7 +153,7 @@ _TX, _TY = "CAST(floor(({} + 180e0) / 360e0 * 32768e0) AS BIGINT)", "CAST(floor(
 
 def _way_boxes(spark, sf):
     n = view(spark, sf, "nodes").select(F.col("id").alias("node_id"), "lat", "lon")
-    return view(spark, sf, "ways").where("seq <= 3").join(n, "node_id").groupBy("way_id").agg(F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"))
+    return view(spark, sf, "ways").join(n, "node_id").groupBy("way_id").agg(F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"))
 
 
 @query(_WAY_BOXES + f", t AS (SELECT way_id, {_TX.format('west')} AS x0, {_TX.format('east')} AS x1, {_TY.format('north')} AS y0, {_TY.format('south')} AS y1 FROM b) SELECT way_id, tile_x, tile_y FROM t, unnest(generate_series(x0, x1)) AS s(tile_x), unnest(generate_series(y0, y1)) AS u(tile_y) WHERE (x1 - x0 + 1) * (y1 - y0 + 1) <= 32")

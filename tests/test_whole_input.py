@@ -36,3 +36,7 @@ def test_requests_up_to_the_longest_route(spark, monkeypatch):
     placed = spark.createDataFrame([*far, (220, 5, 5, 0.0, 0.0, 0.0, 0.0)], "request_id long, start long, goal long, sx double, sy double, gx double, gy double")
     monkeypatch.setattr(walking, "placed_requests", lambda spark, sf: placed)
     assert sorted(r.request_id for r in walking.asked(spark, SF).collect()) == [10, 20, 200]
+
+
+def test_tiles_of_whole_ways(spark, con):
+    check(spark, con, "tile_assignment_ways", (" WHERE w.seq <= 3", ""))
