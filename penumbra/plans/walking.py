@@ -262,7 +262,7 @@ def adjacency(spark, sf):
 @query(with_views("nodes", "ways") + " SELECT DISTINCT node_id FROM lens_ways WHERE node_id % 97 = 5 AND way_id % 3 = 0")
 def blocked_nodes_referenced(spark, sf):
     blocked = view(spark, sf, "nodes").where("id % 97 = 5").select(F.col("id").alias("node_id"))
-    return blocked.join(view(spark, sf, "ways").where("way_id % 3 = 0"), "node_id", "left_semi")
+    return blocked.join(view(spark, sf, "ways"), "node_id", "left_semi")
 
 
 _PARTS = with_views("edges").replace("WITH ", "WITH RECURSIVE ", 1) + """, k AS (SELECT a, b FROM lens_edges WHERE edge_id % 3 = 0), arcs AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
@@ -270,8 +270,8 @@ _PARTS = with_views("edges").replace("WITH ", "WITH RECURSIVE ", 1) + """, k AS
 
 
 def _parts(spark, sf):
-    """A sparse third of the grid's edges, so there are many components."""
-    return graph.components(view(spark, sf, "edges").where("edge_id % 3 = 0").select("edge_id", "a", "b"), keep)
+    """Components of the whole grid."""
+    return graph.components(view(spark, sf, "edges").select("edge_id", "a", "b"), keep)
 
 
 @query(_PARTS + " SELECT node AS node_id, component FROM reach")
@@ -291,7 +291,7 @@ _SNAP = with_views("edges") + """, pts AS (SELECT id AS point_id, x + (id % 31)
 
 
 def _snap_candidates(spark, sf):
-    pts = view(spark, sf, "nodes").where("id % 3 = 0").select(F.col("id").alias("point_id"), (F.col("x") + F.col("id") % 31 - 15.0).alias("px"), (F.col("y") + F.col("id") % 29 - 14.0).alias("py"))
+    pts = view(spark, sf, "nodes").select(F.col("id").alias("point_id"), (F.col("x") + F.col("id") % 31 - 15.0).alias("px"), (F.col("y") + F.col("id") % 29 - 14.0).alias("py"))
     return points_near_segments(pts, _edges(spark, sf).select("edge_id", "ax", "ay", "bx", "by", "fallback"), 30.0, 60.0)
 
 

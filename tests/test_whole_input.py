@@ -40,3 +40,19 @@ def test_requests_up_to_the_longest_route(spark, monkeypatch):
 
 def test_tiles_of_whole_ways(spark, con):
     check(spark, con, "tile_assignment_ways", (" WHERE w.seq <= 3", ""))
+
+
+@pytest.mark.parametrize("name", ["snap_candidates", "snap_best", "edge_splits"])
+def test_all_nodes_are_snapped(spark, con, name):
+    check(spark, con, name, (" WHERE id % 3 = 0),", "),"))
+
+
+@pytest.mark.parametrize("name", ["components", "largest_component"])
+def test_components_of_all_edges(spark, con, name):
+    check(spark, con, name, (" WHERE edge_id % 3 = 0", ""))
+
+
+def test_blocked_nodes_of_all_ways(spark, monkeypatch):
+    tables = {"nodes": spark.createDataFrame([(5,), (6,), (102,), (199,)], "id long"), "ways": spark.createDataFrame([(1, 5), (2, 6), (3, 102)], "way_id long, node_id long")}
+    monkeypatch.setattr(walking, "view", lambda spark, sf, name: tables[name])
+    assert sorted(r.node_id for r in walking.blocked_nodes_referenced(spark, SF).collect()) == [5, 102]
