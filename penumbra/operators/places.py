@@ -13,6 +13,8 @@ from ..functions.types import STRING
 #: Separators in names and queries, longest query, most results.
 SEPARATORS = r"[\s·.,()\-_/]+"
 MOST_QUERY, MOST_RESULTS, DEFAULT_RESULTS = 100, 50, 8
+#: Queries that one task holds against a partition of the places.
+BLOCK = 256
 #: Labels of the kinds of places.
 KIND_LABELS = {"station": "지하철역", "cafe": "카페", "food": "음식점", "medical": "의료", "education": "교육", "store": "상점", "office": "사무실", "park": "공원", "landmark": "명소", "building": "건물", "address": "주소"}
 
@@ -78,12 +80,14 @@ def match_score(name: Column, aliases: Column, address: Column, query: Column, t
 def search(places: DataFrame, queries: DataFrame, k: int = DEFAULT_RESULTS, compose=nfkc) -> DataFrame:
     """The best k places of each query (query_id, query): (query_id, rank, id, score), by score, name and id.
 
-    The query table is small and given, so it is broadcast against all places in one pass; each task keeps only
-    matches, and the last window ranks those of one query.
+    The queries are counted and dealt evenly into blocks of at most BLOCK; each pair of a block and a partition of
+    the places is a task. Only matches leave it, and the last window ranks those of one query.
     """
     asked = queries.where((F.length("query") <= MOST_QUERY)).select("query_id", plain_query(F.col("query"), compose).alias("q"), F.transform(query_tokens(F.col("query"), compose), lambda t: F.regexp_replace(t, "역$", "")).alias("tokens")).where("q <> ''")
+    blocks = asked.repartition(max(1, -(-asked.count() // BLOCK)))
     shown = places.select("id", "name", plain_query(F.col("name"), compose).alias("n"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.regexp_replace(F.lower(F.regexp_replace(a, SEPARATORS, "")), "역$", "")).alias("al"), plain_query(F.col("address"), compose).alias("ad"))
-    hits = shown.join(F.broadcast(asked), F.contains(F.col("n"), F.col("q")) | F.contains(F.coalesce("ad", F.lit("")), F.col("q")) | (F.size("al") > 0))
-    scored = hits.withColumn("score", match_score(F.col("n"), F.col("al"), F.col("ad"), F.col("q"), F.col("tokens"))).where("score is not null")
+    maybe = F.contains(F.col("n"), F.col("q")) | F.contains(F.coalesce("ad", F.lit("")), F.col("q")) | (F.size("al") > 0)
+    score = match_score(F.col("n"), F.col("al"), F.col("ad"), F.col("q"), F.col("tokens"))
+    scored = shown.join(blocks.hint("shuffle_replicate_nl"), maybe & score.isNotNull()).withColumn("score", score)
     order = Window.partitionBy("query_id").orderBy("score", "name", "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(k, MOST_RESULTS)).select("query_id", "rank", "id", "score")

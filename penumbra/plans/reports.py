@@ -129,8 +129,9 @@ _SEARCHES = [(1, "market 1"), (2, "Garden-7"), (3, "gate 3"), (4, "street 4"), (
         WHEN len(tokens) > 1 AND al IS NOT NULL AND len(list_filter(tokens, lambda t: NOT contains(al, t))) = 0 THEN 5 WHEN ad = q THEN 6 WHEN starts_with(ad, q) THEN 7 WHEN contains(ad, q) THEN 8 END AS score FROM p CROSS JOIN a),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, name, id) AS rank FROM s WHERE score IS NOT NULL) SELECT query_id, rank, id, score FROM r WHERE rank <= 8""")
 def place_search_batch(spark, sf):
-    asked = spark.createDataFrame(_SEARCHES, "query_id int, query string")
-    return places.search(_places(spark, sf), asked, compose=_ascii)
+    """The names of all places whose key is divisible by 20, against all places."""
+    p = _places(spark, sf)
+    return places.search(p, p.where("seq % 20 = 0").select(F.col("seq").alias("query_id"), F.col("name").alias("query")), compose=_ascii)
 
 
 @query(with_views("places") + f" SELECT id, CASE WHEN {_QUERY.format('name')} = 'market1' THEN 0 WHEN starts_with({_QUERY.format('name')}, 'market1') THEN 1 ELSE 2 END AS score FROM lens_places WHERE contains({_QUERY.format('name')}, 'market1') ORDER BY score, name, id LIMIT 8")

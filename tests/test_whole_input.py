@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from penumbra.plans import registry, reports, walking  # noqa: F401
+from penumbra.operators import places
+from penumbra.plans import registry, reports, walking
 
 from test_queries import SF, TABLES, plain
 
@@ -56,3 +57,18 @@ def test_blocked_nodes_of_all_ways(spark, monkeypatch):
     tables = {"nodes": spark.createDataFrame([(5,), (6,), (102,), (199,)], "id long"), "ways": spark.createDataFrame([(1, 5), (2, 6), (3, 102)], "way_id long, node_id long")}
     monkeypatch.setattr(walking, "view", lambda spark, sf, name: tables[name])
     assert sorted(r.node_id for r in walking.blocked_nodes_referenced(spark, SF).collect()) == [5, 102]
+
+
+def test_places_are_searched_for_every_twentieth_name(spark, con):
+    literals = "VALUES " + ", ".join(f"({i}, '{t}')" for i, t in reports._SEARCHES)
+    assert literals in registry.ORACLES["place_search_batch"]
+    check(spark, con, "place_search_batch", (literals, "SELECT seq, name FROM lens_places WHERE seq % 20 = 0"))
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_search_of_given_texts(spark, con, monkeypatch, block):
+    monkeypatch.setattr(places, "BLOCK", block)
+    asked = spark.createDataFrame(reports._SEARCHES, "query_id int, query string")
+    found = places.search(reports._places(spark, SF), asked, compose=reports._ascii)
+    want = con.sql(f"SELECT query_id, rank, id, score FROM ({registry.ORACLES['place_search_batch']})").fetchall()
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
