@@ -29,8 +29,6 @@ PATTERNS = [rb"\b(?:you|he|she|they) (?:are|is) (?:an? |such )?(?:idiot|moron|lo
 MAX_ROWS = 20_000
 #: Most voters learned from the training rows, the documents that a voter must be seen in, and its least precision.
 MAX_VOTERS, SUPPORT, PRECISION = 600, 4, 0.9
-#: Features of toxic rows that are looked at as voters, at most: the most frequent ones.
-CANDIDATES = 20_000
 #: Lengths of word beginnings that are features beside whole words.
 STEMS = (4, 5)
 #: Buckets of hashed features.
@@ -53,30 +51,25 @@ def features(text: str | None) -> set[bytes]:
 def learn_voters(sample: DataFrame) -> list[bytes]:
     """Features much more frequent in toxic rows of (_y, _text); at most MAX_VOTERS.
 
-    First the features of toxic rows are counted, then those with enough support in all rows. Tasks combine
-    their counts, and look at one row at a time.
+    Every feature is counted in toxic rows and in all rows; support and precision are tested in Spark, before
+    the most frequent are chosen. Tasks combine their counts, and look at one row at a time.
     """
     rows = sample.select("_y", "_text")
 
-    def counted(only):
-        def run(batches):
-            for batch in batches:
-                counts: Counter = Counter()
-                for y, text in zip(batch.column(0), batch.column(1)):
-                    if only is None:
-                        if y.as_py():
-                            counts.update(features(text.as_py()))
-                    else:
-                        counts.update(features(text.as_py()) & only)
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["f", "n"])
-
-        return rows.mapInArrow(run, "f binary, n long").groupBy("f").agg(F.sum("n").alias("n"))
-
-    often = counted(None).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "f").limit(CANDIDATES).collect()
-    toxic = {bytes(r.f): r.n for r in often}
-    seen = {bytes(r.f): r.n for r in counted(set(toxic)).collect()}  # no more than CANDIDATES
-    good = [f for f in toxic if toxic[f] / (seen[f] + 0.4) >= PRECISION]
-    return sorted(good, key=lambda f: (-toxic[f], f))[:MAX_VOTERS]
+    def counted(batches):
+        for batch in batches:
+            seen: Counter = Counter()
+            toxic: Counter = Counter()
+            for y, text in zip(batch.column(0), batch.column(1)):
+                found = features(text.as_py())
+                seen.update(found)
+                if y.as_py():
+                    toxic.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64()), pa.array([toxic[f] for f in seen], pa.int64())], names=["f", "n", "t"])
+
+    counts = rows.mapInArrow(counted, "f binary, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    good = counts.where((F.col("t") >= SUPPORT) & (F.col("t") / (F.col("n") + F.lit(0.4)) >= PRECISION))
+    return [bytes(r.f) for r in good.orderBy(F.desc("t"), "f").limit(MAX_VOTERS).collect()]
 
 
 def votes(texts: list[str | None], sets: list[set[bytes]], voters: list[bytes]) -> np.ndarray:

@@ -309,3 +309,10 @@ def test_pipeline_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "bpe"]
     n = len(AWKWARD)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(n, n + 6))
+
+
+def test_rare_voters_are_found_behind_many_common_words(spark):
+    common = " ".join(f"w{chr(97 + k // 676)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}" for k in range(17_576))
+    common += " " + common.replace("w", "v")
+    rows = [(1, f"{common} zzrude" if k < 4 else common) for k in range(5)] + [(0, common)] * 5
+    assert toxicity.learn_voters(spark.createDataFrame(rows, "_y int, _text string")) == [b"zzru*", b"zzrud*", b"zzrude"]
