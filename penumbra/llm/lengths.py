@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encode_documents
+from .common import materialize
 
 #: Lengths summed in one group of the two-level running sums.
-SPAN = 4096
+SPAN = 128
 
 
 def length_histogram(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,19 +29,19 @@ def token_counts(histogram: DataFrame) -> DataFrame:
     documents of length L or less. An empty histogram gives no rows.
 
     Lengths are summed within spans first, then over the few span totals, so no task gets them all.
+    The histogram is written once, as it is read twice and may come from encoding all texts.
     """
-    h = histogram.withColumn("total_tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("span", F.floor(F.col("n_tokens") / SPAN))
+    h = materialize(histogram).withColumn("total_tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("span", F.floor(F.col("n_tokens") / SPAN))
     spans = h.groupBy("span").agg(F.sum("n_docs").alias("d"), F.sum("total_tokens").alias("t"))
     later = Window.orderBy(F.col("span").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    # Spans are as many as the longest text has thousands of tokens: this window stays small.
-    base = spans.select("span", F.coalesce(F.sum("d").over(later), F.lit(0)).alias("d_after"), F.coalesce(F.sum("t").over(later), F.lit(0)).alias("t_after"), F.sum("d").over(Window.partitionBy()).alias("all_docs"))
+    # Spans are as many as the longest text has hundreds of tokens: this window stays small.
+    base = spans.select("span", F.coalesce(F.sum("d").over(later), F.lit(0)).alias("d_after"), F.coalesce(F.sum("t").over(later), F.lit(0)).alias("t_after"), F.sum("d").over(Window.partitionBy()).alias("all_docs"), F.sum("t").over(Window.partitionBy()).alias("all_tokens"))
     own = Window.partitionBy("span").orderBy(F.col("n_tokens").desc()).rowsBetween(Window.unboundedPreceding, -1)
     longer = h.join(base, "span").withColumns({
         "docs_longer": F.coalesce(F.sum("n_docs").over(own), F.lit(0)) + F.col("d_after"),
         "tokens_longer": F.coalesce(F.sum("total_tokens").over(own), F.lit(0)) + F.col("t_after"),
     })
-    all_tokens = spans.agg(F.sum("t").alias("all_tokens"))
-    return longer.crossJoin(F.broadcast(all_tokens)).select(
+    return longer.select(
         "n_tokens", "n_docs", "total_tokens", "docs_longer", "tokens_longer",
         (F.col("all_docs") - F.col("docs_longer")).alias("docs_up_to"),
         (F.col("all_tokens") - F.col("tokens_longer") + F.col("n_tokens") * F.col("docs_longer")).alias("truncated_tokens"),
