@@ -5,7 +5,7 @@ a SetSketch: for register i the minimum of exponential variables over the set, k
 an exponential scale and truncated. Registers merge by maximum and agree with a probability that grows
 with the Jaccard similarity, so runs of registers (bands) are the buckets in which pairs are looked for:
 
-1. in each bucket every class meets two pivots (the least id, and one by hash), not every other class;
+1. in each bucket every class meets one pivot, the class of least number, and not every other class;
 2. pairs pass if the likelihood of their registers allows the wanted similarity, then by exact sets;
 3. in buckets that still hold several components, classes outside the largest component meet the
    members of all other components, so no link between components is left out. Pairs that can't be
@@ -13,11 +13,13 @@ with the Jaccard similarity, so runs of registers (bands) are the buckets in whi
    of what several classes have, is bounded before they are paired.
 
 Links and labels stay in tables; components come from rounds of hooking, pointer jumping and contraction.
+Classes are numbered, so rows that share a document id but not their text are apart everywhere.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -80,19 +82,19 @@ def plausible(regs_a: np.ndarray, regs_b: np.ndarray, sizes_a, sizes_b, least: f
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """(_id, n_shingles, digest of the set, registers) for (_id, _text) rows."""
+    """(_id, _key, n_shingles, digest of the set, registers) for (_id, _key, _text) rows."""
 
     def run(batches):
         for batch in batches:
             counts, digests, regs = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingle_set(text.as_py(), size)
                 counts.append(len(s))
                 digests.append(hashlib.md5(s.tobytes()).digest())
                 regs.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], names=["_id", "n_shingles", "digest", "regs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], names=["_id", "_key", "n_shingles", "digest", "regs"])
 
-    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, n_shingles long, digest binary, regs binary")
+    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, _key long, n_shingles long, digest binary, regs binary")
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -107,7 +109,7 @@ def band_rows(classes: DataFrame) -> DataFrame:
             reps = batch.column(0).take(pa.array(np.repeat(np.arange(n), BANDS)))
             yield pa.RecordBatch.from_arrays([reps, pa.array(np.tile(np.arange(BANDS, dtype=np.int16), n)), pa.array(regs.ravel())], names=["rep", "band", "value"])
 
-    return classes.select("rep", "regs").mapInArrow(run, f"rep {classes.schema['rep'].dataType.simpleString()}, band short, value long")
+    return classes.select("rep", "regs").mapInArrow(run, "rep long, band short, value long")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -121,8 +123,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 na, nb = (batch.column(c).to_numpy().astype(np.float64) for c in ("na", "nb"))
                 yield batch.filter(pa.array(plausible(ra, rb, na, nb, least))).select(["a", "b"])
 
-    kind = classes.schema["rep"].dataType.simpleString()
-    return pairs.join(a, "a").join(b, "b").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
 
 
 def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -139,8 +140,7 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(both) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    kind = sets.schema["rep"].dataType.simpleString()
-    return pairs.join(a, "a").join(b, "b").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
@@ -152,27 +152,30 @@ def bitmap(values: np.ndarray) -> np.ndarray:
 
 
 def against_main(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """For each class and the document that names its bucket's largest component: (rep, main, size, main_size, extra, lacks, has).
+    """For each class and the class that names its bucket's largest component: (rep, main, size, main_size, extra, lacks0.., has0..).
 
     extra is how much of the class's set is not in that document; lacks and has are bitmaps of what only
-    the document and only the class have. They bound from above what two such sets share.
+    the document and only the class have, in WORDS numbers each. They bound from above what two such sets share.
     """
     a = sets.select("rep", F.col("shingles").alias("sa"))
     b = sets.select(F.col("rep").alias("main"), F.col("shingles").alias("sb"))
+    names = [f"{name}{k}" for name in ("lacks", "has") for k in range(WORDS)]
 
     def run(batches):
         for batch in batches:
-            out = {"size": [], "main_size": [], "extra": [], "lacks": [], "has": []}
+            if not batch.num_rows:
+                continue
+            counts, maps = [], []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 own = np.setdiff1d(x, y, assume_unique=True)
-                for k, v in zip(out, (len(x), len(y), len(own), bitmap(np.setdiff1d(y, x, assume_unique=True)), bitmap(own))):
-                    out[k].append(v)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("main"), *(pa.array(out[k], pa.int64()) for k in ("size", "main_size", "extra")), pa.array(out["lacks"], longs), pa.array(out["has"], longs)], names=["rep", "main", *out])
+                counts.append((len(x), len(y), len(own)))
+                maps.append(np.concatenate([bitmap(np.setdiff1d(y, x, assume_unique=True)), bitmap(own)]))
+            numbers = [pa.array(np.ascontiguousarray(c)) for c in np.column_stack([np.array(counts, np.int64), np.stack(maps)]).T]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("main"), *numbers], names=["rep", "main", "size", "main_size", "extra", *names])
 
-    kind = sets.schema["rep"].dataType.simpleString()
-    return pairs.join(a, "rep").join(b, "main").mapInArrow(run, f"rep {kind}, main {kind}, size long, main_size long, extra long, lacks array<long>, has array<long>")
+    longs = ", ".join(f"{n} long" for n in ("rep", "main", "size", "main_size", "extra", *names))
+    return pairs.join(a, "rep").join(b, "main").mapInArrow(run, longs)
 
 
 def may_link(percent: int):
@@ -182,9 +185,9 @@ def may_link(percent: int):
     bitmaps. A bit stands for one shingle at least, so both bounds hold whatever collides.
     """
     c = lambda name, side: F.col(f"{name}_{side}")
-    total = lambda a, b, f: F.aggregate(F.zip_with(a, b, lambda u, v: F.bit_count(f(u, v))), F.lit(0), lambda n, k: n + k)
-    lacking = total(c("lacks", "x"), c("lacks", "y"), lambda u, v: u.bitwiseOR(v))
-    own = lambda a, b: c("extra", a) - total(c("has", a), c("has", b), lambda u, v: u.bitwiseAND(F.bitwise_not(v)))
+    total = lambda f: reduce(lambda n, k: n + k, [F.bit_count(f(k)) for k in range(WORDS)])
+    lacking = total(lambda k: c(f"lacks{k}", "x").bitwiseOR(c(f"lacks{k}", "y")))
+    own = lambda a, b: c("extra", a) - total(lambda k: c(f"has{k}", a).bitwiseAND(F.bitwise_not(c(f"has{k}", b))))
     inside = F.least(c("size", "x") - c("extra", "x"), c("size", "y") - c("extra", "y"), c("main_size", "x") - lacking)
     coarse = F.least(c("size", "x") - c("extra", "x"), c("size", "y") - c("extra", "y")) + F.least("extra_x", "extra_y")
     fine = inside + F.least(own("x", "y"), own("y", "x"))
@@ -229,33 +232,32 @@ def label_of(rows: DataFrame, node: str, labels: DataFrame) -> DataFrame:
     return rows.join(known, rows[node] == known["_node"], "left").drop("_node").withColumn(node, F.coalesce("_label", node)).drop("_label")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """id, n_shingles, component_id (least id of the component) and kept (the id is that one), for every row.
-
-    Links join texts whose sets of ``shingle``-word shingles have a Jaccard similarity of ``percent``
-    hundredths or more. A text of fewer words is one shingle; null and blank texts have none, link
-    with nothing and are kept. Rows that share an id are one node. Rows with a null id get the
-    component of their text's class, or none, and then are kept. Empty tables give no rows. Other columns are not read.
-    """
+def judged(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """(_id, _key, n_shingles, component) of every row; _key is a hash of its text, which tells rows of one id apart."""
     ship_package(docs.sparkSession)
-    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].alias("_id"), F.xxhash64(text).alias("_key"), text.alias("_text"))
     sketched = materialize(sketch(rows, shingle))
-    classes = materialize(sketched.where("n_shingles > 0").groupBy("digest").agg(F.min("_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")).where("rep is not null"))
+    # A class is named by its least row that has an id, and numbered once it is written.
+    named = F.when(F.col("_id").isNotNull(), F.struct("_id", "_key"))
+    classes = sketched.where("n_shingles > 0").groupBy("digest").agg(F.min(named).alias("of"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")).where("of is not null")
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()))
     bands = band_rows(classes)
-    other = F.struct(F.xxhash64("band", "rep").alias("k"), F.col("rep").alias("rep"))
-    buckets = materialize(bands.groupBy("band", "value").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.min(other).alias("p")).where("lead <> last").select("band", "value", "lead", F.col("p.rep").alias("pivot")))
+    buckets = materialize(bands.groupBy("band", "value").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("band", "value", "lead"))
     members = materialize(bands.join(buckets, ["band", "value"]))
-    pairs = members.select("rep", F.explode(F.array("lead", "pivot")).alias("with")).where("rep <> with")
-    tried = materialize(pairs.select(F.least("rep", "with").alias("a"), F.greatest("rep", "with").alias("b")).distinct())
-    # Sets only of classes that share a bucket with another one.
-    wanted = members.select("rep").distinct()
-    near = rows.join(maybe_broadcast(wanted), rows["_id"] == wanted["rep"], "left_semi")
+    pairs = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    tried = materialize(pairs.distinct())
+    # Sets only of classes that share a bucket with another one, from one row of each.
+    wanted = members.select("rep").distinct().join(classes, "rep").select("rep", F.col("of._id").alias("_of"), F.col("of._key").alias("_of_key"))
+    again = not sketched.groupBy("_id", "_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    single = rows.dropDuplicates(["_id", "_key"]) if again else rows
+    near = single.join(maybe_broadcast(wanted), (F.col("_id") == F.col("_of")) & (F.col("_key") == F.col("_of_key"))).select("rep", "_text")
 
     def to_sets(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)], pa.binary())], names=["rep", "shingles"])
 
-    sets = materialize(near.mapInArrow(to_sets, f"rep {rows.schema['_id'].dataType.simpleString()}, shingles binary").where(F.octet_length("shingles") > 0))
+    sets = materialize(near.mapInArrow(to_sets, "rep long, shingles binary"))
     links = materialize(_exact(_likely(tried, classes, percent / 100), sets, percent))
     labels = components(links)
     # Buckets that still hold several components: whoever is outside the largest one meets all the others.
@@ -264,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     main = sizes.groupBy("band", "value").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "value", "main")
     open_rows = materialize(tagged.join(main, ["band", "value"]))
     sized = materialize(open_rows.join(against_main(open_rows.select("rep", "main").distinct(), sets), ["rep", "main"]))
-    side = lambda p: [F.col(c).alias(c + p) for c in ("rep", "label", "size", "main_size", "extra", "lacks", "has")]
+    side = lambda p: [F.col(c).alias(c + p) for c in sized.columns if c not in ("band", "value", "main")]
     outside = sized.where("label <> main").select("band", "value", *side("_x"))
     inside = sized.select("band", "value", *side("_y"))
     # Decided within the join, so that only pairs that may be links become rows.
@@ -272,17 +274,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = (F.col("o.band") == F.col("i.band")) & (F.col("o.value") == F.col("i.value"))
     rest = outside.alias("o").join(inside.alias("i"), same & possible).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = materialize(rest)
-    found = label_of(classes.select("digest", F.col("rep").alias("_component")), "_component", labels)
+    found = label_of(classes.select("digest", F.col("of._id").alias("_least"), F.col("rep").alias("_component")), "_component", labels)
     if not rest.isEmpty():
         more = materialize(_exact(_likely(rest, classes, percent / 100), sets, percent))
         if not more.isEmpty():  # these link components: only their labels are looked at again
             found = label_of(found, "_component", components(label_of(label_of(more, "a", labels), "b", labels)))
-    out = sketched.select("_id", "n_shingles", "digest").join(found, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("_id"))
-    return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
+    least = found.groupBy("_component").agg(F.min("_least").alias("component"))
+    named = found.join(least, "_component").select("digest", "component")
+    out = sketched.select("_id", "_key", "n_shingles", "digest").join(named, "digest", "left")
+    return out.select("_id", "_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("_id")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """id, n_shingles, component_id (least id of the component) and kept (the id is that one), for every row.
+
+    Links join texts whose sets of ``shingle``-word shingles have a Jaccard similarity of ``percent``
+    hundredths or more. A text of fewer words is one shingle; null and blank texts have none, link
+    with nothing and are kept. Rows that share an id are judged each by its own text. Rows with a null id get the
+    component of their text's class, or none, and then are kept. Empty tables give no rows. Other columns are not read.
+    """
+    out = judged(docs, id_col, text_col, shingle, percent)
+    return out.select(F.col("_id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.col("_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that are near copies of one with a smaller id; columns as they came."""
-    gone = near_duplicates(docs, id_col, text_col, shingle, percent).where("not kept").select(F.col(id_col).alias("_penumbra_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_penumbra_gone"], "left_anti")
+    """The documents without those that are near copies of one with a smaller id; columns as they came.
+
+    A row goes by its id and its text, so another text under the same id stays. Null and blank texts stay, and
+    so do rows with a null id unless their text's component has an id. Rows that share id and text are one document. No rows give none.
+    """
+    gone = judged(docs, id_col, text_col, shingle, percent).where(~F.col("_id").eqNullSafe(F.col("component"))).select(F.col("_id").alias("_penumbra_gone"), F.col("_key").alias("_penumbra_key")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_penumbra_gone"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["_penumbra_key"]), "left_anti")
