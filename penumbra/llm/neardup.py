@@ -23,7 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -151,26 +151,27 @@ def bitmap(values: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def against_main(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """For each class and the class that names its bucket's largest component: (rep, main, size, main_size, extra, lacks0.., has0..).
+def against_main(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """For each class and the class that names its bucket's largest component: (rep, main, size, main_size, extra, lacks0.., has0.., v0..).
 
     extra is how much of the class's set is not in that document; lacks and has are bitmaps of what only
     the document and only the class have, in WORDS numbers each. They bound from above what two such sets share.
+    v are the class's values in all bands.
     """
-    a = sets.select("rep", F.col("shingles").alias("sa"))
+    a = sets.select("rep", F.col("shingles").alias("sa")).join(classes.select("rep", "regs"), "rep")
     b = sets.select(F.col("rep").alias("main"), F.col("shingles").alias("sb"))
-    names = [f"{name}{k}" for name in ("lacks", "has") for k in range(WORDS)]
+    names = [f"{name}{k}" for name in ("lacks", "has") for k in range(WORDS)] + [f"v{k}" for k in range(BANDS)]
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             counts, maps = [], []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
+            for x, y, regs in zip(batch.column("sa"), batch.column("sb"), batch.column("regs")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 own = np.setdiff1d(x, y, assume_unique=True)
                 counts.append((len(x), len(y), len(own)))
-                maps.append(np.concatenate([bitmap(np.setdiff1d(y, x, assume_unique=True)), bitmap(own)]))
+                maps.append(np.concatenate([bitmap(np.setdiff1d(y, x, assume_unique=True)), bitmap(own), np.frombuffer(regs.as_buffer(), np.int64)]))
             numbers = [pa.array(np.ascontiguousarray(c)) for c in np.column_stack([np.array(counts, np.int64), np.stack(maps)]).T]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("main"), *numbers], names=["rep", "main", "size", "main_size", "extra", *names])
 
@@ -195,6 +196,11 @@ def may_link(percent: int):
     return enough(coarse) & enough(fine)
 
 
+def first_met() -> Column:
+    """Whether two classes (columns ending in _x and _y) share no band before this one, so that a pair is made once."""
+    return reduce(lambda a, b: a & b, [(F.col("o.band") <= k) | (F.col(f"v{k}_x") != F.col(f"v{k}_y")) for k in range(BANDS)])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node reachable over the links (a, b), for every node that has one.
 
@@ -265,12 +271,14 @@ def judged(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: i
     sizes = tagged.groupBy("band", "value", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band", "value").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "value", "main")
     open_rows = materialize(tagged.join(main, ["band", "value"]))
-    sized = materialize(open_rows.join(against_main(open_rows.select("rep", "main").distinct(), sets), ["rep", "main"]))
-    side = lambda p: [F.col(c).alias(c + p) for c in sized.columns if c not in ("band", "value", "main")]
+    sized = materialize(open_rows.join(against_main(open_rows.select("rep", "main").distinct(), sets, classes), ["rep", "main"]))
+    side = lambda p: [F.col(c).alias(c + p) for c in sized.columns if c not in ("band", "value")]
     outside = sized.where("label <> main").select("band", "value", *side("_x"))
     inside = sized.select("band", "value", *side("_y"))
-    # Decided within the join, so that only pairs that may be links become rows.
-    possible = (F.col("label_x") != F.col("label_y")) & may_link(percent)
+    # Decided within the join, so that only pairs that may be links become rows; each in one bucket and one order.
+    # Two classes of different labels are in any bucket that they share, and what rules them out in one of these holds in all.
+    once = (F.col("label_y") == F.col("main_y")) | (F.col("rep_x") < F.col("rep_y"))
+    possible = (F.col("label_x") != F.col("label_y")) & once & may_link(percent) & first_met()
     same = (F.col("o.band") == F.col("i.band")) & (F.col("o.value") == F.col("i.value"))
     rest = outside.alias("o").join(inside.alias("i"), same & possible).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = materialize(rest)
