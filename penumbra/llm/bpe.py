@@ -23,6 +23,9 @@ from ..session import ship_package
 
 #: The published split pattern of this family of byte-level vocabularies.
 PRETOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+#: What may follow within a pretoken of letters, numbers, white space, or anything else.
+LETTERS, NUMBERS, WHITE, OTHERS = (regex.compile(c) for c in (r"\p{L}*", r"\p{N}*", r"\s*", r"[^\s\p{L}\p{N}]*"))
+CLASSES = (LETTERS, NUMBERS, WHITE, OTHERS)
 #: Vocabularies larger than this are refused, as they travel to every executor.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pretokens remembered by each worker.
@@ -120,30 +123,50 @@ class Merges:
                 heapq.heappush(heap, (found[0], p, found[1], token[p], new))
         return [t for t in token if t is not None]
 
-    def stream(self, data: bytes) -> Iterator[list[int]]:
-        """Tokens of a pretoken of any length; only a window of four lookaheads is merged at a time."""
-        window, start = max(4096, 4 * self.lookahead), 0
-        while len(data) - start > window:
-            tokens = self.merge(data[start : start + window])
-            stable, end, sure = [], 0, window - self.lookahead
-            for t in tokens:
-                if end + len(self.bytes_of[t]) > sure:
+
+class Run:
+    """A pretoken of any length whose bytes come bit by bit; a window of four lookaheads is all it holds."""
+
+    def __init__(self, merges: Merges, more):
+        self.merges, self.more, self.held = merges, more, bytearray()
+        self.window = max(4096, 4 * merges.lookahead)
+
+    def push(self, data: bytes, out: list[int]) -> None:
+        """Take bytes, and give the tokens that end a lookahead before the end of a full window."""
+        self.held += data
+        start = 0
+        while len(self.held) - start > self.window:
+            end = 0
+            for t in self.merges.merge(bytes(self.held[start : start + self.window])):
+                end += len(self.merges.bytes_of[t])
+                if end > self.window - self.merges.lookahead:
+                    end -= len(self.merges.bytes_of[t])
                     break
-                end += len(self.bytes_of[t])
-                stable.append(t)
-            yield stable
+                out.append(t)
             start += end
-        yield self.merge(data[start:])
+        del self.held[:start]
+
+    def close(self, out: list[int]) -> None:
+        out += self.merges.merge(bytes(self.held))
 
 
 class Transducer:
-    """Streaming encoder of one text after another, with a bounded memory of frequent pretokens."""
+    """Streaming encoder of one text after another, with a bounded memory of frequent pretokens.
 
-    #: Characters taken by feed at once; a pretoken that may go on is held back.
+    What is kept between pieces: characters that may still be split or read otherwise, at most LONG of
+    them and a special token's length, and the bytes of a longer pretoken that its Run holds.
+    """
+
+    #: Characters of a text that encode_documents feeds at once.
     PIECE = 1 << 16
+    #: A pretoken that is longer than this before its end is known goes through a Run.
+    LONG = 4096
+    #: The split pattern decides where a pretoken ends by this many characters after it.
+    AFTER = 2
 
     def __init__(self, merges: Merges):
-        self.merges, self.known, self.tail = merges, {}, ""
+        self.merges, self.known, self.tail, self.run = merges, {}, "", None
+        self.longest = max(map(len, merges.special), default=0)
 
     def pretoken(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
@@ -152,48 +175,76 @@ class Transducer:
             if len(self.known) < CACHE_ENTRIES:
                 self.known[piece] = ids
             return ids
-        return tuple(t for part in self.merges.stream(data) for t in part)
-
-    def _plain(self, text: str, out: list[int]) -> None:
+        run, out = Run(self.merges, None), []
+        run.push(data, out)
+        run.close(out)
+        return tuple(out)
+
+    def _plain(self, text: str, at: int, end: int, closed: bool, out: list[int]) -> int:
+        """Tokens of text[at:end], which has no special token. Unless it is closed, more may follow; returns where the undecided part begins."""
+        if self.run:
+            stop = self.run.more.match(text, at, end).end()
+            over = stop < end or closed
+            # The last white space of a run goes to what follows, if anything does.
+            upto = stop - 1 if self.run.more is WHITE and (stop < end or not closed) else stop
+            self.run.push(text[at:upto].encode(), out)
+            at = upto
+            if not over:
+                return at
+            self.run.close(out)
+            self.run = None
+        pieces = PRETOKEN.findall(text, at, end)  # every character is in one of them
+        cut = end
+        if not closed:
+            while pieces and cut + self.AFTER > end:
+                cut -= len(pieces.pop())
         known = self.known
-        for piece in PRETOKEN.findall(text):
+        for piece in pieces:
             ids = known.get(piece)
             out += ids if ids is not None else self.pretoken(piece)
-
-    def encode(self, text: str | None) -> list[int]:
-        """Token ids of a whole text; null is the empty text. Special tokens' strings are single tokens."""
+        if not closed and end - cut > self.LONG:
+            first = text[cut + (text[cut] == " " and not text[cut + 1].isspace())]
+            more = next(m for m in CLASSES if m.match(first).end())
+            if more.match(text, cut + 1, end).end() == end:  # one pretoken so far
+                self.run = Run(self.merges, more)
+                upto = end - 1 if more is WHITE else end
+                self.run.push(text[cut:upto].encode(), out)
+                cut = upto
+        return cut
+
+    def _advance(self, text: str, final: bool) -> list[int]:
         out: list[int] = []
-        if not text:
-            return out
         at = 0
-        if self.merges.splitter and any(s in text for s in self.merges.special):
-            for m in self.merges.splitter.finditer(text):
-                self._plain(text[at : m.start()], out)
-                out.append(self.merges.special[m[0]])
-                at = m.end()
-        self._plain(text[at:] if at else text, out)
+        special = self.merges.splitter
+        sure = len(text) if final else max(0, len(text) - self.longest)  # a special token that begins up to here is whole
+        while special and (m := special.search(text, at)) and (final or m.start() <= sure):
+            self._plain(text, at, m.start(), True, out)
+            out.append(self.merges.special[m[0]])
+            at = m.end()
+        at = self._plain(text, at, max(at, sure), final, out)
+        self.tail = "" if final else text[at:]
         return out
 
     def feed(self, piece: str) -> list[int]:
-        """Tokens that are stable once ``piece`` is known; the rest waits in ``self.tail``.
-
-        The last two pretokens may still grow or (white space) give a character away, and an
-        unfinished special token may lie in the last characters, so all these wait.
-        """
-        text = self.tail + piece
-        hold = max(map(len, self.merges.special), default=1)
-        starts = [m.start() for m in PRETOKEN.finditer(text)][:-2]
-        cut = max((s for s in starts if s <= len(text) - hold), default=0)
-        if self.merges.splitter:
-            for m in self.merges.splitter.finditer(text):
-                if m.start() < cut < m.end():
-                    cut = m.start()
-        self.tail = text[cut:]
-        return self.encode(text[:cut])
-
-    def finish(self) -> list[int]:
-        out, self.tail = self.encode(self.tail), ""
-        return out
+        """Tokens that no later text can change, once ``piece`` is known; the rest waits."""
+        return self._advance(self.tail + piece, False)
+
+    def finish(self, piece: str = "") -> list[int]:
+        """The remaining tokens, after a last piece. The transducer is then ready for another text."""
+        return self._advance(self.tail + piece, True)
+
+    def pieces(self, text: str | None, size: int | None = None) -> Iterator[list[int]]:
+        """Token ids of a text as they become stable; null is the empty text. Special tokens' strings are single tokens."""
+        text, size = text or "", size or self.PIECE
+        at = 0
+        while len(text) - at > size:
+            yield self.feed(text[at : at + size])
+            at += size
+        yield self.finish(text[at:])
+
+    def encode(self, text: str | None) -> list[int]:
+        """All token ids of a text at once."""
+        return [t for part in self.pieces(text) for t in part]
 
 
 class Detokenizer:
@@ -233,7 +284,10 @@ def worker_transducer(blob: str) -> Transducer:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, digests: bool = True) -> DataFrame:
-    """Encode and decode every whole text, row by row, without a shuffle.
+    """Encode and decode every whole text, row by row and piece by piece, without a shuffle.
+
+    Tokens leave the transducer as they become stable and go on to the decoder and the running digests;
+    only ``with_ids`` holds all ids of a text, as they are the result.
 
     Returns the id, n_tokens, and (by parameter) the ids, the SHA-256 of the comma-joined ids and
     that of the text decoded from them. A null text is an empty one: no tokens, digests of "".
@@ -256,13 +310,22 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             ids_column = batch.column(0)
             counts, lists, encoded, decoded = [], [], [], []
             for value in batch.column(1):
-                ids = coder.encode(value.as_py())
-                counts.append(len(ids))
+                n, ids_digest, text_digest = 0, hashlib.sha256(), hashlib.sha256()
+                whole: list[int] = []
+                for ids in coder.pieces(value.as_py()):
+                    if digests and ids:
+                        ids_digest.update(((n > 0) * "," + ",".join(map(texts.__getitem__, ids))).encode())
+                        text_digest.update(back.feed(ids).encode())
+                    n += len(ids)
+                    if with_ids:
+                        whole += ids
+                counts.append(n)
                 if with_ids:
-                    lists.append(ids)
+                    lists.append(whole)
                 if digests:
-                    encoded.append(hashlib.sha256(",".join(map(texts.__getitem__, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256((back.feed(ids) + back.finish()).encode()).hexdigest())
+                    text_digest.update(back.finish().encode())
+                    encoded.append(ids_digest.hexdigest())
+                    decoded.append(text_digest.hexdigest())
             columns = [pa.array(counts, pa.int64())]
             columns += [pa.array(lists, pa.list_(pa.int32()))] * with_ids
             columns += [pa.array(encoded, pa.string()), pa.array(decoded, pa.string())] * digests
