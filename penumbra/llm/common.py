@@ -15,6 +15,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables up to this many rows may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Most bytes of texts in a broadcast table.
+BROADCAST_BYTES = 32 << 20
 
 
 def fold_case(text: Column) -> Column:
@@ -68,11 +70,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``limit`` rows, found by reading no more than limit + 1 of them."""
-    return df.limit(limit + 1).count() <= limit
+def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS, size: Column | None = None) -> bool:
+    """Whether a table has at most ``limit`` rows and, by ``size``, BROADCAST_BYTES; reads no more than limit + 1 of them.
+
+    ``size`` is the length of what varies in a row; without it, rows are taken to be a few numbers or an id.
+    """
+    rows = df.limit(limit + 1).select((F.lit(0) if size is None else size).cast("long").alias("n"))
+    n, total = rows.agg(F.count("*"), F.sum("n")).first()
+    return n <= limit and (total or 0) <= BROADCAST_BYTES
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
     """Broadcast ``df`` where its counted size allows; otherwise leave the join to a shuffle."""
-    return F.broadcast(df) if small_enough(df, limit) else df
+    return F.broadcast(df) if small_enough(df, limit, size) else df

@@ -40,3 +40,13 @@ def test_clashing_names_and_empty_tables(spark):
     for name, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, empty, "").columns == empty.columns, name
         assert stage(spark, empty, "").count() == 0, name
+
+
+def test_decontamination(spark, docs):
+    b = spark.createDataFrame([("item", X)], "item_id string, text string")
+    got = sorted((r.doc_id, r.n_hit, r.contaminated) for r in decontam.contamination(docs, b).collect())
+    assert got == [(1, 200, True), (5, 0, False), (5, 200, True)]
+    assert [(r.doc_id, r.text) for r in decontam.drop_contaminated(docs, b).collect()] == [(5, Y)]
+    short = table(spark, ["alpha beta", "beta alpha", None], [None, None, None])
+    b = spark.createDataFrame([("a", "Beta"), ("b", "alpha beta"), (None, "alpha")], "item_id string, text string")
+    assert sorted((r.n_hit, r.n_items) for r in decontam.contamination(short, b).collect()) == [(0, 0), (2, 1), (2, 2)]
