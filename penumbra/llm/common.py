@@ -83,3 +83,12 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS, size: Column | None
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
     """Broadcast ``df`` where its counted size allows; otherwise leave the join to a shuffle."""
     return F.broadcast(df) if small_enough(df, limit, size) else df
+
+
+def with_found(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (_id, _key, ...) with what was ``found`` for their (_of, _of_key); others fall out, unshuffled where the found ones are few."""
+    same = rows["_id"].eqNullSafe(F.col("_of")) & (rows["_key"] == F.col("_of_key"))
+    ids = found.select("_of", "_of_key")
+    if small_enough(ids):
+        rows = rows.join(F.broadcast(ids), same, "left_semi")
+    return rows.join(found, same).drop("_of", "_of_key")

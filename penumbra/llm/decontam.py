@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_case, materialize, maybe_broadcast, small_enough, words_of
+from .common import fold_case, materialize, maybe_broadcast, with_found, words_of
 
 #: What separates words here is all ASCII but digits and letters.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -72,11 +72,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col
     candidates = materialize(met.where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("len"))).select("_id", "_key", "start", "n", "wid"))
     # The words of those places are fetched from the texts that have any, and compared.
     per_text = candidates.groupBy("_id", "_key").agg(F.collect_set(F.struct("start", "n", "wid")).alias("c")).withColumnsRenamed({"_id": "_of", "_key": "_of_key"})
-    same = text["_id"].eqNullSafe(F.col("_of")) & (text["_key"] == F.col("_of_key"))
-    ids = candidates.select(F.col("_id").alias("_of"), F.col("_key").alias("_of_key")).distinct()
-    if small_enough(ids):
-        text = text.join(F.broadcast(ids), same, "left_semi")
-    places = text.join(per_text, same).select("_id", "_key", "w", F.explode("c").alias("c")).select("_id", "_key", "c.*", F.slice("w", F.col("c.start") + 1, F.col("c.n")).alias("got"))
+    places = with_found(text, per_text).select("_id", "_key", "w", F.explode("c").alias("c")).select("_id", "_key", "c.*", F.slice("w", F.col("c.start") + 1, F.col("c.n")).alias("got"))
     table = windows.select("wid", "win")
     exact = places.join(maybe_broadcast(table, size=F.octet_length(F.array_join("win", " "))), "wid").where(F.col("got") == F.col("win"))
     return materialize(exact.select("_id", "_key", "start", "n", "wid")), owners

@@ -1,9 +1,10 @@
 """Line dedup over content-defined chunks of lines, in DataFrame operations only.
 
-A rolling hash over the hashes of neighbouring lines decides where a chunk ends, so an inserted or
-deleted line shifts only the boundaries beside it. Chunks of two lines or more that occur again,
-anywhere, are removed from all but the first place (smallest document id, then first in it), after
-their bytes were compared.
+A rolling hash over the hashes of two neighbouring lines decides where a chunk begins: where it is less
+than at the lines beside it. Such minima are never neighbours, so no chunk has only one line, and an inserted
+or deleted line shifts only the boundaries beside it. A second cut at the maxima covers what the first
+one leaves at the ends of a passage. Chunks that occur again, anywhere, are removed from all but the first
+place (smallest document id, then first in it), after their bytes were compared.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import let, materialize, with_found
 
-#: A chunk ends, on average, after this many lines.
-MODULUS = 3
-#: Shortest chunk that is ever removed, in lines.
+#: The rolling hash is taken modulo this prime.
+PRIME = 1_000_003
+#: Shortest chunk that is ever removed, in lines; a text of fewer lines is one chunk.
 LEAST_LINES = 2
+#: Cuts of each text: at minima (0) and at maxima (1) of the rolling hash.
+CUTS = (0, 1)
 
 
 def line_hash(line: Column) -> Column:
@@ -24,75 +27,97 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
 
-def chunks_of(text: Column, modulus: int = MODULUS) -> Column:
-    """Array of (place, lines, text) structs that join to the text again; null for a null text.
+def chunks_of(text: Column) -> Column:
+    """Array of (cut, start, lines) structs over both cuts, lines counted from 0; null for a null text.
 
-    Line i ends a chunk if hash(i-1) + 31 * hash(i) is a multiple of the modulus, or if it is the last.
+    Line i begins a chunk if its rolling hash, (hash(i-1) + 31 * hash(i)) mod PRIME, is less (cut 1: more) than
+    those of both neighbours, and two lines or more lie before it and from it on.
     """
 
-    def ends(h):
-        n = F.size(h)
-        return F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | F.when(i > 0, (F.get(h, i - 1) + 31 * F.get(h, i)) % modulus == 0).otherwise(False))
+    def starts(rolled, cut):
+        n = F.size(rolled)
+        beyond = (lambda a, b: a < b) if cut == 0 else (lambda a, b: a > b)
+        inner = F.filter(F.sequence(F.lit(2), n - 2), lambda i: beyond(F.get(rolled, i), F.get(rolled, i - 1)) & beyond(F.get(rolled, i), F.get(rolled, i + 1)))
+        return F.concat(F.array(F.lit(0)), F.when(n >= 4, inner).otherwise(F.array().cast("array<int>")))
 
-    def cut(lines):
-        def build(e):
-            def one(end, j):
-                start = F.when(j > 0, F.get(e, j - 1) + 1).otherwise(0)
-                return F.struct(j.alias("chunk"), (end - start + 1).alias("lines"), F.array_join(F.slice(lines, start + 1, end - start + 1), "\n").alias("text"))
+    def spans(s, cut, n):
+        return F.transform(s, lambda start, j: F.struct(F.lit(cut).alias("cut"), start.alias("start"), (F.coalesce(F.get(s, j + 1), n) - start).alias("lines")))
 
-            return F.transform(e, one)
+    def one(rolled, cut):
+        return let(starts(rolled, cut), lambda s: spans(s, cut, F.size(rolled)))
 
-        return let(let(F.transform(lines, line_hash), ends), build)
+    def both(rolled):
+        return F.concat(*(one(rolled, cut) for cut in CUTS))
 
-    return F.when(text.isNotNull(), let(F.split(text, "\n"), cut))
+    def roll(h):
+        return F.transform(h, lambda x, i: F.when(i > 0, (F.get(h, i - 1) + 31 * x) % PRIME))
 
+    return F.when(text.isNotNull(), let(let(F.transform(F.split(text, "\n"), line_hash), roll), both))
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = MODULUS) -> DataFrame:
-    """(_id, chunk) of every multi-line chunk that isn't the first with its bytes."""
-    every = docs.select(docs[id_col].alias("_id"), F.explode(chunks_of(docs[text_col].cast("string"), modulus)).alias("c"))
-    multi = every.select("_id", "c.*").where(F.col("lines") >= LEAST_LINES).withColumn("h", F.xxhash64("text"))
-    again = multi.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = materialize(multi.join(again, "h", "left_semi").select("h", "text", "_id", "chunk"))
-    # Grouping on the text compares bytes; counts are combined before the shuffle, so a chunk in many documents is one row a task.
-    firsts = places.groupBy("h", "text").agg(F.min(F.struct("_id", "chunk")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = places.join(firsts, ["h", "text"]).where(~F.struct("_id", "chunk").eqNullSafe(F.col("first")))
-    return later.select("_id", "chunk").distinct()
 
+def _chunk_text(lines: Column, start: Column, n: Column) -> Column:
+    return F.array_join(F.slice(lines, start + 1, n), "\n")
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = MODULUS) -> DataFrame:
-    """Every document row with what is left of its text.
 
-    Adds n_lines, n_chunks, n_removed (lines) and kept_text to the id. A null text stays null and has
-    no lines; an empty one is one empty line. Rows that share an id count as copies of one document:
-    none of them is a repeat of the other. Other columns are not read.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = docs[text_col].cast("string")
+    return docs.select(docs[id_col].alias("_id"), F.xxhash64(text).alias("_key"), text.alias("_text"))
+
+
+def repeated_lines(rows: DataFrame) -> DataFrame:
+    """(_of, _of_key, gone) for (_id, _key, _text) rows: spans (start, lines) of chunks that aren't the first with their bytes.
+
+    Hashes of chunks are shuffled first; texts only of those chunks whose hash occurs again.
     """
-    gone = repeated_chunks(docs, id_col, text_col, modulus).groupBy("_id").agg(F.collect_set("chunk").alias("_gone")).withColumnRenamed("_id", "_gone_id")
-    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
-    marked = rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")), "left")
+    cut = rows.select("_id", "_key", F.split("_text", "\n").alias("l"), F.explode(chunks_of(F.col("_text"))).alias("c")).where(F.col("c.lines") >= LEAST_LINES)
+    hashed = cut.select("_id", "_key", "c.*", F.xxhash64(_chunk_text(F.col("l"), F.col("c.start"), F.col("c.lines"))).alias("h"))
+    again = hashed.groupBy("cut", "h").agg(F.count("*").alias("n")).where("n > 1").select("cut", "h")
+    places = hashed.join(again, ["cut", "h"], "left_semi").groupBy("_id", "_key").agg(F.collect_set(F.struct("cut", "start", "lines", "h")).alias("c"))
+    places = materialize(places.withColumnsRenamed({"_id": "_of", "_key": "_of_key"}))
+    fetched = with_found(rows, places).select("_id", "_key", F.split("_text", "\n").alias("l"), F.explode("c").alias("c"))
+    texts = materialize(fetched.select("_id", "_key", "c.*", _chunk_text(F.col("l"), F.col("c.start"), F.col("c.lines")).alias("text")))
+    # Grouping on the text compares bytes; counts are combined before the shuffle, so a chunk in many documents is one row a task.
+    firsts = texts.groupBy("cut", "h", "text").agg(F.min(F.struct("_id", "_key", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = texts.join(firsts, ["cut", "h", "text"]).where(~F.struct("_id", "_key", "start").eqNullSafe(F.col("first")))
+    return later.groupBy(F.col("_id").alias("_of"), F.col("_key").alias("_of_key")).agg(F.collect_set(F.struct("start", "lines")).alias("gone"))
 
-    def summary(c):
-        kept = F.filter(c, lambda x: ~F.coalesce(F.array_contains("_gone", x["chunk"]), F.lit(False)))
 
-        def out(k):
-            lines = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x["lines"])
-            return F.struct(lines(c).cast("long").alias("n_lines"), F.size(c).cast("long").alias("n_chunks"), (lines(c) - lines(k)).cast("long").alias("n_removed"), F.array_join(F.transform(k, lambda x: x["text"]), "\n").alias("kept_text"))
+def _kept_lines(lines: Column, gone: Column) -> Column:
+    """The lines outside of all spans; places are compared as sets, so the work grows with the text only."""
+    out = F.flatten(F.transform(gone, lambda g: F.sequence(g["start"], g["start"] + g["lines"] - 1)))
+    return let(lines, lambda a: F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), out), lambda i: F.get(a, i)))
 
-        return let(kept, out)
 
-    s = marked.select("_id", let(chunks_of(F.col("_text"), modulus), summary).alias("s"))
-    zero = lambda name: F.coalesce(F.col(f"s.{name}"), F.lit(0)).cast("long").alias(name)
-    return s.select(F.col("_id").alias(id_col), zero("n_lines"), zero("n_chunks"), zero("n_removed"), F.when(F.col("s.n_chunks").isNotNull(), F.col("s.kept_text")).alias("kept_text"))
+def _marked(rows: DataFrame) -> DataFrame:
+    gone = repeated_lines(rows.select("_id", "_key", "_text"))
+    return rows.join(gone, rows["_id"].eqNullSafe(gone["_of"]) & (rows["_key"] == gone["_of_key"]), "left")
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = MODULUS) -> DataFrame:
-    """The documents with their columns and shortened texts; n_chars, where there is one, is counted again."""
-    gone = repeated_chunks(docs, id_col, text_col, modulus).groupBy("_id").agg(F.collect_set("chunk").alias("_penumbra_gone")).withColumnRenamed("_id", "_penumbra_id")
-    marked = docs.join(gone, docs[id_col].eqNullSafe(gone["_penumbra_id"]), "left")
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every document row with what is left of its text.
+
+    Adds n_lines, n_chunks (of the first cut), n_removed (lines) and kept_text to the id. A null text stays null and
+    has no lines; an empty one is one empty line. Rows are told apart by id and text: repeats of one row are
+    one place, another text under the same id is a place of its own, and null ids come first. Empty tables give no
+    rows. Other columns are not read.
+    """
+    lines = F.split("_text", "\n")
+    kept = F.when(F.col("gone").isNull(), lines).otherwise(_kept_lines(lines, F.col("gone")))
+    first_cut = F.size(F.filter(chunks_of(F.col("_text")), lambda c: c["cut"] == 0))
+    out = _marked(_rows(docs, id_col, text_col)).select("_id", F.size(lines).alias("n"), first_cut.alias("c"), kept.alias("k"))
+    count = lambda c: F.coalesce(F.when(F.col("k").isNotNull(), c), F.lit(0)).cast("long")
+    return out.select(F.col("_id").alias(id_col), count(F.col("n")).alias("n_lines"), count(F.col("c")).alias("n_chunks"), count(F.col("n") - F.size("k")).alias("n_removed"), F.array_join("k", "\n").alias("kept_text"))
 
-    def rest(c):
-        return F.array_join(F.transform(F.filter(c, lambda x: ~F.array_contains("_penumbra_gone", x["chunk"])), lambda x: x["text"]), "\n")
 
-    short = F.when(F.col("_penumbra_gone").isNull(), docs[text_col]).otherwise(let(chunks_of(docs[text_col], modulus), rest))
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with their columns and shortened texts; n_chars, where there is one, is counted again.
+
+    Nulls, empty texts, repeated rows and ids as in line_dedup; a text of which nothing is left stays as an empty one.
+    """
+    gone = repeated_lines(_rows(docs, id_col, text_col)).withColumnsRenamed({"_of": "_penumbra_of", "_of_key": "_penumbra_key", "gone": "_penumbra_gone"})
+    text = docs[text_col].cast("string")
+    marked = docs.join(gone, docs[id_col].eqNullSafe(gone["_penumbra_of"]) & (F.xxhash64(text) == gone["_penumbra_key"]), "left")
+    short = F.when(F.col("_penumbra_gone").isNull(), text).otherwise(F.array_join(_kept_lines(F.split(text, "\n"), F.col("_penumbra_gone")), "\n"))
     out = marked.withColumn("_penumbra_text", short)
     columns = [F.col("_penumbra_text").alias(c) if c == text_col else F.length("_penumbra_text").cast("long").alias(c) if c == "n_chars" else docs[f"`{c}`"] for c in docs.columns]
     return out.select(*columns)

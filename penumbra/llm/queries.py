@@ -132,15 +132,18 @@ ORACLES: dict[str, str] = {
     SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, m.c AS component_id, m.c = d.doc_id AS kept
     FROM d LEFT JOIN z USING (doc_id) JOIN (SELECT node, min(root) AS c FROM reach GROUP BY 1) m ON m.node = d.doc_id""",
     "op9_line_dedup": f"""
-    WITH l AS (SELECT doc_id, i, line, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h
+    WITH l AS (SELECT doc_id, i - 1 AS i, line, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h
                FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)),
-    b AS (SELECT *, lag(h) OVER o AS g, lead(i) OVER o IS NULL AS last FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-    e AS (SELECT *, CASE WHEN last OR (g IS NOT NULL AND (g + 31 * h) % {linededup.MODULUS} = 0) THEN 1 ELSE 0 END AS ends FROM b),
-    k AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e),
-    c AS (SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM k GROUP BY 1, 2),
-    f AS (SELECT *, n >= {linededup.LEAST_LINES} AND row_number() OVER (PARTITION BY t, n >= {linededup.LEAST_LINES} ORDER BY doc_id, chunk) > 1 AS gone FROM c),
-    r AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS n_chunks, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(t, chr(10) ORDER BY chunk) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY 1)
-    SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed, 0) AS n_removed, kept_sha256 FROM documents LEFT JOIN r USING (doc_id)""",
+    r AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, (lag(h) OVER (PARTITION BY doc_id ORDER BY i) + 31 * h) % {linededup.PRIME} AS r FROM l),
+    b AS (SELECT *, lag(r) OVER o AS before, lead(r) OVER o AS after FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    s AS (SELECT doc_id, i, line, cut, CASE WHEN i = 0 OR (i BETWEEN 2 AND n - 2 AND CASE WHEN cut = 0 THEN r < before AND r < after ELSE r > before AND r > after END) THEN 1 ELSE 0 END AS begins FROM b CROSS JOIN (VALUES (0), (1)) AS c(cut)),
+    k AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id, cut ORDER BY i) AS chunk FROM s),
+    c AS (SELECT doc_id, cut, chunk, min(i) AS i, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM k GROUP BY 1, 2, 3),
+    f AS (SELECT *, n >= {linededup.LEAST_LINES} AND row_number() OVER (PARTITION BY cut, t, n >= {linededup.LEAST_LINES} ORDER BY doc_id, i) > 1 AS gone FROM c),
+    gone AS (SELECT DISTINCT doc_id, p AS i FROM f, unnest(generate_series(f.i, f.i + n - 1)) AS x(p) WHERE gone),
+    q AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (g.i IS NOT NULL) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS t FROM l LEFT JOIN gone AS g USING (doc_id, i) GROUP BY 1),
+    m AS (SELECT doc_id, count(*) AS n_chunks FROM c WHERE cut = 0 GROUP BY 1)
+    SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed, 0) AS n_removed, sha256(t) AS kept_sha256 FROM documents LEFT JOIN q USING (doc_id) LEFT JOIN m USING (doc_id)""",
     "op10_substring_dedup": f"""
     WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
     g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM d, unnest(generate_series(1, len(w) - 12)) AS x(i)),

@@ -50,3 +50,23 @@ def test_decontamination(spark, docs):
     short = table(spark, ["alpha beta", "beta alpha", None], [None, None, None])
     b = spark.createDataFrame([("a", "Beta"), ("b", "alpha beta"), (None, "alpha")], "item_id string, text string")
     assert sorted((r.n_hit, r.n_items) for r in decontam.contamination(short, b).collect()) == [(0, 0), (2, 1), (2, 2)]
+
+
+def test_line_dedup(spark, docs):
+    got = sorted((r.doc_id, r.n_removed, r.kept_text) for r in linededup.line_dedup(docs).collect())
+    assert got[0] == (1, 0, X) and got[1] == (5, 0, Y) and got[2][1] == 10
+    out = sorted((r.doc_id, r.text) for r in linededup.without_repeated_lines(docs).collect())
+    assert out == [(1, X), (5, ""), (5, Y)]
+    twice = table(spark, [X, X, "y\n" + X, None], [None, None, None, None])
+    assert sorted(r.n_removed for r in linededup.line_dedup(twice).collect())[:3] == [0, 0, 0]
+
+
+def test_no_chunk_has_one_line(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["\n".join(prose(n * 50 + k, 3) for k in range(n)) for n in range(1, 40)] + ["\n" * 9, "a\nb\n" * 30]
+    for r in table(spark, texts).select("doc_id", F.size(F.split("text", "\n")).alias("n"), linededup.chunks_of(F.col("text")).alias("c")).collect():
+        for cut in linededup.CUTS:
+            spans = [(x.start, x.lines) for x in r.c if x.cut == cut]
+            assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(n for _, n in spans) == r.n
+            assert r.n == 1 or min(n for _, n in spans) >= 2
