@@ -1,179 +1,190 @@
 """Removal of repeated word sequences, found by doubling the length of windows level by level.
 
-Windows of about half the target length are looked at first. Of these only the least-fingerprint one
-of each target window is taken (equal targets choose equal parts), so a fifth of the places is enough.
-Those that occur in one document alone end there; only target windows over a repeated part are
-extended to the full length and looked up again. ``longest_repeats`` goes on doubling until no
-candidates survive.
+A level looks at windows of one length. Those that occur in one document alone end there; where one is
+repeated, windows of twice the length over it are looked up at the next level, and so on up to the
+wanted length. Below that length only one part of each target window is taken, the one of least
+fingerprint (equal targets choose equal parts), so that a fraction of the places is enough.
+``longest_repeats`` goes on doubling until no candidates survive.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import materialize, maybe_broadcast, small_enough
+from .common import materialize, maybe_broadcast, small_enough, with_found
 from .textwords import fingerprint, split_words, windows
 
-#: Words of a window.
-WIDTH = 13
-#: Second, independent multiplier: target windows are told apart by 96 bits.
-SECOND = 0xC2B2AE3D27D4EB4F | 1
+#: Words of a window, and of the windows of the first level.
+WIDTH, START = 13, 4
 
 
-def parts_of(prints: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each target window the place of the half-length window that stands for it; and all half-length fingerprints."""
-    half = (width + 1) // 2
-    small = windows(prints, half)
-    n = len(prints) - width + 1
-    if n <= 0:
-        return np.empty(0, np.int64), small
-    view = np.lib.stride_tricks.sliding_window_view(small, width - half + 1)
-    return np.arange(n) + view.argmin(1), small
+def level_lengths(width: int, start: int) -> list[int]:
+    """Lengths of the levels before the last: ``start``, doubled as long as it is below ``width``."""
+    out = [min(start, width)]
+    while 2 * out[-1] < width:
+        out.append(2 * out[-1])
+    return out if out[-1] < width else []
 
 
-def _anchors(rows: DataFrame, width: int) -> DataFrame:
-    """(h, _id) once for each part of each document."""
+def parts_of(prints: np.ndarray, width: int, part: int) -> np.ndarray:
+    """For each target window, the fingerprint of the part of ``part`` words that stands for it."""
+    if len(prints) < width:
+        return np.empty(0, np.uint64)
+    return np.lib.stride_tricks.sliding_window_view(windows(prints, part), width - part + 1).min(1)
 
-    def run(batches):
-        for batch in batches:
-            owner, values = [], []
-            for k, text in enumerate(batch.column(1)):
-                at, small = parts_of(fingerprint(split_words(text.as_py(), fold=False)), width)
-                if len(at):
-                    h = np.unique(small[np.unique(at)])
-                    owner.append(np.full(len(h), k))
-                    values.append(h)
-            if values:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(owner)))], names=["h", "_id"])
 
-    return rows.mapInArrow(run, f"h long, _id {rows.schema['_id'].dataType.simpleString()}")
+def _among(values: np.ndarray, found) -> np.ndarray:
+    return np.isin(values, found.values.to_numpy(zero_copy_only=False).view(np.uint64))
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that occur in two documents or more, with the least of them. Combined before the shuffle."""
-    return rows.groupBy(*keys).agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select(*keys, "lo")
+def _owned(batch, owner: list[np.ndarray]) -> list[pa.Array]:
+    at = pa.array(np.concatenate(owner))
+    return [batch.column(0).take(at), batch.column(1).take(at)]
 
 
-def _per_document(found: DataFrame) -> DataFrame:
-    """The found fingerprints of each document, as one array: no more than it has windows."""
-    return found.groupBy("_id").agg(F.collect_list("h").alias("hs")).withColumnRenamed("_id", "_of")
+def _level(rows: DataFrame, width: int, part: int, before: int | None) -> DataFrame:
+    """(h, _id, _key) once for each part of each text; after the first level, only where the part of the level before is repeated."""
 
+    def run(batches):
+        for batch in batches:
+            owner, values = [], []
+            for k, text in enumerate(batch.column(2)):
+                prints = fingerprint(split_words(text.as_py(), fold=False))
+                h = parts_of(prints, width, part)
+                if before and len(h):
+                    h = h[_among(parts_of(prints, width, before), batch.column(3)[k])]
+                h = np.unique(h)
+                owner.append(np.full(len(h), k))
+                values.append(h)
+            if values:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), *_owned(batch, owner)], names=["h", "_id", "_key"])
 
-def _with(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """Rows that have a list, with it. Where the ids are few, other texts are not shuffled."""
-    ids = lists.select(F.col("_of").alias("_only"))
-    if small_enough(ids):
-        rows = rows.join(F.broadcast(ids), rows["_id"] == F.col("_only"), "left_semi")
-    return rows.join(lists, rows["_id"] == lists["_of"]).select("_id", "_text", "hs")
+    return rows.mapInArrow(run, f"h long, _id {rows.schema['_id'].dataType.simpleString()}, _key long")
 
 
-def _targets(rows: DataFrame, width: int) -> DataFrame:
-    """(h, g, _id) of the target windows that stand over a repeated part."""
+def _targets(rows: DataFrame, width: int, before: int | None) -> DataFrame:
+    """(h, _id, _key, places) of the target windows over a repeated part; h is a 128-bit hash of the window's bytes."""
 
     def run(batches):
         for batch in batches:
-            owner, first, second = [], [], []
-            for k, (text, hs) in enumerate(zip(batch.column(1), batch.column(2))):
-                prints = fingerprint(split_words(text.as_py(), fold=False))
-                at, small = parts_of(prints, width)
-                live = np.isin(small[at], hs.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                h, g = windows(prints, width)[live], windows(prints, width, SECOND)[live]
-                h, one = np.unique(h, return_index=True)
-                owner.append(np.full(len(h), k))
-                first.append(h)
-                second.append((g[one] >> np.uint64(33)).astype(np.int32))
+            owner, keys, places = [], [], []
+            for k, text in enumerate(batch.column(2)):
+                words = split_words(text.as_py(), fold=False)
+                n = len(words) - width + 1
+                if n <= 0:
+                    continue
+                live = np.flatnonzero(_among(parts_of(fingerprint(words), width, before), batch.column(3)[k])) if before else range(n)
+                found: dict[bytes, list[int]] = {}
+                for i in live:
+                    found.setdefault(xxhash.xxh3_128_digest(b" ".join(words[i : i + width])), []).append(int(i))
+                owner.append(np.full(len(found), k))
+                keys += found
+                places += found.values()
             if owner:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.concatenate(second)), batch.column(0).take(pa.array(np.concatenate(owner)))], names=["h", "g", "_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *_owned(batch, owner), pa.array(places, pa.list_(pa.int32()))], names=["h", "_id", "_key", "places"])
+
+    return rows.mapInArrow(run, f"h binary, _id {rows.schema['_id'].dataType.simpleString()}, _key long, places array<int>")
 
-    return rows.mapInArrow(run, f"h long, g int, _id {rows.schema['_id'].dataType.simpleString()}")
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Windows (h) that occur in two documents or more, with the least of them. Combined before the shuffle."""
+    return rows.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("h", "lo")
 
-def repeated_windows(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(_id, h): target windows that also start in a document with a smaller id, for (_id, _text) rows."""
-    anchors = _anchors(rows, width)
-    live = materialize(_per_document(anchors.join(_repeated(anchors, ["h"]).select("h"), "h", "left_semi")))
-    targets = materialize(_targets(_with(rows, live), width))
-    return targets.join(_repeated(targets, ["h", "g"]), ["h", "g"]).where("lo < _id").select("_id", "h")
+
+def _per_text(found: DataFrame, values) -> DataFrame:
+    """What was found in each text as one array: no more than it has windows."""
+    return found.groupBy(F.col("_id").alias("_of"), F.col("_key").alias("_of_key")).agg(values)
+
+
+def repeated_windows(rows: DataFrame, width: int = WIDTH, start: int = START) -> DataFrame:
+    """(_of, _of_key, places, later): where target windows of (_id, _key, _text) rows stand that another document has too.
+
+    later says of each place's window whether it also starts in a document with a smaller id.
+    """
+    before, todo = None, rows
+    for part in level_lengths(width, start):
+        level = materialize(_level(todo, width, part, before))
+        live = materialize(_per_text(level.join(_repeated(level), "h", "left_semi"), F.collect_list("h").alias("hs")))
+        todo, before = with_found(rows, live).select("_id", "_key", "_text", "hs"), part
+    targets = materialize(_targets(todo, width, before))
+    both = targets.join(_repeated(targets), "h").select("_id", "_key", F.struct("places", (F.col("lo") < F.col("_id")).alias("later")).alias("p"))
+    return _per_text(both, F.collect_list("p").alias("windows"))
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, start: int = START) -> DataFrame:
     """id, n_words, n_removed and kept_text (words joined by one space) of every row.
 
     A word goes if it lies in a window of ``width`` words that also starts in a document with a smaller
-    id; windows are judged on the input. Copies of a whole text are settled first: all but the one
+    id; windows are judged on the input. Copies of a whole text are settled first: all but those
     with the least id lose all words, if they have ``width`` or more. Shorter, blank and null texts lose
-    nothing. Rows with a null id, and rows that share an id, take no part in each other's windows;
-    null ids lose nothing. Empty tables give no rows. Other columns are not read.
+    nothing. Rows that share an id are judged each by its own text, and take no part in each other's windows; rows with
+    a null id take no part at all and lose nothing. Empty tables give no rows. Other columns are not read.
     """
     ship_package(docs.sparkSession)
-    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].alias("_id"), F.xxhash64(text).alias("_key"), text.alias("_text"))
     real = rows.where("_id is not null and _text is not null")
-    digest = F.unhex(F.md5("_text"))
-    texts = real.select("_id", digest.alias("d"))
+    texts = real.select("_id", "_key", F.unhex(F.md5("_text")).alias("d"))
     firsts = texts.groupBy("d").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("d", "lo")
-    copies = materialize(texts.join(firsts, "d").where("lo < _id").select(F.col("_id").alias("_copy")).distinct())
+    copies = materialize(texts.join(firsts, "d").where("lo < _id").select(F.col("_id").alias("_copy"), F.col("_key").alias("_copy_key")).distinct())
     copies = maybe_broadcast(copies)
-    single = real.join(copies, real["_id"] == copies["_copy"], "left_anti")
-    flags = materialize(_per_document(repeated_windows(single, width)))
+    is_copy = (F.col("_id") == F.col("_copy")) & (F.col("_key") == F.col("_copy_key"))
+    single = real.join(copies, is_copy, "left_anti")
+    later = repeated_windows(single, width, start).select("_of", "_of_key", F.flatten(F.transform(F.filter("windows", lambda w: w["later"]), lambda w: w["places"])).alias("places")).where(F.size("places") > 0)
+    flags = materialize(later)
     id_type = rows.schema["_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             totals, removed, kept = [], [], []
-            for text, hs, whole in zip(batch.column(1), batch.column(2), batch.column(3)):
+            for text, places, whole in zip(batch.column(1), batch.column(2), batch.column(3)):
                 words = split_words(text.as_py(), fold=False)
                 n = len(words)
                 gone = np.zeros(n, bool)
                 if whole.as_py():
                     gone[:] = n >= width
-                elif hs.is_valid and n >= width:
-                    hit = np.isin(windows(fingerprint(words), width), hs.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                elif places.is_valid:
                     ends = np.zeros(n + 1, np.int64)
-                    ends[:-width] += hit
-                    ends[width:] -= hit
+                    at = places.values.to_numpy(zero_copy_only=False)
+                    np.add.at(ends, at, 1)
+                    np.add.at(ends, at + width, -1)
                     gone = np.cumsum(ends[:-1]) > 0
                 totals.append(n)
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join(w for w, x in zip(words, gone.tolist()) if not x).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["_id", "n_words", "n_removed", "kept_text"])
 
-    marked = rows.join(copies, rows["_id"] == copies["_copy"], "left")
-    marked = marked.select("_id", "_text", F.col("_copy").isNotNull().alias("whole"))
-    ids = flags.select(F.col("_of").alias("_only"))
-    few = small_enough(ids)
-    if few:  # only texts that have flags are shuffled
-        flagged = marked.join(F.broadcast(ids), marked["_id"] == F.col("_only"), "left_semi")
-        plain = marked.join(F.broadcast(ids), marked["_id"] == F.col("_only"), "left_anti").select("_id", "_text", F.lit(None).cast("array<bigint>").alias("hs"), "whole")
-        joined = flagged.join(flags, flagged["_id"] == flags["_of"]).select("_id", "_text", "hs", "whole").unionByName(plain)
+    marked = rows.join(copies, is_copy, "left").select("_id", "_key", "_text", F.col("_copy").isNotNull().alias("whole"))
+    flagged = (F.col("_id") == F.col("_of")) & (F.col("_key") == F.col("_of_key"))
+    ids = flags.select("_of", "_of_key")
+    if small_enough(ids):  # only texts that have flags are shuffled
+        plain = marked.join(F.broadcast(ids), flagged, "left_anti").select("_id", "_text", F.lit(None).cast("array<int>").alias("places"), "whole")
+        joined = with_found(marked, flags).select("_id", "_text", "places", "whole").unionByName(plain)
     else:
-        joined = marked.join(flags, marked["_id"] == flags["_of"], "left").select("_id", "_text", "hs", "whole")
+        joined = marked.join(flags, flagged, "left").select("_id", "_text", "places", "whole")
     return joined.mapInArrow(run, f"_id {id_type}, n_words long, n_removed long, kept_text string").withColumnRenamed("_id", id_col)
 
 
-def longest_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", start: int = WIDTH, most: int = 1 << 20) -> DataFrame:
+def longest_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", start: int = WIDTH) -> DataFrame:
     """(id, length): for each document the largest length start * 2**k of a window that another document has too.
 
-    Each level looks only at documents that had a repeated window at the level before, until none is left.
+    Each level looks only at documents that had a repeated window at the level before, until none is left:
+    no window is longer than the second-longest text, so this ends.
     """
     ship_package(docs.sparkSession)
-    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text")).where("_id is not null and _text is not null")
-    width, found = start, None
-    while width <= most:
-        anchors = _anchors(rows, width)
-        live = materialize(_per_document(anchors.join(_repeated(anchors, ["h"]).select("h"), "h", "left_semi")))
-        targets = materialize(_targets(_with(rows, live), width))
-        alive = materialize(targets.join(_repeated(targets, ["h", "g"]), ["h", "g"], "left_semi").select("_id").distinct())
-        level = alive.select("_id", F.lit(width).alias("length"))
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].alias("_id"), F.xxhash64(text).alias("_key"), text.alias("_text")).where("_id is not null and _text is not null")
+    width, found, first = start, None, START
+    while True:
+        alive = materialize(repeated_windows(rows, width, first).select("_of", "_of_key"))
+        level = alive.select(F.col("_of").alias("_id"), F.lit(width).alias("length"))
         found = level if found is None else found.unionByName(level)
         if alive.isEmpty():
             break
-        ids = alive.select(F.col("_id").alias("_alive"))
-        rows = rows.join(maybe_broadcast(ids), rows["_id"] == ids["_alive"], "left_semi")
-        width *= 2
+        rows, first, width = with_found(rows, alive), width, 2 * width
     return found.groupBy(F.col("_id").alias(id_col)).agg(F.max("length").alias("length"))

@@ -46,12 +46,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def windows(prints: np.ndarray, width: int, multiplier: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+def windows(prints: np.ndarray, width: int) -> np.ndarray:
     """Fingerprint of each run of ``width`` words: a polynomial in the word fingerprints, scrambled."""
     n = len(prints) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    k = np.uint64(multiplier)
+    k = np.uint64(0x9E3779B97F4A7C15)
     out = np.zeros(n, np.uint64)
     for j in range(width):
         out *= k

@@ -70,3 +70,11 @@ def test_no_chunk_has_one_line(spark):
             spans = [(x.start, x.lines) for x in r.c if x.cut == cut]
             assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(n for _, n in spans) == r.n
             assert r.n == 1 or min(n for _, n in spans) >= 2
+
+
+def test_substring_dedup(spark, docs):
+    got = sorted((r.doc_id, r.n_removed, r.kept_text) for r in substring.substring_dedup(docs).collect())
+    assert got == [(1, 0, " ".join(X.split())), (5, 0, " ".join(Y.split())), (5, 200, "")]
+    for start in (2, 4, 13):
+        assert sorted((r.doc_id, r.n_removed, r.kept_text) for r in substring.substring_dedup(docs, start=start).collect()) == got
+    assert substring.level_lengths(13, 4) == [4, 8] and substring.level_lengths(13, 7) == [7] and substring.level_lengths(52, 7) == [7, 14, 28] and substring.level_lengths(13, 13) == []
