@@ -143,7 +143,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship_package(spark)
     key = F.coalesce(docs[id_col].cast("string"), F.lit("null"))
-    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"), (F.crc32(key.cast("binary")) % 7 == 2).alias("held_out"), F.xxhash64(key, F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("_key"))
+    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"), (F.crc32(key.cast("binary")) % 7 == 2).alias("held_out"), F.xxhash64(docs[text_col].cast("string")).alias("_key"))
     train = rows.where("not held_out").select("_text")
     counts = materialize(_batches_of_counts(train).groupBy("word").agg(F.sum("n").alias("n")))
     n_train, n_distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
@@ -207,12 +207,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = rows.schema["_id"].dataType.simpleString()
     partly = materialize(rows.mapInArrow(run, f"_id {kind}, held_out boolean, _key long, n_tokens long, known long, b double, s double, words array<binary>, counts array<long>"))
     # Words that no worker holds: their counts are joined; none is more frequent than the last one held.
-    lists = partly.where(F.size("words") > 0).select("_key", "words", "counts").dropDuplicates(["_key"])
-    pairs = lists.select("_key", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("_key", F.col("x.words").alias("word"), F.col("x.counts").alias("k"))
+    lists = partly.where(F.size("words") > 0).select("_id", "_key", "words", "counts").dropDuplicates(["_id", "_key"])
+    pairs = lists.select("_id", "_key", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("_id", "_key", F.col("x.words").alias("word"), F.col("x.counts").alias("k"))
     found = pairs.join(counts, "word")
-    rare = found.groupBy("_key").agg(F.sum("k").alias("rare_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("rare_log"))
+    rare = found.groupBy(F.col("_id").alias("_of"), F.col("_key").alias("_of_key")).agg(F.sum("k").alias("rare_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("rare_log"))
+    same = partly["_id"].eqNullSafe(F.col("_of")) & (partly["_key"] == F.col("_of_key"))
     none = F.lit(0)
-    return partly.join(rare, "_key", "left").select(
+    return partly.join(rare, same, "left").select(
         F.col("_id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", none)).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("b") + F.coalesce("rare_log", F.lit(0.0))).alias("base_score"), (F.col("s") + F.coalesce("rare_log", F.lit(0.0))).alias("score"),
     )

@@ -1,9 +1,9 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
 Voters are a fixed lexicon, patterns, and words and word beginnings that the labelled training rows
-show to be telling. Each votes toxic, not toxic, or abstains. The label model estimates each
-voter's accuracy by expectation-maximisation, and how far voters repeat each other from the
-correlation of their votes within the toxic class; repeated evidence is weighed down. Its
+show to be telling. Each votes toxic or abstains; one more votes not toxic where all others abstain.
+The label model estimates each voter's accuracy by expectation-maximisation, and in its rounds how far
+voters repeat each other, from the correlation of their votes within the toxic class; repeated evidence is weighed down. Its
 posterior labels train a logistic classifier over hashed words and word beginnings.
 """
 
@@ -100,8 +100,8 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray:
         p = float(np.clip(post.mean(), 1e-3, 0.5))
         on = (post @ v + 0.5) / (post.sum() + 1)
         off = ((1 - post) @ v + 0.05) / ((1 - post).sum() + 1)
-        if step == 3:
-            # Correlated votes among rows that look toxic: an average voter's effective share of what it says.
+        if step >= 3:
+            # Correlated votes among rows that look toxic: a voter's effective share of what it says, estimated anew each round.
             z = v[post > 0.5]
             if len(z) > 10:
                 z = z - z.mean(0)
@@ -210,7 +210,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Learns only from labelled rows whose crc32(id as text) mod 5 isn't 0, MAX_ROWS of them at most.
     Null labels and ids take no part. A null or empty text gets the score of a text without features.
     Without any training label all scores are one half. Repeated rows are scored
-    alike; of several labels of an id the largest counts. Other columns are not read.
+    alike; of several labels of an id the largest counts, of several texts of a labelled id the first in order. Other columns are not read.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -218,7 +218,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"), F.coalesce(F.crc32(key.cast("binary")) % 5 == 0, F.lit(False)).alias("held_out"))
     truth = labels.select(labels[id_col].alias("_l"), labels[label_col].cast("int").alias("_y")).where("_l is not null and _y is not null").groupBy("_l").agg(F.max("_y").alias("_y"))
     truth = truth.where(F.crc32(F.col("_l").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("_l"), "_l").limit(MAX_ROWS)
-    sample = materialize(rows.join(F.broadcast(truth), rows["_id"] == truth["_l"]).select("_id", "_y", "_text").dropDuplicates(["_id"]))
+    sample = materialize(rows.join(F.broadcast(truth), rows["_id"] == truth["_l"]).groupBy("_id").agg(F.max("_y").alias("_y"), F.min("_text").alias("_text")))
     model = spark.sparkContext.broadcast(fit(sample))
 
     def run(batches):
