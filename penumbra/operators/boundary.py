@@ -40,12 +40,18 @@ def inside_tolerant(points: DataFrame, edges: DataFrame, south, west, north, eas
 
 
 def _simplify(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
-    """Keep the ends, and whatever is farther than the tolerance from the line between kept neighbours."""
+    """Keep the ends, and whatever is farther than the tolerance from the line between kept neighbours.
+
+    A stretch of three points or fewer stays as it is, however close its middle is to the line.
+    """
     keep, todo = {0, len(points) - 1}, [(0, len(points) - 1)]
     while todo:
         a, b = todo.pop()
+        if b - a <= 2:
+            keep.update(range(a, b + 1))
+            continue
         (ax, ay), (bx, by) = points[a], points[b]
-        far, at = tolerance * tolerance, None
+        far, at = 0.0, None
         for k in range(a + 1, b):
             px, py = points[k]
             dx, dy = bx - ax, by - ay
@@ -54,22 +60,27 @@ def _simplify(points: list[tuple[float, float]], tolerance: float) -> list[tuple
             d = (px - ax - t * dx) ** 2 + (py - ay - t * dy) ** 2
             if d > far:
                 far, at = d, k
-        if at is not None:
-            keep.add(at)
+        if at is not None and far > tolerance * tolerance:
             todo += [(a, at), (at, b)]
     return [points[k] for k in sorted(keep)]
 
 
 @F.pandas_udf(POINTS)
 def simplified_ring(rings: pd.Series) -> pd.Series:
-    """Closed rings with fewer points, rounded; three points or fewer stay as they are."""
+    """Rings closed, with fewer points, and rounded; null for fewer than four points, which are no ring."""
 
     def one(ring):
+        if ring is None or len(ring) < 4:
+            return None
         points = [(p["x"], p["y"]) for p in ring]
-        if len(points) > 3:
-            open_ring = points[:-1] if points[0] == points[-1] else points
-            points = _simplify(open_ring, TOLERANCE_DEG)
-            points = points + points[:1]
+        points = _simplify(points if points[0] == points[-1] else points + points[:1], TOLERANCE_DEG)
         return [{"x": round(x, PLACES), "y": round(y, PLACES)} for x, y in points]
 
     return rings.map(one)
+
+
+def drifted(actual: DataFrame, expected: DataFrame) -> DataFrame:
+    """(name, problem) of artifacts whose bytes aren't those that their source gives; no rows if all is well. Both: (name, content)."""
+    both = expected.select("name", F.col("content").alias("_want")).join(actual.select("name", F.col("content").alias("_have")), "name", "full")
+    problem = F.when(F.col("_have").isNull(), "missing").when(F.col("_want").isNull(), "unexpected").when(F.col("_have") != F.col("_want"), "drifted")
+    return both.select("name", problem.alias("problem")).where("problem is not null")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import bounded
 
 #: Most edges of a node; penalty of fallback roads and of steps; snapping radii in metres.
 MOST_DEGREE, FALLBACK_PENALTY, STEPS_PENALTY = 64, 1.5, 1.5
@@ -29,17 +30,51 @@ def node_sequences(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 def apply_policy(segments: DataFrame, excluded: DataFrame, blocked: DataFrame, fallback: DataFrame, directions: DataFrame) -> DataFrame:
     """Segments (a, b, way_id, fallback, direction, length) after exclusion, blocking and overrides; edge ids in their order.
 
-    The policy tables are bounded by the format (20,000 rows each), so they are broadcast.
+    The format bounds the policy tables at 20,000 rows each; they are counted before they are broadcast.
     """
+    excluded, blocked, fallback, directions = (bounded(t) for t in (excluded, blocked, fallback, directions))
     open_segments = (
-        segments.join(F.broadcast(excluded), "way_id", "left_anti")
-        .join(F.broadcast(blocked.select(F.col("node_id").alias("a"))), "a", "left_anti")
-        .join(F.broadcast(blocked.select(F.col("node_id").alias("b"))), "b", "left_anti")
+        segments.join(excluded, "way_id", "left_anti")
+        .join(blocked.select(F.col("node_id").alias("a")), "a", "left_anti")
+        .join(blocked.select(F.col("node_id").alias("b")), "b", "left_anti")
         .where((F.col("a") != F.col("b")) & (F.col("length") > 0)))
-    marked = open_segments.join(F.broadcast(fallback.withColumn("_f", F.lit(True))), "way_id", "left").join(F.broadcast(directions.withColumnRenamed("direction", "_d")), "way_id", "left")
+    marked = open_segments.join(fallback.withColumn("_f", F.lit(True)), "way_id", "left").join(directions.withColumnRenamed("direction", "_d"), "way_id", "left")
     return marked.withColumn("fallback", F.coalesce("fallback", F.lit(False)) | F.coalesce("_f", F.lit(False))).withColumn("direction", F.coalesce("_d", "direction")).drop("_f", "_d")
 
 
+#: Most points of a way; an edge is numbered by its way's place and its own place in the way.
+MOST_POINTS = 1000
+
+
+def way_edges(ways: DataFrame, excluded: DataFrame, blocked: DataFrame) -> DataFrame:
+    """Edges between neighbouring nodes of ways: (edge_id, way_id, a, b, ax, ay, bx, by, length, and the ways' other columns).
+
+    ways: (way_id, way_seq, points: array of (node_id, lat, lon), walkable, direction, ...). Excluded, unwalkable and
+    impassable ways give none, nor do blocked or equal neighbours and those at one place. A node lies where the first
+    segment in order that uses it has it. Edge ids follow the order of ways and, within them, of segments.
+    """
+    usable = ways.where(F.col("walkable") & F.col("direction").isNotNull()).join(bounded(excluded.select("way_id")), "way_id", "left_anti")
+    cut = usable.withColumn("k", F.explode(F.when(F.size("points") >= 2, F.sequence(F.lit(0), F.size("points") - 2))))
+    end = lambda d: F.get("points", F.col("k") + d)
+    rest = [c for c in ways.columns if c not in ("way_id", "way_seq", "points", "walkable")]
+    segments = cut.select((F.col("way_seq") * 1024 + F.col("k")).cast("long").alias("edge_id"), "way_id", *rest, end(0).alias("p"), end(1).alias("q"))
+    closed = bounded(blocked.select("node_id"))
+    segments = segments.where("p.node_id <> q.node_id").withColumns({"a": F.col("p.node_id"), "b": F.col("q.node_id")})
+    segments = segments.join(closed.select(F.col("node_id").alias("a")), "a", "left_anti").join(closed.select(F.col("node_id").alias("b")), "b", "left_anti")
+    seen = segments.select(F.explode(F.array(F.struct("p", F.col("edge_id").alias("e"), F.lit(0).alias("k")), F.struct(F.col("q").alias("p"), F.col("edge_id").alias("e"), F.lit(1).alias("k")))).alias("u"))
+    first = seen.groupBy(F.col("u.p.node_id").alias("node_id")).agg(F.min_by("u.p", F.struct("u.e", "u.k")).alias("p")).select("node_id", geo.to_x(F.col("p.lon")).alias("x"), geo.to_y(F.col("p.lat")).alias("y"))
+    at = lambda n: first.select(F.col("node_id").alias(n), F.col("x").alias(n + "x"), F.col("y").alias(n + "y"))
+    placed = segments.drop("p", "q").join(at("a"), "a").join(at("b"), "b").withColumn("length", geo.euclid(*(F.col(c) for c in ("ax", "ay", "bx", "by"))))
+    return placed.where("length > 0").select("edge_id", "way_id", "a", "b", "ax", "ay", "bx", "by", "length", *rest)
+
+
+def skipped_ways(ways: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(reason, n_ways) of the ways that give no edges: excluded by the policy, not walkable, or without a direction."""
+    marked = ways.join(bounded(excluded.select("way_id").distinct().withColumn("_x", F.lit(True))), "way_id", "left")
+    reason = F.when(F.col("_x"), "excluded").when(~F.col("walkable"), "unwalkable").when(F.col("direction").isNull(), "impassable")
+    return marked.select("way_id", reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count_distinct("way_id").alias("n_ways"))
+
+
 def degrees(edges: DataFrame, most: int = MOST_DEGREE) -> DataFrame:
     ends = edges.select(F.explode(F.array("a", "b")).alias("node_id"))
     return ends.groupBy("node_id").agg(F.count("*").alias("degree")).withColumn("within_limit", F.col("degree") <= most)
@@ -93,20 +128,25 @@ def snap(candidates: DataFrame, radius: Column) -> DataFrame:
 SAME_T = 1e-9
 
 
+#: Most cuts of an edge that virtual nodes can be named for.
+MOST_CUTS = 1 << 20
+
+
 def split_edges(edges: DataFrame, snaps: DataFrame) -> DataFrame:
-    """Edges cut at snapped places: (edge_id, piece, from_t, to_t, a, b, length).
+    """Edges cut at snapped places: (edge_id, piece, from_t, to_t, a, b, length, and the edges' other columns).
 
-    Cuts within SAME_T of an end use that end; cuts within SAME_T of each other are one. New nodes are negative.
+    Cuts within SAME_T of an end use that end; a cut within SAME_T of the last one kept is that one. New nodes are negative.
     """
     inner = snaps.where((F.col("t") > SAME_T) & (F.col("t") < 1 - SAME_T)).select("edge_id", "t")
-    before = F.lag("t").over(Window.partitionBy("edge_id").orderBy("t"))
-    cuts = inner.withColumn("before", before).where(F.col("before").isNull() | (F.col("t") - F.col("before") > SAME_T))
-    per_edge = cuts.groupBy("edge_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    base = edges.join(per_edge, "edge_id", "left").withColumn("ts", F.concat(F.array(F.lit(0.0)), F.coalesce("ts", F.array().cast("array<double>")), F.array(F.lit(1.0))))
-    pieces = base.select("edge_id", "a", "b", "length", "ts", F.posexplode(F.slice("ts", 1, F.size("ts") - 1)).alias("piece", "from_t"))
+    nothing = F.array(F.lit(0.0))
+    apart = lambda kept, t: F.when(t - F.element_at(kept, -1) > SAME_T, F.concat(kept, F.array(t))).otherwise(kept)
+    per_edge = inner.groupBy("edge_id").agg(F.aggregate(F.sort_array(F.collect_list("t")), nothing, apart).alias("ts"))
+    base = edges.join(per_edge, "edge_id", "left").withColumn("ts", F.concat(F.coalesce("ts", nothing), F.array(F.lit(1.0))))
+    rest = [c for c in edges.columns if c not in ("edge_id", "a", "b", "length")]
+    pieces = base.select("edge_id", "a", "b", "length", *rest, "ts", F.posexplode(F.slice("ts", 1, F.size("ts") - 1)).alias("piece", "from_t"))
     to_t = F.get("ts", F.col("piece") + 1)
     # A virtual node is named by its edge and place on it: negative, and the same in every run.
-    virtual = lambda k: -(F.col("edge_id") * 1000 + k)
+    virtual = lambda k: F.when(F.size("ts") <= MOST_CUTS, -(F.col("edge_id") * MOST_CUTS + k)).otherwise(F.raise_error(F.lit("too many cuts of one edge")).cast("long"))
     return pieces.select(
         "edge_id", "piece", "from_t", to_t.alias("to_t"), F.when(F.col("piece") == 0, F.col("a")).otherwise(virtual(F.col("piece"))).alias("a"),
-        F.when(F.col("piece") == F.size("ts") - 2, F.col("b")).otherwise(virtual(F.col("piece") + 1)).alias("b"), (F.col("length") * (to_t - F.col("from_t"))).alias("length"))
+        F.when(F.col("piece") == F.size("ts") - 2, F.col("b")).otherwise(virtual(F.col("piece") + 1)).alias("b"), (F.col("length") * (to_t - F.col("from_t"))).alias("length"), *rest)

@@ -124,6 +124,11 @@ def shortest_costs(sources: DataFrame, arc_table: DataFrame, keep, rounds: int =
     return best
 
 
+def shade_of(sun: Column, time: Column) -> Column:
+    """Share of the walking time that isn't in the sun, to three places; 0 without time."""
+    return F.coalesce(F.floor((1 - sun / F.nullif(time, F.lit(0.0))) * 1000 + 0.5) / 1000, F.lit(0.0))
+
+
 def summaries(path_edges: DataFrame) -> DataFrame:
     """One row for each route: seconds, metres, seconds in the sun, shade ratio to three places, and its path key.
 
@@ -132,22 +137,19 @@ def summaries(path_edges: DataFrame) -> DataFrame:
     seconds = walk_seconds(F.col("length"), F.col("steps"))
     keyed = path_edges.withColumn("sec", seconds)
     total = keyed.groupBy("request_id", "mode").agg(
-        F.sum("sec").alias("time_raw"), F.sum("length").alias("length_raw"), F.sum(F.col("sec") * (1 - F.col("shade"))).alias("sun_raw"), F.sum(F.col("length") * F.col("shade")).alias("shaded_m"),
+        F.sum("sec").alias("time_raw"), F.sum("length").alias("length_raw"), F.sum(F.col("sec") * (1 - F.col("shade"))).alias("sun_raw"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "edge_id"))), lambda x: x["edge_id"].cast("string")), ":").alias("path_key"))
     return total.select(
         "request_id", "mode", geo.half_up(F.col("time_raw")).alias("time_sec"), geo.half_up(F.col("length_raw")).alias("length_m"), geo.half_up(F.col("sun_raw")).alias("sun_sec"),
-        (F.floor(F.coalesce(F.col("shaded_m") / F.nullif(F.col("length_raw"), F.lit(0.0)), F.lit(0.0)) * 1000 + 0.5) / 1000).alias("shade_ratio"), "path_key")
+        shade_of(F.col("sun_raw"), F.col("time_raw")).alias("shade_ratio"), "path_key")
 
 
 def with_access(routes: DataFrame, first_m: Column, last_m: Column) -> DataFrame:
     """Rounded summaries with the straight legs to and from the network, in full sun, rounded once more. Legs under half a metre are none."""
     leg = lambda d: F.when(d >= LEAST_ACCESS_M, d).otherwise(0.0)
     metres = leg(first_m) + leg(last_m)
-    total = F.col("length_m") + metres
-    ratio = F.col("shade_ratio") * F.col("length_m") / F.nullif(total, F.lit(0.0))
-    return routes.withColumns({
-        "time_sec": geo.half_up(F.col("time_sec") + metres / SPEED), "length_m": geo.half_up(total), "sun_sec": geo.half_up(F.col("sun_sec") + metres / SPEED),
-        "shade_ratio": F.floor(F.coalesce(ratio, F.lit(0.0)) * 1000 + 0.5) / 1000})
+    time, sun = F.col("time_sec") + metres / SPEED, F.col("sun_sec") + metres / SPEED
+    return routes.withColumns({"time_sec": geo.half_up(time), "length_m": geo.half_up(F.col("length_m") + metres), "sun_sec": geo.half_up(sun), "shade_ratio": shade_of(sun, time)})
 
 
 def clamp_to_shortest(routes: DataFrame, most_m: float = LONGEST_M) -> DataFrame:

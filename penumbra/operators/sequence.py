@@ -46,7 +46,7 @@ def measured(segments: DataFrame) -> DataFrame:
     """Adds length and bearing, and drops what is too short or not finite; both are plain columns, so this part stays in Spark."""
     ends = [F.col(c) for c in ("from_lat", "from_lon", "to_lat", "to_lon")]
     out = segments.withColumn("meters", geo.haversine(*ends)).withColumn("bearing", geo.bearing(*ends))
-    finite = ~F.isnan(F.col("from_lat") + F.col("from_lon") + F.col("to_lat") + F.col("to_lon"))
+    finite = F.forall(F.array(*ends), lambda x: F.abs(x) < float("inf"))  # NaN is greater than infinity here
     return out.where(finite & (F.col("meters") >= LEAST_M))
 
 

@@ -11,6 +11,10 @@ from ..functions import geo
 MOST_PER_ELEMENT, MOST_PER_REQUEST, MOST_BYTES, BUFFER_DEG, MOST_POLICY = 32, 36, 12_000_000, 0.01, 20_000
 
 
+#: Tiles to a side of the blocks in which requests meet tiles.
+GRID = 16
+
+
 def tile_name(x: Column, y: Column) -> Column:
     return F.concat_ws("-", F.lit(str(geo.ZOOM)), x.cast("string"), y.cast("string"))
 
@@ -31,12 +35,16 @@ def owner_tile(buildings: DataFrame) -> DataFrame:
 def select_tiles(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(request_id, n_tiles, bytes, status): tiles that a request's grown box meets, and whether they are too many.
 
-    The catalogue has a row for each tile of the map, which its zoom bounds; it is the broadcast side.
+    Both sides meet in blocks of GRID by GRID tiles, an equality join; the boxes decide.
     """
     box = (F.least("start_lat", "goal_lat") - BUFFER_DEG, F.least("start_lon", "goal_lon") - BUFFER_DEG, F.greatest("start_lat", "goal_lat") + BUFFER_DEG, F.greatest("start_lon", "goal_lon") + BUFFER_DEG)
     tile = tuple(F.col(c) for c in ("south", "west", "north", "east"))
-    met = requests.join(F.broadcast(catalogue), geo.boxes_meet(box, tile), "left")
-    sums = met.groupBy("request_id").agg(F.count("tile_id").alias("n_tiles"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    block = lambda c: F.floor(c / GRID)
+    placed = catalogue.withColumns({"_bx": block(geo.tile_x((F.col("west") + F.col("east")) / 2)), "_by": block(geo.tile_y((F.col("south") + F.col("north")) / 2))})
+    # One tile more on each side: boxes that only touch meet too.
+    spread = requests.withColumn("_bx", F.explode(F.sequence(block(geo.tile_x(box[1]) - 1), block(geo.tile_x(box[3]) + 1)))).withColumn("_by", F.explode(F.sequence(block(geo.tile_y(box[2]) - 1), block(geo.tile_y(box[0]) + 1))))
+    met = spread.join(placed, ["_bx", "_by"]).where(geo.boxes_meet(box, tile)).groupBy("request_id").agg(F.count("*").alias("n_tiles"), F.sum("bytes").alias("bytes"))
+    sums = requests.select("request_id").join(met, "request_id", "left").select("request_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_tiles", "bytes")))
     return sums.withColumn("status", F.when(F.col("n_tiles") == 0, "AREA_DATA_UNAVAILABLE").when((F.col("n_tiles") > MOST_PER_REQUEST) | (F.col("bytes") > MOST_BYTES), "ROUTE_TOO_LARGE").otherwise("OK"))
 
 
@@ -51,12 +59,36 @@ def work(elements: DataFrame) -> DataFrame:
     return elements.rollup("tile_id").agg(F.count_if(F.col("type") == "way").alias("ways"), F.count_if(F.col("type") == "building").alias("buildings"), F.sum("n_points").alias("points"))
 
 
-def policy(tagged: DataFrame, wanted: Column, name: str) -> DataFrame:
-    """Sorted distinct ids for which ``wanted`` holds, with their number checked against the format's limit."""
+def policy(tagged: DataFrame, wanted: Column, name: str, most: int = MOST_POLICY) -> DataFrame:
+    """Sorted distinct ids for which ``wanted`` holds; an error if they are more than the format allows."""
     ids = tagged.where(wanted).select(F.col("id").alias(name)).distinct()
+    if ids.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} ids in a policy list")
     return ids.orderBy(name)
 
 
+def ways_inside(ways: DataFrame, boundary: Column) -> DataFrame:
+    """Ways (way_id, points with lat and lon) with inside: their vertex mean or any of their points lies within the boundary's polygons."""
+    mean = lambda c: geo.vertex_mean(F.col("points"), c)
+    within = lambda lat, lon: geo.in_multipolygon(lon, lat, boundary, "lon", "lat")
+    return ways.withColumn("inside", F.coalesce(within(mean("lat"), mean("lon")) | F.exists("points", lambda p: within(p["lat"], p["lon"])), F.lit(False)))
+
+
+def build_stats(elements: DataFrame) -> DataFrame:
+    """One row of counts of a build: parsed, kept_nodes, walkways, buildings, missing_geometry.
+
+    elements: (type, in_bounds, candidate, walkable, is_building, n_points, n_found, inside, owner_inside), of which ways use the last ones.
+    """
+    way = F.col("type") == "way"
+    used = way & (F.col("candidate") | F.col("is_building"))
+    whole = (F.col("n_points") > 0) & (F.col("n_found") == F.col("n_points")) & (F.col("n_points") <= 1000)
+    kept = used & whole & F.col("inside")
+    return elements.agg(
+        F.count("*").alias("parsed"), F.count_if((F.col("type") == "node") & F.col("in_bounds")).alias("kept_nodes"),
+        F.count_if(kept & F.col("walkable") & (F.col("n_points") >= 2)).alias("walkways"),
+        F.count_if(kept & F.col("is_building") & (F.col("n_points") >= 3) & F.col("owner_inside")).alias("buildings"), F.count_if(used & ~whole).alias("missing_geometry"))
+
+
 def consistency(emitted: DataFrame, excluded: DataFrame, fallback: DataFrame, directed: DataFrame) -> DataFrame:
     """One row of counts that must all be 0: excluded ways that are in tiles, and policy ways that aren't."""
     one = lambda df, name: df.agg(F.count("*").alias(name))

@@ -14,7 +14,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         p_size AS size, p_type AS type, p_brand AS brand FROM {part}"""),
     "edges": (["nodes"], """SELECT a.id * 2 + CASE WHEN b.id = a.id + 50 THEN 1 ELSE 0 END AS edge_id, a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS length,
         a.type = 'PROMO' AS covered, a.size % 13 = 0 AS steps, a.brand = 'Brand#7' AS fallback, CASE WHEN a.size % 10 = 0 THEN 'forward' WHEN a.size % 10 = 5 THEN 'backward' ELSE 'both' END AS direction, a.id % 997 AS way_id
-        FROM {nodes} AS a JOIN {nodes} AS b ON b.id IN (a.id + 50, a.id + 1) WHERE b.id = a.id + 50 OR b.gy = a.gy"""),
+        FROM {nodes} AS a JOIN (SELECT *, id - 50 AS beside FROM {nodes} UNION ALL SELECT *, id - 1 AS beside FROM {nodes}) AS b ON b.beside = a.id WHERE b.id = a.id + 50 OR b.gy = a.gy"""),
     "buildings": (["nodes"], """SELECT id, x + 8e0 AS x0, x + 24e0 + size % 6 AS x1, y + 8e0 AS y0, y + 24e0 + size % 5 AS y1, CASE WHEN size % 3 = 0 THEN CAST(size AS DOUBLE) WHEN size % 3 = 1 THEN size * 3.3e0 ELSE 12e0 END AS height,
         size % 3 <> 0 AS estimated, size % 3 = 2 AS missing FROM {nodes} WHERE size % 4 <> 0"""),
     "gps": (["events"], """SELECT event_id, user_id, ts, 37.498e0 + ((event_id * 7919) % 1000 - 500) * 2e-6 AS lat, 127.032e0 + ((event_id * 104729) % 1000 - 500) * 1e-6 AS lon, CAST((event_id * 31) % 60 AS DOUBLE) AS acc FROM {events}"""),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import geo, rules, sun, tags
@@ -71,11 +69,12 @@ def edge_shade_by_hulls(spark, sf):
     return both.select(F.col("id").alias("edge_id"), F.round("shade_ratio", 6).alias("shade_ratio"))
 
 
-@query(with_views("edges", "buildings") + ", " + _SHADE_SQL + """ SELECT p.edge_id, count(*) AS candidates, count(*) <= 512 AS within_limit FROM lens_samples AS p JOIN lens_shadows AS b ON p.px BETWEEN b.x0 AND b.x1 + b.vx AND p.py BETWEEN b.y0 AND b.y1 + b.vy GROUP BY 1""")
+@query(with_views("edges", "buildings") + ", " + _SHADE_SQL + """, c AS (SELECT p.edge_id, p.px, p.py, count(*) AS n FROM lens_samples AS p JOIN lens_shadows AS b ON p.px BETWEEN b.x0 AND b.x1 + b.vx AND p.py BETWEEN b.y0 AND b.y1 + b.vy GROUP BY ALL) SELECT edge_id, max(n) AS candidates, max(n) <= 512 AS within_limit FROM c GROUP BY 1""")
 def shadow_candidates(spark, sf):
+    """The most shadow boxes around any sample of an edge; the limit is for each sample."""
     edges = _edges(spark, sf).withColumnRenamed("edge_id", "id").where(~F.col("covered")).select("id", "ax", "ay", "bx", "by", "length")
     counts = shade.candidate_counts(shade.edge_samples(edges), _box_shadows(spark, sf))
-    return counts.groupBy(F.col("id").alias("edge_id")).agg(F.sum("candidates").alias("candidates")).withColumn("within_limit", F.col("candidates") <= shade.MOST_CANDIDATES)
+    return counts.groupBy(F.col("id").alias("edge_id")).agg(F.max("candidates").alias("candidates"), F.bool_and("within_limit").alias("within_limit"))
 
 
 @query(with_views("nodes") + " SELECT id, round((lon - 127.032e0) * (111320e0 * cos(radians(37.498e0))), 6) AS x, round((lat - 37.498e0) * 110540e0, 6) AS y FROM lens_nodes")
@@ -259,13 +258,13 @@ def adjacency(spark, sf):
     return graph.adjacency(policy_edges(spark, sf))
 
 
-@query(with_views("nodes", "ways") + " SELECT DISTINCT node_id FROM lens_ways WHERE node_id % 97 = 5 AND way_id % 3 = 0")
+@query(with_views("nodes", "ways") + " SELECT DISTINCT node_id FROM lens_ways WHERE node_id % 97 = 5")
 def blocked_nodes_referenced(spark, sf):
     blocked = view(spark, sf, "nodes").where("id % 97 = 5").select(F.col("id").alias("node_id"))
     return blocked.join(view(spark, sf, "ways"), "node_id", "left_semi")
 
 
-_PARTS = with_views("edges").replace("WITH ", "WITH RECURSIVE ", 1) + """, k AS (SELECT a, b FROM lens_edges WHERE edge_id % 3 = 0), arcs AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
+_PARTS = with_views("edges").replace("WITH ", "WITH RECURSIVE ", 1) + """, k AS (SELECT a, b FROM lens_edges), arcs AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
     reach(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM arcs UNION SELECT arcs.b, min(r.component) FROM reach AS r JOIN arcs ON r.node = arcs.a JOIN recurring.reach AS o ON o.node = arcs.b WHERE r.component < o.component GROUP BY 1)"""
 
 
@@ -284,7 +283,7 @@ def largest_component(spark, sf):
     return graph.largest_component(_parts(spark, sf))
 
 
-_SNAP = with_views("edges") + """, pts AS (SELECT id AS point_id, x + (id % 31) - 15e0 AS px, y + (id % 29) - 14e0 AS py FROM lens_nodes WHERE id % 3 = 0),
+_SNAP = with_views("edges") + """, pts AS (SELECT id AS point_id, x + (id % 31) - 15e0 AS px, y + (id % 29) - 14e0 AS py FROM lens_nodes),
     c AS (SELECT point_id, edge_id, fallback, px, py, ax, ay, bx, by_, greatest(0e0, least(1e0, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t FROM pts JOIN lens_edges ON px BETWEEN least(ax, bx) - 30 AND greatest(ax, bx) + 30 AND py BETWEEN least(ay, by_) - 30 AND greatest(ay, by_) + 30),
     d AS (SELECT *, sqrt((px - ax - t * (bx - ax)) * (px - ax - t * (bx - ax)) + (py - ay - t * (by_ - ay)) * (py - ay - t * (by_ - ay))) AS distance FROM c),
     b AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance * CASE WHEN fallback THEN 1.5e0 ELSE 1e0 END, edge_id) AS k FROM d WHERE distance <= 30)"""
@@ -330,7 +329,7 @@ def paths(spark, sf):
 
 
 _COSTS = _PAIRS.replace("WITH ", "WITH RECURSIVE ", 1).replace(", p AS", ", lens_edges AS (" + with_views("edges").split("lens_edges AS (", 1)[1] + ", lens_buildings AS (" + with_views("buildings").split("lens_buildings AS (", 1)[1] + ", " + _SHADE_SQL + ", p AS", 1) + """,
-    q AS (SELECT * FROM p WHERE start <> goal AND sqrt((gx - sx) * (gx - sx) + (gy - sy) * (gy - sy)) <= 1500 AND request_id % 200 = 0),
+    q AS (SELECT * FROM p WHERE start <> goal AND sqrt((gx - sx) * (gx - sx) + (gy - sy) * (gy - sy)) <= 3000),
     w AS (SELECT 'shortest' AS mode, 0e0 AS lam UNION ALL SELECT 'balanced', 1e0 UNION ALL SELECT 'maxShade', 3e0),
     c AS (SELECT mode, a, b, direction, length / 1.25e0 * CASE WHEN steps THEN 1.5e0 ELSE 1e0 END * (CASE WHEN fallback THEN 1.5e0 ELSE 1e0 END + lam * (1 - shade)) AS cost FROM lens_edges JOIN lens_ratio USING (edge_id) CROSS JOIN w),
     arcs AS (SELECT mode, a AS src, b AS dst, cost FROM c WHERE direction IN ('both', 'forward') UNION ALL SELECT mode, b, a, cost FROM c WHERE direction IN ('both', 'backward')),
@@ -366,7 +365,7 @@ def _planned(spark, sf):
     labels = graph.components(edges.select("edge_id", "a", "b"), keep)
     edges = edges.join(labels.select(F.col("node_id").alias("a"), "component"), "a")
     r = asked(spark, sf).select("request_id", (F.col("sx") + 11).alias("sx"), (F.col("sy") + 7).alias("sy"), (F.col("gx") + 13).alias("gx"), (F.col("gy") - 4).alias("gy"), (F.col("request_id") % 400 == 0).alias("gps"))
-    far = r.limit(1).select((F.col("request_id") + 1).alias("request_id"), (F.col("sx") - 1e6).alias("sx"), "sy", "gx", "gy", "gps")
+    far = r.orderBy("request_id").limit(1).select((F.col("request_id") + 1).alias("request_id"), (F.col("sx") - 1e6).alias("sx"), "sy", "gx", "gy", "gps")
     return service.plan_routes(r.unionByName(far), edges, view(spark, sf, "nodes"), lambda pieces: shade.edge_shade(pieces, _box_shadows(spark, sf), _in_shadow()))
 
 
@@ -383,8 +382,8 @@ def planned_status(spark, sf):
 _ROWS = "WITH s AS (SELECT user_id AS request_id, event_type AS mode, event_id AS edge_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS seq, value AS length, event_id % 7 = 0 AS steps, (event_id % 101) / 1e2 AS shade FROM events)"
 
 
-@query(_ROWS + """, t AS (SELECT request_id, mode, sum(length / 1.25e0 * CASE WHEN steps THEN 1.5e0 ELSE 1e0 END) AS sec, sum(length) AS m, sum(length / 1.25e0 * CASE WHEN steps THEN 1.5e0 ELSE 1e0 END * (1 - shade)) AS sun, sum(length * shade) AS sh, string_agg(edge_id, ':' ORDER BY seq) AS path_key FROM s GROUP BY 1, 2)
-    SELECT request_id, mode, CAST(floor(sec + 0.5e0) AS BIGINT) AS time_sec, CAST(floor(m + 0.5e0) AS BIGINT) AS length_m, CAST(floor(sun + 0.5e0) AS BIGINT) AS sun_sec, round(floor(sh / m * 1000 + 0.5e0) / 1000, 3) AS shade_ratio, path_key FROM t""")
+@query(_ROWS + """, t AS (SELECT request_id, mode, sum(length / 1.25e0 * CASE WHEN steps THEN 1.5e0 ELSE 1e0 END) AS sec, sum(length) AS m, sum(length / 1.25e0 * CASE WHEN steps THEN 1.5e0 ELSE 1e0 END * (1 - shade)) AS sun, string_agg(edge_id, ':' ORDER BY seq) AS path_key FROM s GROUP BY 1, 2)
+    SELECT request_id, mode, CAST(floor(sec + 0.5e0) AS BIGINT) AS time_sec, CAST(floor(m + 0.5e0) AS BIGINT) AS length_m, CAST(floor(sun + 0.5e0) AS BIGINT) AS sun_sec, round(floor((1 - sun / sec) * 1000 + 0.5e0) / 1000, 3) AS shade_ratio, path_key FROM t""")
 def route_summary(spark, sf):
     from pyspark.sql import Window
 
@@ -395,7 +394,7 @@ def route_summary(spark, sf):
 
 
 @query(with_views("summaries") + """, m AS (SELECT *, CASE WHEN request_id % 7 >= 0.5e0 THEN request_id % 7 ELSE 0 END + (request_id % 3) / 2e0 AS leg FROM (SELECT *, floor(time_sec + 0.5e0) AS ts FROM lens_summaries))
-    SELECT request_id, mode, CAST(floor(time_sec + leg / 1.25e0 + 0.5e0) AS BIGINT) AS time_sec, CAST(floor(length_m + leg + 0.5e0) AS BIGINT) AS length_m, CAST(floor(sun_sec + leg / 1.25e0 + 0.5e0) AS BIGINT) AS sun_sec, round(floor(shade_ratio * length_m / (length_m + leg) * 1000 + 0.5e0) / 1000, 3) AS shade_ratio FROM m""")
+    SELECT request_id, mode, CAST(floor(time_sec + leg / 1.25e0 + 0.5e0) AS BIGINT) AS time_sec, CAST(floor(length_m + leg + 0.5e0) AS BIGINT) AS length_m, CAST(floor(sun_sec + leg / 1.25e0 + 0.5e0) AS BIGINT) AS sun_sec, round(floor((1 - (sun_sec + leg / 1.25e0) / (time_sec + leg / 1.25e0)) * 1000 + 0.5e0) / 1000, 3) AS shade_ratio FROM m""")
 def route_with_connectors(spark, sf):
     s = view(spark, sf, "summaries")
     out = routing.with_access(s, (F.col("request_id") % 7).cast("double"), (F.col("request_id") % 3) / 2.0)

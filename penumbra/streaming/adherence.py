@@ -20,7 +20,7 @@ def normalise(samples: DataFrame) -> DataFrame:
     """Adds valid; a heading that isn't finite becomes null and a missing time is now."""
     ok = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180) & (F.col("acc") >= 0)
     out = samples.withColumn("valid", F.coalesce(ok, F.lit(False))).withColumn("ts", F.coalesce("ts", F.current_timestamp()))
-    return out.withColumn("heading", F.when(~F.isnan("heading"), F.col("heading"))) if "heading" in samples.columns else out
+    return out.withColumn("heading", F.when(F.abs("heading") < float("inf"), F.col("heading"))) if "heading" in samples.columns else out
 
 
 def distance_to_route(lat: Column, lon: Column, route: Column) -> Column:
