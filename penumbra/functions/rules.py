@@ -13,6 +13,14 @@ MODES = {"shortest": (0.0, "빠른길"), "balanced": (1.0, "균형"), "maxShade"
 FAILURE_REASONS = {"ALREADY_NEAR_GOAL": "near_goal", "ROUTE_TOO_LONG": "too_long", "OUTSIDE_SEOUL": "outside_seoul", "ROUTE_DATA_TOO_COMPLEX": "complex_data", "SNAP_FAILED": "off_network", "ROUTE_NOT_FOUND": "off_network"}
 
 
+#: Fixed value: largest circle of accuracy on a map, in metres.
+MOST_CIRCLE_M = 1000.0
+
+
+def accuracy_circle(accuracy: Column) -> Column:
+    return F.least(accuracy, F.lit(MOST_CIRCLE_M))
+
+
 def walk_minutes(seconds: Column) -> Column:
     return F.greatest(F.lit(1), half_up(seconds / 60))
 
@@ -85,6 +93,7 @@ def comparison(is_baseline: Column, time_s: Column, sun_s: Column, base_time_s:
     )
 
 
+# The sentences below and the labels of this module.
 def comparison_sentence(label: Column, c: Column) -> Column:
     plain = F.concat(label, F.lit("의 예상 햇빛 노출은 "), c["sun_min"].cast("string"), F.lit("분이에요."))
     lead = F.when(c["extra_min"] == 0, F.lit("은 빠른길보다 더 걸리지 않고, ")).otherwise(F.concat(F.lit("은 빠른길보다 "), c["extra_min"].cast("string"), F.lit("분 더 걸리고, ")))

@@ -4,3 +4,4 @@ from pyspark.sql import types as T
 
 POINTS = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 STRING = T.StringType()
+STRINGS = T.ArrayType(T.StringType())

@@ -34,6 +34,15 @@ def way_is_valid(flags: Column, nodes: Column, coords: Column) -> Column:
     return flags.between(0, 7) & n.between(2, LIMITS["way_points_per_element"]) & (F.size(coords) == 2 * n) & F.coalesce(lat_ok, F.lit(False))
 
 
+def building_is_valid(height: Column, levels: Column, coords: Column) -> Column:
+    """Of a compact building: three points or more, two numbers a point, within the world; height and levels positive where they are known."""
+    n = (F.size(coords) / 2).cast("int")
+    within = F.forall(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.get(coords, 2 * i).between(-90_000_000, 90_000_000) & F.get(coords, 2 * i + 1).between(-180_000_000, 180_000_000))
+    sized = (F.size(coords) % 2 == 0) & n.between(3, LIMITS["building_points_per_element"])
+    real = F.coalesce((height > 0) & (height <= 1000), F.lit(True)) & F.coalesce((levels > 0) & (levels <= 300), F.lit(True))
+    return F.coalesce(sized & within & real, F.lit(False))
+
+
 def sorted_unique(table: DataFrame, group: str, seq: str, value: str) -> DataFrame:
     """For each list: whether its values strictly rise."""
     order = Window.partitionBy(group).orderBy(seq)

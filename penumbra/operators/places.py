@@ -8,13 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.types import STRING
+from ..functions import tags
+from ..functions.types import STRING, STRINGS
+from ..session import bounded, keep
 
 #: Separators in names and queries, longest query, most results.
 SEPARATORS = r"[\s·.,()\-_/]+"
 MOST_QUERY, MOST_RESULTS, DEFAULT_RESULTS = 100, 50, 8
-#: Queries that one task holds against a partition of the places.
-BLOCK = 256
+#: Fixed value: most characters of a name or an alias.
+MOST_NAME = 120
 #: Labels of the kinds of places.
 KIND_LABELS = {"station": "지하철역", "cafe": "카페", "food": "음식점", "medical": "의료", "education": "교육", "store": "상점", "office": "사무실", "park": "공원", "landmark": "명소", "building": "건물", "address": "주소"}
 
@@ -24,29 +26,73 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(STRINGS)
+def nfkc_all(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda ts: None if ts is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in ts])
+
+
+def as_it_is(text: Column) -> Column:
+    """In place of nfkc for texts that are known to be ASCII."""
+    return text
+
+
 def plain_name(text: Column, compose=nfkc) -> Column:
-    """For comparing names: compatibility form, lower case, no white space. ``compose`` may be skipped for ASCII."""
+    """For comparing names: compatibility form, lower case, no white space. ``compose`` may be as_it_is."""
     return F.lower(F.regexp_replace(compose(text), r"\s+", ""))
 
 
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.regexp_replace(text, SEPARATORS, "")), "역$", "")
+
+
 def plain_query(text: Column, compose=nfkc) -> Column:
     """For searching: also without separators and without a last 역."""
-    return F.regexp_replace(F.lower(F.regexp_replace(compose(text), SEPARATORS, "")), "역$", "")
+    return _plain(compose(text))
 
 
 def query_tokens(text: Column, compose=nfkc) -> Column:
     return F.filter(F.split(F.lower(compose(text)), SEPARATORS), lambda t: t != "")
 
 
+def nameless_station(kind: Column, name: Column) -> Column:
+    """A station whose name has only digits, white space, dots and dashes."""
+    return (kind == "station") & ~name.rlike(r"[^\d\s.\-]")
+
+
+def place_from(elements: DataFrame) -> DataFrame:
+    """Places (id, kind, name, aliases, address, lat, lon, seq) of tagged elements (type, id, tags, lat, lon, seq).
+
+    The name is name:ko, else name, else the address; other names of 120 characters or fewer are aliases, each once.
+    Elements of no kind, without a name or with too long a one, and stations without a real name give none.
+    """
+    t = F.col("tags")
+    address = tags.address(t)
+    name = F.coalesce(tags.raw(t, "name:ko"), tags.raw(t, "name"), address)
+    others = F.array(*(tags.raw(t, k) for k in ("name", "name:en", "alt_name", "short_name", "brand")))
+    shaped = elements.select("type", "id", "lat", "lon", "seq", tags.place_kind(t).alias("kind"), name.alias("n"), others.alias("o"), address.alias("a"))
+    kept = shaped.where(F.col("kind").isNotNull() & (F.trim("n") != "") & (F.length("n") <= MOST_NAME) & ~nameless_station(F.col("kind"), F.col("n")))
+    aliases = F.array_distinct(F.filter("o", lambda x: x.isNotNull() & (x != F.col("n")) & (F.length(x) <= MOST_NAME)))
+    return kept.select(F.concat_ws("-", F.lit("osm"), "type", F.col("id").cast("string")).alias("id"), "kind", F.trim("n").alias("name"), aliases.alias("aliases"), F.nullif("a", F.col("n")).alias("address"), "lat", "lon", "seq")
+
+
 def tidy_places(raw: DataFrame) -> DataFrame:
-    """Names trimmed, empty and repeated aliases dropped, stations of digits alone left out, first of each id kept (by seq)."""
-    named = raw.withColumn("name", F.trim("name")).where((F.length("name") > 0) & (F.length("name") <= 120))
-    named = named.where(~((F.col("kind") == "station") & F.col("name").rlike(r"^\d+$")))
-    aliases = F.array_distinct(F.filter(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), F.trim), lambda a: (a != "") & (a != F.col("name"))))
+    """Names and aliases trimmed, empty aliases dropped, stations without a real name left out, first of each id kept (by seq)."""
+    named = raw.withColumn("name", F.trim("name")).where((F.length("name") > 0) & (F.length("name") <= MOST_NAME))
+    named = named.where(~nameless_station(F.col("kind"), F.col("name")))
+    aliases = F.filter(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.trim(a)), lambda a: a != "")
     first = F.row_number().over(Window.partitionBy("id").orderBy("seq"))
     return named.withColumn("aliases", aliases).withColumn("_k", first).where("_k = 1").drop("_k")
 
 
+def kind_label(kind: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in KIND_LABELS.items() for x in kv)), kind)
+
+
+def description(kind: Column, address: Column) -> Column:
+    """What a result shows below its name: its kind's label, and its address where it has one."""
+    return F.concat_ws(" · ", kind_label(kind), F.nullif(address, F.lit("")))
+
+
 def without_doubles(places: DataFrame, name: Column) -> DataFrame:
     """One place for each normal name (stations) or normal name and position to four places; the first with an address comes first."""
     at = lambda c: F.round(F.col(c), 4).cast("string")
@@ -77,17 +123,47 @@ def match_score(name: Column, aliases: Column, address: Column, query: Column, t
     return F.coalesce(level(name, 0), by_alias, F.when(all_words, 5), level(address, 6))
 
 
+def grams(text: Column) -> Column:
+    """Distinct pairs of neighbouring characters, and the single characters."""
+    n = F.length(text)
+    some = lambda size: F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, size))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(some(2), some(1)))
+
+
+def _wanted_grams(text: Column) -> Column:
+    """Those that whatever contains the text has too: its pairs, or its only character."""
+    return F.filter(grams(text), lambda g: (F.length(g) == 2) | (F.length(text) == 1))
+
+
 def search(places: DataFrame, queries: DataFrame, k: int = DEFAULT_RESULTS, compose=nfkc) -> DataFrame:
     """The best k places of each query (query_id, query): (query_id, rank, id, score), by score, name and id.
 
-    The queries are counted and dealt evenly into blocks of at most BLOCK; each pair of a block and a partition of
-    the places is a task. Only matches leave it, and the last window ranks those of one query.
+    A match contains the query, or in an alias all its words. So places and queries meet on one pair of characters: of
+    the query's (and of its first word's) pairs, the one that the fewest places have. Only these are scored.
+    Plain forms are written once, as they are read several times. Names are in order of their characters' codes, which for Hangul syllables is that of the alphabet.
     """
-    asked = queries.where((F.length("query") <= MOST_QUERY)).select("query_id", plain_query(F.col("query"), compose).alias("q"), F.transform(query_tokens(F.col("query"), compose), lambda t: F.regexp_replace(t, "역$", "")).alias("tokens")).where("q <> ''")
-    blocks = asked.repartition(max(1, -(-asked.count() // BLOCK)))
-    shown = places.select("id", "name", plain_query(F.col("name"), compose).alias("n"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.regexp_replace(F.lower(F.regexp_replace(a, SEPARATORS, "")), "역$", "")).alias("al"), plain_query(F.col("address"), compose).alias("ad"))
-    maybe = F.contains(F.col("n"), F.col("q")) | F.contains(F.coalesce("ad", F.lit("")), F.col("q")) | (F.size("al") > 0)
+    compose_all = as_it_is if compose is as_it_is else nfkc_all
+    asked = queries.where(F.length("query") <= MOST_QUERY).select("query_id", plain_query(F.col("query"), compose).alias("q"), F.transform(query_tokens(F.col("query"), compose), lambda t: F.regexp_replace(t, "역$", "")).alias("tokens")).where("q <> ''")
+    asked = keep(asked)
+    aliases = F.transform(compose_all(F.coalesce("aliases", F.array().cast("array<string>"))), _plain)
+    shown = places.select("id", "name", plain_query(F.col("name"), compose).alias("n"), aliases.alias("al"), plain_query(F.col("address"), compose).alias("ad"))
+    shown = keep(shown)
+    texts = F.concat(F.array("n", F.coalesce("ad", F.lit(""))), "al")
+    held = shown.select("id", F.explode(F.array_distinct(F.flatten(F.transform(texts, grams)))).alias("gram"))
+    first_word = F.when((F.size("tokens") > 1) & F.forall("tokens", lambda t: t != ""), F.get("tokens", F.lit(0)))
+    ways = asked.select("query_id", F.explode(F.array_compact(F.array(F.col("q"), first_word))).alias("text")).distinct()
+    ways = ways.select("query_id", "text", F.explode(_wanted_grams(F.col("text"))).alias("gram"))
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = ways.join(counts, "gram", "left").groupBy("query_id", "text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("g")).where("g.n > 0")
+    lookups = rarest.select("query_id", F.col("g.gram").alias("gram")).distinct()
+    candidates = held.join(bounded(lookups), "gram").select("query_id", "id").distinct()
     score = match_score(F.col("n"), F.col("al"), F.col("ad"), F.col("q"), F.col("tokens"))
-    scored = shown.join(blocks.hint("shuffle_replicate_nl"), maybe & score.isNotNull()).withColumn("score", score)
+    scored = candidates.join(asked, "query_id").join(shown, "id").withColumn("score", score).where("score is not null")
     order = Window.partitionBy("query_id").orderBy("score", "name", "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(k, MOST_RESULTS)).select("query_id", "rank", "id", "score")
+
+
+def exact_choice(results: DataFrame, places: DataFrame, queries: DataFrame, compose=nfkc) -> DataFrame:
+    """(query_id, id): the first result of each query whose name is the query, both in their plain forms."""
+    named = results.join(places.select("id", plain_query(F.col("name"), compose).alias("n")), "id").join(queries.select("query_id", plain_query(F.col("query"), compose).alias("q")), "query_id")
+    return named.where("n = q").groupBy("query_id").agg(F.min_by("id", "rank").alias("id"))

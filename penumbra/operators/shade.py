@@ -63,6 +63,24 @@ def edge_shade(edges: DataFrame, boxes: DataFrame, shaded: Column, cell_m: float
     return edges.join(counts, "id", "left").select("id", (F.coalesce("hits", F.lit(0)) / F.least(F.lit(MOST_SAMPLES), F.greatest(F.lit(1), F.ceil(F.col("length") / SAMPLE_M)))).alias("shade_ratio"))
 
 
+def shade_at(wanted: DataFrame, edges: DataFrame, buildings: DataFrame, suns: DataFrame, shaded: Column, reach_m: float, cell_m: float = 100.0) -> DataFrame:
+    """(id, slot, shade_ratio) of each wanted edge and time slot, once for each pair.
+
+    edges: (id, ax, ay, bx, by, length, covered); buildings: boxes (minx, miny, maxx, maxy, ...); suns: (slot, up, ...), one row for each slot.
+    Covered edges, and all while the sun is down, are in full shade. ``shaded`` tells of a sample (px, py), a building and
+    its slot's sun whether the one lies in the other's shadow; shadows are never longer than ``reach_m``, so a sample
+    meets only the buildings that near, by grid cell.
+    """
+    pairs = wanted.select("id", "slot").distinct().join(edges, "id").join(suns, "slot")
+    full = F.col("covered") | ~F.col("up")
+    lit = pairs.where(~full).withColumnRenamed("id", "edge").withColumn("id", F.struct("edge", "slot"))
+    grown = buildings.withColumns({"_x0": F.col("minx") - reach_m, "_y0": F.col("miny") - reach_m, "_x1": F.col("maxx") + reach_m, "_y1": F.col("maxy") + reach_m})
+    hits = points_in_boxes(edge_samples(lit), grown, cell_m, box=("_x0", "_y0", "_x1", "_y1"), how="left_semi", when=shaded).groupBy("edge", F.col("slot").alias("at")).agg(F.count("*").alias("hits"))
+    n = F.least(F.lit(MOST_SAMPLES), F.greatest(F.lit(1), F.ceil(F.col("length") / SAMPLE_M)))
+    counted = pairs.join(hits, (F.col("id") == F.col("edge")) & (F.col("slot") == F.col("at")), "left").select("id", "slot", F.when(full, 1.0).otherwise(F.coalesce("hits", F.lit(0)) / n).alias("shade_ratio"))
+    return counted
+
+
 def polygon_shade(edges: DataFrame, shadows: DataFrame, cell_m: float = 25.0) -> DataFrame:
     """Edge shade against shadow polygons (hull and box): a point counts as shaded inside any of them."""
     return edge_shade(edges, shadows.select("hull", "minx", "miny", "maxx", "maxy"), geo.in_ring(F.col("px"), F.col("py"), F.col("hull")), cell_m)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, rules, tags
-from ..operators import guards, places, sequence, tiles
+from ..operators import boundary, graph, guards, places, sequence, tiles
 from ..session import ship_package
 from ..sources import readers, writers
 from ..streaming import adherence
@@ -100,14 +100,10 @@ _PLAIN = "lower(regexp_replace(name, '\\s+', '', 'g'))"
 _QUERY = "lower(regexp_replace({}, '[\\s·.,()\\-_/]+', '', 'g'))"
 
 
-def _ascii(text):
-    return text
-
-
 @query(with_views("places") + f""", k AS (SELECT *, CASE WHEN kind = 'station' THEN 'station:' || {_PLAIN} ELSE {_PLAIN} || ':' || CAST(round(lat, 4) AS VARCHAR) || ':' || CAST(round(lon, 4) AS VARCHAR) END AS key FROM lens_places),
     r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY address IS NULL, seq) AS n FROM k) SELECT id, kind, name FROM r WHERE n = 1""")
 def place_dedupe(spark, sf):
-    return places.without_doubles(_places(spark, sf), places.plain_name(F.col("name"), _ascii)).select("id", "kind", "name")
+    return places.without_doubles(_places(spark, sf), places.plain_name(F.col("name"), places.as_it_is)).select("id", "kind", "name")
 
 
 _QUOTAS = {"station": 40, "food": 25, "cafe": 10}
@@ -128,12 +124,34 @@ def place_quota(spark, sf):
 def place_search_batch(spark, sf):
     """The names of all places whose key is divisible by 20, against all places."""
     p = _places(spark, sf)
-    return places.search(p, p.where("seq % 20 = 0").select(F.col("seq").alias("query_id"), F.col("name").alias("query")), compose=_ascii)
+    return places.search(p, p.where("seq % 20 = 0").select(F.col("seq").alias("query_id"), F.col("name").alias("query")), compose=places.as_it_is)
+
+
+@query(with_views("places") + f""", q AS (SELECT seq AS query_id, {_QUERY.format("name")} AS q FROM lens_places WHERE seq % 20 = 0), p AS (SELECT id, name, {_QUERY.format("name")} AS n FROM lens_places),
+    r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY name, id) AS k FROM q JOIN p ON n = q) SELECT query_id, id FROM r WHERE k = 1""")
+def place_exact_choice(spark, sf):
+    """What Enter chooses for each searched name: the first result of that name."""
+    p = _places(spark, sf)
+    asked = p.where("seq % 20 = 0").select(F.col("seq").alias("query_id"), F.col("name").alias("query"))
+    return places.exact_choice(places.search(p, asked, compose=places.as_it_is), p, asked, places.as_it_is)
+
+
+@query(with_views("places") + """ SELECT id, CASE kind WHEN 'station' THEN '지하철역' WHEN 'food' THEN '음식점' WHEN 'cafe' THEN '카페' WHEN 'store' THEN '상점' ELSE '건물' END || CASE WHEN address IS NULL THEN '' ELSE ' · ' || address END AS description FROM lens_places""")
+def place_descriptions(spark, sf):
+    return view(spark, sf, "places").select("id", places.description(F.col("kind"), F.col("address")).alias("description"))
+
+
+@query(_PT + """, k AS (SELECT id, name, address, CASE WHEN railway = 'station' THEN 'station' WHEN amenity = 'cafe' THEN 'cafe' WHEN amenity = 'restaurant' THEN 'food' WHEN amenity = 'clinic' THEN 'medical' WHEN shop IS NOT NULL THEN 'store' WHEN address IS NOT NULL THEN 'address' END AS kind, coalesce(name, address) AS n FROM a WHERE name IS NOT NULL OR address IS NOT NULL)
+    SELECT 'osm-node-' || id AS id, kind, trim(n) AS name, CASE WHEN address <> n THEN address END AS address, 0 AS n_aliases FROM k WHERE kind IS NOT NULL AND NOT (kind = 'station' AND NOT regexp_matches(n, '[^\\d\\s.-]'))""")
+def place_records(spark, sf):
+    """Places made of tagged elements."""
+    e = _place_tags(spark, sf).select(F.lit("node").alias("type"), "id", "tags", F.lit(37.5).alias("lat"), F.lit(127.0).alias("lon"), F.col("id").alias("seq"))
+    return places.place_from(e).select("id", "kind", "name", "address", F.size("aliases").alias("n_aliases"))
 
 
 @query(with_views("places") + f" SELECT id, CASE WHEN {_QUERY.format('name')} = 'market1' THEN 0 WHEN starts_with({_QUERY.format('name')}, 'market1') THEN 1 ELSE 2 END AS score FROM lens_places WHERE contains({_QUERY.format('name')}, 'market1') ORDER BY score, name, id LIMIT 8")
 def place_search_topk(spark, sf):
-    p = _places(spark, sf).select("id", "name", places.plain_query(F.col("name"), _ascii).alias("n"))
+    p = _places(spark, sf).select("id", "name", places.plain_query(F.col("name"), places.as_it_is).alias("n"))
     score = places.match_score(F.col("n"), F.array().cast("array<string>"), F.lit(None).cast("string"), F.lit("market1"), F.array().cast("array<string>"))
     return p.withColumn("score", score).where("score is not null").orderBy("score", "name", "id").limit(places.DEFAULT_RESULTS).select("id", "score")
 
@@ -165,6 +183,64 @@ def tile_owner_buildings(spark, sf):
     return tiles.owner_tile(b).select("id", "tile_x", "tile_y")
 
 
+_BOX = [(37.4915, 127.0215), (37.4915, 127.0335), (37.4975, 127.0335), (37.4975, 127.0215)]
+_IN_BOX = "({lat} > 37.4915e0 AND {lat} < 37.4975e0 AND {lon} > 127.0215e0 AND {lon} < 127.0335e0)"
+
+
+@query(with_views("nodes", "ways") + f", p AS (SELECT way_id, avg(lat) AS lat, avg(lon) AS lon, bool_or({_IN_BOX.format(lat='lat', lon='lon')}) AS touched FROM lens_ways AS w JOIN lens_nodes AS n ON n.id = w.node_id GROUP BY 1) SELECT way_id, touched OR {_IN_BOX.format(lat='lat', lon='lon')} AS inside FROM p")
+def ways_inside(spark, sf):
+    """Ways of which the vertex mean or any point lies in a given area."""
+    corner = lambda lat, lon: F.struct(F.lit(lat).alias("lat"), F.lit(lon).alias("lon"))
+    n = view(spark, sf, "nodes").select(F.col("id").alias("node_id"), "lat", "lon")
+    w = view(spark, sf, "ways").join(n, "node_id").groupBy("way_id").agg(F.collect_list(F.struct("lat", "lon")).alias("points"))
+    return tiles.ways_inside(w, F.array(F.array(F.array(*(corner(*c) for c in _BOX))))).select("way_id", "inside")
+
+
+@query(_TAGS + """, x AS (SELECT f.*, id % 5 AS kind, id % 3 = 0 AS building, id % 11 AS n_points, CASE WHEN id % 13 = 0 THEN 0 ELSE id % 11 END AS n_found, id % 7 <> 0 AS inside, id % 2 = 0 AS owner,
+        known AND coalesce(sac_scale, '') <> 'alpine_hiking' AND open AND NOT (road AND NOT room AND coalesce(sidewalk IN ('no', 'separate'), false)) AND direction IS NOT NULL AS walk FROM f),
+    y AS (SELECT *, kind > 1 AND (known OR building) AS used, n_points > 0 AND n_found = n_points AS whole FROM x)
+    SELECT count(*) AS parsed, count(*) FILTER (kind < 2 AND inside) AS kept_nodes, count(*) FILTER (used AND whole AND inside AND walk AND n_points >= 2) AS walkways, count(*) FILTER (used AND whole AND inside AND building AND n_points >= 3 AND owner) AS buildings, count(*) FILTER (used AND NOT whole) AS missing_geometry FROM y""")
+def build_stats(spark, sf):
+    """Counters of a build over tagged elements: two in five are nodes, the others ways of up to ten points."""
+    t, k = tagged(spark, sf), F.col("id")
+    e = t.select(
+        F.when(k % 5 < 2, "node").otherwise("way").alias("type"), (k % 7 != 0).alias("in_bounds"), tags.supported(F.col("tags")).alias("candidate"), tags.walkable(F.col("tags")).alias("walkable"), (k % 3 == 0).alias("is_building"),
+        (k % 11).alias("n_points"), F.when(k % 13 == 0, 0).otherwise(k % 11).alias("n_found"), (k % 7 != 0).alias("inside"), (k % 2 == 0).alias("owner_inside"))
+    return tiles.build_stats(e)
+
+
+_WAY_EDGES = _TAGS + """, t AS (SELECT id AS way_id, highway = 'steps' AS steps, coalesce(tunnel <> 'no', false) AS covered, fallback, direction, known AND coalesce(sac_scale, '') <> 'alpine_hiking' AND open AND NOT (road AND NOT room AND coalesce(sidewalk IN ('no', 'separate'), false)) AND direction IS NOT NULL AS walk, id % 17 = 3 AS excluded FROM f),
+    p AS (SELECT way_id, seq, node_id, lat + (way_id % 3) * 1e-6 AS lat, lon FROM lens_ways AS w JOIN lens_nodes AS n ON n.id = w.node_id),
+    s AS (SELECT way_id * 1024 + seq - 1 AS edge_id, way_id, node_id AS a, lead(node_id) OVER o AS b, lat AS alat, lon AS alon, lead(lat) OVER o AS blat, lead(lon) OVER o AS blon FROM p WINDOW o AS (PARTITION BY way_id ORDER BY seq)),
+    g AS (SELECT s.*, t.steps, t.covered, t.fallback, t.direction FROM s JOIN t USING (way_id) WHERE walk AND NOT excluded AND b IS NOT NULL AND a <> b AND a % 97 <> 5 AND b % 97 <> 5),
+    u AS (SELECT a AS node_id, edge_id * 2 AS k, alat AS lat, alon AS lon FROM g UNION ALL SELECT b, edge_id * 2 + 1, blat, blon FROM g),
+    c AS (SELECT node_id, (lon - 127.032e0) * (111320e0 * cos(radians(37.498e0))) AS x, (lat - 37.498e0) * 110540e0 AS y FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY k) AS r FROM u) WHERE r = 1),
+    e AS (SELECT g.*, sqrt((m.x - n.x) * (m.x - n.x) + (m.y - n.y) * (m.y - n.y)) AS length FROM g JOIN c AS n ON n.node_id = a JOIN c AS m ON m.node_id = b)"""
+
+
+def _tagged_ways(spark, sf):
+    """Ways with points, whose coordinates differ a little from way to way, and what their tags say."""
+    n = view(spark, sf, "nodes").select(F.col("id").alias("node_id"), "lat", "lon")
+    point = F.struct("seq", F.struct("node_id", (F.col("lat") + (F.col("way_id") % 3) * 1e-6).alias("lat"), "lon").alias("p"))
+    w = view(spark, sf, "ways").join(n, "node_id").groupBy("way_id").agg(F.transform(F.sort_array(F.collect_list(point)), lambda x: x["p"]).alias("points"))
+    t, tag = tagged(spark, sf).withColumnRenamed("id", "way_id"), F.col("tags")
+    return w.join(t, "way_id").select("way_id", F.col("way_id").alias("way_seq"), "points", tags.walkable(tag).alias("walkable"), tags.direction(tag).alias("direction"), tags.covered(tag).alias("covered"), tags.equals(tags.raw(tag, "highway"), "steps").alias("steps"), tags.fallback(tag).alias("fallback"))
+
+
+@query(_WAY_EDGES.replace(_TAGS, with_views("tags", "ways", "nodes") + _TAGS[len(with_views("tags")):]) + " SELECT edge_id, way_id, a, b, round(length, 6) AS length, steps, covered, fallback, direction FROM e WHERE length > 0")
+def way_edges(spark, sf):
+    """Edges made of tagged ways and their nodes."""
+    w = _tagged_ways(spark, sf)
+    blocked = view(spark, sf, "nodes").where("id % 97 = 5").select(F.col("id").alias("node_id"))
+    return graph.way_edges(w, w.where("way_id % 17 = 3").select("way_id"), blocked).select("edge_id", "way_id", "a", "b", F.round("length", 6).alias("length"), "steps", "covered", "fallback", "direction")
+
+
+@query(_WAY_EDGES.replace(_TAGS, with_views("tags", "ways", "nodes") + _TAGS[len(with_views("tags")):]) + ", r AS (SELECT CASE WHEN excluded THEN 'excluded' WHEN NOT walk THEN 'unwalkable' END AS reason FROM t WHERE way_id IN (SELECT way_id FROM lens_ways)) SELECT reason, count(*) AS n_ways FROM r WHERE reason IS NOT NULL GROUP BY 1")
+def way_skips(spark, sf):
+    w = _tagged_ways(spark, sf)
+    return graph.skipped_ways(w, w.where("way_id % 17 = 3").select("way_id"))
+
+
 _CATALOGUE = f"cat AS (SELECT tile_x || '-' || tile_y AS tile_id, tile_x / 32768e0 * 360e0 - 180e0 AS west, (tile_x + 1) / 32768e0 * 360e0 - 180e0 AS east, degrees(atan(sinh(pi() * (1e0 - 2e0 * tile_y / 32768e0)))) AS north, degrees(atan(sinh(pi() * (1e0 - 2e0 * (tile_y + 1) / 32768e0)))) AS south, n * 40000 AS bytes FROM (SELECT {_TX.format('lon')} AS tile_x, {_TY.format('lat')} AS tile_y, count(*) AS n FROM lens_nodes GROUP BY ALL))"
 
 
@@ -311,9 +387,9 @@ def weather_symbol(spark, sf):
     return view(spark, sf, "weather").select("event_id", rules.weather_symbol(F.col("code"), F.col("is_day")).alias("symbol"))
 
 
-@query(with_views("feedback") + " SELECT id, CASE WHEN verdict IN ('good', 'mid', 'bad') AND length(memo) <= 500 THEN 'OK' ELSE 'INVALID_FEEDBACK' END AS status FROM lens_feedback")
+@query(with_views("feedback") + " SELECT id, CASE WHEN verdict IN ('good', 'mid', 'bad') AND length(memo) <= 500 AND length(repeat(path_key, 25)) <= 60 THEN 'OK' ELSE 'INVALID_FEEDBACK' END AS status FROM lens_feedback")
 def feedback_valid(spark, sf):
-    return view(spark, sf, "feedback").select("id", writers.feedback_status(F.col("memo"), F.lit(None).cast("string"), F.col("verdict")).alias("status"))
+    return view(spark, sf, "feedback").select("id", writers.feedback_status(F.col("memo"), F.repeat("path_key", 25), F.col("verdict")).alias("status"))
 
 
 @query(with_views("feedback") + ", r AS (SELECT id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, id) AS day_rank FROM lens_feedback) SELECT id, day_rank FROM r WHERE day_rank <= 100")
@@ -363,6 +439,25 @@ def location_fix_status(spark, sf):
     return g.select("event_id", readers.fix_status(lat, F.col("lon"), accuracy, F.col("event_id") % 9 != 0).alias("status"))
 
 
+@query(with_views("gps") + " SELECT event_id, least(acc * 40, 1000e0) AS radius_m FROM lens_gps")
+def accuracy_circles(spark, sf):
+    return view(spark, sf, "gps").select("event_id", rules.accuracy_circle(F.col("acc") * 40).alias("radius_m"))
+
+
+@query("SELECT DISTINCT l_suppkey % 50 AS tile_id, l_orderkey AS id FROM lineitem")
+def legacy_tile_elements(spark, sf):
+    li = view(spark, sf, "lineitem").select((F.col("l_suppkey") % 50).alias("tile_id"), F.col("l_orderkey").alias("id"))
+    return writers.legacy_tiles(li)
+
+
+@query("SELECT 'doc-' || doc_id AS name, 'drifted' AS problem FROM documents WHERE doc_id % 7 = 0 AND octet_length(encode(text)) > 1000 AND doc_id % 5 <> 0 UNION ALL SELECT 'doc-' || doc_id, 'missing' FROM documents WHERE doc_id % 5 = 0 AND text IS NOT NULL")
+def artifact_drift(spark, sf):
+    """Texts that came out otherwise than their source gives, or not at all."""
+    d = view(spark, sf, "documents").where("text is not null").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("content"))
+    cut = F.when((F.col("doc_id") % 7 == 0) & (F.octet_length("content") > 1000), F.left("content", F.lit(10))).otherwise(F.col("content"))
+    return boundary.drifted(d.where("doc_id % 5 <> 0").select("name", cut.alias("content")), d)
+
+
 @query("SELECT max(event_id) AS event_id, user_id FROM events GROUP BY user_id")
 def latest_request_wins(spark, sf):
     e = view(spark, sf, "events").select("user_id", "event_id", F.col("event_id").alias("request_seq"))

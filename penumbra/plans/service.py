@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import graph, routing
 from ..operators.spatial import points_near_segments
-from ..session import ship_package
+from ..session import keep, ship_package
 
 #: Ids of a request's own two nodes on the network.
 START, GOAL = -1, -2
+#: Legs of one request, of which there is one for each component near both ends, are numbered below this.
+MOST_LEGS = 1024
 
 
 def legs(requests: DataFrame, edges: DataFrame) -> DataFrame:
@@ -27,7 +29,9 @@ def legs(requests: DataFrame, edges: DataFrame) -> DataFrame:
     cost = F.col("distance") * F.when(F.col("fallback"), graph.FALLBACK_PENALTY).otherwise(1.0)
     best = scored.groupBy("request_id", "which", "component").agg(F.min_by(F.struct("edge_id", "t", "x", "y", "distance"), F.struct(cost, "edge_id")).alias("s"))
     side = lambda which: best.where(F.col("which") == which).select("request_id", "component", F.col("s").alias(which))
-    return side("start").join(side("goal"), ["request_id", "component"]).withColumn("leg_id", F.xxhash64("request_id", "component"))
+    both = side("start").join(side("goal"), ["request_id", "component"])
+    k = F.row_number().over(Window.partitionBy("request_id").orderBy("component"))  # no more than components of the graph
+    return both.withColumn("leg_id", F.col("request_id") * MOST_LEGS + F.when(k < MOST_LEGS, k).otherwise(F.raise_error(F.lit("too many components"))))
 
 
 def access_arcs(both: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,27 +59,48 @@ def access_arcs(both: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("long") for c in ("src", "dst")})
 
 
-def plan_routes(requests: DataFrame, edges: DataFrame, nodes: DataFrame, piece_shade) -> tuple[DataFrame, DataFrame]:
-    """(routes, status): a row for each routed request and mode, and one with the outcome of each request.
+def lat_lon_segments(taken: DataFrame, edges: DataFrame, own: DataFrame, access: DataFrame) -> DataFrame:
+    """(leg_id, mode, seq, from_lat, .., to_lon, shade, covered, steps, connector) of the taken paths, with the straight legs at both ends.
+
+    taken: ordered edges of paths; own: directed pieces of single legs; access: (leg_id, first_m, last_m, and the ends' coordinates).
+    """
+    ahead = F.col("from_node") == F.col("a")
+    way = lambda p, q: F.when(ahead, F.col(p)).otherwise(F.col(q))
+    flags = ["shade", "covered", "steps"]
+    on_edges = taken.join(edges.select("edge_id", "a", "ax", "ay", "bx", "by", "length", *flags), "edge_id").select("request_id", "mode", "seq", way("ax", "bx").alias("fx"), way("ay", "by").alias("fy"), way("bx", "ax").alias("tx"), way("by", "ay").alias("ty"), "length", *flags)
+    on_pieces = taken.join(own, ["request_id", "edge_id"]).select("request_id", "mode", "seq", F.col("sx").alias("fx"), F.col("sy").alias("fy"), F.col("dx").alias("tx"), F.col("dy").alias("ty"), "length", *flags)
+    walked = on_edges.unionByName(on_pieces).where("length > 0").select(F.col("request_id").alias("leg_id"), "mode", "seq", "fx", "fy", "tx", "ty", *flags, F.lit(False).alias("connector"))
+    modes = taken.groupBy(F.col("request_id").alias("leg_id"), "mode").agg((F.max("seq") + 1).alias("after"))
+    ends = modes.join(access, "leg_id")
+    straight = lambda metres, seq, *xy: ends.where(F.col(metres) >= routing.LEAST_ACCESS_M).select("leg_id", "mode", seq.cast("int").alias("seq"), *(F.col(c).alias(n) for c, n in zip(xy, ("fx", "fy", "tx", "ty"))), F.lit(0.0).alias("shade"), F.lit(False).alias("covered"), F.lit(False).alias("steps"), F.lit(True).alias("connector"))
+    every = walked.unionByName(straight("first_m", F.lit(-1), "px", "py", "x0", "y0")).unionByName(straight("last_m", F.col("after"), "x1", "y1", "qx", "qy"))
+    degrees = {"from_lat": geo.to_lat(F.col("fy")), "from_lon": geo.to_lon(F.col("fx")), "to_lat": geo.to_lat(F.col("ty")), "to_lon": geo.to_lon(F.col("tx"))}
+    return every.select("leg_id", "mode", "seq", *(c.alias(n) for n, c in degrees.items()), *flags, "connector")
+
+
+def plan_routes(requests: DataFrame, edges: DataFrame, nodes: DataFrame, piece_shade) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(routes, status, segments): a row for each routed request and mode, the outcome of each request, and the routes' ordered segments.
 
     Of the components that both ends reach, the one with the least length (steps and fallback roads
     weighed) and access counts. ``piece_shade`` gives (id, shade_ratio) for pieces of edges; all edges
     come with their shade. An end too far from the network, or no way between the ends, is a status.
     """
     ship_package(requests.sparkSession)
-    both = legs(requests, edges)
+    both = keep(legs(requests, edges))
     arcs = access_arcs(both, edges)
     named = arcs.withColumn("id", F.concat_ws(":", "request_id", "edge_id"))
     ratio = piece_shade(named.where("not covered").select("id", F.col("sx").alias("ax"), F.col("sy").alias("ay"), F.col("dx").alias("bx"), F.col("dy").alias("by"), "length"))
-    arcs = named.join(ratio, "id", "left").withColumn("shade", F.when(F.col("covered"), 1.0).otherwise(F.coalesce("shade_ratio", F.lit(0.0)))).drop("id", "shade_ratio", "covered")
+    arcs = named.join(ratio, "id", "left").withColumn("shade", F.when(F.col("covered"), 1.0).otherwise(F.coalesce("shade_ratio", F.lit(0.0)))).drop("id", "shade_ratio")
+    arcs = keep(arcs)  # both tables are read many times
     same_place = (F.col("start.edge_id") == F.col("goal.edge_id")) & (F.abs(F.col("start.t") - F.col("goal.t")) <= graph.SAME_T)
     asked = both.where(~same_place).select(F.col("leg_id").alias("request_id"), F.lit(START).cast("long").alias("start"), F.lit(GOAL).cast("long").alias("goal"), F.col("start.x").alias("sx"), F.col("start.y").alias("sy"), F.col("goal.x").alias("gx"), F.col("goal.y").alias("gy"))
-    paths = routing.route_paths(asked, edges, nodes, extra=arcs)
-    access = both.select("leg_id", F.col("request_id").alias("asked_id"), F.col("start.distance").alias("first_m"), F.col("goal.distance").alias("last_m"))
+    paths = keep(routing.route_paths(asked, edges, nodes, extra=arcs.drop("covered")))  # searched once for routes, status and segments
+    ends = requests.select("request_id", F.col("sx").alias("px"), F.col("sy").alias("py"), F.col("gx").alias("qx"), F.col("gy").alias("qy"))
+    access = both.join(ends, "request_id").select("leg_id", F.col("request_id").alias("asked_id"), F.col("start.distance").alias("first_m"), F.col("goal.distance").alias("last_m"), F.col("start.x").alias("x0"), F.col("start.y").alias("y0"), F.col("goal.x").alias("x1"), F.col("goal.y").alias("y1"), "px", "py", "qx", "qy")
     previews = paths.where("mode = 'shortest' and seq = 0").join(access, F.col("request_id") == F.col("leg_id")).select("leg_id", "asked_id", (F.col("cost") * routing.SPEED + F.col("first_m") + F.col("last_m")).alias("preview"))
     chosen = previews.groupBy("asked_id").agg(F.min_by("leg_id", F.struct("preview", "leg_id")).alias("leg_id"))
     parts = edges.select("edge_id", "length", "steps", "shade")
-    own = arcs.select("request_id", "edge_id", "length", "steps", "shade").dropDuplicates(["request_id", "edge_id"])
+    own = arcs.select("request_id", "edge_id", "length", "steps", "shade", "covered", "sx", "sy", "dx", "dy").dropDuplicates(["request_id", "edge_id"])
     taken = paths.join(chosen.select("leg_id"), F.col("request_id") == F.col("leg_id"), "left_semi")
     on_edges = taken.join(parts, "edge_id")
     on_pieces = taken.join(own, ["request_id", "edge_id"])
@@ -88,7 +113,11 @@ def plan_routes(requests: DataFrame, edges: DataFrame, nodes: DataFrame, piece_s
     found = clamped.groupBy("request_id").agg(F.max("status").alias("route_status"))
     outcome = requests.select("request_id").join(snapped, "request_id", "left").join(found, "request_id", "left")
     status = F.when(F.col("near_goal").isNull(), "SNAP_FAILED").when(F.col("near_goal"), "ALREADY_NEAR_GOAL").when(F.col("route_status").isNull(), "ROUTE_NOT_FOUND").otherwise(F.col("route_status"))
-    return clamped.where("status = 'OK'").drop("status"), outcome.select("request_id", status.alias("status"))
+    # A route that is too long shows the shortest one's segments.
+    shown = clamped.where("status = 'OK'").select("request_id", "mode").join(routes.select("request_id", "mode", F.when(F.col("length_m") > routing.LONGEST_M, "shortest").otherwise(F.col("mode")).alias("walked")), ["request_id", "mode"])
+    segments = lat_lon_segments(taken, edges, own, access).join(access.select("leg_id", F.col("asked_id").alias("request_id")), "leg_id").drop("leg_id").withColumnRenamed("mode", "walked")
+    segments = segments.join(shown, ["request_id", "walked"]).drop("walked")
+    return clamped.where("status = 'OK'").drop("status"), outcome.select("request_id", status.alias("status")), segments
 
 
 def rank_routes(routes: DataFrame, preferred: str = "balanced") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, rules, sun, tags
-from ..operators import boundary, graph, guards, routing, shade
+from ..operators import boundary, graph, guards, routing, sequence, shade
 from ..operators.spatial import points_near_segments
 from ..session import keep, ship_package
 from . import service
@@ -208,6 +208,34 @@ def sun_state_by_slot(spark, sf):
     return s.select("slot", F.round("s.altitude", 7).alias("altitude"), F.round("s.dx", 7).alias("dx"), F.round("s.dy", 7).alias("dy"), F.col("s.up").alias("up"), length.alias("shadow_m"))
 
 
+def _at_slots(spark, sf):
+    """Each event asks for one edge at its time."""
+    n = view(spark, sf, "nodes").count()
+    return view(spark, sf, "events").select((F.col("event_id") % (2 * n)).alias("id"), sun.time_slot(F.unix_millis(F.col("ts").cast("timestamp"))).alias("slot"))
+
+
+@query(with_views("edges", "buildings") + _SUN_SQL + """, u AS (SELECT slot, alt > 0.02e0 AS up, CASE WHEN alt > 0.02e0 THEN 1e0 / tan(alt) END AS lpm, sin(az) AS dx, cos(az) AS dy FROM a),
+    w AS (SELECT DISTINCT event_id % (2 * (SELECT count(*) FROM lens_nodes)) AS edge_id, CAST(floor(epoch_ms(ts) / 900000e0) AS BIGINT) AS slot FROM events),
+    p AS (SELECT *, CAST(least(100, greatest(1, ceil(length / 1e1))) AS INT) AS n FROM w JOIN lens_edges USING (edge_id) JOIN u USING (slot)),
+    q AS (SELECT edge_id, slot, lpm, dx, dy, ax + (bx - ax) * ((i + 0.5e0) / n) AS px, ay + (by_ - ay) * ((i + 0.5e0) / n) AS py FROM p, unnest(generate_series(0, n - 1)) AS s(i) WHERE up AND NOT covered),
+    v AS (SELECT q.*, x0, x1, y0, y1, least(height * lpm, 200e0) * dx AS vx, least(height * lpm, 200e0) * dy AS vy FROM q JOIN lens_buildings ON px BETWEEN x0 - 200 AND x1 + 200 AND py BETWEEN y0 - 200 AND y1 + 200),
+    h AS (SELECT edge_id, slot, count(DISTINCT (px, py)) AS hits FROM v WHERE greatest(0e0, least((px - x0) / vx, (px - x1) / vx), least((py - y0) / vy, (py - y1) / vy)) <= least(1e0, greatest((px - x0) / vx, (px - x1) / vx), greatest((py - y0) / vy, (py - y1) / vy)) GROUP BY 1, 2)
+    SELECT edge_id, slot, round(CASE WHEN covered OR NOT up THEN 1e0 ELSE coalesce(hits, 0) / CAST(n AS DOUBLE) END, 6) AS shade_ratio FROM p LEFT JOIN h USING (edge_id, slot)""")
+def edge_shade_by_slot(spark, sf):
+    """Shade of edges at the time they are asked for; the sun of each time slot is worked out once."""
+    wanted = _at_slots(spark, sf)
+    s = wanted.select("slot").distinct().withColumn("s", sun.sun_state(F.col("slot") * sun.SLOT_MS, geo.CENTRE_LAT, geo.CENTRE_LON))
+    suns = s.select("slot", F.col("s.up").alias("up"), F.col("s.length_per_metre").alias("lpm"), F.col("s.dx").alias("dx"), F.col("s.dy").alias("dy"))
+    b = view(spark, sf, "buildings").select(F.col("x0").alias("minx"), F.col("x1").alias("maxx"), F.col("y0").alias("miny"), F.col("y1").alias("maxy"), "height")
+    reach = sun.shadow_length(F.col("height"), F.col("lpm"))
+    share = lambda p, a, v: (F.col(p) - F.col(a)) / (reach * F.col(v))
+    enter = F.greatest(F.lit(0.0), F.least(share("px", "minx", "dx"), share("px", "maxx", "dx")), F.least(share("py", "miny", "dy"), share("py", "maxy", "dy")))
+    leave = F.least(F.lit(1.0), F.greatest(share("px", "minx", "dx"), share("px", "maxx", "dx")), F.greatest(share("py", "miny", "dy"), share("py", "maxy", "dy")))
+    edges = _edges(spark, sf).withColumnRenamed("edge_id", "id").select("id", "ax", "ay", "bx", "by", "length", "covered")
+    out = shade.shade_at(wanted, edges, b, suns, enter <= leave, sun.LONGEST_M)
+    return out.select(F.col("id").alias("edge_id"), "slot", F.round("shade_ratio", 6).alias("shade_ratio"))
+
+
 @query(with_views("buildings") + " SELECT id, round(height, 6) AS height, estimated, missing, round(least(height * 0.5136733851243347e0, 200e0), 6) AS shadow_m FROM lens_buildings")
 def building_heights(spark, sf):
     key = F.when(F.col("size") % 3 == 0, F.lit("height")).when(F.col("size") % 3 == 1, F.lit("building:levels")).otherwise(F.lit("building"))
@@ -314,6 +342,10 @@ def edge_splits(spark, sf):
 
 
 def route_edges(spark, sf):
+    return keep(_route_edges(spark, sf))
+
+
+def _route_edges(spark, sf):
     return view(spark, sf, "edges").join(shaded_edges(spark, sf), "edge_id").select("edge_id", "a", "b", "length", "steps", "fallback", "direction", "shade")
 
 
@@ -361,10 +393,10 @@ def route_bundles(spark, sf):
 
 def _planned(spark, sf):
     """Requests between places beside the network, by the whole chain of operators."""
-    edges = _edges(spark, sf).join(shaded_edges(spark, sf), "edge_id")
+    edges = keep(_edges(spark, sf).join(shaded_edges(spark, sf), "edge_id"))
     labels = graph.components(edges.select("edge_id", "a", "b"), keep)
-    edges = edges.join(labels.select(F.col("node_id").alias("a"), "component"), "a")
-    r = asked(spark, sf).select("request_id", (F.col("sx") + 11).alias("sx"), (F.col("sy") + 7).alias("sy"), (F.col("gx") + 13).alias("gx"), (F.col("gy") - 4).alias("gy"), (F.col("request_id") % 400 == 0).alias("gps"))
+    edges = keep(edges.join(labels.select(F.col("node_id").alias("a"), "component"), "a"))
+    r = keep(asked(spark, sf)).select("request_id", (F.col("sx") + 11).alias("sx"), (F.col("sy") + 7).alias("sy"), (F.col("gx") + 13).alias("gx"), (F.col("gy") - 4).alias("gy"), (F.col("request_id") % 400 == 0).alias("gps"))
     far = r.orderBy("request_id").limit(1).select((F.col("request_id") + 1).alias("request_id"), (F.col("sx") - 1e6).alias("sx"), "sy", "gx", "gy", "gps")
     return service.plan_routes(r.unionByName(far), edges, view(spark, sf, "nodes"), lambda pieces: shade.edge_shade(pieces, _box_shadows(spark, sf), _in_shadow()))
 
@@ -379,6 +411,31 @@ def planned_status(spark, sf):
     return _planned(spark, sf)[1]
 
 
+@query()
+def planned_segments(spark, sf):
+    return _planned(spark, sf)[2]
+
+
+def _planned_legs(spark, sf):
+    """The segments of planned routes, in the form of the sequence operators; a request's modes are routes of their own."""
+    s = _planned(spark, sf)[2]
+    modes = F.create_map(*(F.lit(x) for k, m in enumerate(rules.MODES) for x in (m, k)))
+    return s.withColumn("route_id", F.col("request_id") * len(rules.MODES) + modes[F.col("mode")])
+
+
+@query()
+def planned_steps(spark, sf):
+    """Turn-by-turn steps of the planned routes."""
+    return sequence.turn_by_turn(_planned_legs(spark, sf).drop("request_id", "mode").withColumn("goal_name", F.lit("Garden")))
+
+
+@query()
+def planned_ribbon(spark, sf):
+    """Runs of shade, sun and access along the planned routes."""
+    legs = _planned_legs(spark, sf)
+    return sequence.ribbon(legs.withColumn("meters", geo.haversine(*(F.col(c) for c in ("from_lat", "from_lon", "to_lat", "to_lon")))))
+
+
 _ROWS = "WITH s AS (SELECT user_id AS request_id, event_type AS mode, event_id AS edge_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS seq, value AS length, event_id % 7 = 0 AS steps, (event_id % 101) / 1e2 AS shade FROM events)"
 
 

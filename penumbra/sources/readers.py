@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 
+# The fields of the formats.
 OVERPASS = "struct<elements:array<struct<type:string,id:bigint,tags:map<string,string>,nodes:array<bigint>,geometry:array<struct<lat:double,lon:double>>>>>"
 TILE = "struct<schema:int,id:string,w:array<string>,b:array<string>>"
 PLACES = "struct<schema:int,places:array<struct<id:string,name:string,aliases:array<string>,address:string,kind:string,lat:double,lon:double>>>"
@@ -20,9 +21,14 @@ VAGUE_M = 100.0
 
 
 def read_whole(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
-    """(path, bytes, sha256, text) of whole files up to the size cap; the hash is of the content before it is parsed."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= most)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
+    """(path, bytes, sha256, text, status) of whole files; the hash is of the content before it is parsed.
+
+    A file over the size cap keeps its row, with status TOO_LARGE and without hash and text; it isn't read.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    fine = files.where(F.col("length") <= most).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"), F.lit("OK").alias("status"))
+    over = files.where(F.col("length") > most).select("path", F.col("length").alias("bytes"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("string").alias("text"), F.lit("TOO_LARGE").alias("status"))
+    return fine.unionByName(over)
 
 
 def verified(files: DataFrame, declared: DataFrame) -> DataFrame:
@@ -30,8 +36,15 @@ def verified(files: DataFrame, declared: DataFrame) -> DataFrame:
     return files.join(declared, (F.element_at(F.split("path", "/"), -1) == declared["name"]) & (files["sha256"] == declared["sha256"]), "left_semi")
 
 
+def overpass_status(files: DataFrame) -> DataFrame:
+    """(path, status) of map extracts: OK, TOO_LARGE, UNREADABLE (no list of elements), or TOO_MANY_ELEMENTS."""
+    n = F.size(F.from_json("text", OVERPASS)["elements"])
+    bad = F.when(F.coalesce(n, F.lit(-1)) < 0, "UNREADABLE").when(n > MOST_ELEMENTS, "TOO_MANY_ELEMENTS")
+    return files.select("path", F.when(F.col("status") != "OK", F.col("status")).otherwise(F.coalesce(bad, F.lit("OK"))).alias("status"))
+
+
 def overpass(files: DataFrame) -> DataFrame:
-    """Elements of map extracts, with valid = whether the element is within the limits."""
+    """Elements of map extracts whose overpass_status is OK, with valid = whether the element is within the limits."""
     parsed = files.select(F.from_json("text", OVERPASS).alias("d")).where(F.size("d.elements") <= MOST_ELEMENTS)
     e = parsed.select(F.explode("d.elements").alias("e")).select("e.*")
     points_ok = F.forall("geometry", lambda p: p["lat"].between(-90, 90) & p["lon"].between(-180, 180))
@@ -93,7 +106,13 @@ def boundary_rings(geojson: Column) -> Column:
     return F.when(kind == "Polygon", F.array(F.from_json(coordinates, "array<array<array<double>>>"))).when(kind == "MultiPolygon", F.from_json(coordinates, "array<array<array<array<double>>>>")).otherwise(F.raise_error(F.lit("unsupported boundary")))
 
 
+def weather_place(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Coordinates as the weather is asked for: to two places, so that neighbours share an answer."""
+    return F.round(lat, 2), F.round(lon, 2)
+
+
 def weather_ok(w: DataFrame) -> DataFrame:
+    """Adds valid: temperatures, UV index and weather code within their ranges, and day or night known."""
     ok = F.col("temperatureC").between(-60, 60) & F.col("apparentTemperatureC").between(-80, 80) & F.col("uvIndex").between(0, 30) & F.col("isDay").isNotNull() & F.col("weatherCode").between(0, 99)
     return w.withColumn("valid", F.coalesce(ok, F.lit(False)))
 
@@ -114,3 +133,8 @@ def merge_places(defaults: DataFrame, loaded: DataFrame) -> DataFrame:
     rest = [c for c in both.columns if c not in ("id", "seq", "_from")]
     order = F.struct("_from", "seq")
     return both.groupBy("id").agg(F.max_by(F.struct(*rest), order).alias("c"), F.min(order).alias("_at")).select("id", "c.*", "_at")
+
+
+def default_places(spark: SparkSession) -> DataFrame:
+    rows = [(k, n, [], "station", lat, lon, i) for i, (k, n, lat, lon) in enumerate(DEFAULT_PLACES)]
+    return spark.createDataFrame(rows, "id string, name string, aliases array<string>, kind string, lat double, lon double, seq int")

@@ -21,7 +21,11 @@ def write_tiles(elements: DataFrame, path: str, size: Column) -> None:
 
 
 def publish(table: DataFrame, staging: str, target: str, check) -> None:
-    """Write to a staging path, check what is read back, and only then put it in place by a rename."""
+    """Write to a staging path, check what is read back, and only then put it in place by a rename.
+
+    The release before is set aside under the target's name with .before, and comes back if anything fails; after a
+    crash between the renames it is found there.
+    """
     spark: SparkSession = table.sparkSession
     table.write.mode("overwrite").parquet(staging)
     if not check(spark.read.parquet(staging)):
@@ -29,11 +33,26 @@ def publish(table: DataFrame, staging: str, target: str, check) -> None:
     jvm = spark.sparkContext._jvm
     a, b = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(target)
     fs = b.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(b, True)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}.before")
+    fs.delete(aside, True)
+    if fs.exists(b) and not fs.rename(b, aside):
+        raise OSError("the release before could not be put aside")
     if not fs.rename(a, b):
+        fs.rename(aside, b)
         raise OSError("the release could not be put in place")
     if not check(spark.read.parquet(target)):
+        fs.delete(b, True)
+        fs.rename(aside, b)
         raise ValueError("the published release does not verify")
+    fs.delete(aside, True)
+
+
+def legacy_tiles(elements: DataFrame, most: int = 32) -> DataFrame:
+    """Elements (tile_id, id, ...) of the first tile format: each once in a tile; an error if one spans more than ``most`` tiles."""
+    wide = elements.groupBy("id").agg(F.count_distinct("tile_id").alias("n")).where(F.col("n") > most)
+    if not wide.isEmpty():
+        raise ValueError(f"an element spans more than {most} tiles")
+    return elements.dropDuplicates(["tile_id", "id"])
 
 
 def append_events(events: DataFrame, path: str) -> None:

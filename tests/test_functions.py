@@ -49,12 +49,14 @@ def test_blocked_nodes(spark):
     assert [r.b for r in rows.select(tags.blocked(F.col("t")).alias("b")).collect()] == [b for _, b in cases]
 
 
-@pytest.mark.parametrize("before, after, kind", [(0, 10, "straight"), (0, 40, "slight-right"), (0, 90, "right"), (90, 0, "left"), (270, 0, "right"), (0, 180, "uturn-right")])
+@pytest.mark.parametrize("before, after, kind", [
+    (10, 24.9, "straight"), (10, 25, "slight-right"), (24, 9, "slight-left"), (350, 34.9, "slight-right"), (350, 35, "right"), (35, 350, "left"),
+    (5, 164.9, "right"), (5, 165, "uturn-right"), (165, 5, "uturn-left"), (20, 200, "uturn-right")])
 def test_turns(spark, before, after, kind):
     assert one(spark, geo.turn_kind(F.lit(float(before)), F.lit(float(after)))) == kind
 
 
-@pytest.mark.parametrize("uv, risk", [(2.9, "low"), (3, "moderate"), (6, "high"), (8, "very-high"), (11, "extreme")])
+@pytest.mark.parametrize("uv, risk", [(0, "low"), (2.99, "low"), (3.01, "moderate"), (5.99, "moderate"), (6.01, "high"), (7.99, "high"), (8.01, "very-high"), (10.99, "very-high"), (11.01, "extreme")])
 def test_uv(spark, uv, risk):
     assert one(spark, rules.uv_risk(F.lit(float(uv)))) == risk
 

@@ -26,17 +26,24 @@ def test_hull_drops_points_on_sides():
     assert shade.hull([(1, 1), (0, 0)]) == [(0, 0), (1, 1)]
 
 
-def test_simplified_ring_keeps_short_rings():
-    square = [(0.0, 0.0), (0.5, 1e-7), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
-    assert boundary._simplify(square, boundary.TOLERANCE_DEG) == [square[0], *square[2:]]
-
-
-def test_snap_prefers_ordinary_edges_but_measures_raw_distance(spark):
-    rows = [(1, 5.0, 4.5, 1, 0.0, 0.0, 10.0, 0.0, True), (1, 5.0, 4.5, 2, 0.0, 10.0, 10.0, 10.0, False), (2, 5.0, 1.0, 1, 0.0, 0.0, 10.0, 0.0, True), (2, 5.0, 1.0, 2, 0.0, 10.0, 10.0, 10.0, False)]
+def test_simplified_rings(spark):
+    near = boundary.TOLERANCE_DEG / 10
+    assert boundary._simplify([(0, 0), (1, near), (2, 0)], boundary.TOLERANCE_DEG) == [(0, 0), (1, near), (2, 0)]  # three points stay
+    assert boundary._simplify([(0, 0), (1, near), (2, -near), (3, 0)], boundary.TOLERANCE_DEG) == [(0, 0), (3, 0)]
+    # Closed first: the far corner splits the ring, each half is judged by itself.
+    ring = [(0.0, 0.0), (0.25, near), (0.5, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    rows = spark.createDataFrame([([{"x": x, "y": y} for x, y in r],) for r in (ring, ring + ring[:1], ring[:3])], "r array<struct<x:double,y:double>>")
+    got = [r.s if r.s is None else [(p.x, p.y) for p in r.s] for r in rows.select(boundary.simplified_ring("r").alias("s")).collect()]
+    assert got[0] == got[1] == [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)] and got[2] is None
+
+
+def test_snap_weighs_fallback_edges_but_measures_metres(spark):
+    # A point 6 m above a fallback road and 8 m below an ordinary one: 9 against 8. One 2 m above the former: 3 against 12.
+    edge = lambda k, y, fallback: (k, -50.0, y, 50.0, y, fallback)
+    rows = [(p, 3.0, y, *e) for p, y in ((7, 6.0), (8, 2.0)) for e in (edge(1, 0.0, True), edge(2, 14.0, False))]
     c = spark.createDataFrame(rows, "point_id int, px double, py double, edge_id long, ax double, ay double, bx double, by double, fallback boolean")
-    got = {r.point_id: (r.snap_x, r.snap_y) for r in graph.snap(c, F.lit(20.0)).collect()}
-    assert got == {1: (5.0, 10.0), 2: (5.0, 0.0)}
-    assert graph.snap(c.where("point_id = 1"), F.lit(4.0)).count() == 0
+    assert {r.point_id: (r.edge_id, r.snap_x, r.snap_y) for r in graph.snap(c, F.lit(40.0)).collect()} == {7: (2, 3.0, 14.0), 8: (1, 3.0, 0.0)}
+    assert graph.snap(c.where("point_id = 7"), F.lit(7.0)).first().edge_id == 1 and graph.snap(c.where("point_id = 7"), F.lit(5.0)).count() == 0
 
 
 def _grid(n, seed):
@@ -89,16 +96,37 @@ def test_turn_by_turn(spark):
     spike = [(37.5, 127.0), (37.501, 127.0), (37.5009, 127.0), (37.502, 127.0)]
     assert kinds(_segments(spark, spike)) == ["depart", "arrive"]
     assert kinds(_segments(spark, [(float("nan"), 127.0), (37.5, 127.0)])) == []
+    assert kinds(_segments(spark, [(37.5, 127.0), (float("inf"), 127.0), (37.5, float("-inf"))])) == []
 
 
-@pytest.mark.parametrize("text, ids", [("강남역", ["gangnam", "office"]), (" 강남 구청 ", ["office"]), ("", []), ("가" * 101, []), ("학동로 426", ["office"]), ("Gangnam Office", ["office"])])
+@pytest.mark.parametrize("text, ids", [
+    ("숲길역", ["stop", "park"]), (" 숲 길 ", ["stop", "park"]), ("", []), ("나" * 101, []), ("물가로 7", ["mill"]), ("Ｏｌｄ ｍｉｌｌ", ["mill"]), ("windmill old", ["mill"]),
+    ("숲", ["park", "stop"]), ("l", ["mill"]), ("없는 곳", [])])
 def test_search(spark, text, ids):
-    rows = [("gangnam", "강남역", ["Gangnam Station"], None), ("office", "강남구청", ["Gangnam-gu Office"], "서울 강남구 학동로 426"), ("other", "잠실", [], None)]
+    rows = [("stop", "숲길역", [], None), ("park", "숲길공원", None, None), ("mill", "물레방아", ["OLD MILL", "Ｏｌｄ Ｗｉｎｄｍｉｌｌ"], "물가로 7")]
     p = spark.createDataFrame(rows, "id string, name string, aliases array<string>, address string")
     q = spark.createDataFrame([(1, text)], "query_id int, query string")
     assert [r.id for r in places.search(p, q).orderBy("rank").collect()] == ids
 
 
+def test_search_equals_scoring_all_pairs(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abc-1 ") for _ in range(r.randint(1, 6)))
+    rows = [(str(k), word() + "x", [word() for _ in range(r.randint(0, 2))], r.choice([None, word()])) for k in range(80)]
+    p = spark.createDataFrame(rows, "id string, name string, aliases array<string>, address string")
+    q = spark.createDataFrame([(k, word()) for k in range(60)], "query_id int, query string")
+    plain = lambda c: places.plain_query(c, places.as_it_is)
+    tokens = F.transform(places.query_tokens(F.col("query"), places.as_it_is), lambda t: F.regexp_replace(t, "역$", ""))
+    every = p.select("id", "name", plain(F.col("name")).alias("n"), F.transform("aliases", plain).alias("al"), plain(F.col("address")).alias("ad")).crossJoin(q.select("query_id", plain(F.col("query")).alias("q"), tokens.alias("t")).where("q <> ''"))
+    want = every.withColumn("score", places.match_score(*(F.col(c) for c in ("n", "al", "ad", "q", "t")))).where("score is not null").select("query_id", "id", "score")
+    got = places.search(p, q, 50, places.as_it_is).select("query_id", "id", "score")
+    best = {}
+    for x in want.collect():
+        best.setdefault(x.query_id, []).append((x.score, x.id))
+    assert {k: sorted(v)[0][0] for k, v in best.items()} == {k: min(x.score for x in got.collect() if x.query_id == k) for k in best}
+    assert got.exceptAll(want).isEmpty() and got.count() == sum(min(50, len(v)) for v in best.values())
+
+
 def test_limits_accept_up_to_the_limit(spark):
     rows = spark.createDataFrame([(v, k) for k, v in guards.LIMITS.items()] + [(v + 1, k) for k, v in guards.LIMITS.items()], "n int, k string")
     for k, v in guards.LIMITS.items():
