@@ -70,7 +70,7 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     Hashes of chunks are shuffled first; texts only of those chunks whose hash occurs again.
     """
     cut = rows.select("_id", "_key", F.split("_text", "\n").alias("l"), F.explode(chunks_of(F.col("_text"))).alias("c")).where(F.col("c.lines") >= LEAST_LINES)
-    hashed = cut.select("_id", "_key", "c.*", F.xxhash64(_chunk_text(F.col("l"), F.col("c.start"), F.col("c.lines"))).alias("h"))
+    hashed = materialize(cut.select("_id", "_key", "c.*", F.xxhash64(_chunk_text(F.col("l"), F.col("c.start"), F.col("c.lines"))).alias("h")))  # read twice
     again = hashed.groupBy("cut", "h").agg(F.count("*").alias("n")).where("n > 1").select("cut", "h")
     places = hashed.join(again, ["cut", "h"], "left_semi").groupBy("_id", "_key").agg(F.collect_set(F.struct("cut", "start", "lines", "h")).alias("c"))
     places = materialize(places.withColumnsRenamed({"_id": "_of", "_key": "_of_key"}))
