@@ -35,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, spark.checkpoint.dir; a temporary one only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="penumbra-")
         spark.sparkContext.setCheckpointDir(folder)
