@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import remove, shared_folder
+
 #: A word is a run of characters other than space, tab, \n, \v, \f, \r.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Spark's setting that deletes an execution's shuffle files when it ends.
@@ -36,37 +37,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """Folder shared by the driver and all executors: ``spark.checkpoint.dir``.
-
-    Only where the session has none (unit tests on one machine) a temporary one is set.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="penumbra-")
-        spark.sparkContext.setCheckpointDir(shared)
-    return shared.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session may have ended already; the folder is the cluster's to clean
-        pass
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/penumbra-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/penumbra-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")  # the table stands for what was shuffled to make it
     try:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    atexit.register(_delete, spark, path)
+    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
