@@ -109,15 +109,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select(F.col("_id").alias(id_col), count(F.col("n")).alias("n_lines"), count(F.col("c")).alias("n_chunks"), count(F.col("n") - F.size("k")).alias("n_removed"), F.array_join("k", "\n").alias("kept_text"))
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
     """The documents with their columns and shortened texts; n_chars, where there is one, is counted again.
 
-    Nulls, empty texts, repeated rows and ids as in line_dedup; a text of which nothing is left stays as an empty one.
+    Nulls, empty texts, repeated rows and ids as in line_dedup. A text of which no word is left stays as what it is then,
+    or its row goes with ``drop_emptied``; rows that lose nothing always stay.
     """
     gone = repeated_lines(_rows(docs, id_col, text_col)).withColumnsRenamed({"_of": "_penumbra_of", "_of_key": "_penumbra_key", "gone": "_penumbra_gone"})
     text = docs[text_col].cast("string")
     marked = docs.join(gone, docs[id_col].eqNullSafe(gone["_penumbra_of"]) & (F.xxhash64(text) == gone["_penumbra_key"]), "left")
     short = F.when(F.col("_penumbra_gone").isNull(), text).otherwise(F.array_join(_kept_lines(F.split(text, "\n"), F.col("_penumbra_gone")), "\n"))
     out = marked.withColumn("_penumbra_text", short)
+    if drop_emptied:
+        out = out.where(F.col("_penumbra_gone").isNull() | F.rlike("_penumbra_text", F.lit(r"[^\x20\x09-\x0D]")))
     columns = [F.col("_penumbra_text").alias(c) if c == text_col else F.length("_penumbra_text").cast("long").alias(c) if c == "n_chars" else docs[f"`{c}`"] for c in docs.columns]
     return out.select(*columns)

@@ -57,6 +57,8 @@ def test_line_dedup(spark, docs):
     assert got[0] == (1, 0, X) and got[1] == (5, 0, Y) and got[2][1] == 10
     out = sorted((r.doc_id, r.text) for r in linededup.without_repeated_lines(docs).collect())
     assert out == [(1, X), (5, ""), (5, Y)]
+    left = linededup.without_repeated_lines(table(spark, [X, X, Y, None, "", X + "\n\n"], [1, 5, 5, 6, 7, 8]), drop_emptied=True)
+    assert {(r.doc_id, r.text) for r in left.collect()} >= {(1, X), (5, Y), (6, None), (7, "")} and left.where("doc_id = 5").count() == 1
     twice = table(spark, [X, X, "y\n" + X, None], [None, None, None, None])
     assert sorted(r.n_removed for r in linededup.line_dedup(twice).collect())[:3] == [0, 0, 0]
 
