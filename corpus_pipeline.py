@@ -18,8 +18,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without multi-line chunks that an earlier one has."""
-    return linededup.without_repeated_lines(docs)
+    """The documents without multi-line chunks that an earlier one has; those of which no word is left go."""
+    return linededup.without_repeated_lines(docs, drop_emptied=True)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
