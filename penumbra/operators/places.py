@@ -18,7 +18,9 @@ MOST_QUERY, MOST_RESULTS, DEFAULT_RESULTS = 100, 50, 8
 #: Fixed value: most characters of a name or an alias.
 MOST_NAME = 120
 #: Labels of the kinds of places.
-KIND_LABELS = {"station": "지하철역", "cafe": "카페", "food": "음식점", "medical": "의료", "education": "교육", "store": "상점", "office": "사무실", "park": "공원", "landmark": "명소", "building": "건물", "address": "주소"}
+KIND_LABELS = {"station": "지하철역", "cafe": "카페", "food": "음식점", "medical": "병원·약국", "education": "학교·도서관", "store": "상점", "office": "회사", "park": "공원", "landmark": "명소", "building": "건물", "address": "주소"}
+#: Fixed value: label of a place without a kind.
+NO_KIND_LABEL = "장소"
 
 
 @F.pandas_udf(STRING)
@@ -85,7 +87,7 @@ def tidy_places(raw: DataFrame) -> DataFrame:
 
 
 def kind_label(kind: Column) -> Column:
-    return F.try_element_at(F.create_map(*(F.lit(x) for kv in KIND_LABELS.items() for x in kv)), kind)
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in KIND_LABELS.items() for x in kv)), kind), F.lit(NO_KIND_LABEL))
 
 
 def description(kind: Column, address: Column) -> Column:

@@ -64,48 +64,66 @@ def _search(arcs_of: dict, place: dict, start: int, goal: int):
 
 
 def _route_group(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """All searches of one request and mode: its corridor arcs, and one row each for start and goal."""
+    """All searches of one request, mode by mode: its corridor's edges once each, and one row for start and goal."""
     ends = frame[frame["kind"] == "request"]
-    links = frame[frame["kind"] == "arc"]
-    place, arcs_of = {}, {}
-    for src, dst, edge, cost, sx, sy, dx, dy in links[["src", "dst", "edge_id", "cost", "sx", "sy", "dx", "dy"]].itertuples(index=False):
-        arcs_of.setdefault(src, []).append((dst, edge, cost))
+    links = frame[frame["kind"] == "arc"].sort_values(["edge_id", "src"], kind="stable")
+    place, out = {}, []
+    for src, dst, sx, sy, dx, dy in links[["src", "dst", "sx", "sy", "dx", "dy"]].itertuples(index=False):
         place[src], place[dst] = (sx, sy), (dx, dy)
-    out = []
-    for start, goal in ends[["src", "dst"]].itertuples(index=False):
-        found = _search(arcs_of, place, start, goal) if start in place and goal in place else None
-        if found:
-            out += [(key[0], key[1], k, edge, a, b, found[0]) for k, (edge, a, b) in enumerate(found[1])]
+    for mode in rules.MODES:
+        arcs_of = {}
+        for src, dst, edge, cost, both in links[["src", "dst", "edge_id", mode, "both"]].itertuples(index=False):
+            arcs_of.setdefault(src, []).append((dst, edge, cost))
+            if both:
+                arcs_of.setdefault(dst, []).append((src, edge, cost))
+        for start, goal in ends[["src", "dst"]].itertuples(index=False):
+            found = _search(arcs_of, place, start, goal) if start in place and goal in place else None
+            if found:
+                out += [(key[0], mode, k, edge, a, b, found[0]) for k, (edge, a, b) in enumerate(found[1])]
     return pd.DataFrame(out, columns=["request_id", "mode", "seq", "edge_id", "from_node", "to_node", "cost"])
 
 
+def _cell(c: str, cell_m: float) -> Column:
+    return F.floor(F.col(c) / cell_m).cast("long")
+
+
+def corridor_cells(requests: DataFrame, cell_m: float, reach_m: float) -> DataFrame:
+    """requests (sx, sy, gx, gy) once for each grid cell (cx, cy) of the square that a route of ``reach_m`` can't leave; none if the ends are further apart."""
+    # Such a route stays within half of what it may be longer than the straight line.
+    slack = (reach_m - geo.euclid(F.col("sx"), F.col("sy"), F.col("gx"), F.col("gy"))) / 2 + cell_m
+    span = lambda f, a, b, s: F.floor((f(F.col(a), F.col(b)) + s) / cell_m).cast("long")
+    return requests.where(slack > 0).withColumn("cx", F.explode(F.sequence(span(F.least, "sx", "gx", -slack), span(F.greatest, "sx", "gx", slack)))).withColumn("cy", F.explode(F.sequence(span(F.least, "sy", "gy", -slack), span(F.greatest, "sy", "gy", slack))))
+
+
+def corridor_sizes(requests: DataFrame, edges: DataFrame, nodes: DataFrame, cell_m: float = 600.0, reach_m: float = LONGEST_M) -> DataFrame:
+    """(request_id, n_edges) of the corridor of each request whose ends are near enough; the edges are counted by cell before requests meet them."""
+    counts = edges.select("a").join(nodes.select(F.col("id").alias("a"), "x", "y"), "a").groupBy(_cell("x", cell_m).alias("cx"), _cell("y", cell_m).alias("cy")).agg(F.count("*").alias("n"))
+    cells = corridor_cells(requests.select("request_id", "sx", "sy", "gx", "gy"), cell_m, reach_m)
+    return cells.join(counts, ["cx", "cy"], "left").groupBy("request_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_edges"))
+
+
 def route_paths(requests: DataFrame, edges: DataFrame, nodes: DataFrame, cell_m: float = 600.0, reach_m: float = LONGEST_M, extra: DataFrame | None = None) -> DataFrame:
     """Paths of every request in every mode, as ordered edges.
 
     Each request gets only its corridor: the edges with an end in the square around its two ends that
-    a route of ``reach_m`` can't leave. Corridors are found by joining grid cells, so a task holds one
-    corridor of one mode, which the format bounds at 100,000 edges.
+    a route of ``reach_m`` can't leave. Corridors are found by joining grid cells, and an edge is sent once for
+    all modes and both directions. A task holds one corridor, which ``corridor_sizes`` tells beforehand.
     ``extra`` has directed arcs of single requests: (request_id, src, dst, edge_id, length, steps, fallback, shade, sx, sy, dx, dy).
     requests: (request_id, start, goal, sx, sy, gx, gy); edges: (edge_id, a, b, length, steps, fallback, direction, shade); nodes: (id, x, y).
     """
     placed = edges.select("edge_id", "a", "b", "length", "steps", "fallback", "direction", "shade").join(nodes.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), "a").join(nodes.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")), "b")
-    cells = placed.withColumn("cx", F.floor(F.col("ax") / cell_m).cast("long")).withColumn("cy", F.floor(F.col("ay") / cell_m).cast("long"))
-    # A route of at most reach_m between the ends stays within half of what it may be longer than the straight line.
-    slack = (reach_m - geo.euclid(F.col("sx"), F.col("sy"), F.col("gx"), F.col("gy"))) / 2 + cell_m
-    span = lambda f, a, b, s: F.floor((f(F.col(a), F.col(b)) + s) / cell_m).cast("long")
-    wanted = requests.where(slack > 0).withColumn("cx", F.explode(F.sequence(span(F.least, "sx", "gx", -slack), span(F.greatest, "sx", "gx", slack)))).withColumn("cy", F.explode(F.sequence(span(F.least, "sy", "gy", -slack), span(F.greatest, "sy", "gy", slack))))
-    near = wanted.select("request_id", "cx", "cy").join(cells, ["cx", "cy"])
-    modes = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(w).alias("weight")) for m, (w, _) in rules.MODES.items())))
-    moded = near.withColumn("m", modes)
-    cost = edge_cost(*(F.col(c) for c in ("length", "steps", "fallback", "shade")), F.col("m.weight"))
-    line = lambda s, d: moded.select("request_id", F.col("m.mode").alias("mode"), F.lit("arc").alias("kind"), F.col(s).alias("src"), F.col(d).alias("dst"), "edge_id", cost.alias("cost"), F.col(f"{s}x").alias("sx"), F.col(f"{s}y").alias("sy"), F.col(f"{d}x").alias("dx"), F.col(f"{d}y").alias("dy"), "direction")
-    links = line("a", "b").where("direction in ('both', 'forward')").unionByName(line("b", "a").where("direction in ('both', 'backward')")).drop("direction")
+    cells = placed.withColumns({"cx": _cell("ax", cell_m), "cy": _cell("ay", cell_m)})
+    near = corridor_cells(requests, cell_m, reach_m).select("request_id", "cx", "cy").join(cells, ["cx", "cy"])
+    costs = [edge_cost(*(F.col(c) for c in ("length", "steps", "fallback", "shade")), F.lit(w)).alias(m) for m, (w, _) in rules.MODES.items()]
+    back = F.col("direction") == "backward"
+    end = lambda there, here, name: F.when(back, F.col(there)).otherwise(F.col(here)).alias(name)
+    links = near.where("direction in ('both', 'forward', 'backward')").select(
+        "request_id", F.lit("arc").alias("kind"), end("b", "a", "src"), end("a", "b", "dst"), "edge_id", (F.col("direction") == "both").alias("both"), *costs, end("bx", "ax", "sx"), end("by", "ay", "sy"), end("ax", "bx", "dx"), end("ay", "by", "dy"))
     if extra is not None:
-        own = extra.withColumn("m", modes)
-        links = links.unionByName(own.select("request_id", F.col("m.mode").alias("mode"), F.lit("arc").alias("kind"), "src", "dst", "edge_id", edge_cost(*(F.col(c) for c in ("length", "steps", "fallback", "shade")), F.col("m.weight")).alias("cost"), "sx", "sy", "dx", "dy"))
+        links = links.unionByName(extra.select("request_id", F.lit("arc").alias("kind"), "src", "dst", "edge_id", F.lit(False).alias("both"), *costs, "sx", "sy", "dx", "dy"))
     zero = F.lit(0.0)
-    asked = requests.withColumn("m", modes).select("request_id", F.col("m.mode").alias("mode"), F.lit("request").alias("kind"), F.col("start").alias("src"), F.col("goal").alias("dst"), F.lit(0).cast("long").alias("edge_id"), zero.alias("cost"), zero.alias("sx"), zero.alias("sy"), zero.alias("dx"), zero.alias("dy"))
-    return links.unionByName(asked).groupBy("request_id", "mode").applyInPandas(_route_group, PATH_SCHEMA)
+    asked = requests.select("request_id", F.lit("request").alias("kind"), F.col("start").alias("src"), F.col("goal").alias("dst"), F.lit(0).cast("long").alias("edge_id"), F.lit(False).alias("both"), *(zero.alias(m) for m in rules.MODES), *(zero.alias(c) for c in ("sx", "sy", "dx", "dy")))
+    return links.unionByName(asked).groupBy("request_id").applyInPandas(_route_group, PATH_SCHEMA)
 
 
 def shortest_costs(sources: DataFrame, arc_table: DataFrame, keep, rounds: int = 10_000) -> DataFrame:

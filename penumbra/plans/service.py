@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import graph, routing
+from ..operators import graph, guards, routing
 from ..operators.spatial import points_near_segments
 from ..session import keep, ship_package
 
@@ -82,11 +82,16 @@ def plan_routes(requests: DataFrame, edges: DataFrame, nodes: DataFrame, piece_s
     """(routes, status, segments): a row for each routed request and mode, the outcome of each request, and the routes' ordered segments.
 
     Of the components that both ends reach, the one with the least length (steps and fallback roads
-    weighed) and access counts. ``piece_shade`` gives (id, shade_ratio) for pieces of edges; all edges
-    come with their shade. An end too far from the network, or no way between the ends, is a status.
+    weighed) and access counts; if both ends meet that one in the same point, they are near enough already. ``piece_shade``
+    gives (id, shade_ratio) for pieces of edges; all edges come with their shade. Statuses, the first that holds:
+    EMPTY_GRAPH (no edge in the corridor), ROUTE_DATA_TOO_COMPLEX (more edges in the corridor, or in a route, than
+    the limits allow), SNAP_FAILED (no component that both ends reach, or no way on it), ALREADY_NEAR_GOAL, ROUTE_TOO_LONG.
+    Corridors over the limit are known from counts and never sent to a search.
     """
     ship_package(requests.sparkSession)
-    both = keep(legs(requests, edges))
+    sizes = keep(routing.corridor_sizes(requests, edges, nodes))
+    heavy = sizes.where(F.col("n_edges") > guards.LIMITS["graph_edges"])
+    both = keep(legs(requests.join(heavy, "request_id", "left_anti"), edges))
     arcs = access_arcs(both, edges)
     named = arcs.withColumn("id", F.concat_ws(":", "request_id", "edge_id"))
     ratio = piece_shade(named.where("not covered").select("id", F.col("sx").alias("ax"), F.col("sy").alias("ay"), F.col("dx").alias("bx"), F.col("dy").alias("by"), "length"))
@@ -97,8 +102,9 @@ def plan_routes(requests: DataFrame, edges: DataFrame, nodes: DataFrame, piece_s
     paths = keep(routing.route_paths(asked, edges, nodes, extra=arcs.drop("covered")))  # searched once for routes, status and segments
     ends = requests.select("request_id", F.col("sx").alias("px"), F.col("sy").alias("py"), F.col("gx").alias("qx"), F.col("gy").alias("qy"))
     access = both.join(ends, "request_id").select("leg_id", F.col("request_id").alias("asked_id"), F.col("start.distance").alias("first_m"), F.col("goal.distance").alias("last_m"), F.col("start.x").alias("x0"), F.col("start.y").alias("y0"), F.col("goal.x").alias("x1"), F.col("goal.y").alias("y1"), "px", "py", "qx", "qy")
-    previews = paths.where("mode = 'shortest' and seq = 0").join(access, F.col("request_id") == F.col("leg_id")).select("leg_id", "asked_id", (F.col("cost") * routing.SPEED + F.col("first_m") + F.col("last_m")).alias("preview"))
-    chosen = previews.groupBy("asked_id").agg(F.min_by("leg_id", F.struct("preview", "leg_id")).alias("leg_id"))
+    reached = paths.where("mode = 'shortest' and seq = 0").select(F.col("request_id").alias("leg_id"), (F.col("cost") * routing.SPEED).alias("way")).unionByName(both.where(same_place).select("leg_id", F.lit(0.0).alias("way")))
+    previews = access.join(reached, "leg_id").join(both.select("leg_id", same_place.alias("near")), "leg_id").select("leg_id", "asked_id", "near", (F.col("way") + F.col("first_m") + F.col("last_m")).alias("preview"))
+    chosen = keep(previews.groupBy("asked_id").agg(F.min_by(F.struct("leg_id", "near"), F.struct("preview", "leg_id")).alias("c")).select(F.col("asked_id").alias("request_id"), "c.*"))
     parts = edges.select("edge_id", "length", "steps", "shade")
     own = arcs.select("request_id", "edge_id", "length", "steps", "shade", "covered", "sx", "sy", "dx", "dy").dropDuplicates(["request_id", "edge_id"])
     taken = paths.join(chosen.select("leg_id"), F.col("request_id") == F.col("leg_id"), "left_semi")
@@ -107,12 +113,14 @@ def plan_routes(requests: DataFrame, edges: DataFrame, nodes: DataFrame, piece_s
     steps = on_edges.unionByName(on_pieces.select(on_edges.columns)).where("length > 0")
     totals = routing.summaries(steps).join(access, F.col("request_id") == F.col("leg_id"))
     joined = routing.with_access(totals, F.col("first_m"), F.col("last_m"))
-    routes = joined.select(F.col("asked_id").alias("request_id"), "mode", "time_sec", "length_m", "sun_sec", "shade_ratio", "path_key")
+    routes = joined.select(F.col("asked_id").alias("request_id"), "mode", "time_sec", "length_m", "sun_sec", "shade_ratio", "path_key", F.size(F.split("path_key", ":")).alias("n"))
+    many = routes.groupBy("request_id").agg(F.max("n").alias("n")).where(F.col("n") > guards.LIMITS["route_segments"]).select("request_id")
+    routes = routes.drop("n").join(many, "request_id", "left_anti")
     clamped = routing.clamp_to_shortest(routes)
-    snapped = both.groupBy("request_id").agg(F.bool_and(same_place).alias("near_goal"))
     found = clamped.groupBy("request_id").agg(F.max("status").alias("route_status"))
-    outcome = requests.select("request_id").join(snapped, "request_id", "left").join(found, "request_id", "left")
-    status = F.when(F.col("near_goal").isNull(), "SNAP_FAILED").when(F.col("near_goal"), "ALREADY_NEAR_GOAL").when(F.col("route_status").isNull(), "ROUTE_NOT_FOUND").otherwise(F.col("route_status"))
+    complex_ = heavy.select("request_id").unionByName(many).withColumn("complex", F.lit(True))
+    outcome = requests.select("request_id").join(sizes, "request_id", "left").join(complex_, "request_id", "left").join(chosen.select("request_id", "near"), "request_id", "left").join(found, "request_id", "left")
+    status = F.when(F.col("n_edges") == 0, "EMPTY_GRAPH").when(F.col("complex"), "ROUTE_DATA_TOO_COMPLEX").when(F.col("near").isNull(), "SNAP_FAILED").when(F.col("near"), "ALREADY_NEAR_GOAL").otherwise(F.coalesce("route_status", F.lit("ROUTE_NOT_FOUND")))
     # A route that is too long shows the shortest one's segments.
     shown = clamped.where("status = 'OK'").select("request_id", "mode").join(routes.select("request_id", "mode", F.when(F.col("length_m") > routing.LONGEST_M, "shortest").otherwise(F.col("mode")).alias("walked")), ["request_id", "mode"])
     segments = lat_lon_segments(taken, edges, own, access).join(access.select("leg_id", F.col("asked_id").alias("request_id")), "leg_id").drop("leg_id").withColumnRenamed("mode", "walked")

@@ -159,5 +159,31 @@ def test_planned_segments_chain_and_add_up(spark):
     one = segments.withColumn("route_id", F.concat_ws(":", "request_id", "mode"))
     rounded = one.withColumns({c: F.round(c, 7) for c in ("from_lat", "from_lon", "to_lat", "to_lon")})
     assert sequence.continuity(rounded).where("breaks > 0").count() == 0
-    known = {"OK", "SNAP_FAILED", "ALREADY_NEAR_GOAL", "ROUTE_NOT_FOUND", "ROUTE_TOO_LONG"}
+    known = {"OK", "SNAP_FAILED", "ALREADY_NEAR_GOAL", "EMPTY_GRAPH", "ROUTE_TOO_LONG"}
     assert {r.status for r in status.collect()} <= known
+
+
+def test_planned_statuses(spark, monkeypatch):
+    nodes = spark.createDataFrame([(k, 100.0 * k, 0.0) for k in range(4)] + [(8, 0.0, 60.0), (9, 300.0, 60.0)], "id long, x double, y double")
+    rows = [(k, k, k + 1, 100.0 * k, 0.0, 100.0 * k + 100, 0.0, 100.0, 0) for k in range(3)] + [(7, 8, 9, 0.0, 60.0, 300.0, 60.0, 300.0, 8)]
+    edges = spark.createDataFrame(rows, "edge_id long, a long, b long, ax double, ay double, bx double, by double, length double, component long")
+    edges = edges.withColumns({"covered": F.lit(False), "steps": F.lit(False), "fallback": F.lit(False), "direction": F.lit("both"), "shade": F.lit(0.0)})
+    asked = [(1, 10.0, -5.0, 290.0, -5.0), (2, 50.0, -5.0, 50.0, -9.0), (3, 50.0, 90_000.0, 60.0, 90_000.0), (4, 10.0, -5.0, 10.0, 800.0)]
+    requests = spark.createDataFrame(asked, "request_id long, sx double, sy double, gx double, gy double").withColumn("gps", F.lit(False))
+    no_shade = lambda pieces: pieces.select("id", F.lit(0.0).alias("shade_ratio"))
+    plan = lambda: service.plan_routes(requests, edges, nodes, no_shade)
+    routes, status, _ = plan()
+    assert dict(tuple(r) for r in status.collect()) == {1: "OK", 2: "ALREADY_NEAR_GOAL", 3: "EMPTY_GRAPH", 4: "SNAP_FAILED"}
+    assert {(r.request_id, r.length_m) for r in routes.collect()} == {(1, 290)}
+    assert {r.request_id: r.n_edges for r in routing.corridor_sizes(requests, edges, nodes).collect()} == {1: 4, 2: 4, 3: 0, 4: 4}
+    monkeypatch.setitem(guards.LIMITS, "route_segments", 2)
+    assert dict(tuple(r) for r in plan()[1].collect())[1] == "ROUTE_DATA_TOO_COMPLEX"
+    monkeypatch.setitem(guards.LIMITS, "graph_edges", 3)
+    routes, status, _ = plan()
+    assert {r.status for r in status.collect()} == {"ROUTE_DATA_TOO_COMPLEX", "EMPTY_GRAPH"} and routes.count() == 0
+
+
+def test_labels_of_kinds(spark):
+    rows = [("medical", "Street 1"), ("education", None), ("office", ""), (None, "Street 2"), ("other", None)]
+    got = spark.createDataFrame(rows, "kind string, address string").select(places.description(F.col("kind"), F.col("address"))).collect()
+    assert [r[0] for r in got] == ["병원·약국 · Street 1", "학교·도서관", "회사", "장소 · Street 2", "장소"]
