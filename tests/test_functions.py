@@ -11,25 +11,24 @@ def one(spark, column):
 
 
 WAYS = [
-    ({"highway": "footway"}, True, False, "both"),
-    ({"highway": "primary", "sidewalk": "yes"}, True, False, "both"),
-    ({"highway": "secondary"}, True, True, "both"),
-    ({"highway": "secondary", "sidewalk": "no"}, False, None, None),
-    ({"highway": "motorway"}, False, None, None),
-    ({"highway": "service", "access": "private"}, False, None, None),
-    ({"highway": "footway", "access": "private", "foot": "permissive"}, True, None, None),
-    ({"highway": "footway", "foot": "use_sidepath"}, False, None, None),
-    ({"highway": "footway", "access:conditional": "no @ night"}, False, None, None),
-    ({"highway": "path", "sac_scale": "mountain_hiking"}, True, True, None),
-    ({"highway": "path", "sac_scale": "demanding_mountain_hiking"}, False, None, None),
-    ({"highway": "residential", "sidewalk:both": "separate"}, True, True, None),
-    ({"highway": "primary", "sidewalk:both": "separate"}, False, None, None),
-    ({"highway": "footway", "oneway": "yes"}, True, None, "both"),
-    ({"highway": "footway", "oneway:foot": "yes"}, True, None, "forward"),
-    ({"highway": "footway", "oneway:foot": "-1"}, True, None, "backward"),
-    ({"highway": "footway", "foot:forward": "no"}, True, None, "backward"),
-    ({"highway": "steps", "conveying": "forward"}, True, None, "forward"),
-    ({"highway": "steps", "conveying": "yes"}, False, None, "none"),
+    ({"highway": "pedestrian", "name": "Mill Lane"}, True, False, "both"),
+    ({"highway": "steps", "incline": "up"}, True, False, "both"),
+    ({"highway": "tertiary"}, True, True, "both"),
+    ({"highway": "tertiary", "sidewalk": "right"}, True, False, "both"),
+    ({"highway": "tertiary", "sidewalk": "separate"}, False, None, None),
+    ({"highway": "trunk", "foot": "no"}, False, None, None),
+    ({"building": "yes"}, False, None, None),
+    ({"highway": "footway", "access": "no"}, False, None, None),
+    ({"highway": "footway", "access": "no", "foot": "designated"}, True, None, "both"),
+    ({"highway": "footway", "foot": "private"}, False, None, None),
+    ({"highway": "path", "sac_scale": "hiking"}, True, None, "both"),
+    ({"highway": "path", "sac_scale": "alpine_hiking"}, False, None, None),
+    ({"highway": "living_street", "oneway": "-1"}, True, None, "both"),
+    ({"highway": "pedestrian", "oneway:foot": "no"}, True, None, "both"),
+    ({"highway": "pedestrian", "oneway:foot": "yes"}, True, None, "forward"),
+    ({"highway": "pedestrian", "foot:backward": "no"}, True, None, "forward"),
+    ({"highway": "pedestrian", "foot:forward": "no", "foot:backward": "no"}, False, None, "none"),
+    ({"highway": "footway", "conveying": "backward"}, True, None, "backward"),
 ]
 
 
