@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, lengths, linededup, lm, neardup, quality, sharding, substring, toxicity
+from . import ann, bpe, collocations, decontam, hardneg, lengths, linededup, lm, neardup, quality, sharding, substring, toxicity
 
 try:
     import public_tokenizers
@@ -62,6 +62,24 @@ def op10_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    out = hardneg.hard_negatives(vectors.withColumn("label", label))
+    names = {"anchor": "anchor_id", "positive": "positive_id", "negative": "negative_id"}
+    return out.withColumnsRenamed(names).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op12_collocations(spark, sf_dir):
+    found = collocations.collocations(table(spark, sf_dir, "documents"))
+    return collocations.best_of_each(found, 2000)
+
+
+def op13_nearest(spark, sf_dir):
+    out = ann.nearest(table(spark, sf_dir, "embeddings"), k=20, queries_every=20)
+    return out.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_lm_scores": op2_lm_scores,
@@ -73,6 +91,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_collocations": op12_collocations,
+    "op13_nearest": op13_nearest,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -153,4 +174,24 @@ ORACLES: dict[str, str] = {
     words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
     t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
     SELECT d.doc_id, len(w) AS n_words, coalesce(k.n, 0) AS n_removed, sha256(coalesce(t.t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op11_hard_negatives": """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+               FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS rank, other AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5""",
+    "op12_collocations": r"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+    t AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY 1),
+    f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM p, (VALUES (1), (2), (3), (4), (5)) AS z(k), unnest(generate_series(1, len(w) - k + 1)) AS x(i) GROUP BY ALL HAVING count(*) >= 100),
+    c AS (SELECT lang, phrase, f, unnest(generate_series(1, k - 1)) AS cut, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+    s AS (SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, t.n, CAST((1000::HUGEINT * c.f * t.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score, cut
+          FROM c JOIN t USING (lang) JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    i AS (SELECT DISTINCT lang, k, f, array_to_string(w[s:s + m - 1], ' ') AS phrase FROM (SELECT lang, k, f, string_split(phrase, ' ') AS w FROM f WHERE k > 2), (VALUES (2), (3), (4)) AS z(m), unnest(generate_series(1, k - m + 1)) AS x(s) WHERE m < k),
+    g AS (SELECT lang, phrase, max(f) AS f FROM i GROUP BY ALL)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+    FROM b LEFT JOIN g USING (lang, phrase) WHERE g.f IS NULL OR 100 * g.f < 100 * a QUALIFY rank <= 2000""",
 }
