@@ -2,7 +2,7 @@
 
 Every task counts the phrases of its shard of the corpus in tries of limited depth. A trie is built level
 by level: a node is its parent and a word, so one sort of (parent, word) pairs gives the nodes of a level with
-their counts. Tries are written as sorted rows, dealt out by ranges of the phrase, and merged there by adding up counts.
+their counts. Tries are serialised as sorted rows, dealt out by prefix ranges of the phrase, and merged there by adding up counts.
 
 A phrase is frequent only if all its words and all its pairs of words are. So a first pass counts words, a second
 one tries of depth two over frequent words, and a third one deeper tries along frequent pairs. What is frequent
@@ -14,6 +14,7 @@ way down to a phrase are its left parts. Suffix links, equal to the phrase witho
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -155,33 +156,55 @@ class CountTrie:
 
 
 _ROWS = "lang string, phrase string, n long"
+#: Pairs that each shard draws to find even ranges, and most of them that are looked at; ranges for each shuffle partition.
+DRAWN, SAMPLE, RANGES = 64, 8192, 4
 
 
-def _rows(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    """A serialised level: sorted by phrase."""
+def _sorted_level(lang: str, phrases: pa.Array, counts: np.ndarray, borders: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    """A serialised level: sorted by phrase, with the number of the prefix range that each phrase lies in."""
     order = pc.sort_indices(phrases)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases.take(order).cast(pa.string()), pa.array(counts).take(order)], names=["lang", "phrase", "n"])
+    phrases, at = phrases.take(order), np.zeros(len(phrases), np.int32)
+    first = bisect_left(borders, (lang, b""))
+    for _, border in borders[first : bisect_left(borders, (lang + "\0", b""))]:
+        at[bisect_left(phrases, border, key=lambda x: x.as_py()) :] += 1
+    return pa.RecordBatch.from_arrays([pa.array(at + first), pa.array([lang] * len(phrases), pa.string()), phrases.cast(pa.string()), pa.array(counts).take(order)], names=["range", "lang", "phrase", "n"])
 
 
 def merged(tries: DataFrame, least: int) -> DataFrame:
-    """Written tries added up: ranges of the phrase go to one task each, in which the sorted runs meet. Frequent phrases only."""
+    """Tries added up: each range of phrases goes to one task, where the sorted runs meet. Frequent phrases only."""
     parts = max(1, int(tries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranges = tries.repartitionByRange(parts, "lang", "phrase").sortWithinPartitions("lang", "phrase")
-    return materialize(ranges.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    runs = tries.repartition(parts, "range").sortWithinPartitions("range", "lang", "phrase")
+    return materialize(runs.groupBy("range", "lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", "phrase", "n"))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(lang, phrase, n) of all words, one level deep tries of the shards added up."""
+    """(lang, phrase, n, pair) of all words, the one level deep tries of the shards added up; and some pairs of neighbours, how often they were drawn."""
 
     def run(batches):
         for lang, words, numbers in shards(batches):
-            counts = np.bincount(numbers, minlength=len(words))
-            yield _rows(lang, pa.array(list(words), pa.binary()).slice(1), counts[1:])
+            counts, named = np.bincount(numbers, minlength=len(words)), pa.array(list(words), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(words) - 1), pa.string()), named.slice(1).cast(pa.string()), pa.array(counts[1:]), pa.array(np.zeros(len(words) - 1, bool))], names=["lang", "phrase", "n", "pair"])
+            beside = np.flatnonzero((numbers[:-1] > 0) & (numbers[1:] > 0))
+            drawn = np.random.default_rng(len(numbers)).choice(beside, min(DRAWN, len(beside)), replace=False)
+            pairs = pc.binary_join_element_wise(named.take(pa.array(numbers[drawn])), named.take(pa.array(numbers[drawn + 1])), pa.scalar(b" ", pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(drawn), pa.string()), pairs.cast(pa.string()), pa.array(np.ones(len(drawn), np.int64)), pa.array(np.ones(len(drawn), bool))], names=["lang", "phrase", "n", "pair"])
 
-    return texts.mapInArrow(run, _ROWS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, f"{_ROWS}, pair boolean").groupBy("lang", "phrase", "pair").agg(F.sum("n").alias("n"))
 
 
-def _tries(texts: DataFrame, first: int, depth: int, word_set, pair_set=None) -> DataFrame:
+def _borders(pairs: DataFrame) -> list[tuple[str, bytes]]:
+    """Phrases that cut the drawn pairs into even ranges: only where ranges begin depends on them, not what is counted."""
+    wanted = RANGES * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = sorted((r["lang"], r["phrase"].encode(), r["n"]) for r in pairs.orderBy(F.xxhash64("lang", "phrase")).limit(SAMPLE).collect())  # bounded
+    total, out, so_far = sum(n for _, _, n in drawn), [], 0
+    for lang, phrase, n in drawn:
+        if so_far * wanted >= (len(out) + 1) * total:
+            out.append((lang, phrase))
+        so_far += n
+    return out
+
+
+def _tries(texts: DataFrame, first: int, depth: int, borders: list, word_set, pair_set=None) -> DataFrame:
     """Rows of the shards' tries, from level ``first`` to ``depth`` (both counted from 1)."""
 
     def run(batches):
@@ -194,25 +217,26 @@ def _tries(texts: DataFrame, first: int, depth: int, word_set, pair_set=None) ->
             follows = pairs and (lambda a, b, m=marks: pairs.has(pair_marks(m[a], m[b])))
             trie, named = CountTrie(numbers, depth, frequent, follows), list(words)
             for level in range(first - 1, depth):
-                yield _rows(lang, trie.phrases(named, level), trie.levels[level][2])
+                yield _sorted_level(lang, trie.phrases(named, level), trie.levels[level][2], borders)
 
-    return texts.mapInArrow(run, _ROWS)
+    return texts.mapInArrow(run, f"range int, {_ROWS}")
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", depth: int = DEPTH, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n) of all phrases of 1 to ``depth`` words with ``least`` occurrences or more, and (lang, total) of all words."""
     ship_package(docs.sparkSession)
     texts = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), docs[text_col].cast("string").cast("binary").alias("text"))
-    words = materialize(word_counts(texts))
+    counted = materialize(word_counts(texts))
+    words, borders = counted.where("not pair").drop("pair"), _borders(counted.where("pair"))
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     single = words.where(F.col("n") >= least)
     if depth < 2:
         return single, totals
     word_set = bloom_of(single)
-    double = merged(materialize(_tries(texts, 2, 2, word_set)), least)
+    double = merged(_tries(texts, 2, 2, borders, word_set), least)
     found = single.unionByName(double)
     if depth > 2:
-        found = found.unionByName(merged(materialize(_tries(texts, 3, depth, word_set, bloom_of(double))), least))
+        found = found.unionByName(merged(_tries(texts, 3, depth, borders, word_set, bloom_of(double)), least))
     return found, totals
 
 
