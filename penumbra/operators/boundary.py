@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions.types import POINTS
+from ..session import bounded, keep
 
 #: Latitude buckets, probe distance in degrees, tolerance of simplification in degrees, decimal places.
 BUCKETS, PROBE_DEG, TOLERANCE_DEG, PLACES = 128, 0.001, 0.00015, 6
 
 
 def bucketed_edges(edges: DataFrame, south: float, north: float) -> DataFrame:
-    """Edges (alat, alon, blat, blon) in each latitude bucket that they touch. A boundary is bounded, so the table is broadcast."""
+    """Edges (alat, alon, blat, blon) in each latitude bucket that they touch."""
     bucket = lambda lat: F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.floor((lat - south) / (north - south) * BUCKETS))).cast("int")
     return edges.withColumn("bucket", F.explode(F.sequence(bucket(F.least("alat", "blat")), bucket(F.greatest("alat", "blat")))))
 
@@ -24,19 +28,20 @@ def inside(points: DataFrame, edges: DataFrame, south: float, west: float, north
     boxed = points.where(F.col("lat").between(south, north) & F.col("lon").between(west, east)).withColumn("bucket", bucket)
     at = (F.col("blon") - F.col("alon")) * (F.col("lat") - F.col("alat")) / F.nullif(F.col("blat") - F.col("alat"), F.lit(0.0)) + F.col("alon")
     crosses = ((F.col("alat") > F.col("lat")) != (F.col("blat") > F.col("lat"))) & F.coalesce(F.col("lon") < at, F.lit(False))
-    met = boxed.join(F.broadcast(bucketed_edges(edges, south, north)), "bucket").where(crosses)
+    met = boxed.join(bounded(bucketed_edges(edges, south, north)), "bucket").where(crosses)
     odd = met.groupBy(key).agg((F.count("*") % 2 == 1).alias("odd"))
     return points.join(odd, key, "left").select(key, F.coalesce("odd", F.lit(False)).alias("inside"))
 
 
 def inside_tolerant(points: DataFrame, edges: DataFrame, south, west, north, east, key: str = "id") -> DataFrame:
-    """As ``inside``, but a point is also in if one of nine probes around it is."""
+    """As ``inside``, but a point is also in if one of nine probes around it is. Only points that are not in by themselves are probed."""
     steps = F.array(*(F.lit(s * PROBE_DEG) for s in (-1, 0, 1)))
-    probes = points.withColumn("dlat", F.explode(steps)).withColumn("dlon", F.explode(steps)).withColumn("_p", F.struct(key, "dlat", "dlon"))
-    probes = probes.select(F.col(key).alias("_owner"), F.concat_ws("|", F.col(key).cast("string"), F.col("dlat").cast("string"), F.col("dlon").cast("string")).alias("_probe"), (F.col("lat") + F.col("dlat")).alias("lat"), (F.col("lon") + F.col("dlon")).alias("lon"))
-    found = inside(probes, edges, south, west, north, east, "_probe").where("inside").select("_probe")
-    hit = probes.join(found, "_probe", "left_semi").select(F.col("_owner").alias(key)).distinct().withColumn("_in", F.lit(True))
-    return points.join(hit, key, "left").select(key, F.coalesce("_in", F.lit(False)).alias("inside"))
+    plain = keep(inside(points, edges, south, west, north, east, key))
+    near = points.where(F.col("lat").between(south - 2 * PROBE_DEG, north + 2 * PROBE_DEG) & F.col("lon").between(west - 2 * PROBE_DEG, east + 2 * PROBE_DEG))
+    outside = near.join(plain.where("not inside"), key, "left_semi")
+    probes = outside.withColumn("dlat", F.explode(steps)).withColumn("dlon", F.explode(steps)).select(F.struct(F.col(key).alias("owner"), "dlat", "dlon").alias("_probe"), (F.col("lat") + F.col("dlat")).alias("lat"), (F.col("lon") + F.col("dlon")).alias("lon"))
+    hit = inside(probes, edges, south, west, north, east, "_probe").where("inside").select(F.col("_probe.owner").alias(key)).distinct().withColumn("_in", F.lit(True))
+    return plain.join(hit, key, "left").select(key, (F.col("inside") | F.coalesce("_in", F.lit(False))).alias("inside"))
 
 
 def _simplify(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
@@ -79,6 +84,38 @@ def simplified_ring(rings: pd.Series) -> pd.Series:
     return rings.map(one)
 
 
+def simplified_rings(rings: DataFrame, key: str = "id", ring: str = "ring", tolerance: float = TOLERANCE_DEG, places: int = PLACES) -> DataFrame:
+    """(key, ring) with rings closed, simplified and rounded, for all rings at once: the same as ``simplified_ring``, as a relational loop.
+
+    Every point between kept ones belongs to one open stretch. A round finds the farthest point of each stretch of every ring; where
+    it is beyond the tolerance the stretch is cut there, otherwise its points go. Rounds are few, as stretches are cut in
+    parallel, and each is one aggregate and one join on the stretch. Rings of fewer than four points, and null ones, come back as null.
+    """
+    points = F.when(F.size(ring) >= 4, F.transform(ring, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
+    closed = rings.select(F.col(key).alias("_key"), points.alias("p")).where(F.col("p").isNotNull())
+    closed = closed.select("_key", F.when(F.get("p", F.lit(0)) == F.element_at("p", -1), F.col("p")).otherwise(F.concat("p", F.slice("p", 1, 1))).alias("p")).withColumn("n", F.size("p") - 1)
+    last = F.col("n")
+    ends = [F.lit(0).alias("a"), last.alias("b"), F.get("p", F.lit(0)).alias("pa"), F.get("p", last).alias("pb")]
+    every = closed.select("_key", F.posexplode("p").alias("k", "q"), *ends)
+    kept = [every.where((F.col("k") == 0) | (F.col("k") == F.col("b"))).select("_key", "k", "q")]
+    todo = keep(every.where((F.col("k") > 0) & (F.col("k") < F.col("b"))))
+    while not todo.isEmpty():
+        short = F.col("b") - F.col("a") <= 2
+        kept.append(todo.where(short).select("_key", "k", "q"))
+        distance = geo.on_segment(*(F.col(f"{p}.{c}") for p in ("q", "pa", "pb") for c in "xy"))[3]
+        far = todo.where(~short).withColumn("d", distance * distance)
+        cuts = keep(far.groupBy("_key", "a").agg(F.max_by(F.struct("k", "q"), F.struct("d", -F.col("k"))).alias("c"), F.max("d").alias("d")).where(F.col("d") > tolerance * tolerance).select("_key", "a", "c.k", "c.q"))
+        kept.append(cuts.select("_key", "k", "q"))
+        cut = todo.where(~short).join(cuts.select("_key", "a", F.col("k").alias("at"), F.col("q").alias("pc")), ["_key", "a"]).where("k <> at")
+        before = F.col("k") < F.col("at")
+        side = lambda first, second: F.when(before, F.col(first)).otherwise(F.col(second))
+        todo = keep(cut.select("_key", "k", "q", side("a", "at").alias("a"), side("at", "b").alias("b"), side("pa", "pc").alias("pa"), side("pc", "pb").alias("pb")))
+    all_kept = reduce(DataFrame.unionByName, kept)
+    rounded = F.transform(F.sort_array(F.collect_list(F.struct("k", "q"))), lambda x: F.struct(F.round(x["q"]["x"], places).alias("x"), F.round(x["q"]["y"], places).alias("y")))
+    done = all_kept.groupBy("_key").agg(rounded.alias("_ring"))
+    return rings.select(key).join(done, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, F.col("_ring").alias("ring"))
+
+
 def drifted(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """(name, problem) of artifacts whose bytes aren't those that their source gives; no rows if all is well. Both: (name, content)."""
     both = expected.select("name", F.col("content").alias("_want")).join(actual.select("name", F.col("content").alias("_have")), "name", "full")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..session import bounded
+from ..session import bounded, keep
 
 #: Most edges of a node; penalty of fallback roads and of steps; snapping radii in metres.
 MOST_DEGREE, FALLBACK_PENALTY, STEPS_PENALTY = 64, 1.5, 1.5
@@ -60,9 +60,10 @@ def way_edges(ways: DataFrame, excluded: DataFrame, blocked: DataFrame) -> DataF
     segments = cut.select((F.col("way_seq") * 1024 + F.col("k")).cast("long").alias("edge_id"), "way_id", *rest, end(0).alias("p"), end(1).alias("q"))
     closed = bounded(blocked.select("node_id"))
     segments = segments.where("p.node_id <> q.node_id").withColumns({"a": F.col("p.node_id"), "b": F.col("q.node_id")})
-    segments = segments.join(closed.select(F.col("node_id").alias("a")), "a", "left_anti").join(closed.select(F.col("node_id").alias("b")), "b", "left_anti")
+    segments = keep(segments.join(closed.select(F.col("node_id").alias("a")), "a", "left_anti").join(closed.select(F.col("node_id").alias("b")), "b", "left_anti"))  # read three times
     seen = segments.select(F.explode(F.array(F.struct("p", F.col("edge_id").alias("e"), F.lit(0).alias("k")), F.struct(F.col("q").alias("p"), F.col("edge_id").alias("e"), F.lit(1).alias("k")))).alias("u"))
     first = seen.groupBy(F.col("u.p.node_id").alias("node_id")).agg(F.min_by("u.p", F.struct("u.e", "u.k")).alias("p")).select("node_id", geo.to_x(F.col("p.lon")).alias("x"), geo.to_y(F.col("p.lat")).alias("y"))
+    first = keep(first)
     at = lambda n: first.select(F.col("node_id").alias(n), F.col("x").alias(n + "x"), F.col("y").alias(n + "y"))
     placed = segments.drop("p", "q").join(at("a"), "a").join(at("b"), "b").withColumn("length", geo.euclid(*(F.col(c) for c in ("ax", "ay", "bx", "by"))))
     return placed.where("length > 0").select("edge_id", "way_id", "a", "b", "ax", "ay", "bx", "by", "length", *rest)

@@ -137,12 +137,22 @@ def _wanted_grams(text: Column) -> Column:
     return F.filter(grams(text), lambda g: (F.length(g) == 2) | (F.length(text) == 1))
 
 
-def search(places: DataFrame, queries: DataFrame, k: int = DEFAULT_RESULTS, compose=nfkc) -> DataFrame:
+def korean(name: Column) -> Column:
+    """Sort key of a name in Korean dictionary order."""
+    return F.collate(name, "ko")
+
+
+def by_codes(name: Column) -> Column:
+    """Sort key in order of characters' codes, for builds of Spark without collations."""
+    return name
+
+
+def search(places: DataFrame, queries: DataFrame, k: int = DEFAULT_RESULTS, compose=nfkc, order=korean) -> DataFrame:
     """The best k places of each query (query_id, query): (query_id, rank, id, score), by score, name and id.
 
-    A match contains the query, or in an alias all its words. So places and queries meet on one pair of characters: of
-    the query's (and of its first word's) pairs, the one that the fewest places have. Only these are scored.
-    Plain forms are written once, as they are read several times. Names are in order of their characters' codes, which for Hangul syllables is that of the alphabet.
+    A match contains the query, or in an alias all its words; a word that comes to nothing is in every alias. So places and
+    queries meet on one pair of characters: of the query's pairs, and of those of all its words, the one that the fewest places have.
+    Only these are scored. Plain forms are written once, as they are read several times. ``order`` gives the sort key of names.
     """
     compose_all = as_it_is if compose is as_it_is else nfkc_all
     asked = queries.where(F.length("query") <= MOST_QUERY).select("query_id", plain_query(F.col("query"), compose).alias("q"), F.transform(query_tokens(F.col("query"), compose), lambda t: F.regexp_replace(t, "역$", "")).alias("tokens")).where("q <> ''")
@@ -152,17 +162,23 @@ def search(places: DataFrame, queries: DataFrame, k: int = DEFAULT_RESULTS, comp
     shown = keep(shown)
     texts = F.concat(F.array("n", F.coalesce("ad", F.lit(""))), "al")
     held = shown.select("id", F.explode(F.array_distinct(F.flatten(F.transform(texts, grams)))).alias("gram"))
-    first_word = F.when((F.size("tokens") > 1) & F.forall("tokens", lambda t: t != ""), F.get("tokens", F.lit(0)))
-    ways = asked.select("query_id", F.explode(F.array_compact(F.array(F.col("q"), first_word))).alias("text")).distinct()
-    ways = ways.select("query_id", "text", F.explode(_wanted_grams(F.col("text"))).alias("gram"))
+    words = F.filter("tokens", lambda t: t != "")
+    several = F.size("tokens") > 1
+    looked = F.concat(F.array(F.struct(F.lit("whole").alias("way"), F.col("q").alias("text"))), F.when(several, F.transform(words, lambda t: F.struct(F.lit("words").alias("way"), t.alias("text")))).otherwise(F.array().cast("array<struct<way:string,text:string>>")))
+    ways = asked.select("query_id", F.explode(looked).alias("l")).select("query_id", "l.way", F.explode(_wanted_grams(F.col("l.text"))).alias("gram")).distinct()
     counts = held.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = ways.join(counts, "gram", "left").groupBy("query_id", "text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("g")).where("g.n > 0")
+    rarest = ways.join(counts, "gram", "left").groupBy("query_id", "way").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("g")).where("g.n > 0")
     lookups = rarest.select("query_id", F.col("g.gram").alias("gram")).distinct()
     candidates = held.join(bounded(lookups), "gram").select("query_id", "id").distinct()
+    # Words that all come to nothing are in every alias: of places with one, the first in order of name stand for all of them.
+    most = min(k, MOST_RESULTS)
+    first_named = shown.where(F.size("al") > 0).orderBy(order(F.col("name")), "id").limit(most).select("id")
+    empty = asked.where(several & (F.size(words) == 0)).select("query_id")
+    candidates = candidates.unionByName(empty.withColumn("_one", F.lit(1)).join(F.broadcast(first_named.withColumn("_one", F.lit(1))), "_one").select("query_id", "id")).distinct()
     score = match_score(F.col("n"), F.col("al"), F.col("ad"), F.col("q"), F.col("tokens"))
     scored = candidates.join(asked, "query_id").join(shown, "id").withColumn("score", score).where("score is not null")
-    order = Window.partitionBy("query_id").orderBy("score", "name", "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(k, MOST_RESULTS)).select("query_id", "rank", "id", "score")
+    best = Window.partitionBy("query_id").orderBy("score", order(F.col("name")), "id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select("query_id", "rank", "id", "score")
 
 
 def exact_choice(results: DataFrame, places: DataFrame, queries: DataFrame, compose=nfkc) -> DataFrame:

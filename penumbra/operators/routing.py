@@ -180,10 +180,17 @@ def clamp_to_shortest(routes: DataFrame, most_m: float = LONGEST_M) -> DataFrame
     return with_base.select("request_id", "mode", *(F.when(long, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in fields), F.when(F.col("_length_m") > most_m, "ROUTE_TOO_LONG").otherwise("OK").alias("status"))
 
 
+def resolve_places(requests: DataFrame, places: DataFrame) -> DataFrame:
+    """Requests (request_id, start, goal, ...) with their places' coordinates; those of places (id, lat, lon) that aren't known stay, with nulls."""
+    at = lambda name: places.select(F.col("id").alias(name), F.col("lat").alias(f"{name}_lat"), F.col("lon").alias(f"{name}_lon"))
+    return requests.join(at("start"), "start", "left").join(at("goal"), "goal", "left")
+
+
 def request_status(requests: DataFrame, start_inside: Column, goal_inside: Column) -> DataFrame:
-    """Requests with the first error that stops them, or OK: outside the area, same place, or too far apart."""
+    """Requests with the first error that stops them, or OK: an unknown place, same place, outside the area, or too far apart."""
+    unknown = F.col("start_lat").isNull() | F.col("start_lon").isNull() | F.col("goal_lat").isNull() | F.col("goal_lon").isNull()
     far = geo.haversine(*(F.col(c) for c in ("start_lat", "start_lon", "goal_lat", "goal_lon")))
-    return requests.withColumn("distance_m", far).withColumn("status", F.when(F.col("start") == F.col("goal"), "SAME_PLACE").when(~start_inside | ~goal_inside, "OUTSIDE_SEOUL").when(F.col("distance_m") > LONGEST_M, "ROUTE_TOO_LONG").otherwise("OK"))
+    return requests.withColumn("distance_m", far).withColumn("status", F.when(unknown, "UNKNOWN_PLACE").when(F.col("start") == F.col("goal"), "SAME_PLACE").when(~start_inside | ~goal_inside, "OUTSIDE_SEOUL").when(F.col("distance_m") > LONGEST_M, "ROUTE_TOO_LONG").otherwise("OK"))
 
 
 def bundles(routes: DataFrame) -> DataFrame:

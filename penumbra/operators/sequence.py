@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +11,6 @@ from ..functions import geo
 LEAST_M, GAP_M, TURN_DEG, JITTER_M, SPIKE_M, SPIKE_DEG, RETURN_DEG = 0.5, 10.0, 45.0, 8.0, 15.0, 135.0, 25.0
 #: Instructions by kind of step.
 INSTRUCTIONS = {"straight": "계속 직진", "slight-left": "왼쪽 방향으로 완만하게 이동", "slight-right": "오른쪽 방향으로 완만하게 이동", "left": "왼쪽으로 돌아 이동", "right": "오른쪽으로 돌아 이동", "uturn-left": "왼쪽으로 크게 돌아 이동", "uturn-right": "오른쪽으로 크게 돌아 이동", "steps": "계단 이용"}
-STEP_SCHEMA = "route_id long, step int, kind string, instruction string, distance_m double, shade_ratio double, exposure string, has_steps boolean, to_lat double, to_lon double"
 
 
 def segment_kind() -> Column:
@@ -50,74 +46,64 @@ def measured(segments: DataFrame) -> DataFrame:
     return out.where(finite & (F.col("meters") >= LEAST_M))
 
 
-def _turn(before: float, after: float) -> float:
-    return (after - before + 540) % 360 - 180
-
-
-def _kind_of_turn(before: float, after: float) -> str:
-    delta = _turn(before, after)
-    size, side = abs(delta), "right" if delta > 0 else "left"
-    if size < 15:
-        return "straight"
-    if size < TURN_DEG:
-        return f"slight-{side}"
-    if size < 160:
-        return side
-    return "uturn-right" if size == 180 else f"uturn-{side}"
-
-
-def _metres(lat1, lon1, lat2, lon2) -> float:
-    a, b = math.radians(lat1), math.radians(lat2)
-    h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
-    return 2 * geo.EARTH_RADIUS_M * math.asin(min(1.0, math.sqrt(h)))
-
-
-def _steps(frame: pd.DataFrame) -> pd.DataFrame:
-    """Steps of one route. The bearing that a turn is measured from is carried past jitter, so this is a fold."""
-    rows = frame.sort_values("seq").to_dict("records")
-    route = rows[0]["route_id"]
-    meaning = ["connector" if r["connector"] else "steps" if r["steps"] else "walk" for r in rows]
-    out: list[dict] = []
-    for k, (r, now) in enumerate(zip(rows, meaning)):
-        follows = rows[k + 1]["bearing"] if k + 1 < len(rows) and meaning[k + 1] == now else None
-        kind, carry = now if now != "walk" else "depart", r["bearing"]
-        if out:
-            last = out[-1]
-            turn = abs(_turn(last["bearing"], r["bearing"]))
-            returns = follows is not None and abs(_turn(last["bearing"], follows)) < RETURN_DEG
-            spike = r["meters"] <= SPIKE_M and turn >= SPIKE_DEG and follows is not None and abs(_turn(r["bearing"], follows)) >= SPIKE_DEG
-            jitter = now == last["meaning"] and returns and (r["meters"] < JITTER_M or spike)
-            gap = _metres(last["to_lat"], last["to_lon"], r["from_lat"], r["from_lon"]) > GAP_M
-            if not gap and now == last["meaning"] and not (now == "walk" and not jitter and turn >= TURN_DEG):
-                last["distance_m"] += r["meters"]
-                last["shaded"] += r["meters"] * r["effective"]
-                last["has_steps"] |= bool(r["steps"])
-                last["bearing"] = last["bearing"] if jitter else carry
-                last["to_lat"], last["to_lon"] = r["to_lat"], r["to_lon"]
-                continue
-            if now == "walk" and not gap and last["meaning"] != "connector":
-                kind = _kind_of_turn(last["bearing"], r["bearing"])
-        out.append({"kind": kind, "meaning": now, "distance_m": r["meters"], "shaded": r["meters"] * r["effective"], "has_steps": bool(r["steps"]), "first": r["bearing"], "bearing": carry, "to_lat": r["to_lat"], "to_lon": r["to_lon"]})
-    table = []
-    for k, s in enumerate(out):
-        shade = s["shaded"] / s["distance_m"] if s["distance_m"] else 0.0
-        if s["kind"] == "connector":
-            text = "보행로까지 이동" if k == 0 else "도착지까지 이동" if k == len(out) - 1 else "연결 구간 이동"
-        elif s["kind"] == "depart":
-            text = f"{geo.CARDINALS[int(math.floor(s['first'] / 45 + 0.5)) % 8]} 방향으로 {'출발' if k == 0 else '이동'}"
-        else:
-            text = INSTRUCTIONS[s["kind"]]
-        exposed = "connector" if s["meaning"] == "connector" else "shade" if shade >= 0.55 else "sun" if shade <= 0.35 else "mixed"
-        table.append((route, k, s["kind"], text, s["distance_m"], shade, exposed, s["has_steps"], s["to_lat"], s["to_lon"]))
-    goal = frame["goal_name"].iloc[0]
-    table.append((route, len(out), "arrive", f"{goal}에 도착", 0.0, 0.0, "mixed", False, out[-1]["to_lat"], out[-1]["to_lon"]))
-    return pd.DataFrame(table, columns=[c.split()[0] for c in STEP_SCHEMA.split(", ")])
+def meaning() -> Column:
+    """connector, steps or walk, of a segment."""
+    return F.when(F.col("connector"), "connector").when(F.col("steps"), "steps").otherwise("walk")
+
+
+#: What a fold over segments carries: the steps done, and the one that goes on.
+_STEP = "struct<kind:string,meaning:string,distance_m:double,shaded:double,has_steps:boolean,first:double,bearing:double,to_lat:double,to_lon:double>"
+
+
+def _next(carried: Column, r: Column) -> Column:
+    """One segment more: it belongs to the open step, or it closes that and opens its own.
+
+    The bearing that a turn is measured from is that of the segment before, but jitter doesn't move it.
+    """
+    last, turned = carried["open"], lambda a, b: F.abs(geo.turn_delta(a, b))
+    turn, walk, same = turned(last["bearing"], r["bearing"]), r["meaning"] == "walk", r["meaning"] == last["meaning"]
+    follows = r["follows"]
+    known = follows.isNotNull()
+    returns = known & (turned(last["bearing"], follows) < RETURN_DEG)
+    spike = (r["meters"] <= SPIKE_M) & (turn >= SPIKE_DEG) & known & (turned(r["bearing"], follows) >= SPIKE_DEG)
+    jitter = F.coalesce(same & returns & ((r["meters"] < JITTER_M) | spike), F.lit(False))
+    gap = geo.haversine(last["to_lat"], last["to_lon"], r["from_lat"], r["from_lon"]) > GAP_M
+    goes_on = ~gap & same & ~(walk & ~jitter & (turn >= TURN_DEG))
+    turns = walk & ~gap & (last["meaning"] != "connector")
+    kind = F.when(turns, geo.turn_kind(last["bearing"], r["bearing"])).when(walk, "depart").otherwise(r["meaning"])
+    shaded = r["meters"] * r["effective"]
+    longer = F.struct(last["kind"], last["meaning"], (last["distance_m"] + r["meters"]).alias("distance_m"), (last["shaded"] + shaded).alias("shaded"), (last["has_steps"] | r["steps"]).alias("has_steps"), last["first"], F.when(jitter, last["bearing"]).otherwise(r["bearing"]).alias("bearing"), r["to_lat"], r["to_lon"])
+    own = F.struct(kind.alias("kind"), r["meaning"], r["meters"], shaded, r["steps"], r["bearing"], r["bearing"], r["to_lat"], r["to_lon"])
+    opened = F.struct(F.concat(carried["done"], F.array(last)).alias("done"), own.cast(_STEP).alias("open"))
+    return F.when(goes_on, F.struct(carried["done"].alias("done"), longer.cast(_STEP).alias("open"))).otherwise(opened)
 
 
 def turn_by_turn(segments: DataFrame) -> DataFrame:
     """Steps of each route (route_id, seq, from/to, shade, covered, steps, connector, goal_name), with a last one on arrival.
 
-    A route is at most 2,000 segments, so a group fits a task; routes are spread by their id. Routes without a usable segment have no steps.
+    The segments of a route are one array, of 2,000 at most by the limit on routes, and the steps a fold over it inside Spark.
+    Routes without a usable segment have no steps.
     """
     effective = F.when(F.col("covered"), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("shade"))))
-    return measured(segments).withColumn("effective", effective).groupBy("route_id").applyInPandas(_steps, STEP_SCHEMA)
+    order = Window.partitionBy("route_id").orderBy("seq")
+    rows = measured(segments).withColumns({"effective": effective, "meaning": meaning()})
+    follows = F.when(F.lead("meaning").over(order) == F.col("meaning"), F.lead("bearing").over(order))
+    item = F.struct("seq", "meaning", "bearing", "meters", "effective", "steps", "follows", "from_lat", "from_lon", "to_lat", "to_lon")
+    routes = rows.withColumn("follows", follows).groupBy("route_id").agg(F.sort_array(F.collect_list(item)).alias("s"), F.min_by("goal_name", "seq").alias("goal_name"))
+    r = F.get("s", F.lit(0))
+    begun = F.struct(F.when(r["meaning"] == "walk", "depart").otherwise(r["meaning"]), r["meaning"], r["meters"], r["meters"] * r["effective"], r["steps"], r["bearing"], r["bearing"], r["to_lat"], r["to_lon"]).cast(_STEP)
+    start = F.struct(F.array().cast(f"array<{_STEP}>").alias("done"), begun.alias("open"))
+    folded = F.aggregate(F.slice("s", 2, F.size("s")), start, _next, lambda c: F.concat(c["done"], F.array(c["open"])))
+    steps = routes.select("route_id", "goal_name", folded.alias("steps"))
+    shade = F.coalesce(F.col("shaded") / F.nullif(F.col("distance_m"), F.lit(0.0)), F.lit(0.0))
+    each = steps.select("route_id", F.size("steps").alias("n"), F.posexplode("steps").alias("step", "s")).select("route_id", "n", "step", "s.*").withColumn("shade_ratio", shade)
+    first, final = F.col("step") == 0, F.col("step") == F.col("n") - 1
+    # The sentences below.
+    to_network = F.when(first, "보행로까지 이동").when(final, "도착지까지 이동").otherwise("연결 구간 이동")
+    leaving = F.concat(geo.cardinal(F.col("first")), F.lit(" 방향으로 "), F.when(first, "출발").otherwise("이동"))
+    text = F.when(F.col("kind") == "connector", to_network).when(F.col("kind") == "depart", leaving).otherwise(F.create_map(*(F.lit(x) for kv in INSTRUCTIONS.items() for x in kv))[F.col("kind")])
+    exposed = F.when(F.col("meaning") == "connector", "connector").when(F.col("shade_ratio") >= 0.55, "shade").when(F.col("shade_ratio") <= 0.35, "sun").otherwise("mixed")
+    walked = each.select("route_id", "step", "kind", text.alias("instruction"), "distance_m", "shade_ratio", exposed.alias("exposure"), "has_steps", "to_lat", "to_lon")
+    end = F.element_at("steps", -1)
+    arrived = steps.select("route_id", F.size("steps").alias("step"), F.lit("arrive").alias("kind"), F.concat("goal_name", F.lit("에 도착")).alias("instruction"), F.lit(0.0).alias("distance_m"), F.lit(0.0).alias("shade_ratio"), F.lit("mixed").alias("exposure"), F.lit(False).alias("has_steps"), end["to_lat"].alias("to_lat"), end["to_lon"].alias("to_lon"))
+    return walked.unionByName(arrived)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +30,33 @@ def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return half(todo) + half(todo[::-1])
 
 
-@F.pandas_udf(POINTS)
-def convex_hull(rings: pd.Series) -> pd.Series:
-    return rings.map(lambda ring: [{"x": x, "y": y} for x, y in hull([(p["x"], p["y"]) for p in ring])])
+def convex_hull(ring: Column) -> Column:
+    """The same for arrays of (x, y) structs, as an expression: each half is a fold whose stack is an array.
+
+    The stack always turns left, so what a point removes is all above the last place from which it lies to the left.
+    """
+    nothing = F.array().cast(POINTS)
+
+    def pushed(stack, p):
+        left = lambda a, b: (b["x"] - a["x"]) * (p["y"] - a["y"]) > (b["y"] - a["y"]) * (p["x"] - a["x"])
+        fits = F.filter(F.sequence(F.lit(2), F.size(stack)), lambda i: left(F.element_at(stack, i - 1), F.element_at(stack, i)))
+        return F.when(F.size(stack) < 2, F.concat(stack, F.array(p))).otherwise(F.concat(F.slice(stack, 1, F.coalesce(F.array_max(fits), F.lit(1))), F.array(p)))
+
+    def half(run):
+        return F.transform(F.array(F.aggregate(run, nothing, pushed)), lambda h: F.slice(h, 1, F.size(h) - 1))[0]
+
+    def whole(todo):
+        return F.when(F.size(todo) < 3, todo).otherwise(F.concat(half(todo), half(F.reverse(todo))))
+
+    points = F.array_sort(F.array_distinct(F.transform(ring, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))))
+    return F.transform(F.array(points), whole)[0]
 
 
 def shadow_polygons(buildings: DataFrame, sx: Column, sy: Column) -> DataFrame:
     """Buildings (poly) with the hull of footprint and footprint moved by (sx, sy), and its box. Rings under three points are left out."""
     moved = F.transform("poly", lambda p: F.struct((p["x"] + sx).alias("x"), (p["y"] + sy).alias("y")))
-    shaped = buildings.where(F.size("poly") >= 3).withColumn("hull", convex_hull(F.concat("poly", moved))).where(F.size("hull") >= 3)
+    plain = F.transform("poly", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    shaped = buildings.where(F.size("poly") >= 3).withColumn("hull", convex_hull(F.concat(plain, moved))).where(F.size("hull") >= 3)
     side = lambda f, k: f(F.transform("hull", lambda p: p[k]))
     return shaped.withColumns({"minx": side(F.array_min, "x"), "maxx": side(F.array_max, "x"), "miny": side(F.array_min, "y"), "maxy": side(F.array_max, "y")})
 

@@ -32,8 +32,8 @@ def owner_tile(buildings: DataFrame) -> DataFrame:
     return buildings.withColumns({"tile_x": geo.tile_x(F.col("lon")), "tile_y": geo.tile_y(F.col("lat"))})
 
 
-def select_tiles(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(request_id, n_tiles, bytes, status): tiles that a request's grown box meets, and whether they are too many.
+def tiles_of_requests(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(request_id, and the catalogue's columns) of the tiles that each request's grown box meets.
 
     Both sides meet in blocks of GRID by GRID tiles, an equality join; the boxes decide.
     """
@@ -43,7 +43,12 @@ def select_tiles(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     placed = catalogue.withColumns({"_bx": block(geo.tile_x((F.col("west") + F.col("east")) / 2)), "_by": block(geo.tile_y((F.col("south") + F.col("north")) / 2))})
     # One tile more on each side: boxes that only touch meet too.
     spread = requests.withColumn("_bx", F.explode(F.sequence(block(geo.tile_x(box[1]) - 1), block(geo.tile_x(box[3]) + 1)))).withColumn("_by", F.explode(F.sequence(block(geo.tile_y(box[2]) - 1), block(geo.tile_y(box[0]) + 1))))
-    met = spread.join(placed, ["_bx", "_by"]).where(geo.boxes_meet(box, tile)).groupBy("request_id").agg(F.count("*").alias("n_tiles"), F.sum("bytes").alias("bytes"))
+    return spread.join(placed, ["_bx", "_by"]).where(geo.boxes_meet(box, tile)).select("request_id", *catalogue.columns)
+
+
+def select_tiles(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(request_id, n_tiles, bytes, status): tiles that a request's grown box meets, and whether they are too many."""
+    met = tiles_of_requests(requests, catalogue).groupBy("request_id").agg(F.count("*").alias("n_tiles"), F.sum("bytes").alias("bytes"))
     sums = requests.select("request_id").join(met, "request_id", "left").select("request_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_tiles", "bytes")))
     return sums.withColumn("status", F.when(F.col("n_tiles") == 0, "AREA_DATA_UNAVAILABLE").when((F.col("n_tiles") > MOST_PER_REQUEST) | (F.col("bytes") > MOST_BYTES), "ROUTE_TOO_LARGE").otherwise("OK"))
 

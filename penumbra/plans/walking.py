@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import geo, rules, sun, tags
-from ..operators import boundary, graph, guards, routing, sequence, shade
+from ..operators import boundary, graph, guards, overlay, routing, sequence, shade
 from ..operators.spatial import points_near_segments
-from ..session import keep, ship_package
+from ..session import keep, remove, shared_folder, ship_package
+from ..sources import releases, tile_store
 from . import service
 from .lens import view, with_views
 from .registry import query
@@ -178,20 +182,37 @@ def point_in_ring(spark, sf):
     return view(spark, sf, "nodes").select("id", geo.in_ring(F.col("lon"), F.col("lat"), ring).alias("in_ring"), geo.in_multipolygon(F.col("lon"), F.col("lat"), F.array(F.array(ring, hole))).alias("in_polygon"))
 
 
-@query()
+_HULL_SQL = with_views("nodes") + """, p AS (SELECT DISTINCT gy, CAST(gx AS DOUBLE) AS x, CAST(size AS DOUBLE) AS y FROM lens_nodes)
+    SELECT a.gy, a.x, a.y, b.x AS next_x, b.y AS next_y FROM p AS a JOIN p AS b ON a.gy = b.gy AND (a.x <> b.x OR a.y <> b.y)
+    WHERE NOT EXISTS (SELECT 1 FROM p AS c WHERE c.gy = a.gy AND ((b.x - a.x) * (c.y - a.y) < (b.y - a.y) * (c.x - a.x) OR ((b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) > 0)))"""
+
+
+@query(_HULL_SQL)
 def convex_hulls(spark, sf):
-    """Hull of each row of the grid's nodes moved by their sizes."""
-    ship_package(spark)
-    rows = view(spark, sf, "nodes").groupBy("gy").agg(F.sort_array(F.collect_list(F.struct("x", (F.col("y") + F.col("size")).alias("y")))).alias("ring"))
-    return rows.select("gy", F.size("ring").alias("n_points"), F.size(shade.convex_hull("ring")).alias("n_hull"))
+    """Sides of the hull of each row of the grid's nodes, set off by their sizes."""
+    rings = view(spark, sf, "nodes").groupBy("gy").agg(F.collect_list(F.struct(F.col("gx").cast("double").alias("x"), F.col("size").cast("double").alias("y"))).alias("ring"))
+    hulls = rings.select("gy", shade.convex_hull(F.col("ring")).alias("h")).where(F.size("h") > 1)
+    after = F.get("h", (F.col("k") + 1) % F.size("h"))
+    return hulls.select("gy", "h", F.posexplode("h").alias("k", "p")).select("gy", "p.x", "p.y", after["x"].alias("next_x"), after["y"].alias("next_y"))
 
 
-@query()
+_SIMPLE_SQL = with_views("nodes").replace("WITH ", "WITH RECURSIVE ", 1) + f""", o AS (SELECT gy, row_number() OVER (PARTITION BY gy ORDER BY lon, y) - 1 AS k, lon AS x, y FROM (SELECT gy, lon, lat + size * 1e-5 AS y FROM lens_nodes)),
+    n AS (SELECT gy, count(*) AS n FROM o GROUP BY 1 HAVING count(*) >= 4), p AS (SELECT o.* FROM o JOIN n USING (gy) UNION ALL SELECT o.gy, n.n, x, y FROM o JOIN n USING (gy) WHERE k = 0),
+    s(gy, a, b) AS (SELECT gy, CAST(0 AS BIGINT), n FROM n UNION ALL
+        SELECT gy, CASE WHEN i = 0 THEN a ELSE k END, CASE WHEN i = 0 THEN k ELSE b END FROM (SELECT gy, a, b, arg_min(k, (-d, k)) AS k, max(d) AS d FROM (
+            SELECT gy, a, b, k, (ax + t * dx - x) * (ax + t * dx - x) + (ay + t * dy - y) * (ay + t * dy - y) AS d FROM (
+            SELECT s.gy, s.a, s.b, p.k, p.x, p.y, u.x AS ax, u.y AS ay, v.x - u.x AS dx, v.y - u.y AS dy, coalesce(greatest(0e0, least(1e0, ((p.x - u.x) * (v.x - u.x) + (p.y - u.y) * (v.y - u.y)) / nullif((v.x - u.x) * (v.x - u.x) + (v.y - u.y) * (v.y - u.y), 0e0))), 0e0) AS t
+            FROM s JOIN p ON p.gy = s.gy AND p.k > s.a AND p.k < s.b JOIN p AS u ON u.gy = s.gy AND u.k = s.a JOIN p AS v ON v.gy = s.gy AND v.k = s.b WHERE s.b - s.a > 2)) GROUP BY 1, 2, 3) AS f, (VALUES (0), (1)) AS h(i) WHERE d > {boundary.TOLERANCE_DEG}e0 * {boundary.TOLERANCE_DEG}e0),
+    kept AS (SELECT gy, a AS k FROM s UNION SELECT gy, b FROM s UNION SELECT gy, a + 1 FROM s WHERE b - a = 2)
+    SELECT gy, CAST(row_number() OVER (PARTITION BY gy ORDER BY k) - 1 AS INT) AS place, round(x, 6) AS x, round(y, 6) AS y FROM kept JOIN p USING (gy, k)"""
+
+
+@query(_SIMPLE_SQL)
 def ring_simplified(spark, sf):
-    """Rings along the grid's rows, with fewer points."""
-    ship_package(spark)
+    """Points that are left of rings along the grid's rows."""
     rows = view(spark, sf, "nodes").groupBy("gy").agg(F.sort_array(F.collect_list(F.struct(F.col("lon").alias("x"), (F.col("lat") + F.col("size") * 1e-5).alias("y")))).alias("ring"))
-    return rows.select("gy", F.size("ring").alias("n_points"), F.size(boundary.simplified_ring("ring")).alias("n_kept"))
+    done = boundary.simplified_rings(rows, "gy").where("ring is not null")
+    return done.select("gy", F.posexplode("ring").alias("place", "p")).select("gy", "place", "p.x", "p.y")
 
 
 _SUN_SQL = """, s AS (SELECT DISTINCT CAST(floor(epoch_ms(ts) / 900000e0) AS BIGINT) AS slot FROM events), d AS (SELECT slot, slot * 900000e0 / 86400000e0 - 0.5e0 + 2440588e0 - 2451545e0 AS d FROM s),
@@ -375,6 +396,83 @@ def route_costs_3mode(spark, sf):
     return paths(spark, sf).groupBy("request_id", "mode").agg(F.round(F.max("cost"), 4).alias("cost"))
 
 
+def sample_store(spark, sf):
+    """The sample's edges as ways of two points, and its buildings, written by tile; the store's folder."""
+    n = view(spark, sf, "nodes")
+    end = lambda name: n.select(F.col("id").alias(name), F.struct("lat", "lon").alias(f"p{name}"))
+    e = view(spark, sf, "edges").select(F.col("edge_id").alias("id"), "a", "b", "covered", "steps", "fallback", "direction").join(end("a"), "a").join(end("b"), "b")
+    ways = e.select("id", F.array("a", "b").alias("nodes"), F.array("pa", "pb").alias("points"), "covered", "steps", "fallback", "direction")
+    corner = lambda x, y: F.struct(geo.to_lat(F.col(y)).alias("lat"), geo.to_lon(F.col(x)).alias("lon"))
+    buildings = view(spark, sf, "buildings").select("id", "height", F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1")).alias("points"))
+    root = f"{shared_folder(spark)}/penumbra-store-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, root)
+    write = lambda folder: tile_store.write_store(tile_store.tiled_ways(ways), tile_store.tiled_buildings(buildings), folder)
+    return releases.publish_release(spark, root, write, lambda folder: tile_store.whole(spark, folder))
+
+
+def located_requests(spark, sf):
+    return placed_requests(spark, sf).withColumnsRenamed({"lat1": "start_lat", "lon1": "start_lon", "lat2": "goal_lat", "lon2": "goal_lon"})
+
+
+def no_policy(spark):
+    return {"excluded": spark.createDataFrame([], "way_id long"), "blocked": spark.createDataFrame([], "node_id long"), "directions": spark.createDataFrame([], "way_id long, direction string")}
+
+
+def _shadow_vector():
+    reach = F.least(F.col("height") * LPM, F.lit(200.0))
+    return reach * SUN_X, reach * SUN_Y
+
+
+@query(_COSTS + " SELECT q.request_id, best.mode, round(best.cost, 4) AS cost FROM q JOIN best ON best.request_id = q.request_id AND best.node = q.goal")
+def stored_route_costs(spark, sf):
+    """Costs of the same routes, from a tile store and over the overlay: only tiles around requests are read, and only cells of a request's ends are opened."""
+    ship_package(spark)
+    store = sample_store(spark, sf)
+    requests = keep(asked(spark, sf))
+    chosen, judged = tile_store.chosen_tiles(located_requests(spark, sf).join(requests, "request_id", "left_semi"), spark.read.parquet(f"{store}/catalogue"))
+    policy = no_policy(spark)
+    edges, _ = service.stored_network(spark, store, chosen, policy["excluded"], policy["blocked"], policy["directions"], *_shadow_vector())
+    cells = keep(overlay.pack(edges))
+    found = overlay.routes(overlay.ends_at_nodes(requests.join(judged.where("status = 'OK'"), "request_id", "left_semi")), cells, keep(overlay.shortcuts(cells)))
+    return found.groupBy("request_id", "mode").agg(F.round(F.max("cost"), 4).alias("cost"))
+
+
+_TILE_SQL = with_views("nodes", "edges", "buildings") + f""", area(alat, alon, blat, blon) AS ({_AREA_EDGES}), tx AS (SELECT id, CAST(floor((lon + 180e0) / 360e0 * 32768e0) AS BIGINT) AS x, CAST(floor((1e0 - asinh(tan(radians(lat))) / pi()) / 2e0 * 32768e0) AS BIGINT) AS y FROM lens_nodes),
+    w AS (SELECT DISTINCT edge_id, x, y FROM (SELECT edge_id, least(p.x, q.x) AS x0, greatest(p.x, q.x) AS x1, least(p.y, q.y) AS y0, greatest(p.y, q.y) AS y1 FROM lens_edges JOIN tx AS p ON p.id = a JOIN tx AS q ON q.id = b), unnest(generate_series(x0, x1)) AS i(x), unnest(generate_series(y0, y1)) AS j(y)),
+    c AS (SELECT id, (x0 + x1) / 2 / (111320e0 * cos(radians(37.498e0))) + 127.032e0 AS lon, (y0 + y1) / 2 / 110540e0 + 37.498e0 AS lat FROM lens_buildings),
+    o AS (SELECT CAST(floor((lon + 180e0) / 360e0 * 32768e0) AS BIGINT) AS x, CAST(floor((1e0 - asinh(tan(radians(lat))) / pi()) / 2e0 * 32768e0) AS BIGINT) AS y FROM c WHERE {_INSIDE.format(lat='lat', lon='lon')}),
+    u AS (SELECT x, y, count(*) AS ways, 0 AS buildings FROM w GROUP BY 1, 2 UNION ALL SELECT x, y, 0, count(*) FROM o GROUP BY 1, 2)
+    SELECT '15-' || x || '-' || y AS tile_id, CAST(sum(ways) AS BIGINT) AS ways, CAST(sum(buildings) AS BIGINT) AS buildings, CAST(2 * sum(ways) AS BIGINT) AS way_points, CAST(4 * sum(buildings) AS BIGINT) AS building_points FROM u GROUP BY x, y"""
+
+
+@query(_TILE_SQL)
+def tile_catalogue(spark, sf):
+    """Work of each tile: ways in all tiles of their box, buildings whose mean lies in the service area in the tile of that mean."""
+    n = view(spark, sf, "nodes")
+    end = lambda name: n.select(F.col("id").alias(name), F.struct("lat", "lon").alias(f"p{name}"))
+    e = view(spark, sf, "edges").select(F.col("edge_id").alias("id"), "a", "b").join(end("a"), "a").join(end("b"), "b")
+    corner = lambda x, y: F.struct(geo.to_lat(F.col(y)).alias("lat"), geo.to_lon(F.col(x)).alias("lon"))
+    buildings = view(spark, sf, "buildings").select("id", F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1")).alias("points"))
+    ring = F.array(*(F.struct(F.lit(lat).alias("lat"), F.lit(lon).alias("lon")) for lat, lon in AREA))
+    c = tile_store.catalogue_of(tile_store.tiled_ways(e.select("id", F.array("pa", "pb").alias("points"))), tile_store.tiled_buildings(buildings, F.array(F.array(ring))))
+    return c.select("tile_id", *(F.col(x).cast("long").alias(x) for x in tile_store.WORK))
+
+
+@query(with_views("nodes", "requests") + ", r AS (SELECT request_id, start, CASE WHEN request_id % 30 = 0 THEN -goal ELSE goal END AS goal FROM lens_requests) SELECT request_id, CASE WHEN g.id IS NULL THEN 'UNKNOWN_PLACE' WHEN start = goal THEN 'SAME_PLACE' ELSE 'KNOWN' END AS status FROM r LEFT JOIN lens_nodes AS g ON g.id = goal")
+def unknown_places(spark, sf):
+    """Requests to places that aren't there keep their row, and say so."""
+    r = view(spark, sf, "requests").withColumn("goal", F.when(F.col("request_id") % 30 == 0, -F.col("goal")).otherwise(F.col("goal")))
+    resolved = routing.request_status(routing.resolve_places(r, view(spark, sf, "nodes").select("id", "lat", "lon")), F.lit(True), F.lit(True))
+    return resolved.select("request_id", F.when(F.col("status").isin("UNKNOWN_PLACE", "SAME_PLACE"), F.col("status")).otherwise("KNOWN").alias("status"))
+
+
+@query()
+def stored_status(spark, sf):
+    """Outcomes of planning from the tile store, by the whole chain: checks, tiles, graph, routes."""
+    r = located_requests(spark, sf).select("request_id", "start", "goal", (F.col("start_lat") + 6e-5).alias("start_lat"), "start_lon", "goal_lat", (F.col("goal_lon") + 1e-4).alias("goal_lon"), (F.col("request_id") % 400 == 0).alias("gps"))
+    return service.plan_stored(spark, sample_store(spark, sf), r, no_policy(spark), *_shadow_vector())[1]
+
+
 def _path_edges(spark, sf):
     return paths(spark, sf).join(route_edges(spark, sf).select("edge_id", "length", "steps", "shade"), "edge_id")
 

@@ -6,12 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import bounded
 
 # The fields of the formats.
 OVERPASS = "struct<elements:array<struct<type:string,id:bigint,tags:map<string,string>,nodes:array<bigint>,geometry:array<struct<lat:double,lon:double>>>>>"
 TILE = "struct<schema:int,id:string,w:array<string>,b:array<string>>"
 PLACES = "struct<schema:int,places:array<struct<id:string,name:string,aliases:array<string>,address:string,kind:string,lat:double,lon:double>>>"
-MANIFEST = "struct<schema:int,releaseId:string,zoom:int,coverage:struct<south:double,west:double,north:double,east:double>,tiles:array<struct<id:string,bounds:struct<south:double,west:double,north:double,east:double>,bytes:bigint,sha256:string>>,walkingPolicy:struct<schema:int,excludedWayIds:array<bigint>,blockedNodeIds:array<bigint>,fallbackWayIds:array<bigint>,directions:array<array<bigint>>>>"
+MANIFEST = (
+    "struct<schema:int,releaseId:string,zoom:int,coverage:struct<south:double,west:double,north:double,east:double>,"
+    "source:struct<schema:int,fileName:string,bytes:bigint,sha256:string,observedModifiedAt:string,downloadUrl:string,downloadedAt:string>,generator:struct<schema:int,script:string>,"
+    "artifacts:struct<places:struct<path:string,bytes:bigint,sha256:string>,boundary:struct<path:string,bytes:bigint,sha256:string>>,"
+    "tiles:array<struct<id:string,bounds:struct<south:double,west:double,north:double,east:double>,bytes:bigint,sha256:string>>,"
+    "walkingPolicy:struct<schema:int,excludedWayIds:array<bigint>,blockedNodeIds:array<bigint>,fallbackWayIds:array<bigint>,directions:array<array<bigint>>>>")
+#: Patterns, names and limits of a manifest.
+SHA256, RELEASE, TILE_ID, FILE_NAME = "^[a-f0-9]{64}$", "^[a-f0-9]{24}$", r"^\d{1,2}-\d{1,8}-\d{1,8}$", "^[a-zA-Z0-9._-]{1,120}$"
+SCRIPT, PLACES_PATH, BOUNDARY_PATH = "scripts/build-seoul-tiles.mjs", "places.json", "boundary.json"
+MOST_ARTIFACT, MOST_MANIFEST, MOST_POLICY, MOST_TILE, MOST_TILES, MOST_URL, MOST_DATE, MOST_ZOOM = 12_000_000, 1_000_000, 20_000, 2_000_000, 2_000, 2_000, 40, 22
 WEATHER = "observedAt string, temperatureC double, apparentTemperatureC double, uvIndex double, isDay boolean, weatherCode int"
 #: Most bytes of an artifact, elements of a file, points and tags of an element; kinds of places.
 MOST_BYTES, MOST_ELEMENTS, MOST_POINTS, MOST_TAGS = 5_000_000, 10_000, 1_000, 100
@@ -73,24 +83,58 @@ def points(coords: Column) -> Column:
 
 
 def expand_ways(ways: DataFrame, excluded: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Ways without the excluded ones, with the fallback policy or-ed in, as booleans and points. Policy tables are bounded by the format."""
-    marked = ways.join(F.broadcast(excluded.withColumnRenamed("way_id", "id")), "id", "left_anti").join(F.broadcast(fallback.select(F.col("way_id").alias("id"), F.lit(True).alias("_f"))), "id", "left")
+    """Ways without the excluded ones, with the fallback policy or-ed in, as booleans and points. Policy tables are counted before they are broadcast."""
+    marked = ways.join(bounded(excluded.withColumnRenamed("way_id", "id")), "id", "left_anti").join(bounded(fallback.select(F.col("way_id").alias("id"), F.lit(True).alias("_f"))), "id", "left")
     bit = lambda b: F.col("flags").bitwiseAND(b) > 0
     return marked.select("tile_id", "id", bit(1).alias("covered"), bit(2).alias("steps"), (bit(4) | F.coalesce("_f", F.lit(False))).alias("fallback"), "nodes", points(F.col("coords")).alias("points"))
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    return files.select("path", F.from_json("text", MANIFEST).alias("m")).select("path", "m.*")
+    """Manifests as columns; those over the size cap, or whose text doesn't parse, have nulls."""
+    text = F.when(F.octet_length("text") <= MOST_MANIFEST, F.col("text"))
+    return files.select("path", F.from_json(text, MANIFEST).alias("m"), F.json_object_keys(F.get_json_object(text, "$.source")).alias("source_keys")).select("path", "m.*", "source_keys")
 
 
-def manifest_ok(m: DataFrame) -> DataFrame:
-    """Adds valid: schema, zoom, release id, hashes, tile bounds."""
-    tiles_ok = F.forall("tiles", lambda t: t["sha256"].rlike("^[0-9a-f]{64}$") & (t["bytes"] > 0) & (t["bounds"]["south"] < t["bounds"]["north"]) & (t["bounds"]["west"] < t["bounds"]["east"]))
+def _box_ok(box: Column) -> Column:
+    """Finite, within the world, south below north and west of east; comparisons with nulls and NaN are false."""
+    return (box["south"] >= -90) & (box["north"] <= 90) & (box["west"] >= -180) & (box["east"] <= 180) & (box["south"] < box["north"]) & (box["west"] < box["east"])
+
+
+def _rising(values: Column) -> Column:
+    """At most MOST_POLICY positive numbers, each more than the one before."""
+    return (F.size(values) <= MOST_POLICY) & F.forall(values, lambda x: x > 0) & (values == F.array_sort(F.array_distinct(values)))
+
+
+def _date_ok(text: Column) -> Column:
+    return (F.length(text) <= MOST_DATE) & F.try_to_timestamp(text).isNotNull()
+
+
+def manifest_rules(m: DataFrame) -> dict[str, Column]:
+    """Every rule of a manifest by name: true where it holds, null or false where it doesn't."""
+    source, policy, directions = F.col("source"), F.col("walkingPolicy"), F.col("walkingPolicy.directions")
+    artifact = lambda a, path: (a["path"] == path) & a["bytes"].between(1, MOST_ARTIFACT) & a["sha256"].rlike(SHA256)
+    has = lambda key: F.array_contains("source_keys", key) if "source_keys" in m.columns else F.lit(True)
     ids = F.transform("tiles", lambda t: t["id"])
-    rising = lambda a: a == F.array_sort(F.array_distinct(a))
-    policy_ok = rising(F.col("walkingPolicy.excludedWayIds")) & rising(F.col("walkingPolicy.blockedNodeIds")) & rising(F.col("walkingPolicy.fallbackWayIds"))
-    ok = (F.col("schema") == 3) & (F.col("zoom") == geo.ZOOM) & F.col("releaseId").rlike("^[0-9a-f]{24}$") & tiles_ok & rising(ids) & policy_ok
-    return m.withColumn("valid", F.coalesce(ok, F.lit(False)))
+    each = lambda rule: F.forall("tiles", rule)
+    return {
+        "schema": F.col("schema") == 3, "release_id": F.col("releaseId").rlike(RELEASE), "zoom": F.col("zoom").between(0, MOST_ZOOM), "coverage": _box_ok(F.col("coverage")),
+        "source_schema": source["schema"] == 1, "source_file": source["fileName"].rlike(FILE_NAME), "source_bytes": source["bytes"] > 0, "source_hash": source["sha256"].rlike(SHA256), "source_modified": _date_ok(source["observedModifiedAt"]),
+        "source_url": has("downloadUrl") & (source["downloadUrl"].isNull() | ((F.length(source["downloadUrl"]) <= MOST_URL) & F.startswith(source["downloadUrl"], F.lit("https://")))),
+        "source_downloaded": has("downloadedAt") & (source["downloadedAt"].isNull() | _date_ok(source["downloadedAt"])),
+        "generator_schema": F.col("generator.schema") == 3, "generator_script": F.col("generator.script") == SCRIPT,
+        "places": artifact(F.col("artifacts.places"), PLACES_PATH), "boundary": artifact(F.col("artifacts.boundary"), BOUNDARY_PATH),
+        "policy_schema": policy["schema"] == 1, "excluded_ways": _rising(policy["excludedWayIds"]), "blocked_nodes": _rising(policy["blockedNodeIds"]), "fallback_ways": _rising(policy["fallbackWayIds"]),
+        "directions": F.forall(directions, lambda d: (F.size(d) == 2) & F.get(d, F.lit(1)).isin(1, -1)) & _rising(F.transform(directions, lambda d: F.get(d, F.lit(0)))),
+        "n_tiles": F.size("tiles").between(1, MOST_TILES), "tile_ids": each(lambda t: t["id"].rlike(TILE_ID)) & (ids == F.array_sort(F.array_distinct(ids))),
+        "tile_bounds": each(lambda t: _box_ok(t["bounds"])), "tile_bytes": each(lambda t: t["bytes"].between(1, MOST_TILE)), "tile_hashes": each(lambda t: t["sha256"].rlike(SHA256)),
+    }
+
+
+def manifest_ok(m: DataFrame) -> DataFrame:
+    """Adds broken, the names of the rules that don't hold, and valid, whether there are none."""
+    rules = manifest_rules(m)
+    broken = F.array_compact(F.array(*(F.when(~F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items())))
+    return m.withColumn("broken", broken).withColumn("valid", F.size("broken") == 0)
 
 
 def places(files: DataFrame) -> DataFrame:
