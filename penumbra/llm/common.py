@@ -73,3 +73,20 @@ def with_found(rows: DataFrame, found: DataFrame) -> DataFrame:
     if small_enough(ids):
         rows = rows.join(F.broadcast(ids), same, "left_semi")
     return rows.join(found, same).drop("_of", "_of_key")
+
+
+#: From so many rows on a key is hot; and there are never more hot keys than this.
+HOT_ROWS, MOST_HOT = 2_000, 50_000
+
+
+def join_skewed(rows: DataFrame, small: DataFrame, on: list[str], size: Column | None = None) -> DataFrame:
+    """Inner join with a table that has one row a key and says how many rows meet it (n, dropped).
+
+    Hot keys meet their rows by a broadcast, where these few entries are small enough, so no task gets all rows of a key; the others by a shuffle.
+    """
+    total = small.agg(F.sum("n")).first()[0] or 0
+    hot = small.where(F.col("n") > max(HOT_ROWS, total // MOST_HOT)).drop("n")
+    if hot.isEmpty() or not small_enough(hot, size=size):
+        return rows.join(small.drop("n"), on)
+    cold = small.join(F.broadcast(hot.select(*on)), on, "left_anti").drop("n")
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))

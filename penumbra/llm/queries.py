@@ -153,17 +153,17 @@ ORACLES: dict[str, str] = {
     SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, m.c AS component_id, m.c = d.doc_id AS kept
     FROM d LEFT JOIN z USING (doc_id) JOIN (SELECT node, min(root) AS c FROM reach GROUP BY 1) m ON m.node = d.doc_id""",
     "op9_line_dedup": f"""
-    WITH l AS (SELECT doc_id, i - 1 AS i, line, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h
+    WITH l AS (SELECT doc_id, i - 1 AS i, line, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) AS h, count(*) OVER (PARTITION BY doc_id) AS n
                FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)),
-    r AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, (lag(h) OVER (PARTITION BY doc_id ORDER BY i) + 31 * h) % {linededup.PRIME} AS r FROM l),
-    b AS (SELECT *, lag(r) OVER o AS before, lead(r) OVER o AS after FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-    s AS (SELECT doc_id, i, line, cut, CASE WHEN i = 0 OR (i BETWEEN 2 AND n - 2 AND CASE WHEN cut = 0 THEN r < before AND r < after ELSE r > before AND r > after END) THEN 1 ELSE 0 END AS begins FROM b CROSS JOIN (VALUES (0), (1)) AS c(cut)),
-    k AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id, cut ORDER BY i) AS chunk FROM s),
-    c AS (SELECT doc_id, cut, chunk, min(i) AS i, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM k GROUP BY 1, 2, 3),
-    f AS (SELECT *, n >= {linededup.LEAST_LINES} AND row_number() OVER (PARTITION BY cut, t, n >= {linededup.LEAST_LINES} ORDER BY doc_id, i) > 1 AS gone FROM c),
-    gone AS (SELECT DISTINCT doc_id, p AS i FROM f, unnest(generate_series(f.i, f.i + n - 1)) AS x(p) WHERE gone),
+    p AS (SELECT *, CASE WHEN i + 1 < n THEN (h % {linededup.PRIME} + 31 * (lead(h) OVER w % {linededup.PRIME})) % {linededup.PRIME} END AS r, line || chr(10) || lead(line) OVER w AS pair FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    b AS (SELECT *, lag(r, 2) OVER w AS a2, lag(r) OVER w AS a1, lead(r) OVER w AS c1, lead(r, 2) OVER w AS c2 FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    c AS (SELECT doc_id, i, pair FROM b WHERE r IS NOT NULL AND (n <= 3 OR (r <= a1 AND r <= a2) OR (r <= a1 AND r <= c1) OR (r <= c1 AND r <= c2))),
+    f AS (SELECT *, first_value((doc_id, i)) OVER (PARTITION BY pair ORDER BY doc_id, i) AS first FROM c),
+    ways AS (SELECT DISTINCT doc_id, first[1] AS source, i - first[2] AS shift FROM f WHERE doc_id <> first[1] OR i <> first[2]),
+    same AS (SELECT w.doc_id, w.source, w.shift, x.i FROM ways AS w JOIN l AS x USING (doc_id) JOIN l AS y ON y.doc_id = w.source AND y.i = x.i - w.shift AND y.line = x.line),
+    gone AS (SELECT DISTINCT s.doc_id, s.i FROM same AS s JOIN same AS t ON t.doc_id = s.doc_id AND t.source = s.source AND t.shift = s.shift AND abs(t.i - s.i) = 1),
     q AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (g.i IS NOT NULL) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS t FROM l LEFT JOIN gone AS g USING (doc_id, i) GROUP BY 1),
-    m AS (SELECT doc_id, count(*) AS n_chunks FROM c WHERE cut = 0 GROUP BY 1)
+    m AS (SELECT doc_id, count(*) AS n_chunks FROM c GROUP BY 1)
     SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed, 0) AS n_removed, sha256(t) AS kept_sha256 FROM documents LEFT JOIN q USING (doc_id) LEFT JOIN m USING (doc_id)""",
     "op10_substring_dedup": f"""
     WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),

@@ -5,6 +5,8 @@ import hashlib
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from penumbra.llm import decontam, linededup, lm, neardup, quality, sharding, substring, toxicity
 
 from test_corpus import prose, table
@@ -63,15 +65,14 @@ def test_line_dedup(spark, docs):
     assert sorted(r.n_removed for r in linededup.line_dedup(twice).collect())[:3] == [0, 0, 0]
 
 
-def test_no_chunk_has_one_line(spark):
-    from pyspark.sql import functions as F
-
+def test_four_lines_have_a_chunk_wherever_they_stand(spark):
     texts = ["\n".join(prose(n * 50 + k, 3) for k in range(n)) for n in range(1, 40)] + ["\n" * 9, "a\nb\n" * 30]
-    for r in table(spark, texts).select("doc_id", F.size(F.split("text", "\n")).alias("n"), linededup.chunks_of(F.col("text")).alias("c")).collect():
-        for cut in linededup.CUTS:
-            spans = [(x.start, x.lines) for x in r.c if x.cut == cut]
-            assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(n for _, n in spans) == r.n
-            assert r.n == 1 or min(n for _, n in spans) >= 2
+    for r in table(spark, texts).select("text", linededup.chunks_of(linededup.line_hashes(F.col("text"))).alias("c")).collect():
+        lines = r.text.split("\n")
+        assert all(0 <= i < len(lines) - 1 for i in r.c) and len(set(r.c)) == len(r.c)
+        for i in range(len(lines) - 3):
+            alone = "\n".join(lines[i : i + 4])
+            assert {i, i + 1, i + 2} & set(r.c), alone
 
 
 def test_substring_dedup(spark, docs):
