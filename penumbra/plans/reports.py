@@ -112,7 +112,7 @@ _QUOTAS = {"station": 40, "food": 25, "cafe": 10}
 @query(with_views("places") + """, r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY name, id) AS n FROM lens_places), o AS (SELECT *, n > CASE kind WHEN 'station' THEN 40 WHEN 'food' THEN 25 WHEN 'cafe' THEN 10 ELSE 120 END AS overflow FROM r)
     SELECT id, kind, name, overflow FROM o ORDER BY overflow, name, id LIMIT 120""")
 def place_quota(spark, sf):
-    return places.within_quotas(_places(spark, sf), _QUOTAS, 120, [F.col("name"), F.col("id")]).select("id", "kind", "name", "overflow")
+    return places.within_quotas(_places(spark, sf), _QUOTAS, 120, [places.korean(F.col("name")), F.col("id")]).select("id", "kind", "name", "overflow")
 
 
 @query(with_views("places") + f""", q(query_id, query) AS (SELECT seq, name FROM lens_places WHERE seq % 20 = 0),
@@ -318,10 +318,43 @@ def route_continuity(spark, sf):
     return sequence.continuity(_route_segments(spark, sf))
 
 
-@query()
+def _turned(a, b):
+    """Change of bearing from a to b in SQL, within [-180, 180)."""
+    return f"(({b} - {a} + 540e0) - 360e0 * floor(({b} - {a} + 540e0) / 360e0) - 180e0)"
+
+
+def _metres_sql(a, b, c, d):
+    return f"12742000e0 * asin(least(1e0, sqrt(sin(radians({c} - {a}) / 2) * sin(radians({c} - {a}) / 2) + cos(radians({a})) * cos(radians({c})) * sin(radians({d} - {b}) / 2) * sin(radians({d} - {b}) / 2))))"
+
+
+_TURN = _turned("s.bearing", "m.bearing")
+_STEPS_SQL = with_views("segments").replace("WITH ", "WITH RECURSIVE ", 1) + f""", f AS (SELECT *, lag(lat) OVER o AS last_lat, lag(lon) OVER o AS from_lon FROM lens_segments WINDOW o AS (PARTITION BY route_id ORDER BY seq)),
+    g AS (SELECT route_id, seq, CASE WHEN seq % 11 = 0 THEN last_lat + 1e-3 ELSE last_lat END AS from_lat, from_lon, lat AS to_lat, lon AS to_lon, CASE WHEN covered THEN 1e0 ELSE greatest(0e0, least(1e0, shade)) END AS shade, steps, CASE WHEN connector THEN 'connector' WHEN steps THEN 'steps' ELSE 'walk' END AS meaning FROM f WHERE last_lat IS NOT NULL),
+    h AS (SELECT *, {_metres_sql("from_lat", "from_lon", "to_lat", "to_lon")} AS meters, degrees(atan2((to_lon - from_lon) * cos(radians((from_lat + to_lat) / 2)), to_lat - from_lat)) + 360e0 AS raw FROM g),
+    i AS (SELECT *, raw - 360e0 * floor(raw / 360e0) AS bearing, row_number() OVER (PARTITION BY route_id ORDER BY seq) AS k FROM h WHERE meters >= 0.5e0),
+    m AS (SELECT *, CASE WHEN lead(meaning) OVER o = meaning THEN lead(bearing) OVER o END AS follows FROM i WINDOW o AS (PARTITION BY route_id ORDER BY seq)),
+    s AS (SELECT route_id, k, 0 AS step, CASE WHEN meaning = 'walk' THEN 'depart' ELSE meaning END AS kind, meaning, meters AS metres, meters * shade AS shaded, steps AS has_steps, bearing AS first, bearing, to_lat, to_lon FROM m WHERE k = 1
+        UNION ALL SELECT route_id, k, CASE WHEN goes_on THEN step ELSE step + 1 END, CASE WHEN goes_on THEN kind WHEN m_meaning = 'walk' AND NOT gap AND meaning <> 'connector' THEN
+            CASE WHEN abs(turn) < 15 THEN 'straight' WHEN abs(turn) < 45 THEN CASE WHEN turn > 0 THEN 'slight-right' ELSE 'slight-left' END WHEN abs(turn) < 160 THEN CASE WHEN turn > 0 THEN 'right' ELSE 'left' END WHEN abs(turn) = 180 OR turn > 0 THEN 'uturn-right' ELSE 'uturn-left' END
+            WHEN m_meaning = 'walk' THEN 'depart' ELSE m_meaning END, m_meaning, CASE WHEN goes_on THEN metres + meters ELSE meters END, CASE WHEN goes_on THEN shaded + meters * shade ELSE meters * shade END, CASE WHEN goes_on THEN has_steps OR steps ELSE steps END,
+            CASE WHEN goes_on THEN first ELSE m_bearing END, CASE WHEN goes_on AND jitter THEN bearing ELSE m_bearing END, m_to_lat, m_to_lon
+        FROM (SELECT *, NOT gap AND m_meaning = meaning AND NOT (m_meaning = 'walk' AND NOT jitter AND abs(turn) >= 45) AS goes_on FROM (
+            SELECT s.*  EXCLUDE (k), m.k, m.meaning AS m_meaning, m.bearing AS m_bearing, m.to_lat AS m_to_lat, m.to_lon AS m_to_lon, m.meters, m.shade, m.steps, {_TURN} AS turn, {_metres_sql("s.to_lat", "s.to_lon", "m.from_lat", "m.from_lon")} > 10 AS gap,
+                coalesce(m.meaning = s.meaning AND abs({_turned("s.bearing", "m.follows")}) < 25 AND (m.meters < 8 OR (m.meters <= 15 AND abs({_TURN}) >= 135 AND abs({_turned("m.bearing", "m.follows")}) >= 135)), false) AS jitter
+            FROM s JOIN m ON m.route_id = s.route_id AND m.k = s.k + 1))),
+    d AS (SELECT *, count(*) OVER (PARTITION BY route_id) AS n FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY route_id, step ORDER BY k DESC) = 1)),
+    x AS (SELECT *, CASE WHEN metres = 0 THEN 0e0 ELSE shaded / metres END AS ratio FROM d)
+    SELECT route_id, step, kind, CASE WHEN kind = 'connector' THEN CASE WHEN step = 0 THEN '보행로까지 이동' WHEN step = n - 1 THEN '도착지까지 이동' ELSE '연결 구간 이동' END
+        WHEN kind = 'depart' THEN (['북쪽', '북동쪽', '동쪽', '남동쪽', '남쪽', '남서쪽', '서쪽', '북서쪽'])[CAST(floor(first / 45 + 0.5e0) AS BIGINT) % 8 + 1] || ' 방향으로 ' || CASE WHEN step = 0 THEN '출발' ELSE '이동' END
+        {" ".join(f"WHEN kind = '{k}' THEN '{text}'" for k, text in sequence.INSTRUCTIONS.items())} END AS instruction, round(metres, 6) AS distance_m, round(ratio, 6) AS shade_ratio,
+        CASE WHEN meaning = 'connector' THEN 'connector' WHEN ratio >= 0.55e0 THEN 'shade' WHEN ratio <= 0.35e0 THEN 'sun' ELSE 'mixed' END AS exposure, has_steps, to_lat, to_lon FROM x
+    UNION ALL SELECT route_id, CAST(n AS INT), 'arrive', 'Garden에 도착', 0e0, 0e0, 'mixed', false, to_lat, to_lon FROM x WHERE step = n - 1"""
+
+
+@query(_STEPS_SQL)
 def turn_by_turn(spark, sf):
-    ship_package(spark)
-    return sequence.turn_by_turn(_route_segments(spark, sf).withColumn("goal_name", F.lit("Garden")))
+    steps = sequence.turn_by_turn(_route_segments(spark, sf).withColumn("goal_name", F.lit("Garden")))
+    return steps.withColumns({c: F.round(c, 6) for c in ("distance_m", "shade_ratio")})
 
 
 # One decimal place, ties upwards as in the reports (lengths are whole metres).

@@ -101,7 +101,7 @@ def test_turn_by_turn(spark):
 
 @pytest.mark.parametrize("text, ids", [
     ("숲길역", ["stop", "park"]), (" 숲 길 ", ["stop", "park"]), ("", []), ("나" * 101, []), ("물가로 7", ["mill"]), ("Ｏｌｄ ｍｉｌｌ", ["mill"]), ("windmill old", ["mill"]),
-    ("숲", ["park", "stop"]), ("l", ["mill"]), ("없는 곳", [])])
+    ("숲", ["park", "stop"]), ("l", ["mill"]), ("없는 곳", []), ("역 windmill", ["mill"]), ("역 역", ["mill"])])
 def test_search(spark, text, ids):
     rows = [("stop", "숲길역", [], None), ("park", "숲길공원", None, None), ("mill", "물레방아", ["OLD MILL", "Ｏｌｄ Ｗｉｎｄｍｉｌｌ"], "물가로 7")]
     p = spark.createDataFrame(rows, "id string, name string, aliases array<string>, address string")
@@ -111,7 +111,7 @@ def test_search(spark, text, ids):
 
 def test_search_equals_scoring_all_pairs(spark):
     r = random.Random(4)
-    word = lambda: "".join(r.choice("abc-1 ") for _ in range(r.randint(1, 6)))
+    word = lambda: "".join(r.choice("abc-1 역") for _ in range(r.randint(1, 6)))
     rows = [(str(k), word() + "x", [word() for _ in range(r.randint(0, 2))], r.choice([None, word()])) for k in range(80)]
     p = spark.createDataFrame(rows, "id string, name string, aliases array<string>, address string")
     q = spark.createDataFrame([(k, word()) for k in range(60)], "query_id int, query string")
@@ -119,7 +119,7 @@ def test_search_equals_scoring_all_pairs(spark):
     tokens = F.transform(places.query_tokens(F.col("query"), places.as_it_is), lambda t: F.regexp_replace(t, "역$", ""))
     every = p.select("id", "name", plain(F.col("name")).alias("n"), F.transform("aliases", plain).alias("al"), plain(F.col("address")).alias("ad")).crossJoin(q.select("query_id", plain(F.col("query")).alias("q"), tokens.alias("t")).where("q <> ''"))
     want = every.withColumn("score", places.match_score(*(F.col(c) for c in ("n", "al", "ad", "q", "t")))).where("score is not null").select("query_id", "id", "score")
-    got = places.search(p, q, 50, places.as_it_is).select("query_id", "id", "score")
+    got = keep(places.search(p, q, 50, places.as_it_is).select("query_id", "id", "score"))
     best = {}
     for x in want.collect():
         best.setdefault(x.query_id, []).append((x.score, x.id))
@@ -127,6 +127,15 @@ def test_search_equals_scoring_all_pairs(spark):
     assert got.exceptAll(want).isEmpty() and got.count() == sum(min(50, len(v)) for v in best.values())
 
 
+def test_names_in_korean_order(spark):
+    names = ["숲 2", "가게", "Zoo", "나무", "apple", "10번", "2번", "Apple", "각", "가", "힣", "숲 10"]
+    p = spark.createDataFrame([(str(k), "x" + n, [], None) for k, n in enumerate(names)], "id string, name string, aliases array<string>, address string")
+    q = spark.createDataFrame([(1, "x")], "query_id int, query string")
+    order = lambda how: [names[int(r.id)] for r in places.search(p, q, 50, order=how).orderBy("rank").collect()]
+    assert order(places.korean) == ["10번", "2번", "가", "가게", "각", "나무", "숲 10", "숲 2", "힣", "apple", "Apple", "Zoo"]
+    assert order(places.by_codes) == sorted(names)
+
+
 def test_limits_accept_up_to_the_limit(spark):
     rows = spark.createDataFrame([(v, k) for k, v in guards.LIMITS.items()] + [(v + 1, k) for k, v in guards.LIMITS.items()], "n int, k string")
     for k, v in guards.LIMITS.items():

@@ -32,12 +32,48 @@ def test_extracts_and_their_status(spark, tmp_path, monkeypatch):
     assert readers.verified(files, spark.createDataFrame([("odd.json", good.sha256), ("many.json", "0")], "name string, sha256 string")).count() == 1
 
 
+def whole_manifest():
+    box = lambda: {"south": 1, "west": 1, "north": 2, "east": 2}
+    file = lambda path: {"path": path, "bytes": 5, "sha256": "c" * 64}
+    return {
+        "schema": 3, "releaseId": "b" * 24, "zoom": 15, "coverage": box(), "generator": {"schema": 3, "script": readers.SCRIPT},
+        "source": {"schema": 1, "fileName": "extract.pbf", "bytes": 7, "sha256": "d" * 64, "observedModifiedAt": "2026-07-01T02:03:04.000Z", "downloadUrl": None, "downloadedAt": None},
+        "artifacts": {"places": file("places.json"), "boundary": file("boundary.json")}, "tiles": [{"id": f"15-1-{k}", "bounds": box(), "bytes": 5, "sha256": "a" * 64} for k in (2, 3)],
+        "walkingPolicy": {"schema": 1, "excludedWayIds": [1, 2], "blockedNodeIds": [], "fallbackWayIds": [3], "directions": [[4, 1], [5, -1]]}}
+
+
+def changed(path, value):
+    """The whole manifest with one value changed, or without it."""
+    out = whole_manifest()
+    at, steps = out, path.split(".")
+    for step in steps[:-1]:
+        at = at[int(step) if step.isdigit() else step]
+    last = int(steps[-1]) if steps[-1].isdigit() else steps[-1]
+    if value is ...:
+        del at[last]
+    else:
+        at[last] = value
+    return out
+
+
+#: Each rule with values that break it alone.
+BROKEN = [
+    ("schema", "schema", 2), ("release_id", "releaseId", "x"), ("release_id", "releaseId", "B" * 24), ("zoom", "zoom", 23), ("zoom", "zoom", -1), ("coverage", "coverage", {}), ("coverage", "coverage.south", 3), ("coverage", "coverage.east", 181),
+    ("source_schema", "source.schema", 2), ("source_file", "source.fileName", "a b"), ("source_bytes", "source.bytes", 0), ("source_hash", "source.sha256", "d" * 63), ("source_modified", "source.observedModifiedAt", "yesterday"),
+    ("source_modified", "source.observedModifiedAt", "2026-07-01T02:03:04.000Z" + " " * 20), ("source_url", "source.downloadUrl", "http://x"), ("source_url", "source.downloadUrl", "https://" + "x" * 2000), ("source_url", "source.downloadUrl", ...),
+    ("source_downloaded", "source.downloadedAt", "never"), ("source_downloaded", "source.downloadedAt", ...), ("generator_schema", "generator.schema", 2), ("generator_script", "generator.script", "other"), ("places", "artifacts.places.path", "p.json"),
+    ("places", "artifacts.places.bytes", 12_000_001), ("boundary", "artifacts.boundary.sha256", "z" * 64), ("policy_schema", "walkingPolicy.schema", 2), ("excluded_ways", "walkingPolicy.excludedWayIds", [2, 2]), ("excluded_ways", "walkingPolicy.excludedWayIds", ...),
+    ("blocked_nodes", "walkingPolicy.blockedNodeIds", [0]), ("fallback_ways", "walkingPolicy.fallbackWayIds", [4, 3]), ("directions", "walkingPolicy.directions.0", [4, 2]), ("directions", "walkingPolicy.directions.0", [6, 1]), ("directions", "walkingPolicy.directions.0", [4]),
+    ("n_tiles", "tiles", []), ("tile_ids", "tiles.0.id", "15-1-4"), ("tile_ids", "tiles.0.id", "15-1"), ("tile_ids", "tiles.0.id", "15-1-3"), ("tile_bounds", "tiles.0.bounds.north", 1), ("tile_bytes", "tiles.0.bytes", 2_000_001), ("tile_bytes", "tiles.0.bytes", 0), ("tile_hashes", "tiles.0.sha256", "")]
+
+
 def test_manifests(spark, tmp_path):
-    tile = {"id": "15-1-2", "bounds": {"south": 1, "west": 1, "north": 2, "east": 2}, "bytes": 5, "sha256": "a" * 64}
-    good = {"schema": 3, "releaseId": "b" * 24, "zoom": 15, "coverage": {}, "tiles": [tile], "walkingPolicy": {"schema": 1, "excludedWayIds": [1, 2], "blockedNodeIds": [], "fallbackWayIds": [3], "directions": []}}
-    bad = {"id": good | {"releaseId": "x"}, "twice": good | {"walkingPolicy": good["walkingPolicy"] | {"excludedWayIds": [2, 2]}}, "box": good | {"tiles": [tile | {"bounds": {"south": 3, "west": 1, "north": 2, "east": 2}}]}}
-    m = readers.manifest_ok(readers.manifest(readers.read_whole(spark, put(tmp_path, good=good, **bad))))
-    assert {r.path.rsplit("/", 1)[1]: r.valid for r in m.collect()} == {"good.json": True, "id.json": False, "twice.json": False, "box.json": False}
+    cases = {f"case{k:02}": changed(path, value) for k, (_, path, value) in enumerate(BROKEN)}
+    m = readers.manifest_ok(readers.manifest(readers.read_whole(spark, put(tmp_path, good=whole_manifest(), odd="not json", **cases))))
+    got = {r.path.rsplit("/", 1)[1][:-5]: (r.valid, r.broken) for r in m.collect()}
+    assert got.pop("good") == (True, []) and not got.pop("odd")[0]
+    assert got == {f"case{k:02}": (False, [rule]) for k, (rule, _, _) in enumerate(BROKEN)}
+    assert {rule for rule, _, _ in BROKEN} == set(readers.manifest_rules(readers.manifest(readers.read_whole(spark, str(tmp_path)))))
 
 
 def test_place_files(spark, tmp_path):
