@@ -96,7 +96,7 @@ def graph_sizes(requests: DataFrame, edges: DataFrame) -> DataFrame:
     return sums.join(parts, "request_id")
 
 
-def plan_routes(requests: DataFrame, edges: DataFrame, nodes: DataFrame, piece_shade) -> tuple[DataFrame, DataFrame, DataFrame]:
+def plan_routes(requests: DataFrame, edges: DataFrame, piece_shade) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(routes, status, segments): a row for each routed request and mode, the outcome of each request, and the routes' ordered segments.
 
     Of the components that both ends reach, the one with the least length (steps and fallback roads
@@ -206,5 +206,4 @@ def plan_stored(spark, store: str, requests: DataFrame, policy: dict[str, DataFr
     edges = keep(edges)
     status = checked.select("request_id", F.col("status").alias("first")).join(judged.withColumnRenamed("status", "second"), "request_id", "left")
     placed = checked.drop("status").join(status, "request_id").select("request_id", geo.to_x(F.col("start_lon")).alias("sx"), geo.to_y(F.col("start_lat")).alias("sy"), geo.to_x(F.col("goal_lon")).alias("gx"), geo.to_y(F.col("goal_lat")).alias("gy"), "gps", F.when(F.col("first") != "OK", F.col("first")).otherwise(F.coalesce("second", "first")).alias("status"))
-    nodes = edges.select(F.explode(F.array(*(F.struct(F.col(n).alias("id"), F.col(f"{n}x").alias("x"), F.col(f"{n}y").alias("y")) for n in "ab"))).alias("n")).select("n.*").distinct()
-    return plan_routes(placed, edges, nodes, lambda pieces: shade.polygon_shade(pieces, shadows))
+    return plan_routes(placed, edges, lambda pieces: shade.polygon_shade(pieces, shadows))

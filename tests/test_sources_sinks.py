@@ -207,7 +207,7 @@ def test_planned_statuses(spark, monkeypatch):
     asked = [(1, 10.0, -5.0, 290.0, -5.0), (2, 50.0, -5.0, 50.0, -9.0), (3, 50.0, 90_000.0, 60.0, 90_000.0), (4, 10.0, -5.0, 10.0, 800.0)]
     requests = spark.createDataFrame(asked, "request_id long, sx double, sy double, gx double, gy double").withColumn("gps", F.lit(False))
     no_shade = lambda pieces: pieces.select("id", F.lit(0.0).alias("shade_ratio"))
-    plan = lambda: service.plan_routes(requests, edges, nodes, no_shade)
+    plan = lambda: service.plan_routes(requests, edges, no_shade)
     routes, status, _ = plan()
     assert dict(tuple(r) for r in status.collect()) == {1: "OK", 2: "ALREADY_NEAR_GOAL", 3: "EMPTY_GRAPH", 4: "SNAP_FAILED"}
     assert {(r.request_id, r.length_m) for r in routes.collect()} == {(1, 290)}
