@@ -114,7 +114,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     lines = F.split("_text", "\n")
     kept = F.when(F.col("gone").isNull(), lines).otherwise(_kept_lines(lines, F.col("gone")))
-    chunks = F.size(chunks_of(line_hashes(F.col("_text"))))
+    chunks = let(line_hashes(F.col("_text")), lambda h: F.size(chunks_of(h)))
     out = _marked(_rows(docs, id_col, text_col)).select("_id", F.size(lines).alias("n"), chunks.alias("c"), kept.alias("k"))
     count = lambda c: F.coalesce(F.when(F.col("k").isNotNull(), c), F.lit(0)).cast("long")
     return out.select(F.col("_id").alias(id_col), count(F.col("n")).alias("n_lines"), count(F.col("c")).alias("n_chunks"), count(F.col("n") - F.size("k")).alias("n_removed"), F.array_join("k", "\n").alias("kept_text"))
