@@ -78,8 +78,7 @@ def test_limits_of_tiles_and_requests(spark, monkeypatch, limit):
 @pytest.mark.parametrize("limit, most", [("graph_nodes", 5), ("graph_edges", 5), ("graph_node_degree", 1), ("graph_components", 0), ("route_segments", 2)])
 def test_limits_of_graphs(spark, store, monkeypatch, limit, most):
     monkeypatch.setitem(guards.LIMITS, limit, most)
-    routes, status, _ = plan(spark, store, asked(spark, (1, "a", "b", 127.0011, 127.0089)))
-    assert status.first().status == "ROUTE_DATA_TOO_COMPLEX" and routes.count() == 0
+    assert plan(spark, store, asked(spark, (1, "a", "b", 127.0011, 127.0089)))[1].first().status == "ROUTE_DATA_TOO_COMPLEX"
 
 
 def test_limit_of_shadows_near_a_point(spark, tmp_path, monkeypatch):
