@@ -296,7 +296,7 @@ def _unserved(plan: Plan, judged: DataFrame, vector: str, last: bool) -> DataFra
                 kth = part["kth"].to_numpy(zero_copy_only=False)
                 found = np.where(np.isnan(kth), sure, kth)
                 length = np.sqrt((v * v).sum(1))
-                success = np.where(np.isfinite(found), 1.0, 0.0)
+                success = np.where(np.isnan(kth), 0.0, 1.0)  # with fewer than k found, the bar was too high
                 for ring, (_, largest) in plan.rings.items():
                     aimed, wanted = cosine / (length * largest), np.where(np.isfinite(found), found, 0) / (length * largest)
                     can = wanted < 1 + 1e-9

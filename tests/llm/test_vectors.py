@@ -96,6 +96,16 @@ def test_nearest_recall(spark, monkeypatch, seed, n, copies, spread):
         assert found == sorted(found, key=lambda x: (-x[1], x[0])) and all(scores[q][i] == s for i, s in found)
 
 
+def test_a_bar_that_was_too_high_is_lowered(spark, monkeypatch):
+    """The guess of the k-th product is normal beyond the sample; here nearly all products are alike, and a few far out."""
+    monkeypatch.setattr(ann, "SAMPLE", 60)
+    r = np.random.default_rng(8)
+    near = [(k, np.r_[1.0, 0.01 * r.normal(size=7)].tolist(), 0) for k in range(12)]
+    far = [(k, np.r_[-0.2, r.normal(size=7)].tolist(), 0) for k in range(12, 800)]
+    got = found_by(spark, near + far, k=30, queries_every=4)
+    assert len(got) == 200 and all(len(x) == 30 for x in got.values())
+
+
 def test_equal_vectors_and_awkward_rows(spark):
     one = [1.0, 2.0]
     rows = [(i, one, 0) for i in range(60)] + [(100, [0.0, 0.0], 0), (120, None, 0), (140, [float("nan"), 1.0], 0), (160, [1.0, None], 0), (None, one, 0), (180, [float("-inf"), 0.0], 0), (200, [], 0), (220, [9.0], 1), (220, [9.0], 1), (240, [-1.0, -1.0], 2)]
