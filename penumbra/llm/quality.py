@@ -48,7 +48,7 @@ def repeat_words(words: Column) -> Column:
 
     Windows are sorted by their fingerprint, so equal ones are neighbours; the positions of those
     with an equal neighbour are put in order and the lengths of the merged spans are summed.
-    Windows compare by two independent 64-bit fingerprints.
+    Windows compare by two independent fingerprints, of 64 and of 32 bits.
     """
 
     def fingerprints(w):
