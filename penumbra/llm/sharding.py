@@ -1,26 +1,24 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Groups are rows of equal text. Large groups are packed one by one; the many small ones are dealt
-by their digest into a fixed number of bundles first, so the packer gets a bounded list whatever the
-input is. Sorted by size, each enters the bin with the tightest remaining capacity, found in a
-balanced tree; the smallest capacity that needs no more than the wanted shards is used.
+Groups are rows of equal text. Groups of equal size are one item with a count, so the packer gets the
+histogram of group sizes, and every group is packed. Sorted by size, each enters the bin with the tightest
+remaining capacity, found in a balanced tree: after one group that bin is the tightest still, so it takes as many
+of the same size as fit. The smallest capacity that needs no more than the wanted shards is used.
 """
 
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_enough
 
-#: Groups of at least 1/GRAIN of a shard are packed on their own: at most GRAIN for each shard.
+#: Groups of more than 1/GRAIN of a shard are joined by broadcast: at most GRAIN for each shard.
 GRAIN = 1024
-#: Bundles of small groups for each shard.
-BUNDLES = 512
-#: Rows numbered by one window group.
+#: Rows or groups numbered by one window group.
 SLOT_ROWS = 50_000
 
 
@@ -68,73 +66,113 @@ class CapacityTree:
         return first[0]
 
 
-def best_fit_decreasing(items: list[tuple[object, int]], capacity: int) -> dict[object, int]:
-    """Bin of each item. Larger items come first, equal ones in the order of their names; an item over the capacity has a bin alone."""
-    tree, bins, placed = CapacityTree(), 0, {}
-    for name, size in sorted(items, key=lambda x: (-x[1], str(x[0]))):
-        found = tree.take_tightest(size)
-        if found is None:
-            found, bins = (max(capacity, size), bins), bins + 1
-        placed[name] = found[1]
-        tree.add((found[0] - size, found[1]))
-    return placed
-
+def best_fit_counted(sizes: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[tuple[int, int, int]] | None:
+    """Runs (size, bin, how many) for counted sizes (size, count), larger sizes first; an item over the capacity has a bin alone.
 
-def pack_into(items: list[tuple[object, int]], shards: int) -> dict[object, int]:
-    """The packing of the smallest capacity found that needs at most ``shards`` bins.
+    None as soon as more than ``most`` bins are needed.
+    """
+    tree, bins, runs = CapacityTree(), 0, []
+    for size, left in sorted(sizes, reverse=True):
+        while left:
+            found = tree.take_tightest(size)
+            if found is None:
+                found, bins = (max(capacity, size), bins), bins + 1
+                if most is not None and bins > most:
+                    return None
+            n = min(left, found[0] // size) if size else left
+            runs.append((size, found[1], n))
+            tree.add((found[0] - n * size, found[1]))
+            left -= n
+    return runs
+
+
+def pack_counted(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
+    """Runs (size, bin, how many) of the smallest capacity found that needs at most ``shards`` bins.
 
     An item over an even share of what is left has a bin alone, and the others share the other bins.
     """
-    total, largest = sum(s for _, s in items), max((s for _, s in items), default=0)
+    total, largest = sum(s * c for s, c in sizes), max((s for s, _ in sizes), default=0)
     if shards > 1 and largest * shards > total:
-        giant = min(name for name, s in items if s == largest)
-        rest = pack_into([x for x in items if x[0] != giant], shards - 1)
-        return rest | {giant: shards - 1}
+        rest = [(s, c - (s == largest)) for s, c in sizes]
+        return [(largest, shards - 1, 1)] + pack_counted([x for x in rest if x[1]], shards - 1)
     low = max(-(-total // shards), largest, 1)
-
-    @lru_cache(None)
-    def bins(capacity):
-        return 1 + max(best_fit_decreasing(items, capacity).values(), default=0)
-
-    high = low
-    while bins(high) > shards:
+    high, runs = low, best_fit_counted(sizes, low, shards)
+    while runs is None:
         high += max(1, high // 500)
-    while low < high:  # within a thousandth the sizes count as equal
+        runs = best_fit_counted(sizes, high, shards)
+    while high - low > max(1, high // 2000):  # within a thousandth the sizes count as equal
         middle = (low + high) // 2
-        low, high = (low, middle) if bins(middle) <= shards else (middle + 1, high)
-        if high - low <= max(1, high // 2000):
-            break
-    return best_fit_decreasing(items, high)
+        found = best_fit_counted(sizes, middle, shards)
+        low, high, runs = (low, middle, found) if found is not None else (middle + 1, high, runs)
+    return runs
+
+
+def _deal(items: list[tuple[object, int]], runs: list[tuple[int, int, int]]) -> dict[object, int]:
+    """Bin of each named item: those of one size take its runs in the order of their names."""
+    bins: dict[int, list[int]] = {}
+    for size, k, n in runs:
+        bins.setdefault(size, []).extend([k] * n)
+    places = {size: iter(ks) for size, ks in bins.items()}
+    return {name: next(places[size]) for name, size in sorted(items, key=lambda x: (-x[1], str(x[0])))}
+
+
+def best_fit_decreasing(items: list[tuple[object, int]], capacity: int) -> dict[object, int]:
+    """Bin of each named item. Larger items come first, equal ones in the order of their names."""
+    return _deal(items, best_fit_counted(list(Counter(s for _, s in items).items()), capacity))
+
+
+def pack_into(items: list[tuple[object, int]], shards: int) -> dict[object, int]:
+    """Bin of each named item by ``pack_counted``."""
+    return _deal(items, pack_counted(list(Counter(s for _, s in items).items()), shards))
 
 
 def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def _place_groups(groups: DataFrame, shards: int) -> DataFrame:
+    """Shard of each of the groups (_g, bytes): the packing of the histogram of sizes, dealt out in the order of _g."""
+    spark = groups.sparkSession
+    histogram = groups.groupBy("bytes").agg(F.count("*").alias("n")).toArrow()
+    counted = list(zip(histogram["bytes"].to_pylist(), histogram["n"].to_pylist()))
+    runs: dict[int, list[tuple[int, int]]] = {}
+    done: Counter = Counter()
+    for size, shard, n in pack_counted(counted, shards):
+        runs.setdefault(size, []).append((done[size], shard))
+        done[size] += n
+    plan = spark.createDataFrame(list(runs.items()), "bytes long, _runs array<struct<first: long, shard: int>>")
+    # Groups of one size are numbered in parts, so that no window holds a frequent size as a whole.
+    parts = -(-max((n for _, n in counted), default=1) // SLOT_ROWS)
+    numbered = groups.withColumn("_part", F.pmod(F.xxhash64("_g"), F.lit(parts)))
+    before = Window.partitionBy("bytes").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = numbered.groupBy("bytes", "_part").agg(F.count("*").alias("_n")).select("bytes", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    plan = starts.join(F.broadcast(plan) if small_enough(plan) else plan, "bytes")
+    numbered = numbered.withColumn("_k", F.row_number().over(Window.partitionBy("bytes", "_part").orderBy("_g")))
+    place = F.col("_from") + F.col("_k") - 1
+    last = F.element_at(F.filter("_runs", lambda r: r["first"] <= place), -1)
+    return numbered.join(plan, ["bytes", "_part"]).select("_g", "bytes", last["shard"].alias("shard"))
+
+
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shard and place in the shard for every row, all rows of one text together, by bytes.
 
     size is the UTF-8 length of the text (null: 0) plus 1; null and empty texts are one group. A group
     larger than an even share has a shard alone, as it can't be divided. slot numbers the
-    rows of a shard from 0 without gaps; repeated rows get slots of their own. No rows: no result rows.
-    Other columns are not read.
+    rows of a shard from 0 without gaps; repeated rows get slots of their own. Groups of equal size are dealt in the
+    order of their digests, so the same rows give the same shards. No rows: no result rows. Other columns are not read.
+    The driver gets the histogram of group sizes: as sizes differ, a total of T bytes has at most sqrt(2T) of them.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = materialize(docs.select(docs[id_col].alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), _digest(text).alias("_g")))
     total, n_rows = rows.agg(F.sum("size"), F.count("*")).first()
-    spark = docs.sparkSession
     least = max(1, (total or 0) // (shards * GRAIN))
-    bundle = F.pmod(F.xxhash64("_g"), F.lit(shards * BUNDLES)).cast("int")
-    groups = materialize(rows.groupBy("_g").agg(F.sum("size").alias("bytes")).withColumn("_bundle", bundle))
-    # Both lists are bounded by parameters: a total of `total` holds at most shards * GRAIN groups of that size.
-    large = groups.where(F.col("bytes") > least).select("_g", "bytes").collect()
-    small = groups.where(F.col("bytes") <= least).groupBy("_bundle").agg(F.sum("bytes").alias("bytes")).collect()
-    placed = pack_into([(("g", bytes(r["_g"]).hex()), r["bytes"]) for r in large] + [(("b", r["_bundle"]), r["bytes"]) for r in small], shards)
-    by_group = spark.createDataFrame([(bytearray.fromhex(k[1]), s) for k, s in placed.items() if k[0] == "g"], "_g binary, _own int")
-    by_bundle = spark.createDataFrame([(k[1], s) for k, s in placed.items() if k[0] == "b"], "_bundle int, _shared int")
+    groups = materialize(_place_groups(materialize(rows.groupBy("_g").agg(F.sum("size").alias("bytes"))), shards))
+    # A total of `total` holds at most shards * GRAIN groups of that size; a smaller group is no hot key.
+    large = groups.where(F.col("bytes") > least).select("_g", "shard")
+    small = groups.where(F.col("bytes") <= least).select("_g", "shard")
     unit = F.pmod(F.xxhash64("_id", "text_crc32"), F.lit(max(16, -(-(n_rows or 0) // (SLOT_ROWS * shards)) * 2)))
-    dealt = rows.withColumn("_bundle", bundle).join(F.broadcast(by_group), "_g", "left").join(F.broadcast(by_bundle), "_bundle", "left")
-    dealt = dealt.select("_id", "size", "text_crc32", F.coalesce("_own", "_shared").alias("shard"), unit.alias("_unit"))
+    dealt = rows.join(F.broadcast(large), "_g").unionByName(rows.join(F.broadcast(large.select("_g")), "_g", "left_anti").join(small, "_g"))
+    dealt = materialize(dealt.select("_id", "size", "text_crc32", "shard", unit.alias("_unit")))
     counts = dealt.groupBy("shard", "_unit").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_unit", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
