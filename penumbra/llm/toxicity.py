@@ -1,9 +1,10 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
 Voters are a fixed lexicon, patterns, and words and word beginnings that the labelled training rows
-show to be telling. Each votes toxic or abstains; one more votes not toxic where all others abstain.
-The label model estimates each voter's accuracy by expectation-maximisation, and in its rounds how far
-voters repeat each other, from the correlation of their votes within the toxic class; repeated evidence is weighed down. Its
+show to be telling. Each votes toxic or abstains. Each of the four families they form votes not toxic on a text with
+words in which none of its members is found. The label model is generative: a class, and in each class a tree of voters,
+in which a vote depends on the class and on one other voter's vote of its kind. Accuracies and these correlations are parameters estimated from the votes
+alone, the tree being the one of most conditional mutual information. Its
 posterior labels train a logistic classifier over hashed words and word beginnings.
 """
 
@@ -33,8 +34,14 @@ MAX_VOTERS, SUPPORT, PRECISION = 600, 4, 0.9
 STEMS = (4, 5)
 #: Buckets of hashed features.
 BUCKETS = 1 << 18
-#: Buckets that the classifier may use, chosen by chi-square.
-CHOSEN = 2048
+#: Buckets that the classifier may use, chosen by chi-square, which must exceed LEAST_CHI.
+CHOSEN, LEAST_CHI = 2048, 10
+#: Families of voters that can vote not toxic: lexicon, patterns, learned words, learned beginnings.
+FAMILIES = 4
+#: Rounds of the label model, and those in which the tree of voters is chosen anew.
+ROUNDS, TREE_ROUNDS = 25, (3, 8, 13, 18)
+#: Posterior labels are summed as multiples of 1/POSTERIOR_UNIT, so that sums don't depend on their order.
+POSTERIOR_UNIT = 1 << 20
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -72,46 +79,87 @@ def learn_voters(sample: DataFrame) -> list[bytes]:
     return [bytes(r.f) for r in good.orderBy(F.desc("t"), "f").limit(MAX_VOTERS).collect()]
 
 
+def family(voter: bytes) -> int:
+    return 0 if voter.decode(errors="replace") in LEXICON else 3 if voter.endswith(b"*") else 2
+
+
 def votes(texts: list[str | None], sets: list[set[bytes]], voters: list[bytes]) -> np.ndarray:
-    """1 where a voter finds its mark, 0 where it abstains. The last voter speaks for rows where none did."""
-    out = np.zeros((len(sets), len(voters) + len(PATTERNS) + 1), np.float32)
+    """1 where a voter speaks, 0 where it abstains: voters and patterns for toxic, then FAMILIES columns for not toxic."""
+    speakers = len(voters) + len(PATTERNS)
+    out = np.zeros((len(sets), speakers + FAMILIES), np.float32)
     patterns = [re.compile(p) for p in PATTERNS]
     place = {f: k for k, f in enumerate(voters)}
+    kind = np.array([family(f) for f in voters] + [1] * len(PATTERNS))
     for i, (text, s) in enumerate(zip(texts, sets)):
         for f in s & place.keys():
             out[i, place[f]] = 1
         low = text.encode().lower() if text else b""
         for k, p in enumerate(patterns):
             out[i, len(voters) + k] = p.search(low) is not None
-        out[i, -1] = not out[i, :-1].any()
+        if s:
+            out[i, speakers:] = 1
+            out[i, speakers + kind[out[i, :speakers] > 0]] = 0
     return out
 
 
-def label_model(v: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray:
+def dependency_forest(v: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """Parent of each voter, or the number of voters for a root: the forest of most conditional mutual information.
+
+    A link has to raise the likelihood by more than the price of its two parameters (Bayesian information). Votes for
+    toxic depend on such votes only, as a family's other vote is just their absence.
+    """
+    n, m = v.shape
+    gain = np.full((m, m), -np.log(max(n, 2)))
+    for w in (post, 1 - post):
+        both = np.asarray((v * w[:, None].astype(np.float32)).T @ v, np.float64)
+        one, total = both.diagonal().copy(), w.sum()
+        a, b = one[:, None], one[None, :]
+        for seen, x, y in [(both, a, b), (a - both, a, total - b), (b - both, total - a, b), (total - a - b + both, total - a, total - b)]:
+            seen = np.maximum(seen, 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain += np.where(seen > 1e-6, seen * np.log(seen * total / (x * y)), 0)
+    toxic = np.arange(m) < m - FAMILIES
+    gain[toxic[:, None] != toxic[None, :]] = 0
+    parent, link = np.full(m, m), np.full(m, m)
+    best, outside, often = np.zeros(m), np.ones(m, bool), v.sum(0)
+    for _ in range(m):
+        left = np.flatnonzero(outside)
+        j = left[np.lexsort((-left, often[left], best[left]))[-1]]
+        outside[j] = False
+        parent[j] = link[j]
+        better = outside & (gain[j] > best)
+        best[better], link[better] = gain[j][better], j
+    return parent
+
+
+def label_model(v: np.ndarray, prior: float, rounds: int = ROUNDS) -> np.ndarray:
     """Posterior probability that each row is toxic, from its votes alone.
 
-    Rates of voting in both classes come from expectation-maximisation, begun with the prior; votes
-    that go together within a class share their weight by the size of their correlation.
+    Expectation-maximisation over the class of each row, begun with the prior. A voter's parameters are its rates of voting
+    in both classes where its parent votes and where it abstains; rates without data lean to that of both classes together, so a
+    vote that only repeats its parent says nothing more. Abstentions are no evidence.
     """
-    fired = v[:, :-1].any(1)
-    post = np.where(fired, 0.9, min(prior, 0.1))
-    discount = np.ones(v.shape[1])
+    n, m = v.shape
+    post = np.where(v[:, : m - FAMILIES].any(1), 0.9, min(prior, 0.1))
+    parent = np.full(m, m)
+    wide = np.hstack([v, np.zeros((n, 1), np.float32)])
     for step in range(rounds):
+        if step in TREE_ROUNDS:
+            parent = dependency_forest(v, post)
+        over = wide[:, parent]
+        both = v * over
         p = float(np.clip(post.mean(), 1e-3, 0.5))
-        on = (post @ v + 0.5) / (post.sum() + 1)
-        off = ((1 - post) @ v + 0.05) / ((1 - post).sum() + 1)
-        if step >= 3:
-            # Correlated votes among rows that look toxic: a voter's effective share of what it says, estimated anew each round.
-            z = v[post > 0.5]
-            if len(z) > 10:
-                z = z - z.mean(0)
-                sd = np.sqrt((z * z).mean(0)) + 1e-6
-                corr = np.clip((z.T @ z) / len(z) / np.outer(sd, sd), 0, 1)
-                corr[corr < 0.5] = 0
-                np.fill_diagonal(corr, 1)
-                discount = 1 / corr.sum(1)
-        weight = np.log(on / off) * discount
-        logit = np.log(p / (1 - p)) + v @ weight
+        counts = [(w @ both, w @ over, w @ v, w.sum()) for w in (post, 1 - post)]
+
+        def evidence(spoke, cases):
+            """Log ratio of the rates in the two classes, for votes and cases counted in each."""
+            pooled = (sum(spoke) + 0.05) / (sum(cases) + 1)
+            on, off = ((x + pooled) / (c + 1) for x, c in zip(spoke, cases))
+            return np.log(on / off)
+
+        beside = evidence([c[0] for c in counts], [c[1] for c in counts])
+        alone = evidence([np.maximum(c[2] - c[0], 0) for c in counts], [np.maximum(c[3] - c[1], 0) for c in counts])
+        logit = np.log(p / (1 - p)) + both @ beside + (v - both) @ alone
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return post
 
@@ -134,37 +182,24 @@ class FeatureWeights(dict):
         return value
 
 
-def telling(index: list[np.ndarray], target: np.ndarray, most: int = CHOSEN) -> np.ndarray:
-    """Buckets that go most clearly with the posterior labels, by chi-square."""
-    n = np.zeros(BUCKETS)
-    n1 = np.zeros(BUCKETS)
-    for x, t in zip(index, target):
-        x = np.unique(x)
-        n[x] += 1
-        n1[x] += t
-    rate = target.mean()
-    expected = n * rate
-    chi = (n1 - expected) ** 2 / np.maximum(expected * (1 - rate), 1e-9)
-    chi[n < 3] = 0
-    best = np.argsort(-chi, kind="stable")[:most]
-    return np.sort(best[chi[best] > 10])
-
-
-def train_linear(index: list[np.ndarray], target: np.ndarray, steps: int = 400, rate: float = 0.1, decay: float = 2e-4):
-    """Logistic regression on soft labels over the chosen hashed features: full gradients, Adam."""
+def telling(rows: DataFrame) -> list[int]:
+    """Buckets of (x, t) rows that go most clearly with the posterior labels t, by chi-square; at most CHOSEN."""
+    n_rows, all_t = rows.agg(F.count("*"), F.sum("t")).first()
+    rate = (all_t or 0) / POSTERIOR_UNIT / max(n_rows, 1)
+    counts = rows.select(F.explode("x").alias("b"), "t").groupBy("b").agg(F.count("*").alias("n"), (F.sum("t") / POSTERIOR_UNIT).alias("n1"))
+    spread = F.greatest(F.col("n") * (rate * (1 - rate)), F.lit(1e-9))
+    chi = F.pow(F.col("n1") - F.col("n") * rate, 2) / spread
+    best = counts.where("n >= 3").select("b", chi.alias("chi")).where(F.col("chi") > LEAST_CHI)
+    return sorted(r.b for r in best.orderBy(F.desc("chi"), "b").limit(CHOSEN).collect())
+
+
+def train_linear(index: list[np.ndarray], target: np.ndarray, chosen: list[int], steps: int = 400, rate: float = 0.1, decay: float = 2e-4):
+    """Logistic regression on soft labels; index holds each row's places in ``chosen``. Full gradients, Adam."""
     weights = np.zeros(BUCKETS)
     if not len(index):
         return weights, 0.0
-    chosen = telling(index, target)
-    place = np.full(BUCKETS, -1)
-    place[chosen] = np.arange(len(chosen))
-    rows, columns = [], []
-    for i, x in enumerate(index):
-        k = place[np.unique(x)]
-        k = k[k >= 0]
-        rows.append(np.full(len(k), i))
-        columns.append(k)
-    rows, columns = np.concatenate(rows), np.concatenate(columns)
+    rows = np.repeat(np.arange(len(index)), [len(x) for x in index])
+    columns = np.concatenate(index).astype(np.int64)
     w = np.zeros(len(chosen) + 1)
     w[-1] = np.log(np.clip(target.mean(), 1e-3, 1 - 1e-3) / (1 - np.clip(target.mean(), 1e-3, 1 - 1e-3)))
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -175,12 +210,17 @@ def train_linear(index: list[np.ndarray], target: np.ndarray, steps: int = 400,
         g[:-1] += decay * w[:-1] / len(index) ** 0.5
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    weights[chosen] = w[:-1]
+    weights[np.array(chosen, np.int64)] = w[:-1]
     return weights, float(w[-1])
 
 
 def fit(sample: DataFrame):
-    """Weights and bias, from (_id, _y, _text) rows that MAX_ROWS bounds."""
+    """Weights and bias, from (_id, _y, _text) rows that MAX_ROWS bounds.
+
+    The features of these rows stay in Spark, where they are counted; the driver gets the votes and, of the features,
+    the CHOSEN ones.
+    """
+    spark = sample.sparkSession
     voters = list(dict.fromkeys([w.encode() for w in LEXICON] + learn_voters(sample)))
 
     def run(batches):
@@ -190,18 +230,29 @@ def fit(sample: DataFrame):
                 text = value.as_py()
                 s = features(text)
                 fired.append(np.flatnonzero(votes([text], [s], voters)[0]).astype(np.int32))
-                buckets.append(np.sort(hashed(s)).astype(np.int32))
-            longs = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fired, longs), pa.array(buckets, longs)], names=["_id", "_y", "v", "x"])
+                buckets.append(np.unique(hashed(s)).astype(np.int32))
+            lists = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fired, lists), pa.array(buckets, lists)], names=["_id", "_y", "v", "x"])
 
     kind = sample.schema["_id"].dataType.simpleString()
-    got = sample.mapInArrow(run, f"_id {kind}, _y int, v array<int>, x array<int>").orderBy("_id").toArrow()
-    v = np.zeros((got.num_rows, len(voters) + len(PATTERNS) + 1), np.float32)
+    seen = materialize(sample.mapInArrow(run, f"_id {kind}, _y int, v array<int>, x array<int>"))
+    got = seen.select("_id", "_y", "v").orderBy("_id").toArrow()
+    if not got.num_rows:
+        return train_linear([], np.empty(0), [])
+    v = np.zeros((got.num_rows, len(voters) + len(PATTERNS) + FAMILIES), np.float32)
     for i, row in enumerate(got["v"]):
         v[i, row.values.to_numpy(zero_copy_only=False)] = 1
-    y = got["_y"].to_numpy()
-    post = label_model(v, float(y.mean()) if len(y) else 0.1) if len(y) else np.empty(0)
-    return train_linear([row.values.to_numpy(zero_copy_only=False).astype(np.int64) for row in got["x"]], post)
+    post = label_model(v, float(got["_y"].to_numpy().mean()))
+    ids = got["_id"].to_pylist()
+    marks = spark.createDataFrame([(k, i, int(round(t * POSTERIOR_UNIT))) for i, (k, t) in enumerate(zip(ids, post.tolist()))], f"_id {kind}, _row int, t long")
+    labelled = seen.join(F.broadcast(marks), "_id").select("_row", "x", "t")
+    chosen = telling(labelled)
+    places = spark.createDataFrame([(b, k) for k, b in enumerate(chosen)], "b int, k int")
+    kept = labelled.select("_row", F.explode("x").alias("b")).join(F.broadcast(places), "b").groupBy("_row").agg(F.sort_array(F.collect_list("k")).alias("k")).toArrow()
+    index = [np.empty(0, np.int64)] * len(ids)
+    for i, ks in zip(kept["_row"].to_pylist(), kept["k"]):
+        index[i] = ks.values.to_numpy(zero_copy_only=False)
+    return train_linear(index, post, chosen)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
