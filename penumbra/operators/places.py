@@ -95,6 +95,10 @@ def description(kind: Column, address: Column) -> Column:
     return F.concat_ws(" · ", kind_label(kind), F.nullif(address, F.lit("")))
 
 
+#: Parts in which the places of a kind are ranked before the kind as a whole.
+PARTS = 64
+
+
 def without_doubles(places: DataFrame, name: Column) -> DataFrame:
     """One place for each normal name (stations) or normal name and position to four places; the first with an address comes first."""
     at = lambda c: F.round(F.col(c), 4).cast("string")
@@ -106,10 +110,13 @@ def without_doubles(places: DataFrame, name: Column) -> DataFrame:
 def within_quotas(places: DataFrame, quotas: dict[str, int], most: int, order: list[Column]) -> DataFrame:
     """Up to its quota of each kind, then the rest in order until there are ``most``; rank counts from 1.
 
-    Ranks within a kind come from one window by kind; only places that could be among the first ``most`` go to the last sort.
+    Each kind is ranked in PARTS parts first, of which no more than can be chosen goes on to the window by kind, so a kind that holds
+    most places isn't sorted by one task; and only places that could be among the first ``most`` go to the last sort.
     """
     limit = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv)), F.col("kind")), F.lit(most))
-    ranked = places.withColumn("in_kind", F.row_number().over(Window.partitionBy("kind").orderBy(*order)))
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS))
+    could = places.withColumn("_in_part", F.row_number().over(Window.partitionBy("kind", part).orderBy(*order))).where(F.col("_in_part") <= limit + most).drop("_in_part")
+    ranked = could.withColumn("in_kind", F.row_number().over(Window.partitionBy("kind").orderBy(*order)))
     chosen = ranked.withColumn("overflow", F.col("in_kind") > limit).where(F.col("in_kind") <= limit + most)
     return chosen.orderBy("overflow", *order).limit(most).drop("in_kind")
 

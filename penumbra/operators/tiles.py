@@ -79,6 +79,37 @@ def ways_inside(ways: DataFrame, boundary: Column) -> DataFrame:
     return ways.withColumn("inside", F.coalesce(within(mean("lat"), mean("lon")) | F.exists("points", lambda p: within(p["lat"], p["lon"])), F.lit(False)))
 
 
+def way_geometry(refs: DataFrame, nodes: DataFrame, boundary: Column) -> DataFrame:
+    """(way_id, n_points, n_found, inside, owner_inside) of ways given by refs (way_id, node_id) to nodes (id, lat, lon).
+
+    n_found are the points whose node is there, at most one for each reference. owner_inside: the mean of the found points lies
+    within the boundary's polygons; inside: that, or any found point does. Counts and sums are combined before the shuffle, so long ways are never gathered.
+    """
+    within = lambda lat, lon: geo.in_multipolygon(lon, lat, boundary, "lon", "lat")
+    known = nodes.select(F.col("id").alias("node_id"), "lat", "lon", within(F.col("lat"), F.col("lon")).alias("_within")).dropDuplicates(["node_id"])
+    sums = refs.select("way_id", "node_id").join(known, "node_id", "left").groupBy("way_id").agg(
+        F.count("*").alias("n_points"), F.count("lat").alias("n_found"), F.avg("lat").alias("_lat"), F.avg("lon").alias("_lon"), F.max("_within").alias("_touched"))
+    owner = F.coalesce(within(F.col("_lat"), F.col("_lon")), F.lit(False))
+    return sums.select("way_id", "n_points", "n_found", (F.coalesce("_touched", F.lit(False)) | owner).alias("inside"), owner.alias("owner_inside"))
+
+
+def build_elements(refs: DataFrame, nodes: DataFrame, ways: DataFrame, boundary: Column, bounds: tuple[float, float, float, float]) -> DataFrame:
+    """Elements for ``build_stats``: nodes (id, lat, lon), and ways (id, candidate, walkable, is_building) with their geometry.
+
+    bounds: (south, west, north, east) in which nodes are kept. Ways without references have no points.
+    """
+    south, west, north, east = map(F.lit, bounds)
+    no, none = F.lit(False), F.lit(0).cast("long")
+    shapes = way_geometry(refs, nodes, boundary)
+    of_nodes = nodes.select(
+        F.lit("node").alias("type"), (F.col("lat").between(south, north) & F.col("lon").between(west, east)).alias("in_bounds"), no.alias("candidate"), no.alias("walkable"), no.alias("is_building"),
+        none.alias("n_points"), none.alias("n_found"), no.alias("inside"), no.alias("owner_inside"))
+    of_ways = ways.join(shapes, ways["id"] == shapes["way_id"], "left").select(
+        F.lit("way").alias("type"), no.alias("in_bounds"), "candidate", "walkable", "is_building",
+        F.coalesce("n_points", none).alias("n_points"), F.coalesce("n_found", none).alias("n_found"), F.coalesce("inside", no).alias("inside"), F.coalesce("owner_inside", no).alias("owner_inside"))
+    return of_nodes.unionByName(of_ways)
+
+
 def build_stats(elements: DataFrame) -> DataFrame:
     """One row of counts of a build: parsed, kept_nodes, walkways, buildings, missing_geometry.
 

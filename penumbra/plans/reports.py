@@ -209,6 +209,40 @@ def build_stats(spark, sf):
     return tiles.build_stats(e)
 
 
+_AREA = (37.4893, 127.0215, 37.4975, 127.0335)
+_IN_AREA = "({lat} > 37.4893e0 AND {lat} < 37.4975e0 AND {lon} > 127.0215e0 AND {lon} < 127.0335e0)"
+_GEOMETRY = f"""e AS (SELECT * FROM lens_nodes WHERE lon < 127.046e0),
+    g AS (SELECT way_id, count(*) AS n_points, count(e.id) AS n_found, coalesce({_IN_AREA.format(lat='avg(lat)', lon='avg(lon)')}, false) AS owner, coalesce(bool_or({_IN_AREA.format(lat='lat', lon='lon')}), false) AS touched FROM lens_ways AS w LEFT JOIN e ON e.id = w.node_id GROUP BY 1)"""
+
+
+def _area():
+    south, west, north, east = _AREA
+    corner = lambda lat, lon: F.struct(F.lit(lat).alias("lat"), F.lit(lon).alias("lon"))
+    return F.array(F.array(F.array(corner(south, west), corner(south, east), corner(north, east), corner(north, west))))
+
+
+def _extract(spark, sf):
+    """Nodes of an extract that ends at a meridian: ways that cross it have points that aren't there."""
+    return view(spark, sf, "nodes").select("id", "lat", "lon").where(F.col("lon") < 127.046)
+
+
+@query(with_views("nodes", "ways") + ", " + _GEOMETRY + " SELECT way_id, n_points, n_found, touched OR owner AS inside, owner AS owner_inside FROM g")
+def way_geometry(spark, sf):
+    """Points of each way, those found in an extract, and whether the way or its mean lies in an area."""
+    return tiles.way_geometry(view(spark, sf, "ways"), _extract(spark, sf), _area())
+
+
+@query(_TAGS.replace(with_views("tags"), with_views("tags", "nodes", "ways")) + ", " + _GEOMETRY + f""",
+    y AS (SELECT n_points > 0 AND n_found = n_points AS whole, coalesce(n_points, 0) AS n_points, coalesce(touched OR owner, false) AS inside, coalesce(owner, false) AS owner, levels IS NOT NULL AS building, known,
+        known AND coalesce(sac_scale, '') <> 'alpine_hiking' AND open AND NOT (road AND NOT room AND coalesce(sidewalk IN ('no', 'separate'), false)) AND direction IS NOT NULL AS walk FROM f LEFT JOIN g ON g.way_id = f.id)
+    SELECT (SELECT count(*) FROM e) + count(*) AS parsed, (SELECT count(*) FROM e WHERE {_IN_AREA.format(lat='lat', lon='lon')}) AS kept_nodes, count(*) FILTER (whole AND inside AND walk AND n_points >= 2) AS walkways,
+        count(*) FILTER (whole AND inside AND building AND n_points >= 3 AND owner) AS buildings, count(*) FILTER ((known OR building) AND NOT coalesce(whole, false)) AS missing_geometry FROM y""")
+def build_counters(spark, sf):
+    """Counters of a build from the nodes of an extract, ways, their references and tags; tagged levels make a building."""
+    ways = tagged(spark, sf).select("id", tags.supported(F.col("tags")).alias("candidate"), tags.walkable(F.col("tags")).alias("walkable"), F.col("tags")["building:levels"].isNotNull().alias("is_building"))
+    return tiles.build_stats(tiles.build_elements(view(spark, sf, "ways"), _extract(spark, sf), ways, _area(), _AREA))
+
+
 _WAY_EDGES = _TAGS + """, t AS (SELECT id AS way_id, highway = 'steps' AS steps, coalesce(tunnel <> 'no', false) AS covered, fallback, direction, known AND coalesce(sac_scale, '') <> 'alpine_hiking' AND open AND NOT (road AND NOT room AND coalesce(sidewalk IN ('no', 'separate'), false)) AND direction IS NOT NULL AS walk, id % 17 = 3 AS excluded FROM f),
     p AS (SELECT way_id, seq, node_id, lat + (way_id % 3) * 1e-6 AS lat, lon FROM lens_ways AS w JOIN lens_nodes AS n ON n.id = w.node_id),
     s AS (SELECT way_id * 1024 + seq - 1 AS edge_id, way_id, node_id AS a, lead(node_id) OVER o AS b, lat AS alat, lon AS alon, lead(lat) OVER o AS blat, lead(lon) OVER o AS blon FROM p WINDOW o AS (PARTITION BY way_id ORDER BY seq)),
