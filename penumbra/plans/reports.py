@@ -303,7 +303,8 @@ def tile_work_rollup(spark, sf):
 
 @query(_TAGS + " SELECT DISTINCT id AS way_id FROM f WHERE fallback AND known")
 def policy_extract(spark, sf):
-    return tiles.policy(tagged(spark, sf), tags.fallback(F.col("tags")) & tags.supported(F.col("tags")), "way_id")
+    """Of any number of ways: only the policy file of one city has a limit."""
+    return tiles.policy_ids(tagged(spark, sf), tags.fallback(F.col("tags")) & tags.supported(F.col("tags")), "way_id")
 
 
 @query(with_views("edges") + ", e AS (SELECT DISTINCT way_id FROM lens_edges WHERE way_id % 17 <> 3) SELECT (SELECT count(*) FROM e WHERE way_id % 17 = 3) AS excluded_emitted, (SELECT count(DISTINCT way_id) FROM lens_edges WHERE way_id % 23 = 1 AND way_id % 17 = 3) AS fallback_missing, (SELECT count(DISTINCT way_id) FROM lens_edges WHERE way_id % 29 = 2 AND way_id % 17 = 3) AS directed_missing")

@@ -45,3 +45,8 @@ def test_quotas_equal_sorting_everything(spark):
         marked.append((seen[kind] > quotas.get(kind, most), name, k))
     assert [(x.overflow, x.name, x.id) for x in got] == sorted(marked)[:most]
     assert places.within_quotas(table.limit(0), quotas, most, [F.col("name"), F.col("id")]).count() == 0
+
+
+def test_policy_ids_have_no_limit_of_their_own(spark):
+    ids = tiles.policy_ids(spark.range(3 * tiles.MOST_POLICY).withColumn("ok", F.col("id") % 2 == 0), F.col("ok"), "way_id")
+    assert ids.count() == 3 * tiles.MOST_POLICY // 2
