@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from penumbra.functions import geo
 from penumbra.operators import boundary, graph, guards, places, routing, sequence, shade
 from penumbra.operators.spatial import points_in_boxes
 from penumbra.session import keep
@@ -56,6 +57,15 @@ def _grid(n, seed):
     return nodes, edges
 
 
+def test_distance_from_the_end_of_a_segment_is_nothing(spark):
+    r = random.Random(5)
+    rows = [(*(r.uniform(-1e6, 1e6) for _ in range(2)), *(r.uniform(-1e3, 1e3) for _ in range(2))) for _ in range(200)]
+    assert any(ax + (bx - ax) != bx for ax, _, bx, _ in rows)
+    distance = geo.on_segment(*(F.col(c) for c in ("bx", "by", "ax", "ay", "bx", "by")))[3]
+    got = spark.createDataFrame(rows, "ax double, ay double, bx double, by double").select(distance.alias("d")).distinct().collect()
+    assert [x.d for x in got] == [0.0]
+
+
 def test_search_equals_joins(spark):
     nodes, edges = _grid(7, 5)
     e = spark.createDataFrame(edges, "edge_id long, a long, b long, length double, steps boolean, fallback boolean, direction string, shade double")
