@@ -60,3 +60,13 @@ def test_ten_thousand_boxes_on_a_corner_are_dealt_evenly(spark, monkeypatch):
     want = inside(points[:60], boxes)
     got = spatial.points_in_boxes(p, b, 25.0).where("p < 60")
     assert got.count() == len(want) and sorted((r.p, r.b) for r in got.where("p < 9").collect()) == [x for x in want if x[0] < 9]
+
+
+def test_boxes_of_a_small_file_are_not_broadcast(spark, tmp_path):
+    points, boxes = scene(5, 200, 100, 0)
+    for name, f in zip("pb", frames(spark, points, boxes)):
+        f.write.parquet(f"{tmp_path}/{name}")
+    p, b = (spark.read.parquet(f"{tmp_path}/{name}") for name in "pb")
+    near = spatial.points_in_boxes(p, b, 1.0)  # a hundred boxes, but tens of thousands of cells
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.p, r.b) for r in near.collect()) == inside(points, boxes)
