@@ -159,11 +159,15 @@ def search(places: DataFrame, queries: DataFrame, k: int = DEFAULT_RESULTS, comp
 
     A match contains the query, or in an alias all its words; a word that comes to nothing is in every alias. So places and
     queries meet on one pair of characters: of the query's pairs, and of those of all its words, the one that the fewest places have.
-    Only these are scored. Plain forms are written once, as they are read several times. ``order`` gives the sort key of names.
+    Only these are scored, once for all queries of the same plain form. Plain forms are written once, as they are read several
+    times. ``order`` gives the sort key of names.
     """
     compose_all = as_it_is if compose is as_it_is else nfkc_all
     asked = queries.where(F.length("query") <= MOST_QUERY).select("query_id", plain_query(F.col("query"), compose).alias("q"), F.transform(query_tokens(F.col("query"), compose), lambda t: F.regexp_replace(t, "역$", "")).alias("tokens")).where("q <> ''")
     asked = keep(asked)
+    forms = keep(asked.select("q", "tokens").distinct().withColumn("form", F.monotonically_increasing_id()))
+    askers = asked.join(forms, ["q", "tokens"]).select("query_id", "form")
+    asked = forms.withColumnRenamed("form", "query_id")  # from here on a query is a form
     aliases = F.transform(compose_all(F.coalesce("aliases", F.array().cast("array<string>"))), _plain)
     shown = places.select("id", "name", plain_query(F.col("name"), compose).alias("n"), aliases.alias("al"), plain_query(F.col("address"), compose).alias("ad"))
     shown = keep(shown)
@@ -185,7 +189,8 @@ def search(places: DataFrame, queries: DataFrame, k: int = DEFAULT_RESULTS, comp
     score = match_score(F.col("n"), F.col("al"), F.col("ad"), F.col("q"), F.col("tokens"))
     scored = candidates.join(asked, "query_id").join(shown, "id").withColumn("score", score).where("score is not null")
     best = Window.partitionBy("query_id").orderBy("score", order(F.col("name")), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select("query_id", "rank", "id", "score")
+    found = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select(F.col("query_id").alias("form"), "rank", "id", "score")
+    return askers.join(found, "form").select("query_id", "rank", "id", "score")
 
 
 def exact_choice(results: DataFrame, places: DataFrame, queries: DataFrame, compose=nfkc) -> DataFrame:

@@ -137,6 +137,22 @@ def test_search_equals_scoring_all_pairs(spark):
     assert got.exceptAll(want).isEmpty() and got.count() == sum(min(50, len(v)) for v in best.values())
 
 
+def test_queries_of_one_form_are_scored_once(spark, monkeypatch):
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def score(name):
+        scored.add(1)
+        return 0
+
+    monkeypatch.setattr(places, "match_score", lambda name, *rest: score(name))
+    p = spark.createDataFrame([(f"p{k}", f"Market {k}", None, None) for k in range(20)], "id string, name string, aliases array<string>, address string")
+    q = spark.createDataFrame([(k, ["market", "MARKET"][k % 2]) for k in range(40)], "query_id long, query string")
+    found = places.search(p, q, compose=places.as_it_is).collect()
+    assert len(found) == 40 * places.DEFAULT_RESULTS and {r.query_id for r in found} == set(range(40))
+    assert scored.value <= 4 * 20
+
+
 def test_names_in_korean_order(spark):
     names = ["숲 2", "가게", "Zoo", "나무", "apple", "10번", "2번", "Apple", "각", "가", "힣", "숲 10"]
     p = spark.createDataFrame([(str(k), "x" + n, [], None) for k, n in enumerate(names)], "id string, name string, aliases array<string>, address string")
