@@ -109,6 +109,13 @@ def test_turn_by_turn(spark):
     assert kinds(_segments(spark, [(37.5, 127.0), (float("inf"), 127.0), (37.5, float("-inf"))])) == []
 
 
+def test_turns_straight_back(spark):
+    """A turn by 180 degrees is told left or right by the last bit of the bearings, which has to be that of SQL."""
+    place = lambda event: (37.49 + (event % 97) * 1e-4, 127.02 + (event % 89) * 1e-4)
+    kind = lambda *events: [r.kind for r in sequence.turn_by_turn(_segments(spark, [place(e) for e in events])).orderBy("step").collect()][1]
+    assert kind(1274782, 1281426, 1283415) == "uturn-left" and kind(5474782, 5481426, 5483415) == "uturn-right"
+
+
 @pytest.mark.parametrize("text, ids", [
     ("숲길역", ["stop", "park"]), (" 숲 길 ", ["stop", "park"]), ("", []), ("나" * 101, []), ("물가로 7", ["mill"]), ("Ｏｌｄ ｍｉｌｌ", ["mill"]), ("windmill old", ["mill"]),
     ("숲", ["park", "stop"]), ("l", ["mill"]), ("없는 곳", []), ("역 windmill", ["mill"]), ("역 역", ["mill"])])
