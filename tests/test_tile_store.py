@@ -54,6 +54,21 @@ def test_only_chosen_partitions_are_read(spark, store):
     assert ways.count() == len(held)  # each way once, though it is in several tiles
 
 
+def test_folders_are_those_of_zones(spark, tmp_path):
+    """A store over 48 by 48 tiles has few folders, and requests still get the elements of their own tiles only."""
+    point = lambda k, n: {"lat": 37.5 + k * 0.0085, "lon": 127.0 + n * 0.011}
+    rows = [(50 * k + n + 1, [2 * (50 * k + n), 2 * (50 * k + n) + 1], [point(k, n), point(k, n + 0.01)], False, False, False, "both") for k in range(48) for n in range(48)]
+    path = f"file://{tmp_path}/s"
+    tile_store.write_store(tile_store.tiled_ways(spark.createDataFrame(rows, street(spark, 1).schema)), tile_store.tiled_buildings(house(spark)), path)
+    catalogue = spark.read.parquet(f"{path}/catalogue")
+    folders = list((tmp_path / "s/ways").glob("*=*"))
+    assert catalogue.count() > 2000 and len(folders) <= 16 and tile_store.whole(spark, path)
+    chosen, _ = tile_store.chosen_tiles(asked(spark, (1, "a", "b", 127.001, 127.002)), catalogue)
+    wanted = {r.tile_id for r in chosen.collect()}
+    held = {r.id for r in spark.read.parquet(f"{path}/ways").collect() if r.tile_id in wanted}
+    assert {r.id for r in tile_store.read_chosen(spark, path, "ways", chosen).collect()} == held and 0 < len(held) < 60
+
+
 def test_statuses_of_tiles(spark, store, monkeypatch):
     catalogue = keep(spark.read.parquet(f"{store}/catalogue"))
     requests = asked(spark, (1, "a", "b", 127.001, 127.002), (2, "a", "b", 120.0, 120.001), (3, "a", "b", 127.001, 127.039))
