@@ -40,6 +40,19 @@ def test_split_cells_give_each_pair_once(spark, monkeypatch, pairs, levels):
     assert sorted(r.p for r in near.collect()) == sorted({k for k, other in inside(real, boxes) if other != 999}) and near.columns == p.columns
 
 
+@pytest.mark.parametrize("pairs", [200, 10**9])
+def test_tasks_of_the_join_grow_with_the_rows(spark, monkeypatch, pairs):
+    """However small the shuffle files are, rows are counted: no task of the join gets all of them."""
+    from penumbra import session
+
+    monkeypatch.setattr(spatial, "PAIRS", pairs)
+    monkeypatch.setattr(session, "ROWS_A_TASK", 50, raising=False)
+    points, boxes = scene(5, 300, 200, 80)
+    joined = spatial.points_in_boxes(*frames(spark, points, boxes), 50.0)
+    assert sorted((r.p, r.b) for r in joined.collect()) == inside(points, boxes)
+    assert joined.rdd.getNumPartitions() >= 10 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_ten_thousand_boxes_on_a_corner_are_dealt_evenly(spark, monkeypatch):
     monkeypatch.setattr(spatial, "PAIRS", 400_000)
     points, boxes = scene(3, 30_000, 10_000, 10_000)
