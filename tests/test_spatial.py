@@ -83,3 +83,16 @@ def test_boxes_of_a_small_file_are_not_broadcast(spark, tmp_path):
     near = spatial.points_in_boxes(p, b, 1.0)  # a hundred boxes, but tens of thousands of cells
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.p, r.b) for r in near.collect()) == inside(points, boxes)
+
+
+def test_cells_of_points_and_boxes_are_counted_without_a_join(spark, monkeypatch):
+    """The base cells of both sides go through one sum, so no task sorts both to join them."""
+    plans, keep = [], spatial.keep
+    monkeypatch.setattr(spatial, "keep", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    points, boxes = scene(9, 300, 200, 0)
+    lone = [(999, 5000.0, 5000.0)], [(999, -900.0, -900.0, -890.0, -890.0)]  # a cell of points only, and one of boxes only
+    p, b = frames(spark, points + [(998, None, 1.0)] + lone[0], boxes + lone[1])
+    n_rows, split = spatial.counted_cells(p, b, 100.0)
+    assert split is None and len(plans) == 1 and "Join" not in plans[0]
+    cells = sum((int(x1 // 100) - int(x0 // 100) + 1) * (int(y1 // 100) - int(y0 // 100) + 1) for _, x0, y0, x1, y1 in boxes + lone[1])
+    assert n_rows == len(points) + 1 + cells
