@@ -40,6 +40,27 @@ def plan(spark, store, requests):
     return service.plan_stored(spark, store, requests, walking.no_policy(spark), F.lit(10.0), F.lit(10.0))
 
 
+def test_ways_are_placed_without_a_join(spark):
+    """A way's tiles come of its own points: the table is worked out once, and ways that share an id don't get each other's tiles."""
+    ways = street(spark, 1).unionByName(street(spark, 30).where("id = 30").withColumn("id", F.lit(1).cast("long"))).unionByName(street(spark, 1).withColumn("id", F.lit(None).cast("long")))
+    placed = tile_store.tiled_ways(ways)
+    assert "Join" not in placed._jdf.queryExecution().optimizedPlan().toString() and placed.columns == [*ways.columns, "tile_id"]
+    tile = lambda p: f"15-{int((p.lon + 180) / 360 * 32768)}-"
+    rows = placed.collect()
+    assert len(rows) == 2 and len({r.tile_id for r in rows}) == 2 and all(r.tile_id.startswith(tile(r.points[0])) for r in rows)
+
+
+def test_tiles_beyond_the_map_projection_are_stored_too(spark, tmp_path):
+    """North of 85 degrees tile numbers are less than 0."""
+    north = street(spark, 3).withColumn("points", F.transform("points", lambda p: F.struct((p["lat"] + 48.0).alias("lat"), p["lon"].alias("lon"))))
+    ways, path = street(spark, 3).unionByName(north.withColumn("id", F.col("id") + 10)), f"file://{tmp_path}/s"
+    tile_store.write_store(tile_store.tiled_ways(ways), tile_store.tiled_buildings(house(spark)), path)
+    catalogue = spark.read.parquet(f"{path}/catalogue")
+    assert tile_store.whole(spark, path) and catalogue.where("tile_id like '15-%--%' and south > 85 and north > south").count() > 0
+    chosen = catalogue.select(F.lit(1).alias("request_id"), "tile_id", F.lit("OK").alias("status"))
+    assert sorted(r.id for r in tile_store.read_chosen(spark, path, "ways", chosen).collect()) == [1, 2, 3, 11, 12, 13]
+
+
 def test_only_chosen_partitions_are_read(spark, store):
     catalogue = spark.read.parquet(f"{store}/catalogue")
     requests = asked(spark, (1, "a", "b", 127.001, 127.002))
