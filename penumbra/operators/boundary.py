@@ -62,7 +62,8 @@ def _simplify(points: list[tuple[float, float]], tolerance: float) -> list[tuple
             dx, dy = bx - ax, by - ay
             size = dx * dx + dy * dy
             t = max(0.0, min(1.0, ((px - ax) * dx + (py - ay) * dy) / size)) if size else 0.0
-            d = (px - ax - t * dx) ** 2 + (py - ay - t * dy) ** 2
+            off_x, off_y = ax + t * dx - px, ay + t * dy - py
+            d = off_x * off_x + off_y * off_y
             if d > far:
                 far, at = d, k
         if at is not None and far > tolerance * tolerance:
@@ -102,8 +103,10 @@ def simplified_rings(rings: DataFrame, key: str = "id", ring: str = "ring", tole
     while not todo.isEmpty():
         short = F.col("b") - F.col("a") <= 2
         kept.append(todo.where(short).select("_key", "k", "q"))
-        distance = geo.on_segment(*(F.col(f"{p}.{c}") for p in ("q", "pa", "pb") for c in "xy"))[3]
-        far = todo.where(~short).withColumn("d", distance * distance)
+        _, x, y, _ = geo.on_segment(*(F.col(f"{p}.{c}") for p in ("q", "pa", "pb") for c in "xy"))
+        # From the nearest point, and never by a root: points as far but for the last bit decide where a stretch is cut.
+        off_x, off_y = x - F.col("q.x"), y - F.col("q.y")
+        far = todo.where(~short).withColumn("d", off_x * off_x + off_y * off_y)
         cuts = keep(far.groupBy("_key", "a").agg(F.max_by(F.struct("k", "q"), F.struct("d", -F.col("k"))).alias("c"), F.max("d").alias("d")).where(F.col("d") > tolerance * tolerance).select("_key", "a", "c.k", "c.q"))
         kept.append(cuts.select("_key", "k", "q"))
         cut = todo.where(~short).join(cuts.select("_key", "a", F.col("k").alias("at"), F.col("q").alias("pc")), ["_key", "a"]).where("k <> at")

@@ -38,6 +38,25 @@ def test_simplified_rings(spark):
     assert got[0] == got[1] == [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)] and got[2] is None
 
 
+def test_rings_are_cut_where_their_sql_cuts_them(spark, tmp_path):
+    """Corners as far from a side but for the last bit, which a distance that went through a root took for equal or in the other order.
+
+    Corners of unknown height come last among those of one longitude, and nodes without a key are no ring.
+    """
+    import duckdb
+
+    from penumbra.plans import registry, walking  # noqa: F401
+
+    rings = {36: [49, 10, 2, 15, 17], 43: [23, 16, 43, 41, 15], 32: [26, 1, 3, 25, 18, 36], 46: [38, 1, 18, 26, 29, 13], 13: [36, 28, 25, 16, 18, 46, 26], 59: [38, 12, 23, 46, 48, 46, 25, 17]}
+    rows = [(50 * gy + k, size, "PROMO", "Brand#7") for gy, sizes in rings.items() for k, size in enumerate(sizes)]
+    rows += [(50 * 70 + k, size, "PROMO", "Brand#7") for k in range(4) for size in (None, 9 * k)] + [(None, 1, "PROMO", "Brand#7")] * 4
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted((tuple(r) for r in registry.QUERIES["ring_simplified"](spark, str(tmp_path)).select("gy", "place", "x", "y").collect()), key=repr)
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+        assert got == sorted(con.sql(f"SELECT gy, place, x, y FROM ({registry.ORACLES['ring_simplified']})").fetchall(), key=repr)
+
+
 def test_snap_weighs_fallback_edges_but_measures_metres(spark):
     # A point 6 m above a fallback road and 8 m below an ordinary one: 9 against 8. One 2 m above the former: 3 against 12.
     edge = lambda k, y, fallback: (k, -50.0, y, 50.0, y, fallback)
