@@ -149,6 +149,55 @@ def test_a_walk_that_is_too_long(spark, tmp_path):
     assert plan(spark, path, requests)[1].first().status == "ROUTE_TOO_LONG"
 
 
+def test_every_request_is_routed_whatever_tiles_it_meets(spark, monkeypatch):
+    """The limits of one request's tiles are a service's; the costs of a table of requests are those of its SQL, which knows no tiles."""
+    import duckdb
+
+    from penumbra.plans import registry
+
+    for limit in ("MOST_PER_REQUEST", "MOST_BYTES"):
+        monkeypatch.setattr(tiles, limit, 1)
+    for limit in ("tile_ways", "tile_buildings", "route_ways", "route_buildings", "route_way_points", "route_building_points"):
+        monkeypatch.setitem(guards.LIMITS, limit, 1)
+    sf = "/root/testdata/sf0.001"
+    got = {(r.request_id, r["mode"]): r.cost for r in walking.stored_route_costs(spark, sf).collect()}
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW part AS SELECT * FROM '{sf}/part.parquet'")
+        want = con.sql(f"SELECT request_id, mode, cost FROM ({registry.ORACLES['stored_route_costs']})").fetchall()
+    assert len(want) == len(got) > 0 and all(abs(got[r, m] - c) < 1e-3 for r, m, c in want)
+
+
+def best(spark, tmp_path, nodes, ways, requests):
+    """{(request_id, mode): cost} over a store of ways (id, a, b, covered, direction) between nodes {id: (x, y)} in metres."""
+    ship_package(spark)
+    at = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in nodes.items()], "id long, x double, y double").select("id", "x", "y", F.struct(geo.to_lat(F.col("y")).alias("lat"), geo.to_lon(F.col("x")).alias("lon")).alias("p"))
+    given = spark.createDataFrame(ways, "id long, a long, b long, covered boolean, direction string")
+    ends = given.join(at.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a").join(at.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b")
+    shaped = ends.select("id", F.array("a", "b").alias("nodes"), F.array("pa", "pb").alias("points"), "covered", F.lit(False).alias("steps"), F.lit(False).alias("fallback"), "direction")
+    path = f"file://{tmp_path}/s"
+    tile_store.write_store(tile_store.ways_at_points(shaped), tile_store.tiled_buildings(house(spark)), path)
+    placed = lambda name, axes: at.select(F.col("id").alias(name), geo.to_x(F.col("p.lon")).alias(f"{axes}x"), geo.to_y(F.col("p.lat")).alias(f"{axes}y"))
+    asked = spark.createDataFrame(requests, "request_id long, start long, goal long").join(placed("start", "s"), "start").join(placed("goal", "g"), "goal")
+    return {(r.request_id, r["mode"]): r.cost for r in service.best_costs(spark, path, asked, walking.no_policy(spark), F.lit(10.0), F.lit(10.0), 200.0).collect()}
+
+
+def test_routes_may_lead_away_from_their_ends(spark, tmp_path):
+    """The only way of request 1 leads 2.5 km away; the shaded one of request 2 does and is the better there; from 3's start nothing leads on, and no way joins 4's ends."""
+    nodes = {1: (0, 0), 2: (100, 0), 3: (0, 2500), 4: (100, 2500), 11: (2000, 0), 12: (3500, 0), 13: (2000, 2000), 14: (3500, 2000), 21: (0, -2000), 22: (100, -2000)}
+    ways = [(1, 1, 3, False, "both"), (2, 3, 4, False, "both"), (3, 4, 2, False, "both"), (4, 11, 12, False, "both"), (5, 11, 13, True, "both"), (6, 13, 14, True, "both"), (7, 14, 12, True, "both"), (8, 21, 22, False, "backward")]
+    got = best(spark, tmp_path, nodes, ways, [(1, 1, 2), (2, 11, 12), (3, 21, 22), (4, 22, 1)])
+    want = {(1, "shortest"): 5100, (1, "balanced"): 2 * 5100, (1, "maxShade"): 4 * 5100, (2, "shortest"): 1500, (2, "balanced"): 2 * 1500, (2, "maxShade"): 5500}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k] / 1.25) < 1e-3 for k in want)
+
+
+def test_routes_lead_over_a_pole(spark, tmp_path):
+    """Rows of the sample's grid go on beyond 90 degrees, where tiles are tiny, and a way from one row to the next would span more of them than an element may."""
+    nodes = {gy: (0, (37.49 + gy * 4.5e-4 - geo.CENTRE_LAT) * geo.METRES_LAT) for gy in range(116680, 116700)}
+    got = best(spark, tmp_path, nodes, [(gy, gy, gy + 1, False, "both") for gy in range(116680, 116699)], [(1, 116680, 116699)])
+    metres = 19 * 4.5e-4 * geo.METRES_LAT
+    assert {k: round(c, 4) for k, c in got.items()} == {(1, m): round(f * metres / 1.25, 4) for m, f in (("shortest", 1), ("balanced", 2), ("maxShade", 4))}
+
+
 def test_files_are_checked_before_they_are_stored(spark, tmp_path):
     tile = lambda k, **more: {"schema": 2, "id": f"15-1-{k}", "w": [[5, 1, [1, 2], [37500000, 127000000, 37500100, 127000100]]], "b": [[9, None, 3, [1, 2, 3, 4, 5, 6]]]} | more
     contents = {1: json.dumps(tile(1)), 2: json.dumps(tile(2)), 3: json.dumps(tile(4)), 5: json.dumps(tile(5, w=[[5, 9, [1, 2], [1, 2, 3, 4]]])), 6: "{}", 7: json.dumps(tile(7, b=[[9, -1, 3, [1, 2, 3, 4, 5, 6]]]))}
